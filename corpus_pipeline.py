@@ -1,13 +1,76 @@
-"""Corpus pipeline: the stages are added with their operators."""
+"""From raw documents to packed sequences: language ID, quality, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the
+columns of `documents`. run() writes each stage's rows into the shared folder and reads them again.
+
+Defined results: null or empty texts and texts without a letter are rejected by the first stage; rows with a null doc_id
+pass deduplication, as nothing links them; of rows that repeat a doc_id, one stays after deduplication; a document
+that the mix takes several times comes out as several rows; empty tables pass through empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import language, mixing, near_dedup, packing, quality
+from quern.llm.common import ranked, written
+
+LEAST_SURE = 0.5  # language ID rejects documents of which it is less sure
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language.judge(spark, language.fit(docs))(F.col("text"))
+    rows = docs.select(*docs.columns, found.alias("_found"))
+    return rows.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SURE)).select(*docs.columns)
+
+
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = docs.select(*docs.columns, quality.judge(spark, model)(F.col("text")).alias("_found"))
+    return rows.where(F.col("_found.predicted") == 1).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(docs)
+    rows = docs.join(found.where(~F.col("kept")).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if again:
+        rows = rows.where("doc_id is null").unionByName(rows.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return rows
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    times = mixing.mixed(docs).groupBy("doc_id", "text_hash", "key").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64("text"), "_key": mixing.source_key()}
+    times = times.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"), F.col("key").alias("_key"), "_times", "_rows")
+    joined = docs.select(*docs.columns, *[c.alias(k) for k, c in keys.items()]).join(times.hint("merge"), [*keys])
+    if times.where("_rows > 1").limit(1).count():
+        joined = ranked(joined, [*keys], [*keys], "_rows", "_rank")
+        joined = joined.withColumn("_times", F.floor(F.col("_times") / F.col("_rows")) + (F.col("_rank") < F.col("_times") % F.col("_rows")).cast("long"))
+    return joined.where("_times > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language ID", by_language),
+    ("quality classifier", by_quality),
+    ("MinHash near-dedup", without_near_duplicates),
+    ("mixing sources to target weights", mixed),
+    ("best-fit packing", packed),
+]
+
+#: SQL can't express the trained models and the sketches; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k}")
     return docs
