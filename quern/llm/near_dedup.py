@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, encoded, mix, partitions, state, written
+from quern.llm.common import discard, encoded, mix, partitions, small_batches, state, written
 
 WORDS, THRESHOLD = 5, 85  # per cent
 BANDS, ROWS = 26, 5  # a pair at 0.85 misses all bands with probability (1 - 0.85 ** 5) ** 26 < 4e-7
@@ -169,19 +169,23 @@ def _rare_prefix_pairs(open_docs: DataFrame, texts: DataFrame, threshold: int, w
     df = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     common = rows.join(df.where("df > 1").hint("merge"), "shingle")
     shared = common.groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("by_df"))
-    room = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - (F.col("n") - F.size("by_df"))
-    prefix = shared.where(room > 0).select("id", "component", "n", F.explode(F.slice("by_df", F.lit(1), room.cast("int"))).alias("s")).select("id", "component", "n", F.col("s.shingle").alias("shingle"))
+    unique = F.col("n") - F.size("by_df")
+    room = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - unique
+    prefix = shared.where(room > 0).select("id", "component", "n", unique.alias("unique"), F.posexplode(F.slice("by_df", F.lit(1), room.cast("int"))).alias("k", "s"))
+    # behind a pair's first common shingle must lie as many as they have to share
+    prefix = prefix.select("id", "component", "n", (F.col("n") - F.col("unique") - F.col("k")).alias("behind"), F.col("s.shingle").alias("shingle"))
     prefix = written(prefix, "prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     prefix = prefix.join(mixed.hint("merge"), "shingle")
-    a = prefix.select("shingle", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    b = prefix.select("shingle", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
-    fits = (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
+    a = prefix.select("shingle", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
+    b = prefix.select("shingle", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("behind").alias("by"))
+    fits = (100 + threshold) * F.least("bx", "by") >= threshold * (F.col("nx") + F.col("ny"))
     return a.join(b, "shingle").where((F.col("cx") < F.col("cy")) & fits).select("x", "y").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     base = written(sketches(docs, bands, rows, words), "sketches")
     sets = base.where("h1 is not null and doc_id is not null")
     classes = written(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
