@@ -19,7 +19,7 @@ def with_time(events: DataFrame) -> DataFrame:
 
 def recent_hits(events: DataFrame, seconds: float = 60.0) -> DataFrame:
     """Adds hits: events of the user in the `seconds` up to and including each event (an upper bound of a limiter's count)."""
-    w = W.partitionBy("user_id").orderBy("sec").rangeBetween(-seconds, 0)
+    w = W.partitionBy("user_id").orderBy(F.unix_micros("time")).rangeBetween(-int(seconds * 1_000_000), 0)
     return with_time(events).withColumn("hits", F.count(F.lit(1)).over(w))
 
 
