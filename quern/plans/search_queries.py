@@ -177,7 +177,7 @@ def _kind(source) -> F.Column:
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """Weighted fusion, then the kind boost: even queries want an ayah, odd ones name no kind."""
     kinds = table(spark, d, "documents").select("doc_id", _kind(F.col("source")).alias("kind"))
-    pool = _hybrid(spark, d).join(kinds, "doc_id", "left").withColumn("wanted", F.when(F.col("query_id") % 2 == 0, "ayah"))
+    pool = _hybrid(spark, d).join(kinds, "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit("hadith"))).withColumn("wanted", F.when(F.col("query_id") % 2 == 0, "ayah"))
     return lexical.top(fusion.kind_boost(pool), 12, digits=5).select("query_id", "doc_id", "rank", "kind", F.round("score", 4).alias("score"))
 
 

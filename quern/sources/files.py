@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.operators.tables import first_seen, upsert
 
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "id string, kind string, collection string, collection_key string, surah int, surah_name string, ayah int, number string, "
     "arabic_number string, book int, section string, ref string, text string, sanad string, matn string, match_text string, "
     "match_source string, surfaces map<string,string>, translations map<string,string>, grade string, grade_raw string, "
     "grade_basis string, grade_note string, severity string, severity_ar string, action string, scope string, "
     "graders array<struct<grader:string,grade:string,grade_ar:string,grader_ar:string>>, edition string, split_rule string"
 )
-EDITION = T.StructType.fromDDL("metadata struct<sections:map<string,string>>, hadiths array<struct<hadithnumber:string,arabicnumber:string,text:string,reference:struct<book:int>,grades:array<struct<name:string,grade:string>>>>")
+EDITION = "metadata struct<sections:map<string,string>>, hadiths array<struct<hadithnumber:string,arabicnumber:string,text:string,reference:struct<book:int>,grades:array<struct<name:string,grade:string>>>>"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,7 +26,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
@@ -40,7 +39,7 @@ def edition(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("h.hadithnumber", "h.arabicnumber", "h.text", F.col("h.reference.book").alias("book"), F.try_element_at("metadata.sections", F.col("h.reference.book").cast("string")).alias("section"), "h.grades")
 
 
-def first_seen_files(spark: SparkSession, paths: list[str], schema: T.StructType, key: str) -> DataFrame:
+def first_seen_files(spark: SparkSession, paths: list[str], schema: str, key: str) -> DataFrame:
     """Rows of several files, one for each key: of the first path, then file, that has it."""
     parts = [spark.read.schema(schema).json(p).withColumns({"_turn": F.lit(i), "_file": F.input_file_name(), "_at": F.monotonically_increasing_id()}) for i, p in enumerate(paths)]
     every = parts[0]
