@@ -14,7 +14,9 @@ a null doc_id is kept as null; an empty table gives an empty result. Other colum
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -27,8 +29,11 @@ from quern.llm.common import ranked, small_batches, state, written
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
-#: What byte-level BPE can't merge across: a word with one blank before it, or white space.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Pieces that byte-level BPE can't merge across: a plain word before white space or a sign; a run of signs before white
+#: space; else all up to the next white space; and white space itself.
+_CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s!-/:-@\[-`{-~]|\Z)| ?[!-/:-@\[-`{-~]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
+#: A piece that the tokenizer's pattern leaves whole.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[!-/:-@\[-`{-~]+")
 #: Characters on whose class the tokenizer and `re` may differ, and added tokens: such texts are encoded whole.
 _WHOLE = re.compile(r"[\x1c-\x1f]|<\|endoftext\|>")
 
@@ -40,18 +45,32 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class _ChunkIds(dict):
+    """Ids of chunks as bytes. New plain words go straight to the tokenizer's model, byte by byte in its alphabet; others through all of it."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = {c.encode("utf-8"): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x800))}
+        self.letters = {b: s for text, out in shown.items() for b, s in zip(text, out)}
+        self.model = self.tokenizer.model.tokenize
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def one(self, piece: str) -> bytes:
+        tokens = self.model(piece.encode().decode("latin-1").translate(self.letters))
+        ids = array("I", [t.id for t in tokens])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > 300_000:
+        if len(self) > 600_000:
             self.clear()
-        got = self[chunk] = self.ids(chunk)
+        got = self[chunk] = self.one(chunk) if _PLAIN.fullmatch(chunk) else self.ids(chunk)
         return got
 
 
