@@ -49,6 +49,27 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+class Scratch:
+    """Tables that only a part of a job needs: written like written(), deleted together when that part is done."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        out = written(df, tag)
+        self.held.append(out)
+        return out
+
+    def discard(self) -> None:
+        while self.held:
+            discard(self.held.pop())
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame | None:
+    """`df` hinted for broadcast if it has at most `rows` rows, else None: take another way."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))

@@ -27,10 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import encoded, small_batches, written
+from quern.llm.common import Scratch, encoded, small_batches, written
 from quern.llm.urls import host_of
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
+BROADCAST_DIGESTS, SALTS = 400_000, 32
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|[\"'])*?)(/?)>", re.DOTALL)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _RAW = frozenset("script style textarea title noscript iframe xmp template svg math noembed noframes".split())
@@ -214,7 +215,7 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
     return out
 
 
-def template_counts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def template_counts(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """host, template (array of digests) of hosts that have any. `pages`: page_id, host, html."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,17 +231,30 @@ def template_counts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: flo
             yield pd.DataFrame({"host": hosts, "page": np.array(own, np.int64), "digest": np.array(found, np.int64)})
 
     seen = pages.select("host", "html").mapInPandas(run, "host string, page long, digest long")
-    counted = written(seen.distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where((F.col("pages") >= min_pages) | (F.col("digest") == 0)), "subtrees")
+    counted = scratch.written(seen.distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where((F.col("pages") >= min_pages) | (F.col("digest") == 0)), "subtrees")
     whole = counted.where("digest = 0").select("host", F.col("pages").alias("of"))
     often = counted.where("digest <> 0").join(whole.hint("merge"), "host").where(F.col("pages") >= min_share * F.col("of"))
     return often.groupBy("host").agg(F.collect_list("digest").alias("template"))
 
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def with_template(rows: DataFrame, template: DataFrame, most: int = BROADCAST_DIGESTS) -> DataFrame:
+    """`rows` with their host's template. Up to `most` digests in all are broadcast, so that no page is shuffled; beyond, pages
+    are dealt by host and one of SALTS salts, so that no task gets all pages of a host."""
+    size = template.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
+    if size <= most:
+        return rows.join(F.broadcast(template), "host", "left")
+    spread = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread.hint("merge"), ["host", "salt"], "left")
+
+
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most: int = BROADCAST_DIGESTS) -> DataFrame:
     """page_id, url, text, n_chars of every row of `pages` (page_id, url, html)."""
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    template = written(template_counts(rows, min_pages, min_share), "templates")
+    scratch = Scratch()
+    template = written(template_counts(rows, scratch, min_pages, min_share), "templates")
+    scratch.discard()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -252,7 +266,7 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             yield pdf[["page_id", "url"]].assign(text=out, n_chars=np.array([len(t) for t in out], np.int64))
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = rows.join(template.hint("merge"), "host", "left").select("page_id", "url", "html", "template")
+    joined = with_template(rows, template, most).select("page_id", "url", "html", "template")
     return joined.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
