@@ -135,7 +135,7 @@ MID_WINDOW = f"""
 WITH w AS (SELECT doc_id, text, {word_list('text')} AS w FROM documents),
      p AS (SELECT *, array_to_string(list_slice(w, CAST(greatest(0, floor((len(w) - 7) / 2)) AS BIGINT) + 1, CAST(greatest(0, floor((len(w) - 7) / 2)) AS BIGINT) + 7), ' ') AS phrase FROM w)
 SELECT doc_id, phrase, 'https://example.org/search?q=' || replace(url_encode(phrase), '%2F', '/') AS url,
-       CAST(floor(length(text) * 1.06) + 2 AS BIGINT) AS estimate, md5(replace(left(text, 420), '"', '''')) AS clip_md5 FROM p"""
+       CAST(floor(length(text) * CAST(1.06 AS DOUBLE)) + 2 AS BIGINT) AS estimate, md5(replace(left(text, 420), '"', '''')) AS clip_md5 FROM p"""
 
 #: Grade strings for the labelled documents: by quality, toxicity and source; every branch of the tables occurs.
 GRADES = ("Sahih", "Hasan", "Daif", "Very Daif", "Sahih Isnaad", "Hasan Sahih", "Mawdu", "Daif Munkar", "Sahih Mauquf", "Isnaad Daif", "Unrated", "-", "Batil upon Hadith")
