@@ -21,9 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import ranked, written
+from quern.llm.common import if_small, ranked, written
 
 WEIGHTS, LIMIT = (5, 2, 1), 3
+BROADCAST_SIZES = 300_000  # (source, size) counts that are broadcast; more are joined by shuffle
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> dict[str | None, float]:
@@ -116,7 +117,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
         return pd.DataFrame({"key": keys[0], "size": pdf["size"], "n": n, "copies": copies})
 
     plan = written(hist.groupBy("key").applyInPandas(rounded, "key string, size long, n long, copies long"), "copies")
-    dealt = slim.join(plan.hint("merge"), ["key", "size"])
+    dealt = slim.join(if_small(plan, BROADCAST_SIZES) or plan.hint("merge"), ["key", "size"])
     whole, extra = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
     even = dealt.where(extra == 0).withColumn("times", whole)
     odd = ranked(dealt.where(extra != 0), ["key", "size"], ["doc_id", "text_hash"], "n", "rank").withColumn("times", whole + (F.col("rank") < extra).cast("long")).drop("rank")
