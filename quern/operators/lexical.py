@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions.text import normalize_latin, tokens
-from quern.operators.sizes import if_small
+from quern.operators.sizes import BROADCAST_ROWS
 
 K1, B = 1.5, 0.75
 Tokenize = Callable[[Column], Column]
@@ -39,14 +39,17 @@ def bm25(queries: DataFrame, docs: DataFrame, tokenize: Tokenize = words, k1: fl
     """query_id, doc_id, score of every document that shares a term with a query (query_id, text)."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
     by_term = asked.groupBy("term").agg(F.collect_list("query_id").alias("asks"))
+    # one check for all: document frequencies are needed of no more terms than are asked for
+    small = F.broadcast if by_term.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     cut = docs.select("doc_id", tokenize(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
     totals = cut.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = cut.select("doc_id", "dl", F.explode("t").alias("term")).join(if_small(by_term), "term")
-    tf = hits.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("asks").alias("asks"))
+    # outer, as for a plain explode the optimiser adds a filter that makes all tokens once more; the join drops the nulls
+    hits = cut.select("doc_id", "dl", F.explode_outer("t").alias("term")).join(small(by_term.select("term")), "term")
+    tf = hits.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.nullif(F.col("avgdl"), F.lit(0.0))))
-    weighed = tf.join(if_small(df), "term").crossJoin(F.broadcast(totals)).select("doc_id", "asks", part.alias("s"))
-    return weighed.select(F.explode("asks").alias("query_id"), "doc_id", "s").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+    weighed = tf.join(small(df), "term").crossJoin(F.broadcast(totals)).select("doc_id", "term", part.alias("s"))
+    return weighed.join(small(by_term), "term").select(F.explode("asks").alias("query_id"), "doc_id", "s").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
 
 
 def top(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:

@@ -73,8 +73,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def as_stream(spark, folder: str, table: str, schema) -> DataFrame:
-    """The table's Parquet as a stream of its files, with event time."""
-    return with_time(spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*").option("recursiveFileLookup", "true").parquet(folder))
+    """The table's Parquet, one file or a folder of them, as a stream of files, with event time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(schema)
+    return with_time(reader.parquet(f"{folder}/{table}") if whole else reader.option("pathGlobFilter", table).parquet(folder))
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append", schema=None) -> DataFrame:
