@@ -13,11 +13,11 @@ from quern.sources.files import table
 
 
 def hydrate_topk(spark: SparkSession, d: str) -> DataFrame:
-    display = table(spark, d, "documents").select("doc_id", "lang", "source", F.substring("text", 1, 60).alias("shown"))
+    display = table(spark, d, "documents").select("doc_id", "lang", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"))
     return answers.hydrated(lexical.top(sq._scores(spark, d), 5).select("query_id", "rank", "doc_id"), display)
 
 
-HYDRATE_TOPK = f"WITH {sq.BM25} SELECT query_id, rank, doc_id, lang, source, left(text, 60) AS shown FROM ({sq._rank_sql('bm')}) JOIN documents USING (doc_id) WHERE rank <= 5"
+HYDRATE_TOPK = f"WITH {sq.BM25} SELECT query_id, rank, doc_id, lang, source, md5(text) AS text_md5 FROM ({sq._rank_sql('bm')}) JOIN documents USING (doc_id) WHERE rank <= 5"
 
 
 def alternatives(spark: SparkSession, d: str) -> DataFrame:

@@ -266,7 +266,7 @@ _POOL_SQL = f"""{BM25}, pool AS (SELECT query_id, doc_id, rank, round(score, 6)
 
 
 def greedy_collapse(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "documents").select("doc_id", F.array_distinct(lexical.words(F.col("text"))).alias("tokens"), F.slice(lexical.words(F.col("text")), 1, 40).alias("shown"))
+    sets = table(spark, d, "documents").select("doc_id", F.array_distinct(lexical.words(F.col("text"))).alias("tokens"), lexical.words(F.col("text")).alias("shown"))
     return dedup.greedy_collapse(_pool(spark, d).join(sets, "doc_id"), 24)
 
 
