@@ -13,7 +13,8 @@ different components meet again through prefix filtering (rarest shingles first)
 groups of copies or near copies never yield all their pairs.
 
 Defined results: null, empty or blank texts have an empty set, n_shingles 0, and stand alone. Rows with a null
-doc_id are linked with nothing: component_id null, kept true. Rows that repeat a doc_id are one document.
+doc_id are linked with nothing: component_id null, kept true. Rows that repeat a doc_id are one document, linked by
+its least text; each row has its own n_shingles.
 Other columns of the input are ignored, whatever their names.
 """
 
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, encoded, mix, partitions, small_batches, state, written
+from quern.llm.common import Scratch, discard, encoded, mix, small_batches, state, written
 
 WORDS, THRESHOLD = 5, 85  # per cent
 BANDS, ROWS = 26, 5  # a pair at 0.85 misses all bands with probability (1 - 0.85 ** 5) ** 26 < 4e-7
@@ -147,10 +148,11 @@ def components(links: DataFrame) -> DataFrame:
         discard(labels)
         labels = new
         if not changed:
+            discard(edges)
             return labels.select("id", "component")
 
 
-def _rare_prefix_pairs(open_docs: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
+def _rare_prefix_pairs(open_docs: DataFrame, scratch: Scratch, texts: DataFrame, threshold: int, words: int) -> DataFrame:
     """Pairs of different components among `open_docs` (id, component) that may reach the threshold: they share one
     of their rarest shingles, as many of them as a linked pair must share at least one of."""
 
@@ -164,7 +166,7 @@ def _rare_prefix_pairs(open_docs: DataFrame, texts: DataFrame, threshold: int, w
 
     # one text per id: rows that repeat a doc_id were made one before
     whole = open_docs.join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id")
-    rows = written(whole.select("id", "component", "text").mapInPandas(explode, "id long, component long, n long, shingle long"), "shingles")
+    rows = scratch.written(whole.select("id", "component", "text").mapInPandas(explode, "id long, component long, n long, shingle long"), "shingles")
     # a shingle that occurs once joins nothing but takes its place in the prefix: only its count is needed
     df = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     common = rows.join(df.where("df > 1").hint("merge"), "shingle")
@@ -174,7 +176,7 @@ def _rare_prefix_pairs(open_docs: DataFrame, texts: DataFrame, threshold: int, w
     prefix = shared.where(room > 0).select("id", "component", "n", unique.alias("unique"), F.posexplode(F.slice("by_df", F.lit(1), room.cast("int"))).alias("k", "s"))
     # behind a pair's first common shingle must lie as many as they have to share
     prefix = prefix.select("id", "component", "n", (F.col("n") - F.col("unique") - F.col("k")).alias("behind"), F.col("s.shingle").alias("shingle"))
-    prefix = written(prefix, "prefixes")
+    prefix = scratch.written(prefix, "prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     prefix = prefix.join(mixed.hint("merge"), "shingle")
     a = prefix.select("shingle", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
@@ -186,38 +188,43 @@ def _rare_prefix_pairs(open_docs: DataFrame, texts: DataFrame, threshold: int, w
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
     small_batches(docs.sparkSession)
+    scratch = Scratch()
     base = written(sketches(docs, bands, rows, words), "sketches")
-    sets = base.where("h1 is not null and doc_id is not null")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    repeats = base.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    if repeats:  # a document of several rows is linked by its least text
+        whole = whole.groupBy("doc_id").agg(F.min("text").alias("text"))
+    one = written(sketches(whole, bands, rows, words), "sketches") if repeats else base
+    sets = one.where("h1 is not null and doc_id is not null")
     classes = written(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sets.join(classes.hint("merge"), ["h1", "h2"]).where("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
-    reps = written(reps, "bands")
+    reps = scratch.written(reps, "bands")
     full = reps.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(reps.join(full.hint("merge"), "band"), "buckets")
+    shared = scratch.written(reps.join(full.hint("merge"), "band"), "buckets")
     central = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
     leaders = shared.join(central.hint("merge"), "rep").groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("leader"))
     pairs = shared.join(leaders.hint("merge"), "band").where("rep <> leader").select(F.least("rep", "leader").alias("x"), F.greatest("rep", "leader").alias("y")).distinct()
-    pairs = written(pairs, "pairs")
+    pairs = scratch.written(pairs, "pairs")
     ids = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id", "left_semi").where("text is not null")
-    texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(base) else texts, "texts")
-    links = written(verified(pairs, texts, threshold, words), "links")
+    texts = scratch.written(whole.join(ids.hint("merge"), "doc_id", "left_semi").where("text is not null"), "texts")
+    links = scratch.written(verified(pairs, texts, threshold, words), "links")
     labels = components(links)
     labelled = shared.select("rep", "band").join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = written(labelled, "labelled")
+    labelled = scratch.written(labelled, "labelled")
     split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     open_docs = labelled.join(split.hint("merge"), "band", "left_semi").select(F.col("rep").alias("id"), "component").distinct()
-    more = written(verified(_rare_prefix_pairs(written(open_docs, "open"), texts, threshold, words), texts, threshold, words), "more")
+    more = scratch.written(verified(_rare_prefix_pairs(scratch.written(open_docs, "open"), scratch, texts, threshold, words), texts, threshold, words), "more")
     labels = components(links.union(more))
+    scratch.discard()
     found = classes.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n_shingles", "h1", "h2").join(found.hint("merge"), ["h1", "h2"], "left")
+    if repeats:
+        by_id = sets.select("doc_id", "h1", "h2").join(found.hint("merge"), ["h1", "h2"]).select("doc_id", "component")
+        out = base.select("doc_id", "n_shingles").join(by_id.hint("merge"), "doc_id", "left")
+    else:
+        out = base.select("doc_id", "n_shingles", "h1", "h2").join(found.hint("merge"), ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _repeats(base: DataFrame) -> bool:
-    """Whether a doc_id occurs with different sets."""
-    return base.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-
-
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

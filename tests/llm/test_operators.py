@@ -254,6 +254,13 @@ def test_near_dedup(spark, docs_dir):
     check_components(spark, docs_dir, documents())
 
 
+def test_near_dedup_repeated_ids(spark, tmp_path):
+    rows = [(1, "z other words that stand here"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, "z other words that stand here"), (4, None), (4, "a b c d e f g")]
+    d = folder(spark, tmp_path, documents=(with_extras([(*r, "en", "s", 1) for r in rows]), DOCS))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in queries.op4_near_dedup(spark, d).collect())
+    assert got == [(1, 2, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 2, 3, True), (4, 0, 1, False), (4, 3, 1, False)]
+
+
 def test_near_dedup_chains_and_hot_groups(spark, tmp_path):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 5000)}" for _ in range(150)]
@@ -399,6 +406,8 @@ def test_html_templates(spark, tmp_path):
     assert all(by[i] == f"Own text {i} & so on\n\nSecond {i * i}" for i in range(30))
     assert all(by[100 + i] == f"Shared first line of all\n\nRest {i}" for i in range(12))
     assert (by[200], by[201], by[202], by[None]) == ("", "", "a", "deep")
+    salted = html_text.extracted(spark.read.parquet(f"{d}/pages.parquet"), most=0).collect()
+    assert sorted((str(r["page_id"]), r["text"]) for r in salted) == sorted((str(r["page_id"]), r["text"]) for r in got)
 
 
 # op9
