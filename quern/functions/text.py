@@ -156,3 +156,33 @@ def muslim_citation(running: Column, cited: Column) -> Column:
     """struct<number, intro>: the cited number's whole part; without one, small running numbers are the introduction."""
     number = F.coalesce(F.floor(cited.try_cast("decimal(12,2)")).cast("long"), running.cast("long"))
     return F.struct(number.alias("number"), (cited.isNull() & (running <= 92)).alias("intro"))
+
+
+def skeleton(c: Column) -> Column:
+    """Letters and blanks only, hamza and alef forms as one: what a comparison of two editions looks at."""
+    letters = F.translate(visible(F.coalesce(c, F.lit(""))), "آأإٱٲٳٵؤئء", "اااااااوي")
+    return squeeze(F.regexp_replace(letters, r"(?U)[^\p{L}\s]", ""))
+
+
+def short_name(c: Column, prefixes: list[str]) -> Column:
+    """A name without the first of the prefixes that it starts with."""
+    return F.regexp_replace(c, "^(?:" + "|".join(prefixes) + r")\s+", "")
+
+
+def filled(template: str, **values: Column) -> Column:
+    """The template with {name} replaced by each column, null as empty."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return out
+
+
+def message(verdict: Column, specific: Column, texts: dict[str, str], hint: str, below: float = 0.35) -> Column:
+    """The text of a verdict, any other one's under "else"; no_match of a vague request gets the hint behind it."""
+    own = F.try_element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), verdict)
+    return F.concat(F.coalesce(own, F.lit(texts.get("else", ""))), F.when((verdict == "no_match") & (specific < below), F.lit(" " + hint)).otherwise(""))
+
+
+def percent(p: Column) -> Column:
+    """A share as whole per cent between 0 and 100."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.round(p * 100))).cast("int")

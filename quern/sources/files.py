@@ -76,6 +76,31 @@ def split_with_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def write_in_parts(df: DataFrame, path: str, rows: int) -> DataFrame:
+    """JSON lines in files of at most `rows` rows; their manifest (file, bytes, sha256)."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows).json(path)
+    return split_with_manifest(df.sparkSession, path).where(F.col("file").startswith("part-"))
+
+
+def changed_parts(manifest: DataFrame, path: str) -> DataFrame:
+    """Files of the manifest that are gone or different under `path`; empty if all is as it was."""
+    now = split_with_manifest(manifest.sparkSession, path).select("file", F.col("sha256").alias("_now"))
+    return manifest.join(now, "file", "left").where(~F.col("sha256").eqNullSafe(F.col("_now"))).select("file")
+
+
+def cached_answers(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """query, answer of the cache's rows of this version; of several, the last written. Other versions are as good as gone."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "query string, answer string")
+    rows = spark.read.schema("version string, query string, answer string, at double").parquet(path).where(F.col("version") == version)
+    return first_seen(rows, "query", [F.col("at").desc()]).select("query", "answer")
+
+
+def keep_answers(answers: DataFrame, path: str, version: str) -> None:
+    """Appends (query, answer) to the cache."""
+    answers.select(F.lit(version).alias("version"), "query", "answer", F.unix_micros(F.current_timestamp()).cast("double").alias("at")).write.mode("append").parquet(path)
+
+
 def markdown(df: DataFrame, title: str, rows: int = 200) -> str:
     """A report table as Markdown; reports are aggregates of a few rows."""
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import grades, parse, text, vectors
-from quern.operators import answers, corpus, decision, dedup, fusion, lexical, lookup, tables
-from quern.sources import files
+from quern.operators import answers, corpus, decision, dedup, encode, fusion, lexical, lookup, tables
+from quern.sources import fetch, files
 from quern.streaming import events
 
 
@@ -254,3 +254,66 @@ def test_limiters(spark):
     assert got == want and not got[30] and got[34]
     waits = [r["wait"] for r in events.token_bucket(df.where("event_id < 5"), "value", 10.0, 60.0).orderBy("event_id").collect()]
     assert waits == pytest.approx([0.0, 0.0, 1.0, 3.0, 5.0])
+
+
+def test_fetch(tmp_path):
+    asked = []
+
+    def read(url):
+        asked.append(url)
+        if url.startswith("m://2"):
+            return b"x" * 2000
+        raise OSError("down")
+
+    mirrors = {"a://": ["m://1/", "m://2/"]}
+    to = str(tmp_path / "d" / "f.json")
+    assert fetch.fetched("a://x", to, mirrors=mirrors, read=read, pause=0) == to and asked == ["a://x", "m://1/x", "m://2/x"]
+    assert fetch.fetched("a://x", to, read=read, pause=0) == to and len(asked) == 3
+    assert fetch.fetched("b://x", str(tmp_path / "g"), required=False, read=read, pause=0) is None
+    with pytest.raises(RuntimeError):
+        fetch.fetched("b://x", str(tmp_path / "g"), read=read, pause=0)
+
+
+def test_encode(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "en", "red fish"), ("b", "en", "red fish red"), ("c", "fr", "ciel"), ("d", "fr", " ")], "id string, lang string, text string")
+    path = str(tmp_path / "emb")
+    encode.resumed(rows.where("lang = 'en'"), encode.hashing_encoder(32), path)
+    before = spark.read.parquet(path).count()
+    encode.resumed(rows, encode.hashing_encoder(32), path)
+    got = {r["id"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert before == 2 and set(got) == {"a", "b", "c"} and all(sum(x * x for x in v) == pytest.approx(1) for v in got.values())
+    error = encode.half_error(spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3, 0.7])], "doc_id long, v array<float>"))
+    assert 0 < error < 1e-3
+
+
+def test_swap(spark):
+    rows = spark.createDataFrame([(1, 10, 1, None), (1, 11, 1, 10), (1, 12, 1, 10), (1, 20, 2, None), (1, 21, 2, 20)], "query_id long, doc_id long, kept_rank int, variant_of long")
+    places = spark.createDataFrame([(10, 2, 1), (11, 1, 5), (12, 0, 9), (20, 1, 7), (21, 1, 2)], "doc_id long, place int, number int")
+    got = {r["kept_rank"]: (r["doc_id"], r["variants"]) for r in dedup.swapped(rows, places).collect()}
+    assert got == {1: (12, [10, 11]), 2: (20, [21])}
+
+
+def test_parts_and_cache(spark, tmp_path):
+    manifest = files.write_in_parts(spark.range(100).coalesce(1), str(tmp_path / "p"), 30)
+    rows = manifest.collect()
+    kept = spark.createDataFrame(rows, manifest.schema)
+    assert len(rows) == 4 and files.changed_parts(kept, str(tmp_path / "p")).count() == 0
+    with open(tmp_path / "p" / rows[0]["file"], "a") as f:
+        f.write("{}")
+    for crc in (tmp_path / "p").glob(".*.crc"):
+        crc.unlink()
+    assert [r["file"] for r in files.changed_parts(kept, str(tmp_path / "p")).collect()] == [rows[0]["file"]]
+    cache = str(tmp_path / "cache")
+    assert files.cached_answers(spark, cache, "1").count() == 0
+    for answer in ("old", "new"):
+        files.keep_answers(spark.createDataFrame([("q", answer)], "query string, answer string"), cache, "1")
+    assert [tuple(r) for r in files.cached_answers(spark, cache, "1").collect()] == [("q", "new")] and files.cached_answers(spark, cache, "2").count() == 0
+
+
+def test_more_small_functions(spark):
+    assert values(spark, text.skeleton(F.col("x")), ["ٱلۡحَمۡدُ، (أول)", None]) == ["الحمد اول", ""]
+    assert values(spark, text.short_name(F.col("x"), ["سنن", "صحيح"]), ["صحيح مسلم", "موطأ"]) == ["مسلم", "موطأ"]
+    assert values(spark, text.filled("a {k}: {t}", k=F.col("x"), t=F.lit("z")), ["b", None]) == ["a b: z", "a : z"]
+    assert values(spark, text.percent(F.col("x")), [0.456, 1.2, -1.0], "x double") == [46, 100, 0]
+    texts = {"no_match": "none", "tentative": "maybe", "else": "found"}
+    assert values(spark, text.message(F.col("v"), F.col("s"), texts, "say more"), [("no_match", 0.1), ("no_match", 0.5), ("tentative", 0.1), ("confident", 0.9)], "v string, s double") == ["none say more", "none", "maybe", "found"]
