@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import encoded, partitions, small_batches, state, written
 
 CHAIN = 3
+MOST_RANGES = 4096  # of doc_id; a range of any size is streamed, so this bounds the plan, not the rows
 #: Frequent function words of English, French, German and Spanish.
 ANCHORS = frozenset(
     "the of and a to in is that for it as was with be by on not are from or an this which at "
@@ -102,7 +103,7 @@ def with_next(docs: DataFrame, consume, schema: str) -> DataFrame:
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    count = max(8, 2 * partitions(spark))
+    count = min(max(8, 2 * partitions(spark)), MOST_RANGES)
     lowest = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     found = rows.where("doc_id is not null").approxQuantile("doc_id", [k / count for k in range(1, count)], 0.2 / count)
     cuts = sorted({int(x) for x in found})
@@ -121,10 +122,9 @@ def with_next(docs: DataFrame, consume, schema: str) -> DataFrame:
         return rows.mapInPandas(lambda batches: consume(iter(())), schema)
     order = sorted((r["range"], r["low"]) for r in ranges)
     heads = {low: order[k - 1][0] if k else order[-1][0] for k, (_, low) in enumerate(order)}
-    starts = rows.where(lowest.isin(list(heads)))
-    firsts = starts.groupBy(lowest.alias("low")).agg(F.min("text").alias("text"))
-    to = F.create_map(*[F.lit(x) for pair in heads.items() for x in pair])[F.col("low")]
-    tails = firsts.select(F.lit(None).cast("long").alias("doc_id"), "text", to.cast("int").alias("range"), F.lit(1).alias("tail"))
+    sent = spark.createDataFrame(list(heads.items()), "low long, to int")
+    firsts = rows.select(lowest.alias("low"), "text").join(F.broadcast(sent), "low").groupBy("low", "to").agg(F.min("text").alias("text"))
+    tails = firsts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("range"), F.lit(1).alias("tail"))
     dealt = rows.select("doc_id", "text", place.cast("int").alias("range"), F.lit(0).alias("tail")).unionByName(tails)
     dealt = dealt.repartitionByRange(len(order), "range").sortWithinPartitions("range", "tail", "doc_id", "text")
 
