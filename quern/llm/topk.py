@@ -1,7 +1,7 @@
 """Exact top-k search by block-at-a-time pruning.
 
-Vectors become whole numbers, floor(64 * x). Documents are dealt into groups by ranges of rank of vec_id, a group into
-blocks of `BLOCK` vectors; a block keeps the maximum and minimum of each component (its "terms") and its vectors as a
+Vectors become whole numbers, floor(64 * x). Documents are dealt into groups by a hash of vec_id, so all are of about one
+size, and a group, in the order of vec_id, into blocks of `BLOCK` vectors; a block keeps the maximum and minimum of each component (its "terms") and its vectors as a
 forward index. For a query, the sum over components of what the block can contribute at most bounds all its scores;
 blocks are visited by falling bound, and scored through their forward index until the bound of the next block is
 below the k-th score found so far. Queries meet document groups block by block (at most `QUERIES` by `GROUP` vectors
@@ -91,17 +91,11 @@ def search(rows: DataFrame, is_query: Column, k: int = K, group: int = GROUP, qu
     good = written(usable(rows).select("vec_id", whole(F.col("embedding")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "vectors")
     n, nq, width = good.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("v"))).first()
     groups, blocks = max(1, -(-n // group)), max(1, -(-nq // queries))
-    cuts = sorted({int(x) for x in good.approxQuantile("vec_id", [i / groups for i in range(1, groups)], 0.1 / groups)}) if groups > 1 else []
-    held = good.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(held.value, ids.to_numpy(np.int64), "left").astype("int32"))
-
-    every = F.sequence(F.lit(0), F.lit(len(cuts)))
+    every = F.sequence(F.lit(0), F.lit(groups - 1))
+    group_of = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups)).cast("int")
     query_block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     asked = good.where("q").select("vec_id", "v", F.lit(True).alias("q"), query_block.alias("qb"), F.explode(every).alias("cb"))
-    given = good.select("vec_id", "v", F.lit(False).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), range_of("vec_id").alias("cb"))
+    given = good.select("vec_id", "v", F.lit(False).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), group_of.alias("cb"))
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         mask = pdf["q"].to_numpy(bool)
