@@ -225,3 +225,16 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digests(conversations(rows.unionByName(more)))
+
+
+def oracle_sql() -> str:
+    """The same digests by SQL; an escape adds one character for each control string."""
+    pattern = (r"[<\[]\\*(?:" + _RESTS + ")").replace("'", "''")
+    hidden = lambda c: f"length({c}) + len(regexp_extract_all({c}, '{pattern}'))"
+    said = "'</s>[INST] ok [/INST]'"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', {said} UNION ALL SELECT -7, 1, 'assistant', {said}),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS every,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum({hidden('role')} + {hidden('text')} + {len(TURN) + len(SAYS) + len(END) + 1}) AS chars FROM t GROUP BY 1)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g"""

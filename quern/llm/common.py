@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
 import types
@@ -37,16 +38,34 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quern_path = path
+    state().setdefault("tables", set()).add(path)
+    if "jvm" not in state():
+        atexit.register(_clean)
+    state()["jvm"] = (df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration())
     return out
 
 
+def _clean() -> None:
+    """Deletes at the driver's end what written() left: no DataFrame that reads it outlives the driver."""
+    for path in list(state().get("tables", ())):
+        try:
+            _delete(path)
+        except Exception:  # the JVM may be gone already; then the folder's owner has to clean it
+            return
+
+
+def _delete(path: str) -> None:
+    jvm, conf = state()["jvm"]
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+    state()["tables"].discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what written() wrote. Nothing may read it afterwards."""
     path = getattr(df, "_quern_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(path)
 
 
 class Scratch:

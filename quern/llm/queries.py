@@ -1,5 +1,6 @@
 """Registered queries of this subpackage."""
 
+from quern.llm import chat, near_dedup, topk
 from quern.llm.chat import op6_chat
 from quern.llm.html_text import op8_html
 from quern.llm.language import op3_language
@@ -15,4 +16,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_url_filter, op2_spotsigs, op3_language, op4_near_dedup, op5_topk, op6_chat, op7_quality, op8_html, op9_mixing, op10_best_fit_packing)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_near_dedup": near_dedup.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op6_chat": chat.oracle_sql()}
