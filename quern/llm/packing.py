@@ -104,7 +104,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+def fewest(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Best-two-fit bins, or the greedy ones without replacements where those are fewer."""
+    return min((patterns(counts, capacity, swap) for swap in (True, False)), key=lambda bins: sum(times for _, times in bins))
+
+
+def patterns(counts: dict[int, int], capacity: int = CAPACITY, swap: bool = True) -> list[tuple[tuple[int, ...], int]]:
     """Bins as (piece lengths, how many such bins), from how many pieces there are of each length."""
     left = {n: c for n, c in counts.items() if c > 0}
     lengths = sorted(left)
@@ -123,7 +128,7 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
                 own[n] = own.get(n, 0) + k
                 gap -= k * n
             at -= 1
-        if gap and len(own) > 1 or gap and sum(own.values()) > 1:
+        if swap and gap and sum(own.values()) > 1:
             small = min(own)
             room, best = gap + small, (small, 0, 0)
             hi = bisect_right(lengths, room) - 1
@@ -174,7 +179,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     spark = cut.sparkSession
     counted = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    held = spark.sparkContext.broadcast(places(patterns({r["length"]: r["n"] for r in counted.collect()}, capacity)))
+    held = spark.sparkContext.broadcast(places(fewest({r["length"]: r["n"] for r in counted.collect()}, capacity)))
     names = [*cut.columns, "sequence_id", "offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
