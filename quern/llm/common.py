@@ -106,6 +106,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Recent(dict):
+    """What `make` gave for the keys asked for lately: two generations of at most `size` keys each, so memory is bounded and
+    what is asked for often is never made twice in a row."""
+
+    def __init__(self, make, size: int) -> None:
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, on uint64."""
     x = x ^ (x >> np.uint64(30))
@@ -134,20 +152,22 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], n: str, rank: str,
     return own.join(starts, by).withColumn(rank, F.col("_start") + F.col("_own")).drop("_salt", "_start", "_own")
 
 
-def gram_counts(texts: list[bytes], size: int, orders: tuple[int, ...] = (1, 2, 3), seed: int = 1) -> np.ndarray:
+def gram_counts(texts: list[bytes], size: int, orders: tuple[int, ...] = (1, 2, 3), seed: int = 1, block: int = 1 << 20) -> np.ndarray:
     """Counts of byte n-grams of each text, hashed to `size` columns (a power of two). Runs of blanks count nothing."""
     out = np.zeros((len(texts), size), np.float32)
     shift = np.uint64(64 - size.bit_length() + 1)
     for row, text in enumerate(texts):
-        b = np.frombuffer(text, np.uint8).astype(np.uint64)
-        for order in orders:
-            if len(b) < order:
-                continue
-            code = b[: len(b) - order + 1] + np.uint64(1)
-            for k in range(1, order):
-                code = code * np.uint64(257) + b[k : len(b) - order + 1 + k] + np.uint64(1)
-            if order > 1:
-                code = code[~((b[: len(b) - order + 1] == 32) & (b[1 : len(b) - order + 2] == 32))]
-            h = (code * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order * seed)) * np.uint64(0xD6E8FEB86659FD93) >> shift
-            out[row] += np.bincount(h.astype(np.int64), minlength=size)
+        for start in range(0, len(text), block):  # very long texts in blocks that overlap by what an n-gram needs
+            b = np.frombuffer(text[start : start + block + max(orders) - 1], np.uint8).astype(np.uint64)
+            for order in orders:
+                n = min(len(b) - order + 1, block)
+                if n <= 0:
+                    continue
+                code = b[:n] + np.uint64(1)
+                for k in range(1, order):
+                    code = code * np.uint64(257) + b[k : n + k] + np.uint64(1)
+                if order > 1:
+                    code = code[~((b[:n] == 32) & (b[1 : n + 1] == 32))]
+                h = (code * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order * seed)) * np.uint64(0xD6E8FEB86659FD93) >> shift
+                out[row] += np.bincount(h.astype(np.int64), minlength=size)
     return out

@@ -46,3 +46,13 @@ def test_if_small(spark):
 def test_gram_counts():
     x = common.gram_counts([b"ab", b"", b"a  b"], 64, (1, 2))
     assert x.sum(1).tolist() == [3, 0, 6]
+    text = bytes(range(97, 123)) * 7 + b"   end"
+    assert (common.gram_counts([text], 256) == common.gram_counts([text], 256, block=5)).all()
+
+
+def test_recent_keeps_what_is_asked_for_often():
+    made = []
+    cache = common.Recent(lambda k: made.append(k) or k * 2, 3)
+    for k in (1, 2, 3, 1, 4, 1, 5, 1, 6, 1):
+        assert cache[k] == k * 2
+    assert made.count(1) == 1 and len(cache) + len(cache.old) <= 6
