@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import ranked, small_batches, state, written
+from quern.llm.common import Recent, ranked, small_batches, state, written
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,13 +44,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-class _ChunkIds(dict):
+class _ChunkIds(Recent):
     """Ids of chunks as bytes. New plain words go straight to the tokenizer's model, byte by byte in its alphabet; others through all of it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__(self.chunk, 150_000)
         self.tokenizer = Tokenizer.from_file(path)
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         shown = {c.encode("utf-8"): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x800))}
@@ -67,11 +68,8 @@ class _ChunkIds(dict):
             ids.byteswap()
         return ids.tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > 600_000:
-            self.clear()
-        got = self[chunk] = self.one(chunk) if _PLAIN.fullmatch(chunk) else self.ids(chunk)
-        return got
+    def chunk(self, chunk: str) -> bytes:
+        return self.one(chunk) if _PLAIN.fullmatch(chunk) else self.ids(chunk)
 
 
 def encode(text: str, path: str) -> bytes:
