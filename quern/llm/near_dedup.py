@@ -28,18 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, discard, encoded, mix, small_batches, state, written
+from quern.llm.common import Recent, Scratch, discard, encoded, mix, small_batches, state, written
 
 WORDS, THRESHOLD = 5, 85  # per cent
 BANDS, ROWS = 26, 5  # a pair at 0.85 misses all bands with probability (1 - 0.85 ** 5) ** 26 < 4e-7
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:  # bounds a worker's memory
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
+def _word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -47,7 +43,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     tokens = encoded(text).lower().split() if text else []  # bytes: exactly these white spaces, exactly A-Z
     if not tokens:
         return np.zeros(0, np.uint64)
-    cache = state().setdefault("word_hashes", _WordHashes())
+    cache = state().setdefault("word_hashes", Recent(_word_hash, 100_000))
     h = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
     if len(h) < words:
         h = np.concatenate([h, np.full(words - len(h), len(h), np.uint64)])  # the length keeps padded sequences apart
