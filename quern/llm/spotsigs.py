@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import encoded, partitions, small_batches, state, written
+from quern.llm.common import Recent, encoded, partitions, small_batches, state, written
 
 CHAIN = 3
 MOST_RANGES = 4096  # of doc_id; a range of any size is streamed, so this bounds the plan, not the rows
@@ -39,12 +39,8 @@ ANCHORS = frozenset(
 _WORD = re.compile(r"\w+")
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(encoded(word), digest_size=8).digest(), "little")
-        return h
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(encoded(word), digest_size=8).digest(), "little")
 
 
 def signatures(text: str, chain: int = CHAIN, anchors: frozenset[str] = ANCHORS) -> np.ndarray:
@@ -52,7 +48,7 @@ def signatures(text: str, chain: int = CHAIN, anchors: frozenset[str] = ANCHORS)
     words = _WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint32)
-    cache = state().setdefault("spot_hashes", _Hashes())
+    cache = state().setdefault("spot_hashes", Recent(_word_hash, 150_000))
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     is_anchor = np.fromiter(map(anchors.__contains__, words), bool, len(words))
     content = h[~is_anchor]
