@@ -51,18 +51,21 @@ class _ChunkIds(Recent):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        super().__init__(self.chunk, 150_000)
+        super().__init__(self.chunk, 300_000)
         self.tokenizer = Tokenizer.from_file(path)
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         shown = {c.encode("utf-8"): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x800))}
         self.letters = {b: s for text, out in shown.items() for b, s in zip(text, out)}
+        self.blank = self.letters[ord(" ")]
         self.model = self.tokenizer.model.tokenize
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def one(self, piece: str) -> bytes:
-        tokens = self.model(piece.encode().decode("latin-1").translate(self.letters))
+        # in the model's alphabet, ASCII signs and letters stand for themselves
+        shown = piece.replace(" ", self.blank) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        tokens = self.model(shown)
         ids = array("I", [t.id for t in tokens])
         if sys.byteorder == "big":
             ids.byteswap()
