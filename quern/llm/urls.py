@@ -6,10 +6,12 @@ characters of log p(rejected) - log p(accepted); it is blocked from a threshold
 models have not seen.
 
 Training URLs: those whose host has a label that names rejected content (`REJECTED`, fixed words) are the rejected
-ones, all others accepted. Every host counts once for the models whatever its number of pages, and the words that
-chose it are counted in their context like all others, so that the models also know their likes in other hosts.
-Counts are taken over all URLs in Spark and kept in hashed tables of a fixed size (ORDERS * TABLE numbers a model),
-which is what the broadcast is bounded by.
+ones, all others accepted. Every distinct URL of every host is counted; one of a host with n of them weighs
+1 / sqrt(n), so that hot hosts are damped and none is dropped. The words that chose a host are counted in their
+context like all others, so that the models also know their likes in other hosts. Counts are kept exactly, without
+hashing: a Spark table of all distinct runs of ORDERS bytes, from which those of shorter contexts are sums. So each
+run has one log ratio. Up to `BROADCAST_GRAMS` runs are broadcast with it; beyond, the ratios are joins of that
+table, and URLs meet them by a shuffled, salted join.
 
 Defined results: null URLs and URLs without `://` have empty host and path, no rule, score 0 and are allowed, as
 nothing speaks against them; the longest fitting rule decides before the models; repeated rows get a row each; a
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import mix
+from quern.llm.common import Scratch, encoded, if_small, mix, written
 
 #: Rules of the query: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -35,7 +37,10 @@ REJECTED = (
     "lottery", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx",
 )
 ORDERS, TABLE, STRENGTH = 6, 1 << 15, 2.0
-FALSE_BLOCKS = 0.005  # share of unseen accepted hosts that calibration may block
+FALSE_BLOCKS = 0.005  # share of unseen accepted URLs, by weight, that calibration may block
+BROADCAST_GRAMS, BROADCAST_HOSTS, SALTS, BLOCK = 500_000, 100_000, 16, 1000
+ONE, BIN = 1 << 16, 1e-3  # a weight of 1 (weights are whole numbers, so sums don't depend on their order); width of a score's bin
+MODELS = ("fit", "all")  # without the hosts of lot 0; of all hosts
 
 
 def host_of(url: Column) -> Column:
@@ -73,7 +78,8 @@ def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Markov:
-    """Counts of (context, character) and of contexts, for all orders up to ORDERS - 1."""
+    """Counts of (context, character) and of contexts, for all orders up to ORDERS - 1, in hashed arrays: the model on a few
+    texts in memory. The query doesn't use it; _ratio() is the same on exact counts."""
 
     def __init__(self, seen: np.ndarray, context: np.ndarray):
         self.seen, self.context = seen, context
@@ -96,78 +102,164 @@ def _lot(host: str) -> int:
 
 
 def labelled(pages: DataFrame) -> DataFrame:
-    """host, rejected, text: one URL of each host (its least) for training."""
-    url, host = F.col("url"), host_of(F.col("url"))
-    hosts = pages.select(url, host.alias("host")).where("host <> ''").groupBy("host").agg(F.min("url").alias("url"))
+    """url, host, rejected, weight of every distinct URL with ://; those without a host weigh 0."""
+    urls = pages.select("url").where(F.col("url").contains("://")).distinct().withColumn("host", host_of(F.col("url")))
+    hosts = urls.groupBy("host").agg(F.greatest(F.lit(1), F.round(ONE / F.sqrt(F.count(F.lit(1))))).cast("long").alias("weight"))
+    hosts = hosts.withColumn("weight", F.when(F.col("host") == "", 0).otherwise(F.col("weight")))
+    small = if_small(hosts, BROADCAST_HOSTS)
     words = F.split("host", r"[.\-_0-9]+")
-    return hosts.withColumn("rejected", F.arrays_overlap(words, F.array(*map(F.lit, REJECTED))))
+    return urls.join(hosts.hint("merge") if small is None else small, "host").select("url", "host", F.arrays_overlap(words, F.array(*map(F.lit, REJECTED))).alias("rejected"), "weight")
 
 
-def counts(train: DataFrame, part: str) -> list[Markov]:
-    """Models of accepted and of rejected URLs. `part`: fit (hosts of lots 1 to 4) or all."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((4, ORDERS * TABLE))
-        for pdf in batches:
-            for host, url, rejected in zip(pdf["host"], pdf["url"], pdf["rejected"]):
-                if part == "all" or _lot(host):
-                    seen, context = _codes(_text(url))
-                    np.add.at(total[2 * int(rejected)], seen.ravel(), 1)
-                    np.add.at(total[2 * int(rejected) + 1], context.ravel(), 1)
-        at = np.flatnonzero(total.any(0))
-        yield pd.DataFrame({"at": at, **{f"c{k}": total[k][at] for k in range(4)}})
-
-    summed = train.mapInPandas(run, "at long, c0 double, c1 double, c2 double, c3 double").groupBy("at").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)])
-    total = np.zeros((4, ORDERS * TABLE), np.float32)
-    for r in summed.toLocalIterator():  # ORDERS * TABLE rows at most
-        total[:, r["at"]] = r["c0"], r["c1"], r["c2"], r["c3"]
-    return [Markov(total[0], total[1]), Markov(total[2], total[3])]
+def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ORDERS bytes up to each character, as one number with the character lowest, URL after URL; how many each URL has."""
+    texts = [b"\x02" * (ORDERS - 1) + encoded(_text(u)) + b"\x03" for u in urls]
+    b = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    code = np.zeros(max(0, len(b) - ORDERS + 1), np.int64)
+    for k in range(ORDERS):
+        code = code << 8 | b[k : len(code) + k]
+    own = np.ones(len(b), bool)
+    own[(np.cumsum(sizes)[:, None] - 1 - np.arange(ORDERS - 1)).ravel()] = False  # these would run into the next URL
+    return code[own[: len(code)]], sizes - (ORDERS - 1)
 
 
-def ratio(models: list[Markov], url: str) -> float:
-    codes = _codes(_text(url))
-    return float((models[1].log_probabilities(codes) - models[0].log_probabilities(codes)).mean())
+def counts(train: DataFrame) -> DataFrame:
+    """gram and, for each of MODELS, the weight of accepted (a_) and of rejected (r_) URLs that hold it. All grams of all URLs."""
 
-
-def fit(pages: DataFrame) -> tuple[list[Markov], float]:
-    """Models of all hosts, and the threshold: calibrated with models that haven't seen a fifth of the hosts, on that fifth.
-
-    The threshold is the least that blocks at most FALSE_BLOCKS of the unseen accepted hosts, and no less than the
-    middle between the means of the two kinds.
-    """
-    spark = pages.sparkSession
-    train = labelled(pages)
-    held = spark.sparkContext.broadcast(counts(train, "fit"))
-
-    def unseen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[[_lot(h) == 0 for h in pdf["host"]]]
-            yield pd.DataFrame({"rejected": pdf["rejected"].astype(bool), "score": [ratio(held.value, u) for u in pdf["url"]]}).astype({"score": float})
-
-    got = train.mapInPandas(unseen, "rejected boolean, score double").groupBy("rejected").agg(F.avg("score").alias("mean"), F.percentile_approx("score", 1 - FALSE_BLOCKS, 10000).alias("high"))
-    by = {r["rejected"]: r for r in got.collect()}
-    middle = (by[False]["mean"] + by[True]["mean"]) / 2 if len(by) == 2 else 0.0
-    threshold = max(middle, by[False]["high"] + 1e-9) if False in by else middle
-    if len(by) == 2 and threshold > by[True]["mean"]:
+            for start in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[start : start + BLOCK]
+                code, sizes = grams(list(part["url"]))
+                found, at = np.unique(code, return_inverse=True)
+                weight, rejected = part["weight"].to_numpy(), part["rejected"].to_numpy(bool)
+                seen = np.array([_lot(h) != 0 for h in part["host"]], bool)
+                out = {"gram": found}
+                for name, model in zip(MODELS, (seen, np.ones(len(part), bool))):
+                    for kind, of in (("a", ~rejected), ("r", rejected)):
+                        out[f"{kind}_{name}"] = np.bincount(at, np.repeat(weight * (model & of), sizes), len(found)).astype(np.int64)
+                yield pd.DataFrame(out)
+
+    names = [f"{kind}_{name}" for name in MODELS for kind in "ar"]
+    rows = train.mapInPandas(run, "gram long, " + ", ".join(f"{n} long" for n in names))
+    return rows.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _ratio(gram: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
+    """log p(rejected) - log p(accepted) of each gram's last byte after the others; all grams of the models are given."""
+    p = [np.full(len(gram), 1 / 256), np.full(len(gram), 1 / 256)]
+    for order in range(ORDERS):  # the longer the context, the later it has its say
+        key = gram & ((1 << 8 * (order + 1)) - 1)
+        seen, context = np.unique(key, return_inverse=True)[1], np.unique(key >> 8, return_inverse=True)[1]
+        for k, n in enumerate((accepted, rejected)):
+            p[k] = (np.bincount(seen, n)[seen] / ONE + STRENGTH * p[k]) / (np.bincount(context, n)[context] / ONE + STRENGTH)
+    return np.log(p[1]) - np.log(p[0])
+
+
+def _joined_ratios(counted: DataFrame) -> DataFrame:
+    """gram, fit, all: the same in Spark, for tables of any size."""
+    names = [c for c in counted.columns if c != "gram"]
+    rows = counted.select("gram", *[F.lit(1 / 256).alias(n) for n in names])
+    for order in range(ORDERS):
+        key = F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1)
+        how = "broadcast" if order < 2 else "merge"  # 65,536 rows at most
+        seen = counted.groupBy(key.alias("key")).agg(*[F.sum(n).alias(f"seen_{n}") for n in names])
+        context = counted.groupBy(F.shiftright(key, 8).alias("before")).agg(*[F.sum(n).alias(f"context_{n}") for n in names])
+        rows = rows.withColumn("key", key).join(seen.hint(how), "key").withColumn("before", F.shiftright("key", 8)).join(context.hint(how), "before")
+        rows = rows.select("gram", *[((F.col(f"seen_{n}") / ONE + STRENGTH * F.col(n)) / (F.col(f"context_{n}") / ONE + STRENGTH)).alias(n) for n in names])
+    return rows.select("gram", *[(F.log(f"r_{name}") - F.log(f"a_{name}")).alias(name) for name in MODELS])
+
+
+class Ratios:
+    """The log ratios of all grams, broadcast if they are few."""
+
+    def __init__(self, counted: DataFrame, most: int):
+        self.held = self.table = None
+        if counted.limit(most + 1).count() <= most:
+            got = counted.orderBy("gram").toArrow()
+            column = {n: got[n].to_numpy() for n in got.column_names}
+            values = {name: _ratio(column["gram"], column[f"a_{name}"], column[f"r_{name}"]) for name in MODELS}
+            self.held = counted.sparkSession.sparkContext.broadcast((column["gram"], values))
+        else:
+            self.table = written(_joined_ratios(counted), "ratios")
+
+    def scored(self, rows: DataFrame, name: str) -> DataFrame:
+        """`rows` (url, ...) with `score`: the mean ratio over the characters; 0 without ://."""
+        if self.held:
+            held = self.held
+
+            @F.pandas_udf("double")
+            def score(urls: pd.Series) -> pd.Series:
+                out, known, ratio = np.zeros(len(urls)), held.value[0], held.value[1][name]
+                at = np.array([k for k, u in enumerate(urls) if u and "://" in u], np.int64)
+                for start in range(0, len(at), BLOCK):
+                    part = at[start : start + BLOCK]
+                    code, sizes = grams(list(urls.iloc[part]))
+                    out[part] = np.add.reduceat(ratio[np.searchsorted(known, code)], np.cumsum(sizes) - sizes) / sizes
+                return pd.Series(out)
+
+            return rows.withColumn("score", score("url"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for start in range(0, len(pdf), BLOCK):
+                    part = pdf.iloc[start : start + BLOCK]
+                    code, sizes = grams(list(part["url"]))
+                    yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), sizes), "salt": np.repeat(part["salt"].to_numpy(), sizes), "gram": code})
+
+        salt = F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")
+        ids = rows.select("url").where(F.col("url").contains("://")).distinct().select("url", F.md5("url").alias("id"), salt.alias("salt"))
+        each = ids.mapInPandas(run, "id string, salt int, gram long")
+        table = self.table.select("gram", F.col(name).alias("ratio"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        scores = each.join(table.hint("merge"), ["gram", "salt"]).groupBy("id").agg(F.avg("ratio").alias("score"))
+        return rows.withColumn("id", F.md5("url")).join(scores.hint("merge"), "id", "left").drop("id").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def fit(pages: DataFrame, most: int = BROADCAST_GRAMS) -> tuple[Ratios | None, float]:
+    """Ratios of all hosts (None if a kind is missing), and the threshold: calibrated with models that haven't seen a fifth of
+    the hosts, on all URLs of that fifth.
+
+    The threshold is the least, in steps of BIN, that blocks at most FALSE_BLOCKS of the weight of the unseen accepted
+    URLs, and no less than the middle between the means of the two kinds.
+    """
+    scratch = Scratch()
+    train = scratch.written(labelled(pages), "urls")
+    counted = scratch.written(counts(train), "grams")
+    kinds = counted.agg(F.sum("a_all"), F.sum("r_all")).first()
+    if not kinds[0] or not kinds[1]:
+        scratch.discard()
+        return None, 0.0
+    ratios = Ratios(counted, most)
+    unseen = train.where((F.pmod(F.crc32("host"), F.lit(5)) == 0) & (F.col("weight") > 0))
+    bins = ratios.scored(unseen, "fit").groupBy("rejected", F.floor(F.col("score") / BIN).alias("bin"))
+    got = bins.agg(F.sum("weight").alias("weight"), F.sum(F.col("score") * F.col("weight")).alias("sum")).collect()  # as many as scores have bins
+    scratch.discard()
+    weight = {kind: sum(r["weight"] for r in got if r["rejected"] == kind) for kind in (False, True)}
+    mean = {kind: sum(sorted(r["sum"] for r in got if r["rejected"] == kind)) / w for kind, w in weight.items() if w}
+    middle = (mean[False] + mean[True]) / 2 if len(mean) == 2 else 0.0
+    threshold = middle
+    if False in mean:
+        above = 0
+        for r in sorted((r for r in got if not r["rejected"]), key=lambda r: -r["bin"]):
+            above += r["weight"]
+            if above > FALSE_BLOCKS * weight[False]:
+                threshold = max(middle, (r["bin"] + 1) * BIN)
+                break
+    if len(mean) == 2 and threshold > mean[True]:
         threshold = middle
-    return counts(train, "all"), float(threshold)
+    return ratios, float(threshold)
 
 
-def judged(pages: DataFrame, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, most: int = BROADCAST_GRAMS) -> DataFrame:
     """page_id, host, path, rule, verdict, score, threshold for every row of `pages` (page_id, url)."""
-    models, threshold = fit(pages)
-    if not models[0].context.any() or not models[1].context.any():
-        models = None
-    held = pages.sparkSession.sparkContext.broadcast(models)
-
-    @F.pandas_udf("double")
-    def score(urls: pd.Series) -> pd.Series:
-        return pd.Series([ratio(held.value, u) if held.value and u and "://" in u else 0.0 for u in urls], dtype=float)
-
+    ratios, threshold = fit(pages, most)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     text, verdict = rule_of(host, path, rules)
-    blocked = (F.col("score") >= threshold) & (F.col("host") != "") if models else F.lit(False)
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), text.alias("rule"), verdict.alias("by_rule"), score("url").alias("score"))
+    rows = pages.select("page_id", "url")
+    rows = ratios.scored(rows, "all") if ratios else rows.withColumn("score", F.lit(0.0))
+    rows = rows.select("page_id", host.alias("host"), path.alias("path"), text.alias("rule"), verdict.alias("by_rule"), "score")
+    blocked = (F.col("score") >= threshold) & (F.col("host") != "") if ratios else F.lit(False)
     return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "score", F.lit(threshold).alias("threshold"))
 
 

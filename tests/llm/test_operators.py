@@ -108,6 +108,25 @@ def test_urls(spark, tmp_path):
             assert got[i]["verdict"] == "allow", u
 
 
+def test_every_url_of_every_host_is_counted(spark):
+    hot = [(i, f"http://hot.example.org/page{i}") for i in range(50)]
+    pages = spark.createDataFrame(hot + [(50, "http://casino.example.org/x"), (51, "http://a.example.org/y"), (52, "http:///none"), (53, hot[0][1]), (54, None)], "page_id long, url string")
+    train = {r["url"]: r for r in urls.labelled(pages).collect()}
+    assert set(train) == {u for _, u in hot} | {"http://casino.example.org/x", "http://a.example.org/y", "http:///none"}
+    assert {train[u]["weight"] for _, u in hot} == {round(urls.ONE / 50**0.5)} and train["http://a.example.org/y"]["weight"] == urls.ONE and train["http:///none"]["weight"] == 0
+    want = Counter()
+    for u, r in train.items():
+        b = b"\2" * 5 + u.split("://")[1].encode() + b"\3"
+        for k in range(len(b) - 5):
+            want[int.from_bytes(b[k : k + 6])] += 0 if r["rejected"] else r["weight"]
+    assert {r["gram"]: r["a_all"] for r in urls.counts(urls.labelled(pages)).collect()} == dict(want)
+    small, large = ({r["page_id"]: r for r in urls.judged(pages, most=most).collect()} for most in (10**6, 0))
+    assert small.keys() == large.keys() == set(range(55))
+    for i in small:
+        assert small[i]["verdict"] == large[i]["verdict"] and abs(small[i]["score"] - large[i]["score"]) < 1e-9
+    assert small[50]["score"] > 0 > small[0]["score"] and small[54]["score"] == 0
+
+
 def test_markov_probabilities_sum_to_one():
     seen, context = np.zeros(urls.ORDERS * urls.TABLE), np.zeros(urls.ORDERS * urls.TABLE)
     for text in ("abab", "abc"):
