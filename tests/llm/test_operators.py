@@ -538,6 +538,17 @@ def test_pipeline(spark, docs_dir):
     assert c.run(spark, docs_dir).count() == kept[5]
 
 
+def test_pipeline_drops_copies_from_a_similarity_of_80(spark):
+    import corpus_pipeline as c
+
+    text = [f"w{k}" for k in range(104)]  # 100 shingles
+    rows = [(0, " ".join(text)), (1, " ".join(text[:94] + [f"x{k}" for k in range(10)])), (2, " ".join(text[:92] + [f"y{k}" for k in range(12)]))]
+    assert [round(len(a & b) / len(a | b), 3) for a, b in ((set(near_dedup.shingles(rows[0][1])), set(near_dedup.shingles(r[1]))) for r in rows[1:])] == [0.818, 0.786]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in c.without_near_duplicates(spark, docs, "").collect()} == {0, 2}
+    assert all(r["kept"] for r in near_dedup.near_duplicates(docs).collect())
+
+
 def test_empty_pipeline(spark, empty_dir):
     import corpus_pipeline as c
 
