@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from quern.llm import language, mixing, near_dedup, packing, quality
 from quern.llm.common import ranked, written
 
-#: Language ID rejects documents of which it is less sure; the quality stage those that score less. Both are low, so that short
-#: clean documents stay.
-LEAST_SURE, LEAST_QUALITY = 0.3, 0.5
+#: Language ID rejects documents whose language is more likely wrong than right; the quality stage those that op7 predicts as 0.
+LEAST_SURE = 0.5
 #: Per cent. op4's 85 binds op4 alone; 26 bands of 5 rows miss a pair at 0.8 with probability (1 - 0.8 ** 5) ** 26 < 4e-5.
 NEAR = 80
 
@@ -31,7 +30,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select(*docs.columns, quality.judge(spark, model, LEAST_QUALITY)(F.col("text")).alias("_found"))
+    rows = docs.select(*docs.columns, quality.judge(spark, model)(F.col("text")).alias("_found"))
     return rows.where(F.col("_found.predicted") == 1).select(*docs.columns)
 
 

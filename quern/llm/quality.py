@@ -42,8 +42,8 @@ def terms(texts: list[str]) -> np.ndarray:
         words = b.split()
         n = max(1, len(words))
         pairs = len(set(zip(words, words[1:]))) / max(1, n - 1)
-        signs = sum(len(w) == 1 for w in words) / n
-        upper = sum(map(bytes.isupper, words)) / n
+        signs = sum(len(w) == 1 and not w.isalpha() for w in words) / n  # a letter alone (a, I, y) is a word
+        upper = sum(len(w) > 1 and w.isupper() for w in words) / n
         for k, value in enumerate((len(set(words)) / n ** 0.8, pairs, signs, upper)):
             extra[row, k * _BINS + min(_BINS - 1, int(value * _BINS))] = 1
     unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)

@@ -549,6 +549,20 @@ def test_pipeline_drops_copies_from_a_similarity_of_80(spark):
     assert all(r["kept"] for r in near_dedup.near_duplicates(docs).collect())
 
 
+def test_pipeline_filters_at_their_own_cuts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as c
+    from quern.llm import language, quality
+
+    docs = spark.createDataFrame([(0, "some text"), (1, "other")], "doc_id long, text string")
+    d = folder(spark, tmp_path, labels=([(100 + k, int(k < 300), 0) for k in range(500)], "doc_id long, quality int, toxic int"))
+    score = quality.predicted(docs, quality.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))).first()["score"]
+    assert 0.5 < score < quality.CUT and c.by_quality(spark, docs, d).count() == 0
+    unsure = language.Model(["x", "y", "z"], np.zeros((language.COLUMNS + 1, 3)), {k: [k] for k in "xyz"}, {})
+    monkeypatch.setattr(language, "fit", lambda docs: unsure)
+    assert c.by_language(spark, docs, d).count() == 0  # 1/3 each
+    assert (quality.terms(["Reon a he dnd I"])[0, -20:] == quality.terms(["Reon he dnd"])[0, -20:]).all()  # neither signs nor capitals
+
+
 def test_empty_pipeline(spark, empty_dir):
     import corpus_pipeline as c
 
