@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +35,12 @@ MIN_PAGES, MIN_SHARE = 5, 0.1
 BROADCAST_DIGESTS, SALTS = 400_000, 32
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|[\"'])*?)(/?)>", re.DOTALL)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-_RAW = frozenset("script style textarea title noscript iframe xmp template svg math noembed noframes".split())
+_RAW = frozenset("script style textarea title noscript iframe xmp template svg noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("nav header footer aside form button select option input dialog menu head canvas object applet audio video figcaption label fieldset map".split()) | _RAW
+_DROP = frozenset("nav header footer aside form button select option input dialog menu head fieldset".split()) | _RAW - {"xmp"}
 _BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre address "
-    "figure hr nav header footer aside form fieldset details summary center hgroup search menu dialog".split()
+    "figure figcaption xmp hr nav header footer aside form fieldset details summary center hgroup search menu dialog".split()
 )
 _CONTAINER = frozenset("div section aside ul ol dl table details figure center nav header footer form menu".split())
 _WORDS = frozenset(
@@ -89,6 +90,7 @@ def parse(text: str) -> Node:
     """Tree of a page. Texts are str kids, decoded; elements that are never main content hold their text for the hash only."""
     root = Node("html")
     stack, at, n = [root], 0, len(text)
+    held: Counter[str] = Counter()  # how many of each tag are open
     scan = _TOKEN.search
     while at < n:
         m = scan(text, at)
@@ -104,14 +106,14 @@ def parse(text: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            _close(stack, tag)
+            _close(stack, held, tag)
             continue
         if tag in ("html", "body") and len(stack) > 1 or tag == "html":
             continue
         if tag in _ENDS_P:
-            _end(stack, ("p",))
+            _end(stack, held, ("p",))
         if tag in _ENDS:
-            _end(stack, _ENDS[tag])
+            _end(stack, held, _ENDS[tag])
         words, off = _marks(m[3])
         node = Node("!" + tag if off and tag not in ("body", "article", "main") else tag, words)
         stack[-1].kids.append(node)
@@ -121,8 +123,7 @@ def parse(text: str) -> Node:
             at = end.end() if end else n
         elif tag not in _VOID and not (m[4] and tag in ("svg", "path")):
             stack.append(node)
-            if len(stack) > 400:
-                stack.pop()
+            held[tag] += 1
     return root
 
 
@@ -130,60 +131,77 @@ def _name(node: Node) -> str:
     return node.tag.lstrip("!")
 
 
-def _end(stack: list[Node], tags: tuple[str, ...]) -> None:
+def _cut(stack: list[Node], held: Counter[str], k: int) -> None:
+    for node in stack[k:]:
+        held[_name(node)] -= 1
+    del stack[k:]
+
+
+def _end(stack: list[Node], held: Counter[str], tags: tuple[str, ...]) -> None:
     """Closes the innermost open element of these tags, if no other scope lies between."""
+    if not any(held[tag] for tag in tags):
+        return
     for k in range(len(stack) - 1, 0, -1):
         if _name(stack[k]) in tags:
-            del stack[k:]
+            _cut(stack, held, k)
             return
         if _name(stack[k]) in _SCOPE:
             return
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: list[Node], held: Counter[str], tag: str) -> None:
+    if not held[tag]:
+        return
     inline = tag in _FORMAT
     for k in range(len(stack) - 1, 0, -1):
         own = _name(stack[k])
         if own == tag:
-            del stack[k:]
+            _cut(stack, held, k)
             return
         if inline and own in _BLOCK or tag == "p" and own in _SCOPE:
             return
 
 
-def hashed(node: Node, out: list[tuple[int, Node]], inside: bool = False) -> int:
-    """Digest of a subtree; gathers (digest, node) of all elements that may be template."""
-    inside = inside or node.tag in ("article", "main")
-    h = hashlib.blake2b(encoded(f"{node.tag}\0{node.marks}\0"), digest_size=8)
-    for kid in node.kids:
-        if isinstance(kid, str):
-            said = _WHITE.sub(" ", kid).strip()
-            if said:
-                h.update(b"t" + encoded(said))
-        else:
-            h.update(b"e" + hashed(kid, out, inside).to_bytes(8, "little", signed=True))
-    node.digest = int.from_bytes(h.digest(), "little", signed=True)
-    name = _name(node)
-    if name not in ("html", "body", "article", "main") and (name in _CONTAINER or not inside and name in _BLOCK):
-        out.append((node.digest, node))
-    return node.digest
+def hashed(root: Node, out: list[tuple[int, Node]]) -> int:
+    """Digest of a tree; gathers (digest, node) of all elements that may be template. Trees may be of any depth."""
+    order, todo = [], [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node.tag in ("article", "main")
+        order.append((node, inside))
+        todo += [(kid, inside) for kid in node.kids if not isinstance(kid, str)]
+    for node, inside in reversed(order):  # kids before their parents
+        h = hashlib.blake2b(encoded(f"{node.tag}\0{node.marks}\0"), digest_size=8)
+        for kid in node.kids:
+            if isinstance(kid, str):
+                said = _WHITE.sub(" ", kid).strip()
+                if said:
+                    h.update(b"t" + encoded(said))
+            else:
+                h.update(b"e" + kid.digest.to_bytes(8, "little", signed=True))
+        node.digest = int.from_bytes(h.digest(), "little", signed=True)
+        name = _name(node)
+        if name not in ("html", "body", "article", "main") and (name in _CONTAINER or not inside and name in _BLOCK):
+            out.append((node.digest, node))
+    return root.digest
 
 
 def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
     """Texts of the blocks of the main content, in page order; of all articles (else main, else body)."""
     found: list[Node] = []
 
-    def seek(node: Node, tag: str) -> None:
-        for kid in node.kids:
-            if not isinstance(kid, str):
-                if kid.tag == tag:
-                    found.append(kid)
-                elif kid.tag[0] != "!" and kid.tag not in _DROP and kid.digest not in template:
-                    seek(kid, tag)
+    def seek(tag: str) -> None:
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node.tag == tag:
+                found.append(node)
+            elif node is root or node.tag[0] != "!" and node.tag not in _DROP and node.digest not in template:
+                todo += [kid for kid in reversed(node.kids) if not isinstance(kid, str)]
 
-    seek(root, "article")
+    seek("article")
     if not found:
-        seek(root, "main")
+        seek("main")
     out: list[str] = []
     part: list[str] = []
 
@@ -193,21 +211,27 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
         if said:
             out.append(said)
 
-    def walk(node: Node) -> None:
-        own = node.tag in _BLOCK
-        if own:
+    def walk(top: Node) -> None:
+        todo = [(top, iter(top.kids))]
+        if top.tag in _BLOCK:
             flush()
-        for kid in node.kids:
-            if isinstance(kid, str):
+        while todo:
+            node, kids = todo[-1]
+            kid = next(kids, None)
+            if kid is None:
+                todo.pop()
+                if node.tag in _BLOCK:
+                    flush()
+            elif isinstance(kid, str):
                 part.append(kid)
             elif kid.tag == "br":
                 part.append(" ")
             elif kid.tag[0] != "!" and (kid.tag not in _DROP or kid.tag == "header" and node.tag == "article") and kid.digest not in template:
-                walk(kid)
+                if kid.tag in _BLOCK:
+                    flush()
+                todo.append((kid, iter(kid.kids)))
             elif _name(kid) in _BLOCK:
                 flush()
-        if own:
-            flush()
 
     for node in found or [root]:
         walk(node)

@@ -458,6 +458,19 @@ def test_mixing(spark, docs_dir):
     assert again == sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got)
 
 
+def test_captions_formulas_and_deep_parts_stay():
+    def said(page):
+        root = html_text.parse(page)
+        html_text.hashed(root, [])
+        return html_text.blocks(root)
+
+    inner = "<figure><img><figcaption>Cap</figcaption></figure><p>x <math><mi>a</mi><mo>&lt;</mo><mi>b</mi></math> <label>lab</label> <map>m</map> <object>o</object> <audio>u</audio> <video>v</video></p><xmp><b>&amp;</xmp>"
+    assert said(f"<body><nav>n</nav><article>{inner}<form><label>f</label></form></article>") == ["Cap", "x a<b lab m o u v", "<b>&amp;"]
+    for depth in (300, 450, 30000):
+        deep = "<div>" * depth + "<p>in<nav>n</nav></p>" + "</div>" * depth
+        assert said(f"<body><article><p>one</p>{deep}<p>two</p></article><p>out</p>") == ["one", "in", "two"]
+
+
 # op10
 
 
