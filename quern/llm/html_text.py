@@ -1,18 +1,22 @@
 """Main text of HTML pages: site template removal.
 
 Every page is parsed into a light tree. Each element's subtree is hashed by its tag names, class names and text; a
-page sends the hashes that it holds, once each, and Spark counts on how many different pages of a host (copies of a
-page count once) a subtree occurs. Subtrees on at least `MIN_PAGES` pages and `MIN_SHARE` of a host's pages are its
-template and are deleted from its pages. So a host has at most 1 / MIN_SHARE times as many of them as a page has
-elements. Inside the article proper (article or main), paragraphs and headings stay even if they recur; there, only
-containers (div, aside, section, lists, tables ...) can be template.
-
-Elements that by their tag, role, class or id are navigation, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments are left out on any page, also where a host has too few pages to count.
+page sends the hashes that it holds, once each, and Spark counts on how many pages of a host with different articles a
+subtree occurs (pages of the same article count once, so an article's own text never recurs). Subtrees on at least
+`MIN_PAGES` of them are the host's template and are deleted from its pages where they stand outside the main content
+(article or main). Inside it, and on pages that mark no main content, only those on `MIN_SHARE` of the host's pages
+are deleted, and inside it only containers (div, aside, section, lists, tables ...): paragraphs and headings stay even
+if they recur.
+
+What counts can't see is left out by what HTML itself defines: main content if it is marked; nav, header, footer,
+aside, form, script, style and the like; hidden elements and the roles of navigation, banners, forms and so on.
+Reader comments differ from page to page, so they are known by class or id. Only on hosts of fewer than `FEW_PAGES`
+pages, too few to count, other words in class and id (`_WORDS`) mark menus, adverts and notices as well.
 
 Defined results: null or empty html and pages with nothing left give an empty text; pages without a host are counted
-as one host; unclosed and misnested tags are closed as browsers close them; a null page_id is kept; repeated rows get
-a row each. Other columns are ignored.
+as one host; unclosed and misnested tags are closed as browsers close them; a tag, comment or script that never ends
+reaches to the page's end; a quote that never ends is an ordinary character; a null page_id is kept; repeated rows get a
+row each. Pages take time in proportion to their length, whatever is in them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,22 +24,26 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Set
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, encoded, small_batches, written
+from quern.llm.common import Scratch, encoded, if_small, partitions, small_batches, written
 from quern.llm.urls import host_of
 
-MIN_PAGES, MIN_SHARE = 5, 0.1
-BROADCAST_DIGESTS, SALTS = 400_000, 32
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|[\"'])*?)(/?)>", re.DOTALL)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+MIN_PAGES, MIN_SHARE, FEW_PAGES = 3, 0.1, 20
+BROADCAST_DIGESTS, BROADCAST_HOSTS, PER_SALT = 400_000, 100_000, 20_000
+#: A tag with attributes in order, without a way back; whatever it doesn't match goes to _odd_tag.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+)*+)\s*+(/?+)>""")
+_ATTRIBUTE = re.compile(r"""\s++([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?+""")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
+_START, _BLANKS, _NAME, _EQUALS, _BARE = (re.compile(x) for x in (r"<(/?)([a-zA-Z][^\s/>]*+)", r"[\s/]*+", r"=?[^\s/>=]*+", r"\s*+=\s*+", r"[^\s>]*+"))
 _RAW = frozenset("script style textarea title noscript iframe xmp template svg noembed noframes".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = frozenset("nav header footer aside form button select option input dialog menu head fieldset".split()) | _RAW - {"xmp"}
 _BLOCK = frozenset(
@@ -47,9 +55,11 @@ _WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer foot sidebar aside widget rail "
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "comment comments commentlist disqus respond reply replies toolbar pagination pager skip copyright disclaimer paywall".split()
+    "toolbar pagination pager skip copyright disclaimer paywall".split()
 )
+_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 _KEEP_WORDS = frozenset("article post content entry main story body text".split())
+_SURE_WORDS = frozenset("nav ad ads sidebar footer related".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 #: Tags that end an open p, and for each tag the open ones it ends itself.
 _ENDS_P = _BLOCK - {"html", "body", "li", "td", "th", "tr", "dt", "dd", "thead", "tbody", "tfoot", "caption"}
@@ -60,118 +70,184 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "digest")
+    """An element. off: 0 main content for all its attributes say; 1 by words of its class or id it isn't; 2 for sure it isn't."""
+
+    __slots__ = ("tag", "marks", "off", "kids", "digest")
 
-    def __init__(self, tag: str, marks: str = ""):
-        self.tag, self.marks, self.kids, self.digest = tag, marks, [], None
+    def __init__(self, tag: str, marks: str = "", off: int = 0):
+        self.tag, self.marks, self.off, self.kids, self.digest = tag, marks, off, [], None
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """Class names, id and role as one string; whether they say that the element isn't main content."""
-    if not attributes or attributes.isspace():
-        return "", False
-    found, off = [], False
-    for name, *values in _NAMED.findall(attributes):
-        name, value = name.lower(), html.unescape(next((v for v in values if v), "")).lower()
+def _marked(attributes: Iterable[tuple[str, str]]) -> tuple[str, int]:
+    """Class names, id and role as one string; what they say of the element (Node.off)."""
+    found, off = [], 0
+    for name, value in attributes:
+        name, value = name.lower(), html.unescape(value).lower()
         if name in ("class", "id"):
             found.append(value)
             for word in value.split():
                 pieces = set(re.split(r"[-_]+", word))
-                off |= bool(pieces & _WORDS) and not (pieces & _KEEP_WORDS and not pieces & {"comment", "comments", "nav", "ad", "ads", "sidebar", "footer", "related"})
+                if pieces & _COMMENTS:
+                    off = 2
+                elif pieces & _WORDS and not (pieces & _KEEP_WORDS and not pieces & _SURE_WORDS):
+                    off = max(off, 1)
         elif name == "role":
             found.append(value)
-            off |= value in _ROLES
+            off = 2 if value in _ROLES else off
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            off = True
+            off = 2
     return " ".join(found), off
 
 
+@lru_cache(4096)
+def _marks(attributes: str) -> tuple[str, int]:
+    return _marked((name, a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attributes))
+
+
+def _odd_tag(text: str, at: int, last: dict[str, int]) -> tuple[list[tuple[str, str]], int]:
+    """Attributes and end of a tag whose name ends at `at`, of any form, read once from left to right as browsers do."""
+    found: list[tuple[str, str]] = []
+    while True:
+        at = _BLANKS.match(text, at).end()
+        if at > last[">"]:
+            return found, len(text)
+        if text[at] == ">":
+            return found, at + 1
+        name = _NAME.match(text, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(text, at):
+            at = equals.end()
+            quote = text[at : at + 1]
+            if quote and quote in "\"'" and at < last[quote]:
+                end = text.index(quote, at + 1)
+                value, at = text[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(text, at)
+                value, at = bare[0], bare.end()
+        found.append((name[0], value))
+
+
+class _Open:
+    """The stack of open elements, with the places of each tag, of scopes and of blocks in it."""
+
+    def __init__(self, root: Node):
+        self.stack, self.of, self.scopes, self.blocks = [root], {}, [], []
+
+    def push(self, node: Node) -> None:
+        at, tag = len(self.stack), node.tag
+        self.stack.append(node)
+        self.of.setdefault(tag, []).append(at)
+        if tag in _SCOPE:
+            self.scopes.append(at)
+        if tag in _BLOCK:
+            self.blocks.append(at)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.of[tag].pop()
+            if tag in _SCOPE:
+                self.scopes.pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+
+    def innermost(self, *tags: str) -> int:
+        return max((places[-1] for tag in tags if (places := self.of.get(tag))), default=0)
+
+    def end(self, tags: tuple[str, ...]) -> None:
+        """Closes the innermost open element of these tags, if no other scope lies inside it."""
+        at = self.innermost(*tags)
+        if at and not (self.scopes and self.scopes[-1] > at):
+            self.cut(at)
+
+    def close(self, tag: str) -> None:
+        """What an end tag does."""
+        at = self.innermost(tag)
+        barrier = self.blocks if tag in _FORMAT else self.scopes if tag == "p" else []
+        if at and not (barrier and barrier[-1] > at):
+            self.cut(at)
+
+
 def parse(text: str) -> Node:
     """Tree of a page. Texts are str kids, decoded; elements that are never main content hold their text for the hash only."""
     root = Node("html")
-    stack, at, n = [root], 0, len(text)
-    held: Counter[str] = Counter()  # how many of each tag are open
-    scan = _TOKEN.search
+    held, at, n = _Open(root), 0, len(text)
+    stack = held.stack
+    last = {c: text.rfind(c) for c in ">\"'"}
     while at < n:
-        m = scan(text, at)
-        if m is None:
+        lt = text.find("<", at)
+        if lt < 0:
             stack[-1].kids.append(html.unescape(text[at:]))
             break
-        if m.start() > at:
-            stack[-1].kids.append(html.unescape(text[at : m.start()]))
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(m[0][9:-3])
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            _close(stack, held, tag)
+        if lt > at:
+            stack[-1].kids.append(html.unescape(text[at:lt]))
+        m = _TAG.match(text, lt) if lt < last[">"] else None
+        if m:
+            closing, tag, at = m[1], m[2].lower(), m.end()
+        else:
+            m = _START.match(text, lt)
+            if m is None:
+                at = _other(text, lt, last, stack[-1])
+                continue
+            closing, tag = m[1], m[2].lower()
+            attributes, at = _odd_tag(text, m.end(), last)
+            m = None
+        if closing:
+            held.close(tag)
             continue
         if tag in ("html", "body") and len(stack) > 1 or tag == "html":
             continue
         if tag in _ENDS_P:
-            _end(stack, held, ("p",))
+            held.end(("p",))
         if tag in _ENDS:
-            _end(stack, held, _ENDS[tag])
-        words, off = _marks(m[3])
-        node = Node("!" + tag if off and tag not in ("body", "article", "main") else tag, words)
+            held.end(_ENDS[tag])
+        if m is None:
+            words, off = _marked(attributes)
+        else:
+            words, off = _marks(m[3]) if m[3] and _TELLING.search(m[3]) else ("", 0)
+        node = Node(tag, words, 0 if tag == "body" or off == 1 and tag in ("article", "main") else off)
         stack[-1].kids.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(text, at)
+            end = _RAW_END[tag].search(text, at)
             node.kids.append(text[at : end.start() if end else n])
-            at = end.end() if end else n
-        elif tag not in _VOID and not (m[4] and tag in ("svg", "path")):
-            stack.append(node)
-            held[tag] += 1
+            at = text.find(">", end.end()) + 1 if end and end.end() <= last[">"] else n
+        elif tag not in _VOID and not (m and m[4] and tag == "path"):
+            held.push(node)
     return root
 
 
-def _name(node: Node) -> str:
-    return node.tag.lstrip("!")
+def _other(text: str, at: int, last: dict[str, int], node: Node) -> int:
+    """Where a comment, declaration or lone < at `at` ends; a lone < and the text of CDATA go to `node`."""
+    if text.startswith("<!--", at):
+        end = text.find("-->", at + 2)
+        return end + 3 if end >= 0 else len(text)
+    if text.startswith("<![CDATA[", at):
+        end = text.find("]]>", at)
+        node.kids.append(text[at + 9 : end if end >= 0 else len(text)])
+        return end + 3 if end >= 0 else len(text)
+    if text[at + 1 : at + 2] in ("!", "?", "/"):
+        return text.index(">", at) + 1 if at < last[">"] else len(text)
+    node.kids.append("<")
+    return at + 1
 
 
-def _cut(stack: list[Node], held: Counter[str], k: int) -> None:
-    for node in stack[k:]:
-        held[_name(node)] -= 1
-    del stack[k:]
+def _may_be_template(node: Node, inside: bool) -> bool:
+    return node.tag not in ("html", "body", "article", "main") and (node.tag in _CONTAINER or not inside and node.tag in _BLOCK)
 
 
-def _end(stack: list[Node], held: Counter[str], tags: tuple[str, ...]) -> None:
-    """Closes the innermost open element of these tags, if no other scope lies between."""
-    if not any(held[tag] for tag in tags):
-        return
-    for k in range(len(stack) - 1, 0, -1):
-        if _name(stack[k]) in tags:
-            _cut(stack, held, k)
-            return
-        if _name(stack[k]) in _SCOPE:
-            return
-
-
-def _close(stack: list[Node], held: Counter[str], tag: str) -> None:
-    if not held[tag]:
-        return
-    inline = tag in _FORMAT
-    for k in range(len(stack) - 1, 0, -1):
-        own = _name(stack[k])
-        if own == tag:
-            _cut(stack, held, k)
-            return
-        if inline and own in _BLOCK or tag == "p" and own in _SCOPE:
-            return
-
-
-def hashed(root: Node, out: list[tuple[int, Node]]) -> int:
-    """Digest of a tree; gathers (digest, node) of all elements that may be template. Trees may be of any depth."""
-    order, todo = [], [(root, False)]
+def hashed(root: Node, out: list[int]) -> int:
+    """Gives each element the digest of its subtree, gathers those that may be template; returns what tells the page's article
+    from others: the digest of its main content if it marks one, else of all of it. Trees may be of any depth."""
+    order, todo, mains = [], [(root, False)], []
     while todo:
         node, inside = todo.pop()
-        inside = inside or node.tag in ("article", "main")
+        if node.tag in ("article", "main") and not node.off and not inside:
+            mains.append(node)
+            inside = True
         order.append((node, inside))
         todo += [(kid, inside) for kid in node.kids if not isinstance(kid, str)]
     for node, inside in reversed(order):  # kids before their parents
-        h = hashlib.blake2b(encoded(f"{node.tag}\0{node.marks}\0"), digest_size=8)
+        h = hashlib.blake2b(encoded(f"{node.tag}\0{node.off}\0{node.marks}\0"), digest_size=8)
         for kid in node.kids:
             if isinstance(kid, str):
                 said = _WHITE.sub(" ", kid).strip()
@@ -180,23 +256,54 @@ def hashed(root: Node, out: list[tuple[int, Node]]) -> int:
             else:
                 h.update(b"e" + kid.digest.to_bytes(8, "little", signed=True))
         node.digest = int.from_bytes(h.digest(), "little", signed=True)
-        name = _name(node)
-        if name not in ("html", "body", "article", "main") and (name in _CONTAINER or not inside and name in _BLOCK):
-            out.append((node.digest, node))
-    return root.digest
+        if _may_be_template(node, inside):
+            out.append(node.digest)
+    if not mains:
+        return root.digest
+    whole = hashlib.blake2b(b"".join(m.digest.to_bytes(8, "little", signed=True) for m in mains), digest_size=8)
+    return int.from_bytes(whole.digest(), "little", signed=True)
+
+
+def delete(root: Node, template: Set[int], broad: Set[int]) -> int:
+    """Deletes template subtrees from a hashed tree and returns how many. `broad`: those on MIN_SHARE of the host's pages."""
+    if not template:
+        return 0
+    todo, marked = [root], False
+    while todo and not marked:
+        node = todo.pop()
+        marked = node.tag in ("article", "main") and not node.off
+        todo += [kid for kid in node.kids if not isinstance(kid, str)]
+    deleted, walk = 0, [(root, False)]
+    while walk:
+        node, inside = walk.pop()
+        inside = inside or node.tag in ("article", "main") and not node.off
+        known = template if marked and not inside else broad
+        for k, kid in enumerate(node.kids):
+            if isinstance(kid, str):
+                continue
+            if kid.digest in known and _may_be_template(kid, inside):
+                node.kids[k] = Node(kid.tag, off=2)  # a block still parts what stands around it
+                deleted += 1
+            else:
+                walk.append((kid, inside))
+    return deleted
 
 
-def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
-    """Texts of the blocks of the main content, in page order; of all articles (else main, else body)."""
+def blocks(root: Node, words: bool = True) -> list[str]:
+    """Texts of the blocks of the main content, in page order; of all articles (else main, else body). `words`: also leave out
+    what words of class or id mark."""
+    off = 1 if words else 2
     found: list[Node] = []
 
     def seek(tag: str) -> None:
         todo = [root]
         while todo:
             node = todo.pop()
+            if node is not root and (node.off >= off or node.tag in _DROP):
+                continue
             if node.tag == tag:
                 found.append(node)
-            elif node is root or node.tag[0] != "!" and node.tag not in _DROP and node.digest not in template:
+            else:
                 todo += [kid for kid in reversed(node.kids) if not isinstance(kid, str)]
 
     seek("article")
@@ -226,11 +333,11 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
                 part.append(kid)
             elif kid.tag == "br":
                 part.append(" ")
-            elif kid.tag[0] != "!" and (kid.tag not in _DROP or kid.tag == "header" and node.tag == "article") and kid.digest not in template:
+            elif kid.off < off and (kid.tag not in _DROP or kid.tag == "header" and node.tag == "article"):
                 if kid.tag in _BLOCK:
                     flush()
                 todo.append((kid, iter(kid.kids)))
-            elif _name(kid) in _BLOCK:
+            elif kid.tag in _BLOCK:
                 flush()
 
     for node in found or [root]:
@@ -239,59 +346,113 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
     return out
 
 
-def template_counts(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, template (array of digests) of hosts that have any. `pages`: page_id, host, html."""
+def main_text(text: str | None, template: Set[int] = frozenset(), broad: Set[int] = frozenset(), words: bool = True) -> tuple[str, int]:
+    """The main text of a page, and how many template subtrees were deleted from it."""
+    root = parse(text or "")
+    if template:
+        hashed(root, [])
+    deleted = delete(root, template, broad)
+    return "\n\n".join(blocks(root, words)), deleted
+
+
+def template_counts(rows: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(host, digest, broad) of all templates; (host, pages): how many pages with different articles a host has. `rows`: host, html."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             hosts, own, found = [], [], []
             for host, text in zip(pdf["host"], pdf["html"]):
-                rows: list[tuple[int, Node]] = []
-                whole = hashed(parse(text or ""), rows)
-                for digest in {d for d, _ in rows} | {0}:
+                held: list[int] = []
+                article = hashed(parse(text or ""), held)
+                for digest in {*held, 0}:
                     hosts.append(host)
-                    own.append(whole)
+                    own.append(article)
                     found.append(digest)
             yield pd.DataFrame({"host": hosts, "page": np.array(own, np.int64), "digest": np.array(found, np.int64)})
 
-    seen = pages.select("host", "html").mapInPandas(run, "host string, page long, digest long")
-    counted = scratch.written(seen.distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where((F.col("pages") >= min_pages) | (F.col("digest") == 0)), "subtrees")
-    whole = counted.where("digest = 0").select("host", F.col("pages").alias("of"))
-    often = counted.where("digest <> 0").join(whole.hint("merge"), "host").where(F.col("pages") >= min_share * F.col("of"))
-    return often.groupBy("host").agg(F.collect_list("digest").alias("template"))
+    seen = rows.select("host", "html").mapInPandas(run, "host string, page long, digest long")
+    counted = seen.distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where((F.col("pages") >= min_pages) | (F.col("digest") == 0))
+    counted = scratch.written(counted, "subtrees")
+    of = counted.where("digest = 0").select("host", F.col("pages").alias("of"))
+    often = counted.where("digest <> 0")
+    small = if_small(of, BROADCAST_HOSTS)
+    if small is None:  # a host's templates are dealt over salts
+        salt = F.pmod(F.col("digest"), F.lit(64))
+        joined = often.withColumn("salt", salt).join(of.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).hint("merge"), ["host", "salt"])
+    else:
+        joined = often.join(small, "host")
+    template = scratch.written(joined.select("host", "digest", (F.col("pages") >= min_share * F.col("of")).alias("broad")), "templates")
+    return template, of.select("host", F.col("of").alias("pages"))
+
+
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most: int = BROADCAST_DIGESTS, words: bool | None = None, few: int = FEW_PAGES) -> DataFrame:
+    """page_id, url, text, n_chars, n_deleted (template subtrees) of every row of `pages` (page_id, url, html).
+
+    `words`: whether words of class and id count on all hosts (True), on none (False) or on those of fewer than `few` pages (None).
+    Templates of at most `most` digests in all are broadcast, so that no page is shuffled. Beyond, pages meet their host's
+    templates in a sorted stream; hosts of more than PER_SALT pages are dealt over salts, so that no task gets all of them.
+    """
+    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    scratch = Scratch()
+    template, of = template_counts(rows, scratch, min_pages, min_share)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, text string, n_chars long, n_deleted int"
 
+    def frame(pdf: pd.DataFrame, out: list[tuple[str, int]]) -> pd.DataFrame:
+        return pdf[["page_id", "url"]].assign(text=[t for t, _ in out], n_chars=np.array([len(t) for t, _ in out], np.int64), n_deleted=np.array([d for _, d in out], np.int32))
 
-def with_template(rows: DataFrame, template: DataFrame, most: int = BROADCAST_DIGESTS) -> DataFrame:
-    """`rows` with their host's template. Up to `most` digests in all are broadcast, so that no page is shuffled; beyond, pages
-    are dealt by host and one of SALTS salts, so that no task gets all pages of a host."""
-    size = template.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
-    if size <= most:
-        return rows.join(F.broadcast(template), "host", "left")
-    spread = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread.hint("merge"), ["host", "salt"], "left")
+    if template.limit(most + 1).count() <= most and of.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        sets: dict[str, tuple[set, set, bool]] = {r["host"]: (set(), set(), r["pages"] >= few) for r in of.toArrow().to_pylist()}
+        for r in template.toArrow().to_pylist():
+            sets[r["host"]][0].add(r["digest"])
+            if r["broad"]:
+                sets[r["host"]][1].add(r["digest"])
+        held = spark.sparkContext.broadcast(sets)
+        scratch.discard()
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            none: tuple[set, set, bool] = (set(), set(), False)
+            for pdf in batches:
+                known = [held.value.get(host, none) for host in pdf["host"]]
+                yield frame(pdf, [main_text(text, t, b, not many if words is None else words) for text, (t, b, many) in zip(pdf["html"], known)])
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most: int = BROADCAST_DIGESTS) -> DataFrame:
-    """page_id, url, text, n_chars of every row of `pages` (page_id, url, html)."""
-    small_batches(pages.sparkSession)
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    scratch = Scratch()
-    template = written(template_counts(rows, scratch, min_pages, min_share), "templates")
-    scratch.discard()
+        return rows.mapInPandas(run, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    template, of = written(template, "templates"), written(of, "hosts")
+    scratch.discard()
+    big = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_SALT).select("host", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
+    big = written(big, "big-hosts")
+    small = if_small(big, BROADCAST_HOSTS)
+    salts = F.coalesce("salts", F.lit(1))
+    spread = lambda df: df.join(big.hint("merge") if small is None else small, "host", "left").withColumn("salts", salts)
+    lost = [F.lit(None).cast(t).alias(c) for c, t in (("page_id", kind), ("url", "string"), ("html", "string"))]
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    heads = spread(of).select("host", every, F.lit(0).alias("order"), (F.col("pages") >= few).alias("flag"), F.lit(None).cast("long").alias("digest"), *lost)
+    known = spread(template).select("host", every, F.lit(1).alias("order"), F.col("broad").alias("flag"), "digest", *lost)
+    own = spread(rows).select("host", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int").alias("salt"), F.lit(2).alias("order"), F.lit(False).alias("flag"), F.lit(None).cast("long").alias("digest"), "page_id", "url", "html")
+    ordered = heads.unionByName(known).unionByName(own).repartition(partitions(spark), "host", "salt").sortWithinPartitions("host", "salt", "order")
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, t, b, many = None, set(), set(), False
         for pdf in batches:
-            out = []
-            for text, known in zip(pdf["html"], pdf["template"]):
-                root = parse(text or "")
-                hashed(root, [])
-                out.append("\n\n".join(blocks(root, frozenset(known) if known is not None else frozenset())))
-            yield pdf[["page_id", "url"]].assign(text=out, n_chars=np.array([len(t) for t in out], np.int64))
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    joined = with_template(rows, template, most).select("page_id", "url", "html", "template")
-    return joined.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+            at, out = [], []
+            for k, (host, salt, order, flag, digest, text) in enumerate(zip(pdf["host"], pdf["salt"], pdf["order"], pdf["flag"], pdf["digest"], pdf["html"])):
+                if (host, salt) != key:
+                    key, t, b, many = (host, salt), set(), set(), False
+                if order == 0:
+                    many = flag
+                elif order == 1:
+                    t.add(int(digest))
+                    if flag:
+                        b.add(int(digest))
+                else:
+                    at.append(k)
+                    out.append(main_text(text, t, b, not many if words is None else words))
+            yield frame(pdf.iloc[at].astype({"page_id": "Int64"} if kind in ("int", "bigint", "smallint", "tinyint") else {}), out)
+
+    return ordered.withColumn("digest", F.coalesce("digest", F.lit(0))).mapInPandas(stream, schema)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
