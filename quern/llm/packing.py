@@ -2,13 +2,16 @@
 
 Documents become pieces: only those longer than the capacity are cut, into full pieces after a shorter first one.
 Piece lengths are counted in Spark; the counts (at most `capacity` of them, however many documents there are) are
-packed on the driver: a bin is filled greedily, each time with the longest piece that fits, then its smallest piece
-is replaced by two unpacked pieces that fit the gap so widened more tightly. As pieces of one length are alike, a
+packed on the driver by best-two-fit: a bin is filled greedily, each time with the longest piece that fits, then its
+smallest piece is replaced by two unpacked pieces that fit the gap so widened more tightly. Pieces shorter than
+capacity / SMALL_SHARE stay out of this, as replacing would use up what fits anywhere: they come last, the longest
+first, each into the tightest gap that holds it. As pieces of one length are alike, a
 bin's pattern repeats for as long as its lengths last, so there are few patterns. Each piece finds its place from its
 rank among the pieces of its length, which Spark deals over salts, so no task holds a hot length.
 
 Defined results: a null text is an empty one and packs as the end token alone; rows that repeat are packed each;
-a null doc_id is kept as null; an empty table gives an empty result. Other columns are ignored.
+a null doc_id is kept as null; an empty table gives an empty result. Other columns are ignored. A text is tokenized
+as a whole, so memory holds the longest text and its ids.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import re
 import sys
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import Recent, ranked, small_batches, state, written
 
-CAPACITY, END_ID = 1024, 2
+CAPACITY, END_ID, SMALL_SHARE = 1024, 2, 6
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that byte-level BPE can't merge across: a plain word before white space or a sign; a run of signs before white
 #: space; else all up to the next white space; and white space itself.
@@ -105,61 +108,100 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def fewest(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Best-two-fit bins, or the greedy ones without replacements where those are fewer."""
-    return min((patterns(counts, capacity, swap) for swap in (True, False)), key=lambda bins: sum(times for _, times in bins))
+def patterns(counts: dict[int, int], capacity: int = CAPACITY, swap: bool = True, small_share: int = SMALL_SHARE) -> list[tuple[tuple[int, ...], int]]:
+    """Bins as (piece lengths, how many such bins), from how many pieces there are of each length. `swap`: replace by two; else
+    plain greedy filling."""
+    left = {n: c for n, c in counts.items() if c > 0}
+    least = -(-capacity // small_share)
+    bins = _filled(left, sorted(n for n in left if n >= least), capacity, swap)
+    bins = _topped_up(left, sorted((n for n in left if n < least), reverse=True), bins, capacity)
+    bins += _filled(left, sorted(n for n in left if left[n]), capacity, swap)
+    return [(tuple(n for n in sorted(own, reverse=True) for _ in range(own[n])), times) for own, times in bins]
 
 
-def patterns(counts: dict[int, int], capacity: int = CAPACITY, swap: bool = True) -> list[tuple[tuple[int, ...], int]]:
-    """Bins as (piece lengths, how many such bins), from how many pieces there are of each length."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    lengths = sorted(left)
+def _room(own: dict[int, int], capacity: int) -> int:
+    return capacity - sum(n * k for n, k in own.items())
+
+
+def _filled(left: dict[int, int], lengths: list[int], capacity: int, swap: bool) -> list[tuple[dict[int, int], int]]:
+    """Bins of pieces of these lengths, each filled greedily and then improved by one replacement; takes them out of `left`."""
     out = []
     while lengths:
         own: dict[int, int] = {}
-        free = lambda n: left[n] - own.get(n, 0)
         gap, at = capacity, len(lengths)
         while at and gap >= lengths[0]:
             at = bisect_right(lengths, gap, 0, at)
             if not at:
                 break
             n = lengths[at - 1]
-            k = min(gap // n, free(n))
+            k = min(gap // n, left[n] - own.get(n, 0))
             if k:
                 own[n] = own.get(n, 0) + k
                 gap -= k * n
             at -= 1
         if swap and gap and sum(own.values()) > 1:
-            small = min(own)
-            room, best = gap + small, (small, 0, 0)
-            hi = bisect_right(lengths, room) - 1
-            lo = 0
-            while lo <= hi:  # the two unpacked pieces whose sum comes nearest to the room from below
-                a, b = lengths[lo], lengths[hi]
-                if free(a) < 1:
-                    lo += 1
-                elif free(b) < 1 or a + b > room or (lo == hi and free(a) < 2):
-                    hi -= 1
-                else:
-                    if a + b > best[0]:
-                        best = (a + b, a, b)
-                    if a + b == room:
-                        break
-                    lo += 1
-            if best[1]:
-                own[small] -= 1
-                if not own[small]:
-                    del own[small]
-                for n in best[1:]:
-                    own[n] = own.get(n, 0) + 1
+            _replace(own, left, lengths, gap)
         times = min(left[n] // k for n, k in own.items())
-        out.append((tuple(n for n in sorted(own, reverse=True) for _ in range(own[n])), times))
+        out.append((own, times))
         for n, k in own.items():
             left[n] -= k * times
         lengths = [n for n in lengths if left[n]]
     return out
 
 
+def _replace(own: dict[int, int], left: dict[int, int], lengths: list[int], gap: int) -> None:
+    """Replaces the smallest piece of a bin by the two unpacked ones that fill its room and the gap best, if any fill more."""
+    free = lambda n: left[n] - own.get(n, 0)
+    small = min(own)
+    room, best = gap + small, (small, 0, 0)
+    lo, hi = 0, bisect_right(lengths, room) - 1
+    while lo <= hi:  # sums of a short and a long one, coming nearer to the room from both sides
+        a, b = lengths[lo], lengths[hi]
+        if free(a) < 1:
+            lo += 1
+        elif free(b) < 1 or a + b > room or (lo == hi and free(a) < 2):
+            hi -= 1
+        else:
+            if a + b > best[0]:
+                best = (a + b, a, b)
+            if a + b == room:
+                break
+            lo += 1
+    if best[1]:
+        own[small] -= 1
+        if not own[small]:
+            del own[small]
+        for n in best[1:]:
+            own[n] = own.get(n, 0) + 1
+
+
+def _topped_up(left: dict[int, int], lengths: list[int], bins: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The bins with the short pieces, longest first, each length into the tightest gaps that hold it, as many as a gap holds."""
+    by_gap: dict[int, list[tuple[dict[int, int], int]]] = {}
+    for own, times in bins:
+        by_gap.setdefault(_room(own, capacity), []).append((own, times))
+    gaps = sorted(by_gap)
+
+    def put(gap: int, own: dict[int, int], times: int) -> None:
+        if gap not in by_gap:
+            insort(gaps, gap)
+        by_gap.setdefault(gap, []).append((own, times))
+
+    for n in lengths:
+        while left[n] and (at := bisect_left(gaps, n)) < len(gaps):
+            gap = gaps[at]
+            own, times = by_gap[gap].pop()
+            if not by_gap[gap]:
+                del by_gap[gap], gaps[at]
+            k = min(gap // n, left[n])
+            used = min(times, left[n] // k)
+            if used < times:
+                put(gap, own, times - used)
+            put(gap - k * n, own | {n: k}, used)
+            left[n] -= k * used
+    return [x for held in by_gap.values() for x in held]
+
+
 def places(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length: from which rank on a pattern takes its pieces, how many a bin, its first sequence, offset of its first."""
     got: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -180,7 +222,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     spark = cut.sparkSession
     counted = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    held = spark.sparkContext.broadcast(places(fewest({r["length"]: r["n"] for r in counted.collect()}, capacity)))
+    held = spark.sparkContext.broadcast(places(patterns({r["length"]: r["n"] for r in counted.collect()}, capacity)))
     names = [*cut.columns, "sequence_id", "offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
