@@ -10,7 +10,8 @@ assistant turns.
 
 Defined results: a null text is empty, a null role is the empty role; rows are ordered by turn (nulls first), then
 role, then text, so repeated rows each count as a turn; rows with a null conv_id form one conversation; an empty table
-gives an empty result. Other columns are ignored. Parts of an unknown type raise ValueError.
+gives an empty result. Other columns are ignored. A part of an unknown type becomes an attachment of that kind
+without tokens; what lacks in a part is empty or 0, a negative size counts as 0.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import encoded, partitions
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
-IMAGE, AUDIO, DOCUMENT = "<|image|>", "<|audio|>", "<|document|>"
+IMAGE, AUDIO, DOCUMENT, OTHER = "<|image|>", "<|audio|>", "<|document|>", "<|attachment|>"
 #: Control strings of this and of common other templates.
 CONTROL = (
-    TURN, SAYS, END, IMAGE, AUDIO, DOCUMENT, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>",
+    TURN, SAYS, END, IMAGE, AUDIO, DOCUMENT, OTHER, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|system|>", "<|user|>",
     "<|assistant|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>", "<|begin_of_text|>", "<|end_of_text|>",
     "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>",
 )
@@ -73,39 +74,58 @@ class DocumentPart:
     pages: int
 
 
-def part_of(raw: dict) -> TextPart | ImagePart | AudioPart | DocumentPart:
+@dataclass(frozen=True)
+class OtherPart:
+    kind: str
+    uri: str
+
+
+Part = TextPart | ImagePart | AudioPart | DocumentPart | OtherPart
+
+
+def part_of(raw: dict | None) -> Part:
     """A typed part from a row of array<struct<type, text, uri, width, height, seconds, pages>>."""
+    raw = raw or {}
     kind, uri = raw.get("type") or "text", raw.get("uri") or ""
+    number = lambda name: max(0, raw.get(name) or 0)
     if kind == "text":
         return TextPart(raw.get("text") or "")
     if kind == "image":
-        return ImagePart(uri, int(raw.get("width") or 0), int(raw.get("height") or 0))
+        return ImagePart(uri, int(number("width")), int(number("height")))
     if kind == "audio":
-        return AudioPart(uri, float(raw.get("seconds") or 0))
+        return AudioPart(uri, float(number("seconds")))
     if kind == "document":
-        return DocumentPart(uri, int(raw.get("pages") or 0))
-    raise ValueError(f"unknown part type {kind!r}")
+        return DocumentPart(uri, int(number("pages")))
+    return OtherPart(kind, uri)
 
 
 @dataclass
 class Flattener:
-    """Visits parts in order; what it has gathered is the content, the attachments and the expanded token count."""
+    """Visits parts in order; what it has gathered is the content, the attachments and the expanded token count.
+
+    Texts are held back until an attachment or the end: neighbouring ones are escaped as one, so no control string can arise
+    where they meet.
+    """
 
     patch: int = 14  # pixels a side that an image token covers, after merging 2 x 2
     per_second: float = 25.0
     per_page: int = 256
+    held: list[str] = field(default_factory=list)
     content: list[str] = field(default_factory=list)
     attachments: list[tuple[str, str, int]] = field(default_factory=list)
-    texts: list[str] = field(default_factory=list)
 
-    def visit(self, part) -> None:
+    def visit(self, part: Part) -> None:
         getattr(self, f"visit_{type(part).__name__}")(part)
 
     def visit_TextPart(self, part: TextPart) -> None:  # noqa: N802
-        self.texts.append(part.text)
-        self.content.append(part.text)
+        self.held.append(part.text)
+
+    def _flush(self) -> None:
+        self.content.append(escape("".join(self.held)))
+        self.held.clear()
 
     def _attach(self, kind: str, placeholder: str, uri: str, tokens: int) -> None:
+        self._flush()
         self.attachments.append((kind, uri, tokens))
         self.content.append(placeholder)
 
@@ -119,22 +139,20 @@ class Flattener:
     def visit_DocumentPart(self, part: DocumentPart) -> None:  # noqa: N802
         self._attach("document", DOCUMENT, part.uri, part.pages * self.per_page)
 
+    def visit_OtherPart(self, part: OtherPart) -> None:  # noqa: N802
+        self._attach(part.kind, OTHER, part.uri, 0)
 
-def flatten(parts: list, flattener: Flattener | None = None) -> tuple[str, list[tuple[str, str, int]]]:
-    """Escaped content with placeholders, and attachments (kind, uri, tokens) in the order of their placeholders.
+    def finish(self) -> str:
+        self._flush()
+        return "".join(self.content)
 
-    Neighbouring texts are escaped as one, so no control string can arise where they meet.
-    """
+
+def flatten(parts: list, flattener: Flattener | None = None) -> tuple[str, list[tuple[str, str, int]]]:
+    """Escaped content with placeholders, and attachments (kind, uri, tokens) in the order of their placeholders."""
     visitor = flattener or Flattener()
-    out, held = [], ""
     for part in parts:
         visitor.visit(part)
-        if isinstance(part, TextPart):
-            held += part.text
-        else:
-            out += [escape(held), visitor.content[-1]]
-            held = ""
-    return "".join([*out, escape(held)]), visitor.attachments
+    return visitor.finish(), visitor.attachments
 
 
 def formatted(turns: list[tuple[str, list]]) -> tuple[str, list[tuple[int, int]], list[tuple[str, str, int]]]:
@@ -152,7 +170,7 @@ def formatted(turns: list[tuple[str, list]]) -> tuple[str, list[tuple[int, int]]
 
 
 _PARSE = re.compile(rf"{re.escape(TURN)}(.*?){re.escape(SAYS)}(.*?){re.escape(END)}\n", re.DOTALL)
-_PLACEHOLDER = re.compile("|".join(map(re.escape, (IMAGE, AUDIO, DOCUMENT))))
+_PLACEHOLDER = re.compile("|".join(map(re.escape, (IMAGE, AUDIO, DOCUMENT, OTHER))))
 
 
 def parsed(text: str) -> list[tuple[str, str]]:

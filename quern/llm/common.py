@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import sys
-import tempfile
 import types
 import uuid
 
@@ -13,17 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-M64 = (1 << 64) - 1
-
+from quern.sources.scratch import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = state().get("dir")
-        if not path:
-            path = state()["dir"] = "file://" + tempfile.mkdtemp(prefix="quern-")
-    return path.rstrip("/")
+M64 = (1 << 64) - 1
 
 
 def state() -> dict:
@@ -61,6 +52,12 @@ def _delete(path: str) -> None:
     state()["tables"].discard(path)
 
 
+def release() -> None:
+    """Deletes all tables that written() has left, in a driver that lives on. No DataFrame that reads one may be used afterwards."""
+    if "jvm" in state():
+        _clean()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what written() wrote. Nothing may read it afterwards."""
     path = getattr(df, "_quern_path", None)
@@ -95,7 +92,10 @@ def fold(doc_id: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of at most `rows`, which bounds a worker's memory; a smaller setting stays."""
+    """Whole texts go to Python in batches of at most `rows`, which bounds a worker's memory; a smaller setting stays.
+
+    It sets spark.sql.execution.arrow.maxRecordsPerBatch of the session and leaves it so: DataFrames made here run later.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if not 0 < now <= rows:
@@ -152,6 +152,21 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], n: str, rank: str,
     return own.join(starts, by).withColumn(rank, F.col("_start") + F.col("_own")).drop("_salt", "_start", "_own")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, per: int = 2000) -> DataFrame:
+    """`rows` joined with `table`, which has one row a key and in column `n` how many of `rows` have that key.
+
+    Keys of more than `per` rows are dealt over salts, so that no task gets all of one. There are fewer of those keys than
+    rows / per; they are broadcast up to 100,000.
+    """
+    salts = F.ceil(F.col(n) / per).cast("int")
+    hot = table.where(F.col(n) > per).select(key, salts.alias("_salts"))
+    small = if_small(hot, 100_000)
+    dealt = rows.join(hot.hint("merge") if small is None else small, key, "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int")).drop("_salts")
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return dealt.join(spread.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def gram_counts(texts: list[bytes], size: int, orders: tuple[int, ...] = (1, 2, 3), seed: int = 1, block: int = 1 << 20) -> np.ndarray:
     """Counts of byte n-grams of each text, hashed to `size` columns (a power of two). Runs of blanks count nothing."""
     out = np.zeros((len(texts), size), np.float32)

@@ -2,31 +2,32 @@
 
 Features are hashed counts of byte 1-, 2- and 3-grams of the lower-cased whole text, square-rooted and of unit
 length. One-versus-rest linear support vector machines choose the language family; inside it, one-versus-one
-machines vote on the language. The machines are fitted on the driver, on a sample of at most about `SAMPLE`
-documents (`PER_LANGUAGE` of each language at most), chosen by the hash of their doc_id; languages are counted over
-all documents.
+machines vote on the language. The machines are fitted on the driver, on a sample of at most `SAMPLE` rows
+(`PER_LANGUAGE` of each language at most), those with the least hash of doc_id and text; languages are counted over
+all documents, and the `LANGUAGES` most frequent are learned (ties by name).
 
-Defined results: null texts and texts without a letter are `und`, score 0; an empty text as well; a null doc_id is
-in neither fold (held_out false) and teaches nothing; without any usable training row all are `und`. Other columns
-are ignored.
+Defined results: null texts and texts without a letter (Unicode category L) are `und`, score 0; an empty text as well; a
+null doc_id is in neither fold (held_out false) and teaches nothing; rows that repeat teach as often as they are drawn;
+without any usable training row all are `und`. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quern.llm.common import encoded, fold, gram_counts, small_batches
 from quern.llm.svm import train
 
-COLUMNS, SAMPLE, PER_LANGUAGE = 2048, 4000, 800
+COLUMNS, SAMPLE, PER_LANGUAGE, LANGUAGES = 2048, 4000, 800, 200
 #: Families of ISO 639-1 codes. A language that is not here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi".split(),
@@ -38,7 +39,7 @@ FAMILIES = {
     "semitic": "ar he am mt".split(),
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLANK = bytes(32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
 
@@ -89,20 +90,22 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fits on rows of fold 0, 1 and 3 with a non-null lang; None if there are none."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(lot).alias("different")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["different"] for r in often.collect()}
     if not counts:
         return None
-    per = max(20, min(per_language, sample // len(counts)))
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, per / n)])[F.col("lang")]
-    lot = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    per = max(1, min(per_language, sample // len(counts)))
+    # what comes near the least hashes, more than needed by some standard deviations of counts and estimates; of it, the least ones
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, (1.3 * per + 10 * per**0.5 + 10) / n)])[F.col("lang")]
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("lot", "doc_id", "text"))
+    drawn = usable.withColumn("lot", lot).where(F.col("lot") < share).withColumn("nth", nth).where(F.col("nth") <= per)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "x": [r.astype(np.float16).tobytes() for r in features(list(pdf["text"]))]})
 
-    rows = sorted(usable.where(lot < share).mapInPandas(run, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["lang"], r["doc_id"], bytes(r["x"])))
-    if not rows:  # tiny tables: all of them
-        rows = sorted(usable.limit(sample).mapInPandas(run, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["lang"], r["doc_id"], bytes(r["x"])))
+    rows = sorted(drawn.select("doc_id", "text", "lang").mapInPandas(run, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["lang"], r["doc_id"], bytes(r["x"])))
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float64)
     lang = np.array([r["lang"] for r in rows])
     family = np.array([FAMILY_OF.get(v, v) for v in lang])

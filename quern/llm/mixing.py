@@ -2,82 +2,89 @@
 
 Every document gets a rate; among all rates that bring each source to its token target, those nearest to 1 in
 relative entropy are exponential tilts exp(lambda * size) of the document's size, held at the copy limit. The
-convex dual has one multiplier per source; Newton iterations, safeguarded by bisection, find them, each a
-distributed sum over (source, size) counts. Rates are then rounded into whole copies: size by size from the longest,
+convex dual has one multiplier per source and falls apart into one problem a source, so Spark deals the sources'
+(size, count) tables over its tasks, and each solves its own by Newton iterations safeguarded by bisection. Rates are
+then rounded into whole copies: size by size from the longest,
 carrying the tokens not yet placed on to the next size, so that a source ends within about one short document of its
 target; which documents of a size get the extra copy is decided by their hash, so reruns agree.
 
+Targets: all sources stay in a Spark table. A source is held at the limit where limit * size / weight is below the level
+that the others share; the level rises with each round of two sums until no other source is.
+
 Defined results: a null or blank text has size 0 and is taken 0 times; a null source is a source, the last; rows that
 repeat count each; an empty table gives an empty result. Other columns are ignored.
-Driver memory grows with the number of sources only. One task holds the distinct sizes of one source.
+No source is ever held by the driver, however many there are. One task holds the distinct sizes of one source.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import if_small, ranked, written
+from quern.llm.common import if_small, partitions, ranked, written
 
 WEIGHTS, LIMIT = (5, 2, 1), 3
 BROADCAST_SIZES = 300_000  # (source, size) counts that are broadcast; more are joined by shuffle
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> dict[str | None, float]:
-    """Shares of the total by weight; none above `limit` times its source, the excess shared again by weight."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
-    out: dict[str | None, float] = {}
-    rest, open_names = float(sum(sizes.values())), list(names)
-    while open_names:
-        whole = sum(weight[s] for s in open_names)
-        over = [s for s in open_names if rest * weight[s] / whole > limit * sizes[s]]
-        if not over:
-            out |= {s: rest * weight[s] / whole for s in open_names}
-            break
-        for s in over:
-            out[s] = float(limit * sizes[s])
-        rest -= sum(out[s] for s in over)
-        open_names = [s for s in open_names if s not in out]
-    return out
-
-
-def _tilts(hist: DataFrame, want: dict[str, float], total: dict[str, tuple[int, int]], limit: float, tolerance: float = 1e-6, rounds: int = 60) -> dict[str, tuple[float, float]]:
-    """For each source key: multiplier and scale, so that the sum of size * min(limit, exp(multiplier * size / scale)) is its target."""
-    spark = hist.sparkSession
-    scale = {s: max(1.0, tokens / max(1, docs)) for s, (tokens, docs) in total.items()}
-    at, low, high = dict.fromkeys(want, 0.0), dict.fromkeys(want, -np.inf), dict.fromkeys(want, np.inf)
-    todo = {s for s in want if total[s][0] and abs(want[s] - total[s][0]) > tolerance * total[s][0]}
-    done = {s: (np.inf if want[s] >= limit * total[s][0] * (1 - 1e-12) else None) for s in todo}
-    for s in [s for s in todo if done[s] is not None]:
-        at[s] = np.inf
-        todo.discard(s)
-    for s in [s for s in todo if want[s] <= 0]:
-        at[s] = -np.inf
-        todo.discard(s)
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
+    """key, source_size, target of sources (key, tokens; keys as from source_key()): shares of all tokens by weight, weights
+    repeating in the order of the sources; none above `limit` times its source, the excess shared again by weight."""
+    last = F.col("key") == "n"
+    dealt = sources.repartitionByRange(partitions(sources.sparkSession), last, "key").withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "sources")
+    rows = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    starts = rows.select("part", before.alias("start"))
+    nth = F.col("start") + F.row_number().over(W.partitionBy("part").orderBy(last, "key")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(nth, F.lit(len(weights))) + 1).cast("int"))
+    held = written(dealt.join(F.broadcast(starts), "part").select("key", "tokens", weight.alias("weight")), "weights")
+    level, was = 0.0, None
+    while level != was:
+        capped = F.col("tokens") * limit < F.col("weight") * level
+        whole, taken, free = held.agg(F.sum("tokens"), F.sum(F.when(capped, F.col("tokens") * limit).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight")))).first()
+        was, level = level, max(level, (whole - taken) / free) if free else level
+    target = F.least(F.col("tokens") * float(limit), F.col("weight") * level)
+    return held.select("key", F.col("tokens").alias("source_size"), target.alias("target"))
+
+
+def tilt(size: np.ndarray, n: np.ndarray, goal: float, limit: float, tolerance: float = 1e-9, rounds: int = 200) -> float:
+    """The multiplier at which the sum of n * size * min(limit, exp(multiplier * size)) is the goal; infinite where only rates
+    of `limit` (or of 0) reach it."""
+    mass, x = n * size, size
+    whole = float(mass.sum())
+    if whole <= 0 or abs(goal - whole) <= tolerance * whole:
+        return 0.0
+    if goal >= limit * whole * (1 - 1e-12):
+        return np.inf
+    if goal <= 0:
+        return -np.inf
+    scale = max(1.0, whole / max(1.0, float(n.sum())))
+    at, low, high = 0.0, -np.inf, np.inf
     for _ in range(rounds):
-        if not todo:
+        with np.errstate(over="ignore"):
+            rate = np.exp(np.minimum(at * x / scale, 50.0))
+        miss = float((mass * np.minimum(rate, limit)).sum()) - goal
+        if abs(miss) <= tolerance * goal:
+            break
+        low, high = (at, high) if miss < 0 else (low, at)
+        slope = float((mass * x / scale * rate)[rate < limit].sum())
+        step = at - miss / slope if slope else np.nan
+        if not low < step < high:
+            step = (low + high) / 2 if np.isfinite(low) and np.isfinite(high) else at * 2 + (1.0 if miss < 0 else -1.0)
+        if step == at:
             break
-        now = spark.createDataFrame([(s, float(at[s]), scale[s]) for s in sorted(todo)], "key string, tilt double, scale double")
-        x = F.col("size") / F.col("scale")
-        rate = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
-        mass = F.col("n") * F.col("size")
-        sums = hist.join(F.broadcast(now), "key").groupBy("key").agg(F.sum(mass * F.least(rate, F.lit(float(limit)))).alias("f"), F.sum(F.when(rate < limit, mass * x * rate).otherwise(0.0)).alias("g"))
-        for r in sums.collect():
-            s, miss = r["key"], r["f"] - want[r["key"]]
-            if abs(miss) <= tolerance * want[s]:
-                todo.discard(s)
-                continue
-            low[s], high[s] = (at[s], high[s]) if miss < 0 else (low[s], at[s])
-            step = at[s] - miss / r["g"] if r["g"] else np.nan
-            if not (low[s] < step < high[s]):
-                step = (low[s] + high[s]) / 2 if np.isfinite(low[s]) and np.isfinite(high[s]) else at[s] * 2 + (1.0 if miss < 0 else -1.0)
-            at[s] = step
-    return {s: (at[s], scale[s]) for s in want}
+        at = step
+    return at / scale
+
+
+def rates(size: np.ndarray, multiplier: float, limit: float) -> np.ndarray:
+    """Copies a document of each size would get, before rounding."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        return np.where(size > 0, np.minimum(limit, np.exp(np.minimum(multiplier * size, 50.0))), 0.0)
 
 
 def source_key() -> Column:
@@ -87,22 +94,16 @@ def source_key() -> Column:
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """For every row of `docs` (doc_id, text, source): doc_id, text_hash, key of the source, size, source_size, target, times (copies)."""
-    spark = docs.sparkSession
     size = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
     slim = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("key"), size.alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
     hist = written(slim.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
-    total = {r["key"]: (r["tokens"], r["docs"]) for r in hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.sum("n").alias("docs")).collect()}
-    by_name = targets({k[1:] if k != "n" else None: t for k, (t, _) in total.items()}, weights, limit)
-    want = {k: by_name[k[1:] if k != "n" else None] for k in total}
-    tilt = _tilts(hist, want, total, float(limit))
-    held = spark.sparkContext.broadcast({k: (want[k], *tilt[k]) for k in total})
-
-    def rounded(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        goal, lam, scale = held.value[keys[0]]
+    facts = targets(hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("tokens")), weights, limit)
+
+    def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ascending=False)
+        goal = float(pdf["target"].iloc[0])
         x, n = pdf["size"].to_numpy(np.float64), pdf["n"].to_numpy(np.int64)
-        with np.errstate(invalid="ignore", over="ignore"):
-            rate = np.where(x > 0, np.minimum(limit, np.exp(np.minimum(lam * x / scale, 50))), 0.0)
+        rate = rates(x, tilt(x, n, goal, float(limit)), float(limit))
         copies, miss = np.zeros(len(x), np.int64), goal - float((n * x * rate).sum())
         for k in range(len(x)):  # each size between its rate rounded down and up, so as to keep the miss small
             if x[k] > 0:
@@ -114,15 +115,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
                 more = min(max(-copies[k], int(np.floor(miss / x[k] + 0.5))), limit * n[k] - copies[k])
                 copies[k] += more
                 miss -= more * x[k]
-        return pd.DataFrame({"key": keys[0], "size": pdf["size"], "n": n, "copies": copies})
+        return pdf[["key", "size", "n", "source_size", "target"]].assign(copies=copies)
 
-    plan = written(hist.groupBy("key").applyInPandas(rounded, "key string, size long, n long, copies long"), "copies")
+    joined = hist.join(if_small(facts, BROADCAST_SIZES) or facts.hint("merge"), "key")
+    plan = written(joined.groupBy("key").applyInPandas(rounded, "key string, size long, n long, source_size long, target double, copies long"), "copies")
     dealt = slim.join(if_small(plan, BROADCAST_SIZES) or plan.hint("merge"), ["key", "size"])
     whole, extra = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
     even = dealt.where(extra == 0).withColumn("times", whole)
     odd = ranked(dealt.where(extra != 0), ["key", "size"], ["doc_id", "text_hash"], "n", "rank").withColumn("times", whole + (F.col("rank") < extra).cast("long")).drop("rank")
-    facts = spark.createDataFrame([(k, t, float(want[k])) for k, (t, _) in total.items()], "key string, source_size long, target double")
-    return even.unionByName(odd.select(*even.columns)).join(F.broadcast(facts), "key").select("doc_id", "text_hash", "key", "size", "source_size", "target", "times")
+    return even.unionByName(odd.select(*even.columns)).select("doc_id", "text_hash", "key", "size", "source_size", "target", "times")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Recent, Scratch, discard, encoded, mix, small_batches, state, written
+from quern.llm.common import Recent, Scratch, discard, encoded, mix, small_batches, spread_join, state, written
 
 WORDS, THRESHOLD = 5, 85  # per cent
 BANDS, ROWS = 26, 5  # a pair at 0.85 misses all bands with probability (1 - 0.85 ** 5) ** 26 < 4e-7
@@ -164,8 +164,8 @@ def _rare_prefix_pairs(open_docs: DataFrame, scratch: Scratch, texts: DataFrame,
     whole = open_docs.join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id")
     rows = scratch.written(whole.select("id", "component", "text").mapInPandas(explode, "id long, component long, n long, shingle long"), "shingles")
     # a shingle that occurs once joins nothing but takes its place in the prefix: only its count is needed
-    df = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    common = rows.join(df.where("df > 1").hint("merge"), "shingle")
+    df = scratch.written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    common = spread_join(rows, df, "shingle", "df")
     shared = common.groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("by_df"))
     unique = F.col("n") - F.size("by_df")
     room = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - unique
@@ -173,12 +173,14 @@ def _rare_prefix_pairs(open_docs: DataFrame, scratch: Scratch, texts: DataFrame,
     # behind a pair's first common shingle must lie as many as they have to share
     prefix = prefix.select("id", "component", "n", (F.col("n") - F.col("unique") - F.col("k")).alias("behind"), F.col("s.shingle").alias("shingle"))
     prefix = scratch.written(prefix, "prefixes")
-    mixed = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    prefix = prefix.join(mixed.hint("merge"), "shingle")
-    a = prefix.select("shingle", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
-    b = prefix.select("shingle", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("behind").alias("by"))
+    mixed = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("shingle", "rows")
+    # each row meets the rows of its shingle; those of a hot one in as many tasks as it has hundreds of rows
+    prefix = spread_join(prefix, scratch.written(mixed, "shared"), "shingle", "rows", 500)
+    salts = F.ceil(F.col("rows") / 200).cast("int")
+    a = prefix.select("shingle", F.pmod(F.xxhash64("id"), salts.cast("long")).cast("int").alias("salt"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
+    b = prefix.select("shingle", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("behind").alias("by"))
     fits = (100 + threshold) * F.least("bx", "by") >= threshold * (F.col("nx") + F.col("ny"))
-    return a.join(b, "shingle").where((F.col("cx") < F.col("cy")) & fits).select("x", "y").distinct()
+    return a.join(b.hint("merge"), ["shingle", "salt"]).where((F.col("cx") < F.col("cy")) & fits).select("x", "y").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -6,11 +6,12 @@ singular vectors of a labelled sample. The sample's vectors are broadcast; every
 blocked, exact cosine products, and its `NEIGHBOURS` nearest vote for their labels with a weight of their
 similarity. Votes are weighted back to the labels' frequency.
 
-The sample holds at most about `SAMPLE` labelled rows, half of each label where there are enough, chosen by the hash
-of their doc_id; so what is broadcast is bounded by SAMPLE * LATENT numbers. Labels are counted over all rows.
+The sample holds at most `SAMPLE` labelled documents, half of each label where there are enough, those with the least
+hash of doc_id; so what is broadcast is bounded by SAMPLE * LATENT numbers. Labels are counted over all rows.
 
 Defined results: null texts count as empty ones and get a score like any other text; a null doc_id is in neither
-fold; rows that repeat a doc_id in `labels` count as low quality if one of them says so, null labels not at all;
+fold; rows that repeat a doc_id in `labels` count as low quality if one of them says so, labels other than 0 and 1 not at
+all; of rows that repeat a doc_id in the documents, the least text teaches;
 without labels of both kinds the score is the share of label 1 (0.5 without any). Other columns are ignored.
 """
 
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quern.llm.common import encoded, fold, gram_counts, small_batches
 
@@ -86,16 +88,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     empty = Model(np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0, int), np.ones(2), prior)
     if len(count) < 2:
         return empty
-    share = F.when(F.col("label") == 0, sample / 2 / count[0]).otherwise(sample / 2 / count[1])
+    half = sample // 2
+    share = F.when(F.col("label") == 0, (half + 10 * half**0.5) / count[0]).otherwise((half + 10 * half**0.5) / count[1])
     lot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = marks.where(lot < share)  # about `sample` rows at most
+    nth = F.row_number().over(W.partitionBy("label").orderBy("lot", "doc_id"))
+    chosen = marks.withColumn("lot", lot).where(F.col("lot") < share).withColumn("nth", nth).where(F.col("nth") <= half).select("doc_id", "label")  # `sample` rows at most
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = terms([t or "" for t in pdf["text"]]).astype(np.float16)
+            x = terms(list(pdf["text"])).astype(np.float16)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [r.tobytes() for r in x]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInPandas(run, "doc_id long, label int, x binary").collect()
+    rows = taught.mapInPandas(run, "doc_id long, label int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["x"])))
     y = np.array([r["label"] for r in rows], int)
     if len(set(y)) < 2:

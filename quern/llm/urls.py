@@ -2,32 +2,37 @@
 
 Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, give each character's
 probability from the longest contexts seen, blended with all shorter ones. A URL's score is the mean over its
-characters of log p(rejected) - log p(accepted); it is blocked from a threshold on that is calibrated on hosts the
-models have not seen.
+characters of log p(rejected) - log p(accepted); it is blocked from a threshold on.
 
-Training URLs: those whose host has a label that names rejected content (`REJECTED`, fixed words) are the rejected
-ones, all others accepted. Every distinct URL of every host is counted; one of a host with n of them weighs
-1 / sqrt(n), so that hot hosts are damped and none is dropped. The words that chose a host are counted in their
-context like all others, so that the models also know their likes in other hosts. Counts are kept exactly, without
+Hosts fall into `LOTS` lots by their hash, and a URL is always scored by models of the other lots: nothing that it or
+its host has put into the counts speaks for or against it. The same scores of all URLs calibrate the threshold
+(cross-fitting), so the error rates that calibration sees (`Fitted`) are those of the very models that judge.
+
+Training URLs: those whose host has a label that names rejected content (`REJECTED`, fixed words; another set may be
+given) are the rejected ones, all others accepted. Every distinct URL of every host is counted; one of a host with n of them weighs
+1 / sqrt(n), so that hot hosts are damped and none is dropped. Counts are kept exactly, without
 hashing: a Spark table of all distinct runs of ORDERS bytes, from which those of shorter contexts are sums. So each
-run has one log ratio. Up to `BROADCAST_GRAMS` runs are broadcast with it; beyond, the ratios are joins of that
-table, and URLs meet them by a shuffled, salted join.
+run has one log ratio a lot. Up to `BROADCAST_GRAMS` runs are broadcast with them; beyond, the ratios are joins of that
+table, and URLs meet them by a shuffled join that deals frequent runs over salts.
 
 Defined results: null URLs and URLs without `://` have empty host and path, no rule, score 0 and are allowed, as
-nothing speaks against them; the longest fitting rule decides before the models; repeated rows get a row each; a
+nothing speaks against them; URLs with `://` and an empty host count as one host and are judged like others; the longest
+fitting rule decides before the models; repeated rows get a row each; a
 table without rejected or without accepted training URLs gives score 0 and allows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, encoded, if_small, mix, written
+from quern.llm.common import Scratch, encoded, if_small, spread_join, written
 
 #: Rules of the query: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -36,11 +41,10 @@ REJECTED = (
     "ads", "adult", "bet", "bets", "betting", "casino", "cheap", "escort", "gamble", "gambling", "loan", "loans",
     "lottery", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "xxx",
 )
-ORDERS, TABLE, STRENGTH = 6, 1 << 15, 2.0
-FALSE_BLOCKS = 0.005  # share of unseen accepted URLs, by weight, that calibration may block
-BROADCAST_GRAMS, BROADCAST_HOSTS, SALTS, BLOCK = 500_000, 100_000, 16, 1000
+ORDERS, STRENGTH, LOTS = 6, 2.0, 5
+FALSE_BLOCKS = 0.005  # share of accepted URLs, by weight, that calibration may block
+BROADCAST_GRAMS, BROADCAST_HOSTS, BLOCK = 500_000, 100_000, 1000
 ONE, BIN = 1 << 16, 1e-3  # a weight of 1 (weights are whole numbers, so sums don't depend on their order); width of a score's bin
-MODELS = ("fit", "all")  # without the hosts of lot 0; of all hosts
 
 
 def host_of(url: Column) -> Column:
@@ -62,53 +66,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Table places of (context, character) and of the context alone, ORDERS rows a text, a column for each character."""
-    b = np.frombuffer(("\x02" * (ORDERS - 1) + text + "\x03").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-    n = len(b) - (ORDERS - 1)
-    seen, context = np.zeros((ORDERS, n), np.int64), np.zeros((ORDERS, n), np.int64)
-    h = np.zeros(n, np.uint64)
-    for order in range(ORDERS):
-        if order:
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + b[ORDERS - 1 - order : ORDERS - 1 - order + n] + np.uint64(1))
-        size = np.uint64(TABLE - 1)
-        context[order] = (mix(h + np.uint64(order)) & size).astype(np.int64) + order * TABLE
-        seen[order] = (mix(h * np.uint64(0xD6E8FEB86659FD93) + b[ORDERS - 1 :] + np.uint64(order * 1000 + 7)) & size).astype(np.int64) + order * TABLE
-    return seen, context
-
-
-class Markov:
-    """Counts of (context, character) and of contexts, for all orders up to ORDERS - 1, in hashed arrays: the model on a few
-    texts in memory. The query doesn't use it; _ratio() is the same on exact counts."""
-
-    def __init__(self, seen: np.ndarray, context: np.ndarray):
-        self.seen, self.context = seen, context
-
-    def log_probabilities(self, codes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        p = np.full(codes[0].shape[1], 1 / 256)
-        for order in range(ORDERS):  # the longer the context, the later it has its say
-            p = (self.seen[codes[0][order]] + STRENGTH * p) / (np.maximum(self.context[codes[1][order]], self.seen[codes[0][order]]) + STRENGTH)
-        return np.log(p)
-
-
 def _text(url: str) -> str:
     return url.partition("://")[2]
 
 
 def _lot(host: str) -> int:
-    import zlib
+    return zlib.crc32(encoded(host)) % LOTS
 
-    return zlib.crc32(host.encode("utf-8", "surrogatepass")) % 5
 
-
-def labelled(pages: DataFrame) -> DataFrame:
-    """url, host, rejected, weight of every distinct URL with ://; those without a host weigh 0."""
+def labelled(pages: DataFrame, rejected: Iterable[str] = REJECTED) -> DataFrame:
+    """url, host, rejected, weight of every distinct URL with ://."""
     urls = pages.select("url").where(F.col("url").contains("://")).distinct().withColumn("host", host_of(F.col("url")))
     hosts = urls.groupBy("host").agg(F.greatest(F.lit(1), F.round(ONE / F.sqrt(F.count(F.lit(1))))).cast("long").alias("weight"))
-    hosts = hosts.withColumn("weight", F.when(F.col("host") == "", 0).otherwise(F.col("weight")))
     small = if_small(hosts, BROADCAST_HOSTS)
     words = F.split("host", r"[.\-_0-9]+")
-    return urls.join(hosts.hint("merge") if small is None else small, "host").select("url", "host", F.arrays_overlap(words, F.array(*map(F.lit, REJECTED))).alias("rejected"), "weight")
+    return urls.join(hosts.hint("merge") if small is None else small, "host").select("url", "host", F.arrays_overlap(words, F.array(*map(F.lit, rejected))).alias("rejected"), "weight")
 
 
 def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +97,9 @@ def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(train: DataFrame) -> DataFrame:
-    """gram and, for each of MODELS, the weight of accepted (a_) and of rejected (r_) URLs that hold it. All grams of all URLs."""
+    """gram, n (how often in all URLs) and for each lot the weight of accepted (a0, a1, ...) and of rejected (r0, ...) URLs that
+    hold it. All grams of all URLs."""
+    names = [f"{kind}{lot}" for kind in "ar" for lot in range(LOTS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,134 +107,144 @@ def counts(train: DataFrame) -> DataFrame:
                 part = pdf.iloc[start : start + BLOCK]
                 code, sizes = grams(list(part["url"]))
                 found, at = np.unique(code, return_inverse=True)
-                weight, rejected = part["weight"].to_numpy(), part["rejected"].to_numpy(bool)
-                seen = np.array([_lot(h) != 0 for h in part["host"]], bool)
-                out = {"gram": found}
-                for name, model in zip(MODELS, (seen, np.ones(len(part), bool))):
-                    for kind, of in (("a", ~rejected), ("r", rejected)):
-                        out[f"{kind}_{name}"] = np.bincount(at, np.repeat(weight * (model & of), sizes), len(found)).astype(np.int64)
-                yield pd.DataFrame(out)
-
-    names = [f"{kind}_{name}" for name in MODELS for kind in "ar"]
-    rows = train.mapInPandas(run, "gram long, " + ", ".join(f"{n} long" for n in names))
-    return rows.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def _ratio(gram: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
-    """log p(rejected) - log p(accepted) of each gram's last byte after the others; all grams of the models are given."""
-    p = [np.full(len(gram), 1 / 256), np.full(len(gram), 1 / 256)]
-    for order in range(ORDERS):  # the longer the context, the later it has its say
+                column = np.array([_lot(h) for h in part["host"]], np.int64) + LOTS * part["rejected"].to_numpy(np.int64)
+                place = at * len(names) + np.repeat(column, sizes)
+                sums = np.bincount(place, np.repeat(part["weight"].to_numpy(), sizes), len(found) * len(names)).astype(np.int64).reshape(len(found), -1)
+                yield pd.DataFrame({"gram": found, "n": np.bincount(at, minlength=len(found))} | {name: sums[:, k] for k, name in enumerate(names)})
+
+    rows = train.mapInPandas(run, "gram long, n long, " + ", ".join(f"{n} long" for n in names))
+    return rows.groupBy("gram").agg(*[F.sum(n).alias(n) for n in ("n", *names)])
+
+
+def log_ratios(gram: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
+    """log p(rejected) - log p(accepted) of each gram's last byte after the others; all grams of the models are given. Weights are
+    rows of models by grams."""
+    out = []
+    keys = []
+    for order in range(ORDERS):
         key = gram & ((1 << 8 * (order + 1)) - 1)
-        seen, context = np.unique(key, return_inverse=True)[1], np.unique(key >> 8, return_inverse=True)[1]
-        for k, n in enumerate((accepted, rejected)):
-            p[k] = (np.bincount(seen, n)[seen] / ONE + STRENGTH * p[k]) / (np.bincount(context, n)[context] / ONE + STRENGTH)
-    return np.log(p[1]) - np.log(p[0])
+        keys.append((np.unique(key, return_inverse=True)[1], np.unique(key >> 8, return_inverse=True)[1]))
+    for weights in zip(accepted, rejected):
+        p = [np.full(len(gram), 1 / 256), np.full(len(gram), 1 / 256)]
+        for seen, context in keys:  # the longer the context, the later it has its say
+            for k, n in enumerate(weights):
+                p[k] = (np.bincount(seen, n)[seen] / ONE + STRENGTH * p[k]) / (np.bincount(context, n)[context] / ONE + STRENGTH)
+        out.append(np.log(p[1]) - np.log(p[0]))
+    return np.array(out)
 
 
 def _joined_ratios(counted: DataFrame) -> DataFrame:
-    """gram, fit, all: the same in Spark, for tables of any size."""
-    names = [c for c in counted.columns if c != "gram"]
-    rows = counted.select("gram", *[F.lit(1 / 256).alias(n) for n in names])
+    """gram, n, ratio (array, one of each lot): the same in Spark, for tables of any size."""
+    names = [f"{kind}{lot}" for kind in "ar" for lot in range(LOTS)]
+    others = lambda kind, lot: sum((F.col(f"{kind}{k}") for k in range(LOTS) if k != lot), F.lit(0))
+    models = counted.select("gram", "n", *[others(kind, lot).alias(f"{kind}{lot}") for kind in "ar" for lot in range(LOTS)])
+    rows = models.select("gram", *[F.lit(1 / 256).alias(n) for n in names])
     for order in range(ORDERS):
         key = F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1)
         how = "broadcast" if order < 2 else "merge"  # 65,536 rows at most
-        seen = counted.groupBy(key.alias("key")).agg(*[F.sum(n).alias(f"seen_{n}") for n in names])
-        context = counted.groupBy(F.shiftright(key, 8).alias("before")).agg(*[F.sum(n).alias(f"context_{n}") for n in names])
+        seen = models.groupBy(key.alias("key")).agg(*[F.sum(n).alias(f"seen_{n}") for n in names])
+        context = models.groupBy(F.shiftright(key, 8).alias("before")).agg(*[F.sum(n).alias(f"context_{n}") for n in names])
         rows = rows.withColumn("key", key).join(seen.hint(how), "key").withColumn("before", F.shiftright("key", 8)).join(context.hint(how), "before")
         rows = rows.select("gram", *[((F.col(f"seen_{n}") / ONE + STRENGTH * F.col(n)) / (F.col(f"context_{n}") / ONE + STRENGTH)).alias(n) for n in names])
-    return rows.select("gram", *[(F.log(f"r_{name}") - F.log(f"a_{name}")).alias(name) for name in MODELS])
+    ratio = F.array(*[F.log(f"r{lot}") - F.log(f"a{lot}") for lot in range(LOTS)])
+    return rows.select("gram", ratio.alias("ratio")).join(counted.select("gram", "n").hint("merge"), "gram").select("gram", "n", "ratio")
 
 
 class Ratios:
-    """The log ratios of all grams, broadcast if they are few."""
+    """The log ratios of all grams for each lot, broadcast if they are few."""
 
     def __init__(self, counted: DataFrame, most: int):
         self.held = self.table = None
         if counted.limit(most + 1).count() <= most:
             got = counted.orderBy("gram").toArrow()
             column = {n: got[n].to_numpy() for n in got.column_names}
-            values = {name: _ratio(column["gram"], column[f"a_{name}"], column[f"r_{name}"]) for name in MODELS}
-            self.held = counted.sparkSession.sparkContext.broadcast((column["gram"], values))
+            models = [np.array([sum(column[f"{kind}{k}"] for k in range(LOTS) if k != lot) for lot in range(LOTS)]) for kind in "ar"]
+            self.held = counted.sparkSession.sparkContext.broadcast((column["gram"], log_ratios(column["gram"], *models)))
         else:
             self.table = written(_joined_ratios(counted), "ratios")
 
-    def scored(self, rows: DataFrame, name: str) -> DataFrame:
+    def scored(self, rows: DataFrame) -> DataFrame:
         """`rows` (url, ...) with `score`: the mean ratio over the characters; 0 without ://."""
+        lot = F.pmod(F.crc32(host_of(F.col("url"))), F.lit(LOTS)).cast("int")
         if self.held:
             held = self.held
 
             @F.pandas_udf("double")
-            def score(urls: pd.Series) -> pd.Series:
-                out, known, ratio = np.zeros(len(urls)), held.value[0], held.value[1][name]
+            def score(urls: pd.Series, lots: pd.Series) -> pd.Series:
+                out, (known, ratio) = np.zeros(len(urls)), held.value
                 at = np.array([k for k, u in enumerate(urls) if u and "://" in u], np.int64)
+                lots = lots.to_numpy()
                 for start in range(0, len(at), BLOCK):
                     part = at[start : start + BLOCK]
                     code, sizes = grams(list(urls.iloc[part]))
-                    out[part] = np.add.reduceat(ratio[np.searchsorted(known, code)], np.cumsum(sizes) - sizes) / sizes
+                    values = ratio[np.repeat(lots[part], sizes), np.searchsorted(known, code)]
+                    out[part] = np.add.reduceat(values, np.cumsum(sizes) - sizes) / sizes
                 return pd.Series(out)
 
-            return rows.withColumn("score", score("url"))
+            return rows.withColumn("score", score("url", lot))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for start in range(0, len(pdf), BLOCK):
                     part = pdf.iloc[start : start + BLOCK]
                     code, sizes = grams(list(part["url"]))
-                    yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), sizes), "salt": np.repeat(part["salt"].to_numpy(), sizes), "gram": code})
+                    yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), sizes), "lot": np.repeat(part["lot"].to_numpy(), sizes), "gram": code})
 
-        salt = F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")
-        ids = rows.select("url").where(F.col("url").contains("://")).distinct().select("url", F.md5("url").alias("id"), salt.alias("salt"))
-        each = ids.mapInPandas(run, "id string, salt int, gram long")
-        table = self.table.select("gram", F.col(name).alias("ratio"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        scores = each.join(table.hint("merge"), ["gram", "salt"]).groupBy("id").agg(F.avg("ratio").alias("score"))
+        each = rows.select("url").where(F.col("url").contains("://")).distinct().select("url", F.md5("url").alias("id"), lot.alias("lot")).mapInPandas(run, "id string, lot int, gram long")
+        met = spread_join(each, self.table, "gram", "n", 100_000)
+        scores = met.groupBy("id").agg(F.avg(F.element_at("ratio", F.col("lot") + 1)).alias("score"))
         return rows.withColumn("id", F.md5("url")).join(scores.hint("merge"), "id", "left").drop("id").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def fit(pages: DataFrame, most: int = BROADCAST_GRAMS) -> tuple[Ratios | None, float]:
-    """Ratios of all hosts (None if a kind is missing), and the threshold: calibrated with models that haven't seen a fifth of
-    the hosts, on all URLs of that fifth.
+@dataclass
+class Fitted:
+    """The models; the threshold; the shares, by weight, of accepted URLs that it blocks and of rejected ones that it blocks, by
+    models that haven't seen their hosts."""
+
+    ratios: Ratios
+    threshold: float
+    false_blocks: float
+    caught: float
+
 
-    The threshold is the least, in steps of BIN, that blocks at most FALSE_BLOCKS of the weight of the unseen accepted
-    URLs, and no less than the middle between the means of the two kinds.
-    """
+def fit(pages: DataFrame, most: int = BROADCAST_GRAMS, rejected: Iterable[str] = REJECTED) -> Fitted | None:
+    """None if a kind of URLs is missing. The threshold is the least, in steps of BIN, that blocks at most FALSE_BLOCKS of the
+    weight of the accepted URLs, and no less than the middle between the means of the two kinds."""
     scratch = Scratch()
-    train = scratch.written(labelled(pages), "urls")
-    counted = scratch.written(counts(train), "grams")
-    kinds = counted.agg(F.sum("a_all"), F.sum("r_all")).first()
-    if not kinds[0] or not kinds[1]:
+    train = scratch.written(labelled(pages, rejected), "urls")
+    if train.select("rejected").distinct().count() < 2:
         scratch.discard()
-        return None, 0.0
-    ratios = Ratios(counted, most)
-    unseen = train.where((F.pmod(F.crc32("host"), F.lit(5)) == 0) & (F.col("weight") > 0))
-    bins = ratios.scored(unseen, "fit").groupBy("rejected", F.floor(F.col("score") / BIN).alias("bin"))
+        return None
+    ratios = Ratios(scratch.written(counts(train), "grams"), most)
+    bins = ratios.scored(train).groupBy("rejected", F.floor(F.col("score") / BIN).alias("bin"))
     got = bins.agg(F.sum("weight").alias("weight"), F.sum(F.col("score") * F.col("weight")).alias("sum")).collect()  # as many as scores have bins
     scratch.discard()
     weight = {kind: sum(r["weight"] for r in got if r["rejected"] == kind) for kind in (False, True)}
-    mean = {kind: sum(sorted(r["sum"] for r in got if r["rejected"] == kind)) / w for kind, w in weight.items() if w}
-    middle = (mean[False] + mean[True]) / 2 if len(mean) == 2 else 0.0
-    threshold = middle
-    if False in mean:
-        above = 0
-        for r in sorted((r for r in got if not r["rejected"]), key=lambda r: -r["bin"]):
-            above += r["weight"]
-            if above > FALSE_BLOCKS * weight[False]:
-                threshold = max(middle, (r["bin"] + 1) * BIN)
-                break
-    if len(mean) == 2 and threshold > mean[True]:
+    mean = {kind: sum(sorted(r["sum"] for r in got if r["rejected"] == kind)) / w for kind, w in weight.items()}
+    middle = threshold = (mean[False] + mean[True]) / 2
+    above = 0
+    for r in sorted((r for r in got if not r["rejected"]), key=lambda r: -r["bin"]):
+        above += r["weight"]
+        if above > FALSE_BLOCKS * weight[False]:
+            threshold = max(middle, (r["bin"] + 1) * BIN)
+            break
+    if threshold > mean[True]:
         threshold = middle
-    return ratios, float(threshold)
+    share = lambda kind: sum(r["weight"] for r in got if r["rejected"] == kind and (r["bin"] + 0.5) * BIN >= threshold) / weight[kind]
+    return Fitted(ratios, float(threshold), share(False), share(True))
 
 
-def judged(pages: DataFrame, rules=RULES, most: int = BROADCAST_GRAMS) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, most: int = BROADCAST_GRAMS, rejected: Iterable[str] = REJECTED) -> DataFrame:
     """page_id, host, path, rule, verdict, score, threshold for every row of `pages` (page_id, url)."""
-    ratios, threshold = fit(pages, most)
+    fitted = fit(pages, most, rejected)
+    threshold = fitted.threshold if fitted else 0.0
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     text, verdict = rule_of(host, path, rules)
     rows = pages.select("page_id", "url")
-    rows = ratios.scored(rows, "all") if ratios else rows.withColumn("score", F.lit(0.0))
-    rows = rows.select("page_id", host.alias("host"), path.alias("path"), text.alias("rule"), verdict.alias("by_rule"), "score")
-    blocked = (F.col("score") >= threshold) & (F.col("host") != "") if ratios else F.lit(False)
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "score", F.lit(threshold).alias("threshold"))
+    rows = fitted.ratios.scored(rows) if fitted else rows.withColumn("score", F.lit(0.0))
+    blocked = F.col("url").contains("://") & (F.col("score") >= threshold) if fitted else F.lit(False)
+    own = F.coalesce(verdict, F.when(blocked, "block").otherwise("allow"))
+    return rows.select("page_id", host.alias("host"), path.alias("path"), text.alias("rule"), own.alias("verdict"), "score", F.lit(threshold).alias("threshold"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

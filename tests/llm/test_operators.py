@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.llm import chat, html_text, mixing, near_dedup, packing, queries, spotsigs, topk, urls
+from quern.llm import chat, html_text, language, quality, mixing, near_dedup, packing, queries, spotsigs, topk, urls
 from quern.llm.common import fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, component_id long, size long, copies long, rank int, key string, n long"
@@ -110,32 +110,69 @@ def test_urls(spark, tmp_path):
 
 def test_every_url_of_every_host_is_counted(spark):
     hot = [(i, f"http://hot.example.org/page{i}") for i in range(50)]
-    pages = spark.createDataFrame(hot + [(50, "http://casino.example.org/x"), (51, "http://a.example.org/y"), (52, "http:///none"), (53, hot[0][1]), (54, None)], "page_id long, url string")
+    pages = spark.createDataFrame(hot + [(50, "http://casino.example.org/x"), (51, "http://a.example.org/y"), (52, "http:///none"), (53, hot[0][1]), (54, None)] + [(55 + k, f"http://casino.example.{k}/x") for k in range(6)], "page_id long, url string")
     train = {r["url"]: r for r in urls.labelled(pages).collect()}
-    assert set(train) == {u for _, u in hot} | {"http://casino.example.org/x", "http://a.example.org/y", "http:///none"}
-    assert {train[u]["weight"] for _, u in hot} == {round(urls.ONE / 50**0.5)} and train["http://a.example.org/y"]["weight"] == urls.ONE and train["http:///none"]["weight"] == 0
-    want = Counter()
+    assert set(train) == {u for _, u in hot} | {"http://casino.example.org/x", "http://a.example.org/y", "http:///none"} | {f"http://casino.example.{k}/x" for k in range(6)}
+    assert {train[u]["weight"] for _, u in hot} == {round(urls.ONE / 50**0.5)} and train["http://a.example.org/y"]["weight"] == urls.ONE and train["http:///none"]["weight"] == urls.ONE
+    want, often = Counter(), Counter()
     for u, r in train.items():
         b = b"\2" * 5 + u.split("://")[1].encode() + b"\3"
         for k in range(len(b) - 5):
             want[int.from_bytes(b[k : k + 6])] += 0 if r["rejected"] else r["weight"]
-    assert {r["gram"]: r["a_all"] for r in urls.counts(urls.labelled(pages)).collect()} == dict(want)
+            often[int.from_bytes(b[k : k + 6])] += 1
+    counted = urls.counts(urls.labelled(pages)).collect()
+    assert {r["gram"]: sum(r[f"a{lot}"] for lot in range(urls.LOTS)) for r in counted} == dict(want)
+    assert {r["gram"]: r["n"] for r in counted} == often
     small, large = ({r["page_id"]: r for r in urls.judged(pages, most=most).collect()} for most in (10**6, 0))
-    assert small.keys() == large.keys() == set(range(55))
+    assert small.keys() == large.keys() == set(range(61))
     for i in small:
         assert small[i]["verdict"] == large[i]["verdict"] and abs(small[i]["score"] - large[i]["score"]) < 1e-9
     assert small[50]["score"] > 0 > small[0]["score"] and small[54]["score"] == 0
 
 
-def test_markov_probabilities_sum_to_one():
-    seen, context = np.zeros(urls.ORDERS * urls.TABLE), np.zeros(urls.ORDERS * urls.TABLE)
-    for text in ("abab", "abc"):
-        s, c = urls._codes(text)
-        np.add.at(seen, s.ravel(), 1)
-        np.add.at(context, c.ravel(), 1)
-    model = urls.Markov(seen, context)
-    total = sum(np.exp(model.log_probabilities(urls._codes("ab" + chr(b)))[2]) for b in range(1, 128) if chr(b) not in "\x02")
-    assert 0.5 < total <= 1.01
+def test_scores_equal_plain_markov_models_of_the_other_lots(spark):
+    rng = random.Random(4)
+    found = [f"http://{rng.choice(['a', 'bb', 'casino', 'www.pills', 'ccc'])}{rng.randint(0, 9)}.example.{rng.choice(['com', 'org'])}/{rng.choice(['x', 'yy', 'é'])}{k}" for k in range(60)] + ["file:///etc", "http://casino.example.net/a"]
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judged(pages).collect()}
+    hosts = defaultdict(set)
+    for u in set(found):
+        hosts[u.split("://")[1].split("/")[0]].add(u)
+    bad = lambda h: bool(set(re.split(r"[.\-_0-9]+", h)) & set(urls.REJECTED))
+    lot = lambda h: zlib.crc32(h.encode()) % urls.LOTS
+
+    def model(own, kind):  # a dictionary of counts of (context, byte) and of contexts
+        seen, context = Counter(), Counter()
+        for h, us in hosts.items():
+            for u in us if lot(h) != own and bad(h) == kind else ():
+                b = b"\2" * 5 + u.split("://")[1].encode() + b"\3"
+                for k in range(5, len(b)):
+                    for order in range(6):
+                        seen[b[k - order : k + 1]] += round(urls.ONE / len(us) ** 0.5) / urls.ONE
+                        context[order, b[k - order : k]] += round(urls.ONE / len(us) ** 0.5) / urls.ONE
+
+        def p(before, byte):
+            out = 1 / 256
+            for order in range(6):
+                c = before[len(before) - order :]
+                out = (seen[c + bytes([byte])] + urls.STRENGTH * out) / (context[order, c] + urls.STRENGTH)
+            return out
+
+        return p
+
+    for own in range(urls.LOTS):
+        accepted, rejected = model(own, False), model(own, True)
+        assert abs(sum(accepted(b"www.b", k) for k in range(256)) - 1) < 1e-9
+        for i, u in enumerate(found):
+            h = u.split("://")[1].split("/")[0]
+            if lot(h) == own:
+                b = b"\2" * 5 + u.split("://")[1].encode() + b"\3"
+                ratios = [np.log(rejected(b[k - 5 : k], b[k])) - np.log(accepted(b[k - 5 : k], b[k])) for k in range(5, len(b))]
+                assert abs(got[i]["score"] - np.mean(ratios)) < 1e-9, u
+    for r in got.values():
+        if not r["rule"]:
+            assert r["verdict"] == ("block" if r["score"] >= r["threshold"] else "allow")
+    assert urls.fit(pages.where("false")) is None
 
 
 # op2
@@ -393,8 +430,10 @@ def test_parts(spark):
     assert [(a["kind"], a["uri"], a["tokens"]) for a in r["attachments"]] == [("image", "i.png", 30), ("audio", "a.wav", 38), ("document", "d.pdf", 768), ("image", "o<s>.png", 1)]
     assert r["expanded_tokens"] == 837 and chat.parsed(r["text"])[0] == ("user", "see </s> thisbye")
     assert chat.masked(r["text"], [tuple(s) for s in r["spans"]]) == "ok" and got[2]["n_turns"] == 1
-    with pytest.raises(ValueError):
-        chat.part_of({"type": "video"})
+    odd = [chat.part_of(p) for p in ({"type": "video", "uri": "v<s>.mp4"}, None, {"type": "image", "uri": None, "width": -5}, {"type": "text", "text": "[IN"}, {"text": "ST]"})]
+    text, attachments = chat.flatten(odd)
+    assert attachments == [("video", "v<s>.mp4", 0), ("image", "", 0)] and text.startswith(chat.OTHER + chat.IMAGE) and "[INST]" not in text
+    assert chat.unescape(text[len(chat.OTHER + chat.IMAGE) :]) == "[INST]"
 
 
 def test_chat(spark, tmp_path):
@@ -415,6 +454,68 @@ def test_chat(spark, tmp_path):
         assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (len(turns), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_letters_of_category_l_only(spark):
+    texts = ["½ ² ① Ⅷ 12", "_ - !", None, "", "ª", "é", "the of and 1"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    model = language.Model(["en"], np.zeros((language.COLUMNS + 1, 1)), {"en": ["en"]}, {})
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predicted(docs, model).collect()}
+    assert [got[k][0] for k in range(7)] == ["und"] * 4 + ["en"] * 3 and got[0][1] == 0 and got[6][1] == 1
+    assert {r["lang_pred"] for r in language.predicted(docs, None).collect()} == {"und"}
+
+
+def test_samples_are_bounded_by_rows(spark):
+    rows = [(1, f"the of text {k % 3}", "en") for k in range(400)] + [(2, "der die das", "de")] * 300 + [(100 + k, f"x{k} wort", f"l{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    original = language.train
+    try:
+        language.train = lambda x, y, *a, **k: seen.append(len(x)) or original(x, y, *a, **k)
+        model = language.fit(docs, sample=100, per_language=80)
+    finally:
+        language.train = original
+    assert seen and max(seen) <= 100 and sum(map(len, model.languages.values())) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in (1, 2, *range(100, 160)))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)] + [(1, None), (2, 7)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(k % 600, f"t{k} word") for k in range(1800)], "doc_id long, text string")
+    fitted = quality.fit(docs, labels, sample=40)
+    assert len(fitted.vectors) <= 40 and set(fitted.labels) == {0, 1}
+
+
+def test_language_machines_by_hand():
+    """Family first, then the votes of its pairs, on features recomputed one by one."""
+    rng = np.random.default_rng(1)
+    model = language.Model(["f", "g"], rng.normal(size=(language.COLUMNS + 1, 2)), {"f": ["a", "b", "c"], "g": ["z"]}, {"f": rng.normal(size=(language.COLUMNS + 1, 3))})
+    texts = [f"some words {k} of text {'x' * k}" for k in range(40)]
+    got, score = model.predict(texts)
+    for k, t in enumerate(texts):
+        x = np.append(language.features([t])[0], 1.0)
+        margin = [sum(x * model.top[:, j]) for j in range(2)]
+        family = "fg"[int(margin[1] > margin[0])]
+        share = 1 / (1 + np.exp(-4.0 * abs(margin[0] - margin[1])))
+        if family == "g":
+            assert got[k] == "z" and score[k] == pytest.approx(share, rel=1e-5)
+            continue
+        votes, win = Counter(), Counter()
+        for j, (a, b) in enumerate((("a", "b"), ("a", "c"), ("b", "c"))):
+            m = sum(x * model.pairs["f"][:, j])
+            votes[a if m >= 0 else b] += 1
+            win[a] += 1 / (1 + np.exp(-4.0 * np.clip(m, -20, 20)))
+            win[b] += 1 - 1 / (1 + np.exp(-4.0 * np.clip(m, -20, 20)))
+        assert votes[got[k]] == max(votes.values()) and score[k] == pytest.approx(share * win[got[k]] / 2, rel=1e-4)
+
+
+def test_neighbours_vote_by_hand():
+    rng = np.random.default_rng(2)
+    base = [" ".join(rng.choice(["good", "text", "buy", "NOW!!", "xx"], 12)) for _ in range(60)]
+    model = quality.Model(np.ones(quality.terms(["a"]).shape[1], np.float32), rng.normal(size=(quality.terms(["a"]).shape[1], 8)).astype(np.float32), np.zeros((0, 8)), np.arange(60) % 2, np.array([0.4, 1.7]), 0.5)
+    model.vectors = model.latent(base)
+    asked = ["good text buy", "", "NOW!! xx xx"]
+    for text, got in zip(asked, model.score(asked)):
+        z = model.latent([text])[0]
+        cosine = sorted(((float(sum(z * v)), int(y)) for v, y in zip(model.vectors, model.labels)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(c, 1e-6) ** 4 * model.weight[y] for c, y in cosine]
+        assert got == pytest.approx(sum(w for w, (_, y) in zip(weights, cosine) if y) / sum(weights), rel=1e-3)
+
+
 # op8
 
 
@@ -451,13 +552,105 @@ def test_html_templates(spark, tmp_path):
     assert sorted((str(r["page_id"]), r["text"]) for r in salted) == sorted((str(r["page_id"]), r["text"]) for r in got)
 
 
+def test_html_takes_time_in_proportion_to_the_page():
+    n = 10**5
+    pages = {
+        "<p>x</p><a title=" + '"' * 10**6: "x", "<p>x</p><a title=" + '"' * 10**6 + "><p>y</p>": "x\n\ny", "<p>x</p>" + "<a " * n: "x", "<a " * n + ">z": "z", "<p>x</p>" + '<a b="' * n + ">": "x",
+        "<div>" * n + "<nav>MENU</nav><p>deep</p>" + "</div>" * n: "deep", "<i><div>" + "<span>" * n + "</i>" * n + "x": "x", "<p>x" + "<!--" * n: "x", "<p>x</p>" + "</" * n: "x", "<title>" + "</title " * n: "",
+        "<a" + " " * 10**6 + "=x>z": "z", "<p>x</p>" + "<a '\">" * n: None, "<script>" * n: "",
+    }
+    for text, want in pages.items():
+        root = html_text.parse(text)
+        html_text.hashed(root, [])
+        got = "\n\n".join(html_text.blocks(root))
+        assert want is None or got == want, text[:30]
+
+
+def test_html_odd_tags_and_comments():
+    text = lambda h, **k: html_text.main_text(h, **k)[0]
+    assert text('<article><p>a</p></article><article class="comment"><p>reader says</p></article>') == "a"
+    assert text("<article><p>a</p><div id=comments><article><p>reader</p></article></div></article>") == "a"
+    assert text('<p title="a class=ad b">x</p><p class = "big" /><p data-x=\'class="nav"\'>y</p>') == "x\n\ny"
+    assert text('<p title="it\'s > that">x</p><b foo"bar>y</b>') == "x\n\ny"
+    assert text("a <b") == "a" and text("x<![CDATA[ y ]]>z") == "x y z" and text("<?php no ?>x</ no>y<!doctype>z") == "xyz"
+    assert text('<div class="ad">buy</div><p>x</p>', words=False) == "buy\n\nx" and text('<div class="ad">buy</div><p>x</p>') == "x"
+    assert text('<div class="comments">c</div><p hidden>h</p><div role="search">s</div><p>x</p>', words=False) == "x"
+
+
+def test_html_templates_equal_a_plain_count(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(html_text, "_WORDS", frozenset())
+    rng = random.Random(12)
+    chrome = [f'<div class="x{k}"><ul><li>link {k}</li><li>{k}</li></ul></div>' for k in range(8)]
+    bodies = [f"<article><h1>T{k}</h1><p>Said {k}</p>{'<div>box</div>' if k % 3 else ''}<p>Always</p></article>" for k in range(40)]
+    rows = []
+    for i in range(160):  # one host of many pages, one of few; articles under several addresses
+        host = "a.example.com" if i < 140 else f"h{i % 7}.example.org"
+        rows.append((i, f"http://{host}/{i}", f"<body>{rng.choice(chrome)}<p>note {i}</p>{bodies[i % 40]}{rng.choice(chrome)}<section>{rng.choice(chrome)}<p>tail {i % 50}</p></section></body>"))
+    counts, articles = defaultdict(lambda: defaultdict(set)), defaultdict(set)
+    subtrees = re.compile(r"(?=(<(div|ul|li|p|section)[ >].*?</\2>))")  # chrome has no two elements of a tag inside each other but for div
+    for i, url, page in rows:
+        host, article = url.split("/")[2], re.search("<article>.*</article>", page)[0]
+        articles[host].add(article)
+        for part in {m[1] for m in subtrees.finditer(page.replace(article, "|"))}:
+            counts[host][part].add(article)
+    d = folder(spark, tmp_path, pages=([(*r, 1) for r in rows], "page_id long, url string, html string, n_deleted int"))
+    got = {r["page_id"]: r for r in html_text.extracted(spark.read.parquet(f"{d}/pages.parquet")).collect()}
+    large = {r["page_id"]: r for r in html_text.extracted(spark.read.parquet(f"{d}/pages.parquet"), most=0).collect()}
+    assert got == large
+    for i, url, page in rows:
+        host, article = url.split("/")[2], re.search("<article>.*</article>", page)[0]
+        often = [p for p, a in counts[host].items() if len(a) >= html_text.MIN_PAGES]
+        rest, deleted = page.replace(article, "|"), 0
+        for part in sorted(often, key=len, reverse=True):
+            deleted += rest.count(part)
+            rest = rest.replace(part, "")
+        # boxes in articles are template where enough different articles hold them
+        boxed = sum("<div>box" in a for a in articles[host])
+        box = "<div>box" in article and boxed >= 3 and boxed >= html_text.MIN_SHARE * len(articles[host])
+        assert got[i]["n_deleted"] == deleted + box, (i, got[i]["n_deleted"], deleted, box)
+        said = re.findall(r"<(?:h1|p|div)>(.*?)</", article)
+        assert got[i]["text"] == "\n\n".join(x for x in said if not (box and x == "box"))
+
+
 # op9
 
 
-def test_targets():
-    got = mixing.targets({"b": 10, "a": 100, None: 1000, "c": 90})
-    assert got["a"] == pytest.approx(300) and got["b"] == pytest.approx(30) and got["c"] == pytest.approx((1200 - 330) / 6) and got[None] == pytest.approx((1200 - 330) * 5 / 6)
-    assert sum(got.values()) == pytest.approx(1200) and mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
+def shares(sizes, weights=(5, 2, 1), limit=3):
+    """The targets by the rule's own words: held sources leave the rest to the others, again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    held = {}
+    while True:
+        rest, whole = sum(sizes.values()) - sum(held.values()), sum(weight[s] for s in names if s not in held)
+        over = [s for s in names if s not in held and rest * weight[s] / whole > limit * sizes[s]]
+        if not over:
+            return held | {s: rest * weight[s] / whole for s in names if s not in held}
+        held |= {s: limit * sizes[s] for s in over}
+
+
+def test_targets(spark):
+    rng = random.Random(6)
+    for sizes in ({"b": 10, "a": 100, None: 1000, "c": 90}, {}, {"a": 0}, {"a": 0, "b": 7}, {f"s{k}": int(rng.lognormvariate(6, 3)) for k in range(300)} | {None: 5}):
+        df = spark.createDataFrame([("n" if s is None else "s" + s, t) for s, t in sizes.items()], "key string, tokens long")
+        got = {None if r["key"] == "n" else r["key"][1:]: (r["source_size"], r["target"]) for r in mixing.targets(df).collect()}
+        want = shares(sizes)
+        assert got.keys() == want.keys() and all(got[s] == (sizes[s], pytest.approx(want[s], rel=1e-9)) for s in want)
+
+
+def test_tilt_solves_the_dual():
+    rng = np.random.default_rng(3)
+    for goal_share in (0.05, 0.6, 0.99, 1.0, 1.4, 2.5, 2.99, 3.0, 0.0):
+        x, n = np.unique(rng.lognormal(4, 1.5, 400).astype(int) + 1).astype(float), None
+        n = rng.integers(1, 30, len(x))
+        whole = float((x * n).sum())
+        mass = lambda lam: float((n * x * mixing.rates(x, lam, 3.0)).sum())
+        lam = mixing.tilt(x, n, goal_share * whole, 3.0)
+        assert mass(lam) == pytest.approx(goal_share * whole, rel=1e-6)
+        if np.isfinite(lam) and lam:  # bisection finds the same multiplier
+            low, high = -50.0, 50.0
+            for _ in range(200):
+                low, high = (low, (low + high) / 2) if mass((low + high) / 2) > goal_share * whole else ((low + high) / 2, high)
+            assert mass(low) == pytest.approx(mass(lam), rel=1e-6)
 
 
 def test_mixing(spark, docs_dir):
@@ -468,7 +661,7 @@ def test_mixing(spark, docs_dir):
     source = Counter()
     for r in rows:
         source[r[3]] += size(r[1])
-    want = mixing.targets(dict(source))
+    want = shares(dict(source))
     by_target = defaultdict(int)
     for r in got:
         assert r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
