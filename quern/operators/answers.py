@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 
 from quern.functions.text import mostly_arabic, normalize, strip_tags
 from quern.operators import decision, dense, fusion, lexical
+from quern.operators.sizes import if_small
+from quern.sources.scratch import written
 
 ALTERNATIVES, LEAST_ALTERNATIVE = 3, 0.05
 
@@ -28,7 +30,7 @@ def translation(records: DataFrame, credits: DataFrame, lang: Column) -> DataFra
     rows = records.withColumn("_lang", lang).withColumn("_text", F.when((F.col("_lang") != "ar") & ((F.col("_lang") == "ur") | ~mostly_arabic(text)), F.nullif(text, F.lit(""))))
     c = credits.select(F.col("kind").alias("_k"), F.col("lang").alias("_l"), F.col("collection_key").alias("_c"), "author")
     on = (F.col("kind") == F.col("_k")) & (F.col("_lang") == F.col("_l")) & ((F.col("kind") == "ayah") | (F.col("collection_key") == F.col("_c")))
-    joined = rows.join(F.broadcast(c), on, "left")
+    joined = rows.join(if_small(c), on, "left")
     author = F.when(~F.col("author").isin("", "Unknown"), F.col("author"))
     shown = F.when(F.col("_text").isNotNull(), F.struct(F.col("_lang").alias("lang"), strip_tags(F.col("_text")).alias("text"), author.alias("translator")))
     return joined.withColumn("translation", shown).drop("_lang", "_text", "_k", "_l", "_c", "author")
@@ -89,14 +91,21 @@ def packed_requests(groups: DataFrame, budget: int, overhead: int = 0) -> DataFr
     return groups.select("query_id", F.col("group_id").cast("long").alias("group_id"), F.col("tokens").cast("long").alias("tokens")).groupBy("query_id").applyInPandas(run, "query_id long, group_id long, request long")
 
 
+def hybrid_pool(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 400, w_dense: float = fusion.DENSE, w_lexical: float = fusion.LEXICAL) -> DataFrame:
+    """query_id, doc_id, dense, lexical, score: the k best of each retriever over all documents, fused. `queries`: query_id, text (its
+    literal words); `query_vectors`: query_id, v; `vectors`: doc_id, v. One pass over the vectors, one over the documents."""
+    found, summed = dense.cosine_pool(query_vectors, vectors, k)
+    scores = written(lexical.bm25(queries, docs), "lexical")
+    return fusion.weighted_z(found, summed, lambda pairs: dense.pair_scores(pairs, query_vectors, vectors), scores, docs.count(), k, w_dense, w_lexical)
+
+
 def hybrid_search(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 12, w_dense: float = fusion.DENSE, w_lexical: float = fusion.LEXICAL) -> DataFrame:
     """query_id, doc_id, rank, score. Weights of 0 switch a retriever off without running it."""
     if w_dense == 0:
         return lexical.top(lexical.bm25(queries, docs), k)
-    scores = dense.cosine_scores(query_vectors, vectors)
     if w_lexical == 0:
-        return lexical.top(scores, k)
-    fused = fusion.weighted_z(scores, lexical.bm25(queries, docs), docs.count(), 400, w_dense, w_lexical)
+        return lexical.top(dense.cosine_scores(query_vectors, vectors, k), k)
+    fused = hybrid_pool(queries, docs, query_vectors, vectors, 400, w_dense, w_lexical)
     return lexical.top(fused, k, digits=5).select("query_id", "doc_id", "rank", "score")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import grades, parse
 from quern.functions.text import clean_display, muslim_citation, normalize, surface_text
 from quern.operators.tables import misaligned
+from quern.operators.sizes import if_small
 
 LEAST_SURFACE = 8
 VERSE_GRADE = "قرآن كريم"
@@ -35,7 +36,7 @@ def verses(shown: DataFrame, matched: DataFrame, chapters: DataFrame, translated
     wrong = chapters.join(seen, "id", "full_outer").where(~F.coalesce(F.col("n") == F.col("verses"), F.lit(False)))
     if wrong.limit(1).count():
         raise ValueError(f"chapters with another number of verses: {wrong.take(5)}")
-    rows = shown.join(matched.select("chapter", "verse", F.col("text").alias("match")), ["chapter", "verse"]).join(F.broadcast(chapters.select(F.col("id").alias("chapter"), "name")), "chapter")
+    rows = shown.join(matched.select("chapter", "verse", F.col("text").alias("match")), ["chapter", "verse"]).join(if_small(chapters.select(F.col("id").alias("chapter"), "name")), "chapter")
     rows = rows.join(translated, ["chapter", "verse"], "left")
     ref = F.concat_ws(": ", "name", "verse")
     return rows.select(

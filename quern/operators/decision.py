@@ -24,22 +24,25 @@ def groups(ranked: DataFrame, size: int = GROUP, by: str = "query_id", order: st
     return ranked.withColumn("group_id", F.floor(nth / size)).withColumn("option", F.concat(F.lit("c"), (nth % size).cast("string")))
 
 
-def choice(grouped: DataFrame, logit: Column, no_match: float = 0.0, by: tuple[str, ...] = ("query_id", "group_id")) -> DataFrame:
-    """Adds p (share of the option in its group, with a no_match option of constant logit) and p_none."""
+def choice(grouped: DataFrame, logit: Column, no_match: float = 0.0, by: tuple[str, ...] = ("query_id", "group_id"), silent: Column | None = None) -> DataFrame:
+    """Adds p (share of the option in its group, with a no_match option of constant logit) and p_none. `silent`: how many options of
+    the group have no row because the judge says nothing of them, a logit of 0."""
     w = W.partitionBy(*by)
     e = F.exp(logit)
-    whole = F.sum(e).over(w) + F.exp(F.lit(no_match))
+    whole = F.sum(e).over(w) + F.exp(F.lit(no_match)) + (F.lit(0.0) if silent is None else silent - F.count(F.lit(1)).over(w))
     return grouped.withColumns({"p": e / whole, "p_none": F.exp(F.lit(no_match)) / whole})
 
 
 def winners(chosen: DataFrame, by: tuple[str, ...] = ("query_id", "group_id"), runner_up: float | None = None, digits: int = 9) -> DataFrame:
-    """The best option of each group unless no_match beats it; with `runner_up`, also the second if it has so much."""
-    nth = F.row_number().over(W.partitionBy(*by).orderBy(F.round("p", digits).desc(), "rank"))
-    out = chosen.withColumn("nth", nth)
-    first = (F.col("nth") == 1) & (F.round("p", digits) >= F.round("p_none", digits))
+    """The best option of each group unless no_match beats it; with `runner_up`, also the second if it has so much. A group that
+    no_match has won sends nobody on."""
+    place = W.partitionBy(*by).orderBy(F.round("p", digits).desc(), "rank")
+    best = F.max(F.round("p", digits)).over(W.partitionBy(*by))
+    out = chosen.withColumns({"nth": F.row_number().over(place), "_won": best >= F.round("p_none", digits)}).where("_won").drop("_won")
+    goes_on = F.col("nth") == 1
     if runner_up is not None:
-        first = first | ((F.col("nth") <= 2) & (F.col("p") >= runner_up) & (F.col("nth") == 2))
-    return out.where(first)
+        goes_on = goes_on | ((F.col("nth") == 2) & (F.col("p") >= runner_up))
+    return out.where(goes_on)
 
 
 def finalists(won: DataFrame, most: int = FINALISTS, digits: int = 9) -> DataFrame:
@@ -64,23 +67,40 @@ def family_probability(final: DataFrame, family: DataFrame) -> DataFrame:
     return chosen.join(sums, "query_id", "left").select("query_id", "doc_id", "p", (F.col("p") + F.coalesce("more", F.lit(0.0))).alias("p_family"))
 
 
-def knockout(ranked: DataFrame, judge_logit: Column, cut, first: int = 20, later: int = 12, final: int = 12, no_match: float = 0.0) -> DataFrame:
-    """Rounds of groups until at most `final` candidates a query are left; runners-up go on as well.
+def knockout(judged: DataFrame, texts: int, judge_logit: Column, cut, first: int = 20, later: int = 12, final: int = 12, no_match: float = 0.0) -> DataFrame:
+    """query_id, doc_id, place, p, round: who is left of all texts after rounds of groups; runners-up go on as well.
 
-    `cut` stores a round's survivors and returns them read back. Stops when a round takes no query further.
+    `judged`: query_id, doc_id, place of the text in the corpus' fixed order (from 0, of `texts` in all) and what the judge
+    needs; texts without a row have a logit of 0 (`no_match` must be more, so none of them wins). Round one takes groups
+    of `first` in that order; later ones groups of `later` by falling probability, until at most `final` are left; a round that
+    takes nobody out ends it, too. `cut` stores a round's survivors and returns them read back; rounds are few, as each
+    leaves at most two of a group.
     """
-    size, alive, last = first, ranked, None
+    names = [c for c in judged.columns if c not in ("p", "round")]
+    group = F.floor(F.col("place") / first)
+    size = F.least(F.lit(first), F.lit(texts) - group * first)
+    won = winners(choice(judged.select(*names, group.alias("group_id"), F.col("place").alias("rank")), judge_logit, no_match, silent=size), runner_up=RUNNER_UP)
+    alive, number = cut(won.select(*names, "p", F.lit(1).alias("round"))), 1
+    by_p = W.partitionBy("query_id").orderBy(F.round("p", 9).desc(), "place")
     while True:
-        w = W.partitionBy("query_id")
-        counted = alive.withColumn("alive", F.count(F.lit(1)).over(w))
-        state = counted.agg(F.max("alive"), F.count(F.lit(1))).first()
-        if state[0] is None or state[0] <= final or last == state[1]:
-            return alive
-        last = state[1]
-        done, more = counted.where(F.col("alive") <= final).drop("alive"), counted.where(F.col("alive") > final).drop("alive")
-        won = winners(choice(groups(more, size), judge_logit, no_match), runner_up=RUNNER_UP)
-        alive = cut(done.select(*ranked.columns).unionByName(won.select(*ranked.columns)))
-        size = later
+        counted = alive.withColumn("alive", F.count(F.lit(1)).over(W.partitionBy("query_id")))
+        more = counted.where((F.col("alive") > final) & (F.col("round") == number))
+        if not more.limit(1).count():
+            return alive.select("query_id", "doc_id", "place", "p", "round")
+        number += 1
+        ranked = more.withColumn("rank", F.row_number().over(by_p))
+        won = winners(choice(groups(ranked.drop("p"), later), judge_logit, no_match), runner_up=RUNNER_UP)
+        won = won.withColumn("left", F.count(F.lit(1)).over(W.partitionBy("query_id"))).withColumn("nth", F.row_number().over(by_p))
+        stuck = F.col("left") >= F.col("alive")
+        # a query that loses nobody is cut to `final` and stays as it is
+        won = won.where(~stuck | (F.col("nth") <= final)).select(*names, "p", F.lit(number).alias("round"))
+        alive = cut(counted.where((F.col("alive") <= final) | (F.col("round") < number - 1)).select(*names, "p", "round").unionByName(won))
+
+
+def same_report(a: Column, b: Column, least: float = 0.60, tokens: int = 5) -> Column:
+    """Whether two arrays of distinct words are copies of one report: the same ones, or enough of the smaller in the larger."""
+    small = F.least(F.size(a), F.size(b))
+    return (F.size(F.array_intersect(a, b)) >= least * small) & ((small >= tokens) | ((small >= 2) & (F.size(a) == F.size(b)) & (F.size(F.array_except(a, b)) == 0)))
 
 
 def listed(relevance: DataFrame, most: int = MOST_LISTED, least: float = RELEVANT) -> DataFrame:

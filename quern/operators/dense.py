@@ -1,4 +1,4 @@
-"""Dense search: cosine of few queries against all vectors, in blocks."""
+"""Dense search: cosine of a set of queries against all vectors, in blocks."""
 
 from __future__ import annotations
 
@@ -9,26 +9,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import vectors as fv
+from quern.sources.scratch import written
+
 BLOCK_QUERIES = 4096
 
 
 def cosine_scores(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
-    """query_id, doc_id, score of queries (query_id, v) against vectors (doc_id, v); the k best of each batch, if given.
+    """query_id, doc_id, score of queries (query_id, v) against vectors (doc_id, v); the k best of each batch, if given."""
+    return _found(queries, vectors, k).where("doc_id is not null").select("query_id", "doc_id", "score")
+
+
+def cosine_pool(queries: DataFrame, vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, doc_id, score of what may be among the k best; query_id, s, ss, n: sum, sum of squares and number of all
+    scores), from one pass over the vectors, without a row for each query and vector."""
+    found = written(_found(queries, vectors, k), "cosines")
+    sums = found.where("doc_id is null").groupBy("query_id").agg(F.sum("score").alias("s"), F.sum("ss").alias("ss"), F.sum("n").alias("n"))
+    return found.where("doc_id is not null").select("query_id", "doc_id", "score"), sums
+
 
-    Queries are a set of a stated size: beyond BLOCK_QUERIES they are taken in blocks, each a scan of the vectors.
+def _found(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame:
+    """Scores, and with doc_id null a batch's sum, sum of squares and number of scores.
+
+    Queries are dealt by a hash into blocks of about BLOCK_QUERIES; only one block at a time is on the driver and broadcast, each
+    block scans the vectors once.
     """
-    ids = sorted(r[0] for r in queries.select("query_id").collect())
+    count = queries.count()
+    if count <= BLOCK_QUERIES:
+        return _block(queries, vectors, k)
+    blocks = -(-count // BLOCK_QUERIES)
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     out = None
-    for start in range(0, max(1, len(ids)), BLOCK_QUERIES):
-        block = ids[start : start + BLOCK_QUERIES]
-        own = queries if len(ids) <= BLOCK_QUERIES else queries.where((F.col("query_id") >= block[0]) & (F.col("query_id") <= block[-1]))
-        part = _block(own, vectors, k)
+    for number in range(blocks):
+        part = written(_block(dealt.where(F.col("block") == number), vectors, k), "block")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _block(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame:
-    rows = queries.select("query_id", "v").collect()
+    rows = queries.select("query_id", "v").collect()  # one block of queries
     q_ids = np.array([r[0] for r in rows], np.int64)
     q = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -37,17 +56,24 @@ def _block(queries: DataFrame, vectors: DataFrame, k: int | None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, m = held.value
         for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            v = np.stack(pdf["v"].to_list()).astype(np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            s, d = m @ v.T, pdf["doc_id"].to_numpy()
-            if k is None or k >= len(d):
-                yield pd.DataFrame({"query_id": np.repeat(ids, len(d)), "doc_id": np.tile(d, len(ids)), "score": s.ravel()})
-            else:
-                # ties at the k-th place stay: the final cut orders them by id
-                least = np.partition(s, len(d) - k, 1)[:, len(d) - k]
-                i, j = np.nonzero(s >= least[:, None] - 1e-6)
-                yield pd.DataFrame({"query_id": ids[i], "doc_id": d[j], "score": s[i, j]})
-
-    return vectors.select("doc_id", "v").mapInPandas(run, "query_id long, doc_id long, score double")
+            for start in range(0, len(pdf) if len(ids) else 0, 2048):
+                part = pdf.iloc[start : start + 2048]
+                v = np.stack(part["v"].to_list()).astype(np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                s, d = m @ v.T, part["doc_id"].to_numpy(np.int64)
+                if k is None or k >= len(d):
+                    yield pd.DataFrame({"query_id": np.repeat(ids, len(d)), "doc_id": np.tile(d, len(ids)), "score": s.ravel(), "ss": 0.0, "n": 0})
+                else:
+                    # ties at the k-th place stay: the final cut orders them by id
+                    least = np.partition(s, len(d) - k, 1)[:, len(d) - k]
+                    i, j = np.nonzero(s >= least[:, None] - 1e-6)
+                    yield pd.DataFrame({"query_id": ids[i], "doc_id": d[j], "score": s[i, j], "ss": 0.0, "n": 0})
+                yield pd.DataFrame({"query_id": ids, "doc_id": pd.array([None] * len(ids), "Int64"), "score": s.sum(1), "ss": (s * s).sum(1), "n": len(d)})
+
+    return vectors.select("doc_id", "v").mapInPandas(run, "query_id long, doc_id long, score double, ss double, n long")
+
+
+def pair_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of the pairs (query_id, doc_id) for which both have a vector."""
+    rows = pairs.join(queries.select("query_id", F.col("v").alias("_q")), "query_id").join(vectors.select("doc_id", F.col("v").alias("_d")), "doc_id")
+    return rows.select("query_id", "doc_id", fv.cosine(F.col("_q"), F.col("_d")).alias("score"))

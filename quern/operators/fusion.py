@@ -9,25 +9,34 @@ from pyspark.sql import Window as W
 DENSE, LEXICAL, BOOST, RRF_K = 0.70, 0.30, 0.10, 60
 
 
-def moments(scores: DataFrame, n: Column | None = None) -> DataFrame:
-    """query_id, mean, sd over all `n` documents of the surface; those without a row score 0. n null: as many as rows."""
-    count = n if n is not None else F.count(F.lit(1))
-    own = scores.groupBy("query_id").agg(F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss"), count.alias("n"))
-    mean = F.col("s") / F.col("n")
-    return own.select("query_id", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)).alias("sd"))
+def sums(scores: DataFrame) -> DataFrame:
+    """query_id, s, ss, n: sum, sum of squares and number of scores."""
+    return scores.groupBy("query_id").agg(F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss"), F.count(F.lit(1)).alias("n"))
+
+
+def moments(summed: DataFrame, n: int | None = None) -> DataFrame:
+    """query_id, mean, sd of sums(); over `n` documents if given, those without a score counting as 0."""
+    count = F.col("n") if n is None else F.lit(n)
+    mean = F.col("s") / count
+    return summed.select("query_id", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / count - mean * mean)).alias("sd"))
 
 
 def z(score: Column, mean: Column, sd: Column) -> Column:
     return F.when(sd > 0, (score - mean) / sd).otherwise(0.0)
 
 
-def weighted_z(dense: DataFrame, lexical: DataFrame, n_lexical: int, k: int = 400, w_dense: float = DENSE, w_lexical: float = LEXICAL) -> DataFrame:
-    """query_id, doc_id, dense, lexical, score: the k best of either retriever, fused by z-scores over the whole surface."""
+def weighted_z(dense: DataFrame, dense_sums: DataFrame, cosine_of, lexical: DataFrame, n_lexical: int, k: int = 400, w_dense: float = DENSE, w_lexical: float = LEXICAL) -> DataFrame:
+    """query_id, doc_id, dense, lexical, score: the k best of either retriever, fused by z-scores over the whole surface; a score
+    that a text doesn't have is 0.
+
+    `dense` and `dense_sums`: the best and the sums of all, as from dense.cosine_pool(); `cosine_of`: from pairs (query_id,
+    doc_id) to their scores; `n_lexical`: how many documents the lexical retriever has.
+    """
     from quern.operators.lexical import top
 
     pool = top(dense, k).select("query_id", "doc_id").union(top(lexical.where("score > 0"), k).select("query_id", "doc_id")).distinct()
-    d, l = moments(dense), moments(lexical, F.lit(n_lexical))  # noqa: E741
-    both = pool.join(dense.withColumnRenamed("score", "dense"), ["query_id", "doc_id"], "left").join(lexical.withColumnRenamed("score", "lexical"), ["query_id", "doc_id"], "left")
+    d, l = moments(dense_sums), moments(sums(lexical), n_lexical)  # noqa: E741
+    both = pool.join(cosine_of(pool).withColumnRenamed("score", "dense"), ["query_id", "doc_id"], "left").join(lexical.withColumnRenamed("score", "lexical"), ["query_id", "doc_id"], "left")
     both = both.join(d.select("query_id", F.col("mean").alias("dm"), F.col("sd").alias("ds")), "query_id", "left").join(l.select("query_id", F.col("mean").alias("lm"), F.col("sd").alias("ls")), "query_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = w_dense * z(zero("dense"), zero("dm"), zero("ds")) + w_lexical * z(zero("lexical"), zero("lm"), zero("ls"))

@@ -24,11 +24,12 @@ def words(text: Column) -> Column:
 
 
 def term_statistics(docs: DataFrame, tokenize: Tokenize = words) -> DataFrame:
-    """term, df, cf, idf over all documents (doc_id, text)."""
+    """term, df, cf, idf over all documents (doc_id, text): one explode and one shuffle give both counts."""
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    own = docs.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    every = docs.select(F.explode(tokenize(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    return own.join(every, "term").crossJoin(F.broadcast(n)).select("term", "df", "cf", idf(F.col("n"), F.col("df")).alias("idf"))
+    w = tokenize(F.col("text"))
+    own = docs.select(F.explode(w).alias("term"), F.lit(0).alias("d")).unionAll(docs.select(F.explode(F.array_distinct(w)).alias("term"), F.lit(1).alias("d")))
+    both = own.groupBy("term").agg(F.count_if(F.col("d") == 1).alias("df"), F.count_if(F.col("d") == 0).alias("cf"))
+    return both.crossJoin(F.broadcast(n)).select("term", "df", "cf", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -52,6 +53,35 @@ def bm25(queries: DataFrame, docs: DataFrame, tokenize: Tokenize = words, k1: fl
     return weighed.join(small(by_term), "term").select(F.explode("asks").alias("query_id"), "doc_id", "s").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
 
 
+def containing(docs: DataFrame, passages: DataFrame, width: int = 3) -> DataFrame:
+    """query_id, doc_id of the documents (doc_id, text) whose text holds a passage (query_id, text) as it is.
+
+    Passages meet documents by equality: all runs of `width` blank-separated words of a document, hashed, against one run of a
+    passage that is sure to be whole words in any text around it; passages of fewer whole words by one whole word, the
+    others, of no whole word, by a nested loop of their own. Then the texts themselves decide.
+    """
+    parts = F.split(F.col("text"), " ")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))  # the first and last word may go on in the text around
+    rows = passages.where(F.col("text").isNotNull()).withColumn("inner", inner).withColumn("n", F.least(F.size("inner"), F.lit(width)))
+    run = lambda words, n: F.xxhash64(F.array_join(words, " "), n)
+    keyed = rows.where("n > 0").select("query_id", F.col("text").alias("_passage"), "n", run(F.slice("inner", F.lit(1), F.col("n")), F.col("n")).alias("key"))
+    small = F.broadcast if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+    sizes = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # 1 to `width`
+    words = docs.select("doc_id", F.split("text", " ").alias("w"))
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: run(F.slice("w", i, F.lit(n)), F.lit(n)))
+        return F.when(F.size("w") >= n, every).otherwise(F.array().cast("array<bigint>"))
+
+    keys = [runs(n) for n in sizes]
+    empty = docs.select(F.lit(None).cast("long").alias("query_id"), "doc_id", F.lit(None).cast("string").alias("_passage")).where("false")
+    pairs = words.select("doc_id", F.explode_outer(F.array_distinct(F.concat(*keys))).alias("key")).join(small(keyed), "key").select("query_id", "doc_id", "_passage").distinct() if keys else empty
+    loose = rows.where("n = 0").select("query_id", F.col("text").alias("_passage"))
+    if loose.limit(1).count():
+        pairs = pairs.unionByName(docs.join(F.broadcast(loose) if loose.limit(1001).count() <= 1000 else loose, F.col("text").contains(F.col("_passage"))).select("query_id", "doc_id", "_passage"))
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("_passage"))).select("query_id", "doc_id").distinct()
+
+
 def top(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:
     """Adds rank; the k best by rounded score, ties to the smaller id."""
     order = W.partitionBy(by).orderBy(F.round(score, digits).desc(), tie)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from quern.functions.parse import CITED
 from quern.functions.text import last_number, normalize, tokens, western_digits
+from quern.operators.sizes import if_small
 
 MOST_VERSES = 20
 # Words that may stand around a reference without changing it, words for a chapter, names of books.
@@ -46,7 +47,7 @@ def named(parsed_queries: DataFrame, names: DataFrame, filler: list[str]) -> Dat
     """query_id, value: the longest name (array of at most 3 words) in the rest of a query around which all is filler."""
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("rest"), F.lit(1))), lambda i: i + n - 1 <= F.size("rest")), lambda i: F.struct(n.alias("n"), i.alias("i"), F.array_join(F.slice("rest", i, n), " ").alias("name"), F.concat(F.slice("rest", F.lit(1), i - 1), F.slice("rest", i + n, F.size("rest"))).alias("around")))))
     tries = parsed_queries.where(F.size("rest") > 0).select("query_id", F.explode(spans).alias("s")).select("query_id", "s.*").where(F.size(F.array_except("around", _words(filler))) == 0)
-    hits = tries.join(F.broadcast(names), "name")
+    hits = tries.join(if_small(names), "name")
     order = W.partitionBy("query_id").orderBy(F.col("n").desc(), "i", "value")
     return hits.withColumn("k", F.row_number().over(order)).where("k = 1").select("query_id", "value")
 
@@ -99,5 +100,5 @@ def named_chapter(queries: DataFrame, records: DataFrame, request_words: list[st
     tries = rows.select("query_id", "w", "at", F.explode(F.array(F.lit(2), F.lit(1))).alias("n")).where(F.size("w") >= F.col("at") + F.col("n"))
     around = F.concat(F.slice("w", F.lit(1), F.col("at") - 1), F.slice("w", F.col("at") + F.col("n") + 1, F.size("w")))
     tries = tries.select("query_id", "n", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("name"), around.alias("around")).where(F.size(F.array_except("around", _words([*NAMED_FILLER, *request_words]))) == 0)
-    hit = tries.join(F.broadcast(chapter_names(records)), "name").groupBy("query_id").agg(F.max_by("value", "n").alias("surah"))
+    hit = tries.join(if_small(chapter_names(records)), "name").groupBy("query_id").agg(F.max_by("value", "n").alias("surah"))
     return hit.join(records.where("kind = 'ayah'").select("id", "surah", "ayah"), "surah").select("query_id", "id", F.col("ayah").alias("place"))

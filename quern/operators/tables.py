@@ -62,6 +62,20 @@ def range_lookup(asked: DataFrame, rows: DataFrame, key: str, most: int = 20) ->
     return hits.withColumn("_ends", ends).where("_ends = 2").drop("_ends")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds `name`: 0, 1, ... in this order over all rows, by ranges of it: no task holds all of them. Ties need a tie-break."""
+    from quern.sources.scratch import written
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = {f"_o{k}": c for k, c in enumerate(order)}
+    dealt = written(df.withColumns(keys).repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranges")
+    rows = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    starts = rows.select("_part", before.alias("_start"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*keys)) - 1
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + own).drop("_part", "_start", *keys)
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: str = "450") -> DataFrame:
     """n rows in the order of md5(seed and key): the same everywhere and always."""
     return df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))).orderBy("_h", key).limit(n).drop("_h")

@@ -63,29 +63,30 @@ SELECT s.source AS id, md5(regexp_replace(t, '<[^>]+>', '', 'g')) AS text_md5, C
 
 
 def retriever_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """How many of the ten best documents of both retrievers are the same, for queries and documents with vectors."""
-    with_vector = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    a = lexical.top(sq._dense(spark, d), 10).select("query_id", "doc_id")
-    b = lexical.top(sq._scores(spark, d).join(with_vector, "doc_id", "left_semi"), 10).select("query_id", "doc_id")
-    sets = lambda df, name: df.groupBy("query_id").agg(F.collect_list("doc_id").alias(name))
+    """How many of the ten best documents of both retrievers are the same, for queries with a vector."""
+    a = sq._dense_top(spark, d, 10).select("query_id", "doc_id")
+    b = lexical.top(sq._scores(spark, d), 10).select("query_id", "doc_id")
+    sets = lambda df, name: df.groupBy("query_id").agg(F.collect_list("doc_id").alias(name))  # noqa: E731  # ten of each
     return sets(a, "a").join(sets(b, "b"), "query_id").select("query_id", F.size(F.array_intersect("a", "b")).alias("same"))
 
 
-RETRIEVER_OVERLAP = f"""WITH {sq.BM25}, {sq.DENSE}, bv AS (SELECT bm.* FROM bm JOIN embeddings ON vec_id = doc_id),
-a AS (SELECT query_id, list(doc_id) AS a FROM ({sq._rank_sql('de')}) WHERE rank <= 10 GROUP BY 1), b AS (SELECT query_id, list(doc_id) AS b FROM ({sq._rank_sql('bv')}) WHERE rank <= 10 GROUP BY 1)
+RETRIEVER_OVERLAP = f"""WITH {sq.BM25}, {sq.DENSE},
+a AS (SELECT query_id, list(doc_id) AS a FROM ({sq._rank_sql('de')}) WHERE rank <= 10 GROUP BY 1), b AS (SELECT query_id, list(doc_id) AS b FROM ({sq._rank_sql('bm')}) WHERE rank <= 10 GROUP BY 1)
 SELECT query_id, len(list_intersect(a, b)) AS same FROM a JOIN b USING (query_id)"""
 
 
 def knockout_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct texts with their copies' number, shuffle key and token estimates, plain and marked."""
-    docs = table(spark, d, "documents")
-    one = dedup.exact_copies(docs, F.array_join(lexical.words(F.col("text")), " ")).select("doc_id", "n")
-    rows = one.join(docs.select("doc_id", F.length("text").alias("chars"), text.token_estimate(F.col("text")).alias("marked")), "doc_id")
+    """Distinct texts with their copies' number, shuffle key and token estimates, marked and plain."""
+    docs = table(spark, d, "documents").withColumn("words", F.array_join(lexical.words(F.col("text")), " "))
+    one = dedup.exact_copies(docs, F.col("words"), sq._kind(F.col("source"))).where("doc_id = class_id").select("doc_id", "n")
+    rows = one.join(docs.where("words <> ''").select("doc_id", F.length(text.plain(F.col("text"))).alias("chars"), text.token_estimate(F.col("text")).alias("marked")), "doc_id")
     return rows.select("doc_id", "n", F.md5(F.concat(F.lit("450"), F.col("doc_id").cast("string")).cast("binary")).alias("turn"), "marked", (F.floor((F.col("chars") + 16) * 0.7) + 2).cast("long").alias("plain"))
 
 
-KNOCKOUT_CORPUS = f"""WITH k AS (SELECT doc_id, text, md5(array_to_string({word_list('text')}, ' ')) AS k FROM documents), g AS (SELECT min(doc_id) AS doc_id, count(*) AS n FROM k GROUP BY k)
-SELECT doc_id, n, md5('450' || CAST(doc_id AS VARCHAR)) AS turn, CAST(floor(length(text) * CAST(1.06 AS DOUBLE)) + 2 AS BIGINT) AS marked, CAST(floor((length(text) + 16) * CAST(0.7 AS DOUBLE)) + 2 AS BIGINT) AS plain FROM g JOIN documents USING (doc_id)"""
+#: plain() of a text: invisible marks off, all but Arabic and Latin letters and digits become blanks.
+_PLAIN_TEXT = f"trim(regexp_replace(regexp_replace(translate(translate(text, '{text.INVISIBLE}', ''), '{text.ALEF_VARIANTS[0]}', '{text.ALEF_VARIANTS[1]}'), '[^ء-ي٠-٩a-zA-Z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+KNOCKOUT_CORPUS = f"""WITH k AS (SELECT doc_id, source = 'src0' AS verse, array_to_string({word_list('text')}, ' ') AS k FROM documents), g AS (SELECT min(doc_id) AS doc_id, count(*) AS n FROM k WHERE k <> '' GROUP BY verse, k)
+SELECT doc_id, n, md5('450' || CAST(doc_id AS VARCHAR)) AS turn, CAST(floor(length(text) * CAST(1.06 AS DOUBLE)) + 2 AS BIGINT) AS marked, CAST(floor((length({_PLAIN_TEXT}) + 16) * CAST(0.7 AS DOUBLE)) + 2 AS BIGINT) AS plain FROM g JOIN documents USING (doc_id)"""
 
 
 def request_packs(spark: SparkSession, d: str) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions import vectors
-from quern.operators import decision, dedup, dense, fusion, lexical, tables
+from quern.operators import answers, decision, dedup, dense, fusion, lexical, search, tables
+from quern.operators.sizes import if_small
 from quern.plans.text_queries import word_list
 from quern.sources.files import table
+from quern.sources.scratch import written
 
-POOL = 60  # shortlist of a query for the decision queries
+POOL, FINAL = 120, 12  # shortlist of a query and finalists for the decision queries
 
 
 def _queries(spark, d) -> DataFrame:
@@ -49,9 +51,13 @@ def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
 
 
-def _dense(spark, d) -> DataFrame:
-    asked = _vectors(spark, d).join(F.broadcast(_queries(spark, d).select(F.col("query_id").alias("doc_id"))), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
-    return dense.cosine_scores(asked, _vectors(spark, d))
+def _query_vectors(spark, d) -> DataFrame:
+    return _vectors(spark, d).join(if_small(_queries(spark, d).select(F.col("query_id").alias("doc_id"))), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+
+
+def _dense_top(spark, d, k) -> DataFrame:
+    """The k best vectors of each query, by rank."""
+    return lexical.top(dense.cosine_scores(_query_vectors(spark, d), _vectors(spark, d), k), k)
 
 
 def tf_df_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +78,7 @@ BM25_TOPK = f"WITH {BM25} SELECT query_id, doc_id, rank, round(score, 6) AS scor
 
 def bm25_zscore(spark: SparkSession, d: str) -> DataFrame:
     scores = _scores(spark, d)
-    m = fusion.moments(scores, F.lit(table(spark, d, "documents").count()))
+    m = fusion.moments(fusion.sums(scores), table(spark, d, "documents").count())
     ranked = lexical.top(scores, 10).join(m, "query_id")
     return ranked.select("query_id", "doc_id", "rank", F.round(fusion.z(F.col("score"), F.col("mean"), F.col("sd")), 5).alias("z"))
 
@@ -122,21 +128,18 @@ SELECT label, n, round(norm, 6) AS norm, round(mean_norm, 6) AS mean_norm
 FROM (SELECT label, count(*) AS n, avg(norm) AS norm FROM v GROUP BY 1) JOIN (SELECT label, sqrt(sum(m * m)) AS mean_norm FROM m GROUP BY 1) USING (label)"""
 
 
-def _hybrid(spark, d, w_dense=fusion.DENSE, w_lexical=fusion.LEXICAL) -> DataFrame:
-    """Fusion over the documents that have a vector, those of `embeddings`."""
-    with_vector = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    lex = _scores(spark, d).join(with_vector, "doc_id", "left_semi")
-    return fusion.weighted_z(_dense(spark, d), lex, with_vector.count(), 400, w_dense, w_lexical)
+def _hybrid(spark, d) -> DataFrame:
+    """Fusion over all documents; one without a vector has a dense score of 0."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return answers.hybrid_pool(_queries(spark, d), docs, _query_vectors(spark, d), _vectors(spark, d))
 
 
-_FUSED = f"""
-bv AS (SELECT bm.* FROM bm JOIN embeddings ON vec_id = doc_id), nv AS (SELECT count(*) AS n FROM embeddings),
-lmm AS (SELECT query_id, sum(score) / any_value(n) AS lm, sqrt(greatest(0, sum(score * score) / any_value(n) - pow(sum(score) / any_value(n), 2))) AS ls FROM bv CROSS JOIN nv GROUP BY 1),
+_FUSED = f"""{MOMENTS},
 dmm AS (SELECT query_id, avg(score) AS dm, stddev_pop(score) AS ds FROM de GROUP BY 1),
-pool AS (SELECT query_id, doc_id FROM ({_rank_sql('de')}) WHERE rank <= 400 UNION SELECT query_id, doc_id FROM ({_rank_sql('bv')}) WHERE rank <= 400),
-fu AS (SELECT p.query_id, p.doc_id, coalesce(de.score, 0) AS dense, coalesce(bv.score, 0) AS lexical,
-         CASE WHEN coalesce(ds, 0) > 0 THEN (coalesce(de.score, 0) - dm) / ds ELSE 0 END AS zd, CASE WHEN coalesce(ls, 0) > 0 THEN (coalesce(bv.score, 0) - lm) / ls ELSE 0 END AS zl
-       FROM pool p LEFT JOIN de USING (query_id, doc_id) LEFT JOIN bv USING (query_id, doc_id) LEFT JOIN dmm ON dmm.query_id = p.query_id LEFT JOIN lmm ON lmm.query_id = p.query_id)"""
+pool AS (SELECT query_id, doc_id FROM ({_rank_sql('de')}) WHERE rank <= 400 UNION SELECT query_id, doc_id FROM ({_rank_sql('bm')}) WHERE rank <= 400),
+fu AS (SELECT p.query_id, p.doc_id, coalesce(de.score, 0) AS dense, coalesce(bm.score, 0) AS lexical,
+         CASE WHEN coalesce(ds, 0) > 0 THEN (coalesce(de.score, 0) - dm) / ds ELSE 0 END AS zd, CASE WHEN coalesce(ls, 0) > 0 THEN (coalesce(bm.score, 0) - lm) / ls ELSE 0 END AS zl
+       FROM pool p LEFT JOIN de USING (query_id, doc_id) LEFT JOIN bm USING (query_id, doc_id) LEFT JOIN dmm ON dmm.query_id = p.query_id LEFT JOIN bmm ON bmm.query_id = p.query_id)"""
 
 
 def fuse_zscore(spark: SparkSession, d: str) -> DataFrame:
@@ -159,13 +162,12 @@ SELECT query_id, doc_id, rank, round(score, 5) AS score FROM ({_rank_sql('f')})
 
 
 def fuse_rrf(spark: SparkSession, d: str) -> DataFrame:
-    with_vector = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    lists = [lexical.top(_dense(spark, d), 400), lexical.top(_scores(spark, d).join(with_vector, "doc_id", "left_semi"), 400)]
+    lists = [_dense_top(spark, d, 400), lexical.top(_scores(spark, d), 400)]
     return lexical.top(fusion.reciprocal_ranks(lists), 10, digits=9).select("query_id", "doc_id", "rank", F.round("score", 9).alias("score"))
 
 
-FUSE_RRF = f"""WITH {BM25}, {DENSE}, bv AS (SELECT bm.* FROM bm JOIN embeddings ON vec_id = doc_id),
-r AS (SELECT query_id, doc_id, rank FROM ({_rank_sql('de')}) WHERE rank <= 400 UNION ALL SELECT query_id, doc_id, rank FROM ({_rank_sql('bv')}) WHERE rank <= 400),
+FUSE_RRF = f"""WITH {BM25}, {DENSE},
+r AS (SELECT query_id, doc_id, rank FROM ({_rank_sql('de')}) WHERE rank <= 400 UNION ALL SELECT query_id, doc_id, rank FROM ({_rank_sql('bm')}) WHERE rank <= 400),
 f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM r GROUP BY 1, 2)
 SELECT query_id, doc_id, rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 10"""
 
@@ -199,11 +201,8 @@ SELECT query_id, record, score, surface FROM (SELECT *, row_number() OVER (PARTI
 
 
 def _gold(spark, d) -> DataFrame:
-    """query_id, doc_id: documents that hold a query's passage. The passages are a query set of a checked size."""
-    from quern.operators.sizes import if_small
-
-    asked = _queries(spark, d)
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("whole")).join(if_small(asked), F.col("whole").contains(F.col("text"))).select("query_id", "doc_id")
+    """query_id, doc_id: documents that hold a query's passage."""
+    return lexical.containing(table(spark, d, "documents").select("doc_id", "text"), _queries(spark, d))
 
 
 def hit_at_k_mrr(spark: SparkSession, d: str) -> DataFrame:
@@ -219,34 +218,60 @@ SELECT count(*) AS n, count(*) FILTER (rank <= 1) AS hit_1, count(*) FILTER (ran
 
 
 def exact_dups_copies(spark: SparkSession, d: str) -> DataFrame:
-    out = dedup.exact_copies(table(spark, d, "documents"), F.array_join(lexical.words(F.col("text")), " "))
-    return out.where("n > 1").select("doc_id", "n", F.array_join(F.transform("copies", lambda x: x.cast("string")), ",").alias("copies"))
+    """Each text that has copies of its kind, with its class and how many there are."""
+    docs = table(spark, d, "documents").withColumn("words", F.array_join(lexical.words(F.col("text")), " "))
+    return dedup.exact_copies(docs, F.col("words"), _kind(F.col("source"))).where("n > 1")
+
+
+EXACT_DUPS_COPIES = f"""WITH k AS (SELECT doc_id, source = 'src0' AS verse, array_to_string({word_list('text')}, ' ') AS k FROM documents)
+SELECT * FROM (SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS n FROM k WHERE k <> '' WINDOW w AS (PARTITION BY verse, k)) WHERE n > 1"""
+
+
+def blank_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without words are nobody's copies: the same operator on the documents' texts, every tenth of them blanked."""
+    words = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.array_join(lexical.words(F.col("text")), " "))
+    out = dedup.exact_copies(table(spark, d, "documents").withColumn("words", words), F.col("words"))
+    return out.groupBy("n").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("doc_id") == F.col("class_id")).alias("classes"))
+
+
+BLANK_COPIES = f"""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE array_to_string({word_list('text')}, ' ') END AS k FROM documents),
+c AS (SELECT doc_id, CASE WHEN k = '' THEN doc_id ELSE min(doc_id) OVER w END AS class_id, CASE WHEN k = '' THEN 1 ELSE count(*) OVER w END AS n FROM k WINDOW w AS (PARTITION BY k))
+SELECT n, count(*) AS texts, count(*) FILTER (doc_id = class_id) AS classes FROM c GROUP BY 1"""
 
 
-EXACT_DUPS_COPIES = f"""WITH k AS (SELECT doc_id, md5(array_to_string({word_list('text')}, ' ')) AS k FROM documents), g AS (SELECT k, list_sort(list(doc_id)) AS a FROM k GROUP BY k HAVING count(*) > 1)
-SELECT a[1] AS doc_id, CAST(len(a) AS BIGINT) AS n, array_to_string(a[2:], ',') AS copies FROM g"""
+def _word_sets(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", lexical.words(F.col("text")).alias("tokens"))
 
 
 def containment_pairs(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "documents").select("doc_id", lexical.words(F.col("text")).alias("tokens"))
-    return dedup.containment_pairs(sets)
+    """Pairs of classes of equal sets; containment_members has the members."""
+    return dedup.containment_pairs(_word_sets(spark, d))
 
 
-CONTAINMENT_PAIRS = f"""
-WITH t AS (SELECT doc_id, list_distinct({word_list('text')}) AS t FROM documents), s AS (SELECT doc_id, len(t) AS n FROM t WHERE len(t) >= 6),
-     e AS (SELECT s.doc_id, n, unnest(t) AS w FROM s JOIN t USING (doc_id))
-SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, CAST(least(any_value(a.n), any_value(b.n)) AS BIGINT) AS smaller FROM e a JOIN e b ON a.w = b.w AND a.doc_id < b.doc_id
+def containment_members(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.containment_classes(_word_sets(spark, d))
+
+
+#: Classes of equal word sets: id, t, n; and the documents' sets: doc_id, t.
+_SETS = f"st AS (SELECT doc_id, list_sort(list_distinct({word_list('text')})) AS t FROM documents), cl AS (SELECT min(doc_id) AS id, t, len(t) AS n FROM st WHERE len(t) >= 6 GROUP BY t)"
+CONTAINMENT_PAIRS = f"""WITH {_SETS}, e AS (SELECT id, n, unnest(t) AS w FROM cl)
+SELECT a.id AS x, b.id AS y, count(*) AS shared, CAST(least(any_value(a.n), any_value(b.n)) AS BIGINT) AS smaller FROM e a JOIN e b ON a.w = b.w AND a.id < b.id
 GROUP BY 1, 2 HAVING count(*) >= 0.8 * least(any_value(a.n), any_value(b.n)) - 1e-9"""
+CONTAINMENT_MEMBERS = f"WITH {_SETS} SELECT doc_id, id AS class_id FROM st JOIN cl USING (t)"
 
 
 def gold_family(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a query's passage, and how many of the looser family (by containment) each has among them."""
+    """Documents that hold a query's passage, and how many of the looser family (by containment) each has among them: members of
+    its own class but itself, and of the classes linked with it."""
     gold = _gold(spark, d)
-    sets = table(spark, d, "documents").join(gold.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", lexical.words(F.col("text")).alias("tokens"))
-    pairs = dedup.containment_pairs(sets, dedup.FAMILY_CONTAINED, dedup.FAMILY_TOKENS)
-    both = pairs.select("x", "y").union(pairs.select("y", "x"))
-    own = gold.join(both.withColumnRenamed("x", "doc_id"), "doc_id", "left").groupBy("query_id", "doc_id").agg(F.count("y").alias("family"))
-    return own
+    ids = gold.select("doc_id").distinct()
+    sets = _word_sets(spark, d).join(ids, "doc_id", "left_semi")
+    classes = written(dedup.containment_classes(sets, dedup.FAMILY_TOKENS), "family")
+    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = dedup.containment_pairs(sets, dedup.FAMILY_CONTAINED, dedup.FAMILY_TOKENS).select("x", "y")
+    both = pairs.union(pairs.select("y", "x")).join(sizes.withColumnRenamed("class_id", "y"), "y").groupBy(F.col("x").alias("class_id")).agg(F.sum("n").alias("more"))
+    family = classes.join(sizes, "class_id").join(both, "class_id", "left").select("doc_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("family"))
+    return gold.join(family, "doc_id", "left").select("query_id", "doc_id", F.coalesce("family", F.lit(0)).alias("family"))
 
 
 GOLD_FAMILY = f"""
@@ -265,29 +290,106 @@ _POOL_SQL = f"""{BM25}, pool AS (SELECT query_id, doc_id, rank, round(score, 6)
                  FROM ({_rank_sql('bm')}) JOIN documents USING (doc_id) WHERE rank <= {POOL})"""
 
 
+def _wanted(spark, d) -> DataFrame:
+    """query_id, wanted: what the passages ask for with a word of that kind behind some of them."""
+    q = _queries(spark, d)
+    words = F.concat(lexical.words(F.col("text")), _cue())
+    return q.select("query_id", search.wanted_kind(words).alias("wanted"))
+
+
+def _cue() -> F.Column:
+    return F.when(F.col("query_id") % 4 == 0, F.array(F.lit("verse"))).when(F.col("query_id") % 4 == 1, F.array(F.lit("hadith"))).when(F.col("query_id") % 4 == 2, F.array(F.lit("verse"), F.lit("hadith"))).otherwise(F.array().cast("array<string>"))
+
+
+_WANTED_SQL = "CASE query_id % 4 WHEN 0 THEN 'ayah' WHEN 1 THEN 'hadith' END"
+
+
+def wanted_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The kind that a passage with cue words asks for, and the words that are left for the literal match."""
+    words = F.concat(_cue(), F.when(F.col("query_id") % 5 == 0, F.array().cast("array<string>")).otherwise(lexical.words(F.col("text"))))
+    rows = _queries(spark, d).withColumn("words", words)
+    return rows.select("query_id", search.wanted_kind(F.col("words")).alias("wanted"), F.array_join(search.literal_words(F.col("words")), " ").alias("literal"))
+
+
+WANTED_KINDS = f"""WITH q AS (SELECT item_id AS query_id, array_to_string({word_list('text')}, ' ') AS t FROM benchmark)
+SELECT query_id, {_WANTED_SQL} AS wanted, CASE WHEN query_id % 5 = 0 THEN CASE query_id % 4 WHEN 0 THEN 'verse' WHEN 1 THEN 'hadith' WHEN 2 THEN 'verse hadith' ELSE '' END ELSE t END AS literal FROM q"""
+
+
+def _texts(spark, d) -> DataFrame:
+    words = lexical.words(F.col("text"))
+    book = F.when(F.col("source") == "src1", 0).when(F.col("source") == "src2", 1).otherwise(2)
+    return table(spark, d, "documents").select("doc_id", _kind(F.col("source")).alias("kind"), F.array_distinct(words).alias("tokens"), words.alias("shown"), book.alias("book"), F.col("doc_id").alias("number"))
+
+
+def _ranked(spark, d) -> DataFrame:
+    """The whole fused pool of each query by boosted rank, with kind and words."""
+    return search.ranked(_hybrid(spark, d).select("query_id", "doc_id", "score"), _texts(spark, d), _wanted(spark, d))
+
+
+#: fr: the same in SQL; pl: for each report those that it is a variant of; gc: the walk that collapses variants.
+_RANKED_SQL = f"""{BM25}, {DENSE}, {_FUSED},
+fk AS (SELECT query_id, doc_id, CASE WHEN source = 'src0' THEN 'ayah' ELSE 'hadith' END AS kind, {_WANTED_SQL} AS wanted, 0.7 * zd + 0.3 * zl AS s FROM fu JOIN documents USING (doc_id)),
+fs AS (SELECT *, max(s) OVER (PARTITION BY query_id) - min(s) OVER (PARTITION BY query_id) AS spread FROM fk),
+fb AS (SELECT query_id, doc_id, kind, wanted, s + CASE WHEN wanted IS NULL THEN 0 WHEN kind = wanted THEN 0.1 ELSE -0.1 END * CASE WHEN spread = 0 THEN 1 ELSE spread END AS score FROM fs),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc_id) AS rank FROM fb)"""
+_WALK_SQL = f"""{_RANKED_SQL}, ts AS (SELECT doc_id, list_sort(list_distinct(w)) AS t, array_to_string(w, ' ') AS shown, len(w) AS nw FROM tok JOIN documents USING (doc_id) WHERE source <> 'src0'),
+te AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM ts WHERE len(t) >= 6),
+rl AS (SELECT a.doc_id AS x, b.doc_id AS y FROM te a JOIN te b ON a.w = b.w AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) >= 0.8 * least(any_value(a.n), any_value(b.n))
+       UNION SELECT a.doc_id, b.doc_id FROM ts a JOIN ts b ON a.t = b.t AND len(a.t) >= 2 AND a.doc_id <> b.doc_id UNION SELECT a.doc_id, b.doc_id FROM ts a JOIN ts b ON a.shown = b.shown AND a.nw >= 2 AND a.doc_id <> b.doc_id),
+pl AS (SELECT x AS doc_id, list(y) AS partners FROM rl GROUP BY 1),
+walk AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS variant_of FROM fr UNION ALL
+  SELECT query_id, step + 1, CASE WHEN twin IS NULL THEN list_append(kept, d) ELSE kept END, d, twin
+  FROM (SELECT w.query_id, w.step, w.kept, fr.doc_id AS d, list_filter(w.kept, lambda x: list_contains(coalesce(pl.partners, []), x))[1] AS twin
+        FROM walk w JOIN fr ON fr.query_id = w.query_id AND fr.rank = w.step + 1 LEFT JOIN pl ON pl.doc_id = fr.doc_id WHERE len(w.kept) < 24)),
+gc AS (SELECT query_id, doc_id, CAST(list_position(kept, coalesce(variant_of, doc_id)) AS BIGINT) AS kept_rank, variant_of FROM walk WHERE step > 0)"""
+
+
 def greedy_collapse(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "documents").select("doc_id", F.array_distinct(lexical.words(F.col("text"))).alias("tokens"), lexical.words(F.col("text")).alias("shown"))
-    return dedup.greedy_collapse(_pool(spark, d).join(sets, "doc_id"), 24)
+    """Distinct texts of the whole fused pool."""
+    return dedup.greedy_collapse(_ranked(spark, d).select("query_id", "rank", "doc_id", "kind", "tokens", "shown"), 24)
+
+
+GREEDY_COLLAPSE = f"WITH RECURSIVE {_WALK_SQL} SELECT query_id, doc_id, kept_rank, variant_of FROM gc"
+
+
+def search_full(spark: SparkSession, d: str) -> DataFrame:
+    """A search from query to shortlist: fusion, boost of the wanted kind, collapse, both kinds, best copies."""
+    out = search.shortlist(_hybrid(spark, d).select("query_id", "doc_id", "score"), _texts(spark, d), _wanted(spark, d))
+    return out.select("query_id", "place", "doc_id", "kind", F.round("score", 4).alias("score"), "reserve", F.array_join(F.transform("variants", lambda x: x.cast("string")), ",").alias("variants"))
 
 
 def kind_quota(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.kind_quota(_pool(spark, d), 24, 12)
+    """The quota alone, on the fused pool's first 24 as they come."""
+    pool = _ranked(spark, d).select("query_id", "rank", "doc_id", "kind").withColumns({"place": F.when(F.col("rank") <= 24, F.col("rank")), "barred": F.lit(False)})
+    return dedup.kind_quota(pool, 24, 12)
 
 
-KIND_QUOTA = f"""WITH {_POOL_SQL},
-s0 AS (SELECT *, rank <= 24 AS ins FROM pool), c1 AS (SELECT query_id, greatest(0, 12 - count(*) FILTER (kind = 'ayah' AND ins)) AS short FROM s0 GROUP BY 1),
-e1 AS (SELECT query_id, doc_id FROM (SELECT s0.*, short, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM s0 JOIN c1 USING (query_id) WHERE kind = 'ayah' AND NOT ins) WHERE k <= short),
+#: s2: the quota's texts by `pos`, from s0: query_id, doc_id, kind, rank, ins, bar, place.
+_QUOTA_SQL = """c1 AS (SELECT query_id, greatest(0, 12 - count(*) FILTER (kind = 'ayah' AND ins)) AS short FROM s0 GROUP BY 1),
+e1 AS (SELECT query_id, doc_id FROM (SELECT s0.*, short, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM s0 JOIN c1 USING (query_id) WHERE kind = 'ayah' AND NOT ins AND NOT bar) WHERE k <= short),
 n1 AS (SELECT query_id, count(*) AS n FROM e1 GROUP BY 1),
-o1 AS (SELECT query_id, doc_id FROM (SELECT s0.*, n, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS k FROM s0 JOIN n1 USING (query_id) WHERE kind <> 'ayah' AND ins) WHERE k <= n),
-s1 AS (SELECT s0.*, (ins AND o1.doc_id IS NULL) OR e1.doc_id IS NOT NULL AS in1, o1.doc_id IS NOT NULL AS gone, e1.doc_id IS NOT NULL AS res,
-         CASE WHEN e1.doc_id IS NOT NULL THEN 1000000 + rank ELSE rank END AS place FROM s0 LEFT JOIN e1 USING (query_id, doc_id) LEFT JOIN o1 USING (query_id, doc_id)),
+o1 AS (SELECT query_id, doc_id FROM (SELECT s0.*, n, row_number() OVER (PARTITION BY query_id ORDER BY place DESC) AS k FROM s0 JOIN n1 USING (query_id) WHERE kind <> 'ayah' AND ins) WHERE k <= n),
+s1 AS (SELECT s0.*, (ins AND o1.doc_id IS NULL) OR e1.doc_id IS NOT NULL AS in1, bar OR o1.doc_id IS NOT NULL AS gone, e1.doc_id IS NOT NULL AS res,
+         CASE WHEN e1.doc_id IS NOT NULL THEN 1000000 + rank ELSE place END AS pos FROM s0 LEFT JOIN e1 USING (query_id, doc_id) LEFT JOIN o1 USING (query_id, doc_id)),
 c2 AS (SELECT query_id, greatest(0, 12 - count(*) FILTER (kind = 'hadith' AND in1)) AS short FROM s1 GROUP BY 1),
 e2 AS (SELECT query_id, doc_id FROM (SELECT s1.*, short, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM s1 JOIN c2 USING (query_id) WHERE kind = 'hadith' AND NOT in1 AND NOT gone) WHERE k <= short),
 n2 AS (SELECT query_id, count(*) AS n FROM e2 GROUP BY 1),
-o2 AS (SELECT query_id, doc_id FROM (SELECT s1.*, n, row_number() OVER (PARTITION BY query_id ORDER BY place DESC) AS k FROM s1 JOIN n2 USING (query_id) WHERE kind <> 'hadith' AND in1) WHERE k <= n),
-s2 AS (SELECT query_id, s1.doc_id, kind, CASE WHEN e2.doc_id IS NOT NULL THEN 2000000 + rank ELSE place END AS place, res OR e2.doc_id IS NOT NULL AS reserve
-       FROM s1 LEFT JOIN e2 USING (query_id, doc_id) LEFT JOIN o2 USING (query_id, doc_id) WHERE (in1 AND o2.doc_id IS NULL) OR e2.doc_id IS NOT NULL)
-SELECT * FROM (SELECT query_id, doc_id, kind, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place, reserve FROM s2) WHERE place <= 24"""
+o2 AS (SELECT query_id, doc_id FROM (SELECT s1.*, n, row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) AS k FROM s1 JOIN n2 USING (query_id) WHERE kind <> 'hadith' AND in1) WHERE k <= n),
+s2 AS (SELECT query_id, s1.doc_id, kind, CASE WHEN e2.doc_id IS NOT NULL THEN 2000000 + rank ELSE pos END AS pos, res OR e2.doc_id IS NOT NULL AS reserve
+       FROM s1 LEFT JOIN e2 USING (query_id, doc_id) LEFT JOIN o2 USING (query_id, doc_id) WHERE (in1 AND o2.doc_id IS NULL) OR e2.doc_id IS NOT NULL)"""
+_PLACED = "SELECT query_id, doc_id, kind, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place, reserve FROM s2"
+KIND_QUOTA = f"""WITH {_RANKED_SQL}, s0 AS (SELECT query_id, doc_id, kind, rank, rank <= 24 AS ins, false AS bar, rank AS place FROM fr), {_QUOTA_SQL}
+SELECT * FROM ({_PLACED}) WHERE place <= 24"""
+SEARCH_FULL = f"""WITH RECURSIVE {_WALK_SQL}, sw AS (SELECT fr.query_id, fr.doc_id, kind, rank, wanted, gc.doc_id IS NOT NULL AND variant_of IS NULL AS ins, variant_of IS NOT NULL AS bar, coalesce(kept_rank, rank) AS place
+  FROM fr LEFT JOIN gc ON gc.query_id = fr.query_id AND gc.doc_id = fr.doc_id), s0 AS (SELECT * FROM sw WHERE wanted IS NULL), {_QUOTA_SQL},
+li AS (SELECT query_id, doc_id, kind, place, false AS reserve FROM sw WHERE wanted IS NOT NULL AND ins UNION ALL SELECT * FROM ({_PLACED}) WHERE place <= 24),
+cp AS (SELECT li.query_id, place, li.doc_id AS doc_id, false AS variant FROM li UNION ALL SELECT li.query_id, place, gc.doc_id, true FROM gc JOIN li ON li.query_id = gc.query_id AND li.doc_id = gc.variant_of),
+bk AS (SELECT cp.*, CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 1 ELSE 2 END AS book FROM cp JOIN documents USING (doc_id)),
+bb AS (SELECT query_id, place, arg_min(doc_id, (book, doc_id)) AS best, min(book) AS best_book, max(CASE WHEN NOT variant THEN doc_id END) AS own, max(CASE WHEN NOT variant THEN book END) AS own_book,
+         list_sort(coalesce(list(doc_id) FILTER (variant), [])) AS others FROM bk GROUP BY 1, 2)
+SELECT li.query_id, li.place, CASE WHEN best_book < own_book THEN best ELSE own END AS doc_id, li.kind, round(fr.score, 4) AS score, reserve,
+       array_to_string(CASE WHEN best_book < own_book THEN list_concat([own], list_filter(others, lambda x: x <> best)) ELSE others END, ',') AS variants
+FROM li JOIN bb ON bb.query_id = li.query_id AND bb.place = li.place JOIN fr ON fr.query_id = li.query_id AND fr.doc_id = li.doc_id"""
 
 
 def best_copy_swap(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +411,7 @@ def _judged(spark, d) -> DataFrame:
 
 _JUDGED_SQL = f"""{_POOL_SQL}, gr AS (SELECT *, CAST(floor((rank - 1) / 12) AS BIGINT) AS group_id, 'c' || ((rank - 1) % 12) AS option FROM pool),
 ju AS (SELECT *, exp(score * {LOGIT}) / (sum(exp(score * {LOGIT})) OVER g + exp({NONE})) AS p, exp({NONE}) / (sum(exp(score * {LOGIT})) OVER g + exp({NONE})) AS p_none FROM gr WINDOW g AS (PARTITION BY query_id, group_id)),
-nt AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY round(p, 9) DESC, rank) AS nth FROM ju)"""
+nt AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY round(p, 9) DESC, rank) AS nth, max(round(p, 9)) OVER (PARTITION BY query_id, group_id) >= round(p_none, 9) AS won FROM ju)"""
 
 
 def group_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -330,21 +432,21 @@ def runner_up(spark: SparkSession, d: str) -> DataFrame:
     return decision.winners(_judged(spark, d), runner_up=0.1).select("query_id", F.col("group_id").cast("long").alias("group_id"), "nth", "doc_id")
 
 
-RUNNER_UP = f"WITH {_JUDGED_SQL} SELECT query_id, group_id, nth, doc_id FROM nt WHERE (nth = 1 AND round(p, 9) >= round(p_none, 9)) OR (nth = 2 AND p >= 0.1)"
+RUNNER_UP = f"WITH {_JUDGED_SQL} SELECT query_id, group_id, nth, doc_id FROM nt WHERE won AND (nth = 1 OR (nth = 2 AND p >= 0.1))"
 
 
 def finalists(spark: SparkSession, d: str) -> DataFrame:
-    return decision.finalists(decision.winners(_judged(spark, d), runner_up=0.05), 6).select("query_id", "doc_id", "final_rank")
+    return decision.finalists(decision.winners(_judged(spark, d), runner_up=0.05), FINAL).select("query_id", "doc_id", "final_rank")
 
 
-_FINAL_SQL = f"""{_JUDGED_SQL}, wi AS (SELECT * FROM nt WHERE (nth = 1 AND round(p, 9) >= round(p_none, 9)) OR (nth = 2 AND p >= 0.05)),
-fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS final_rank FROM wi) WHERE final_rank <= 6)"""
+_FINAL_SQL = f"""{_JUDGED_SQL}, wi AS (SELECT * FROM nt WHERE won AND (nth = 1 OR (nth = 2 AND p >= 0.05))),
+fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS final_rank FROM wi) WHERE final_rank <= {FINAL})"""
 FINALISTS = f"WITH {_FINAL_SQL} SELECT query_id, doc_id, final_rank FROM fi"
 
 
 def family_sum(spark: SparkSession, d: str) -> DataFrame:
     """Final choice among the finalists, with its copies' probability (same source stands for the same report), and its band."""
-    last = decision.finalists(decision.winners(_judged(spark, d), runner_up=0.05), 6)
+    last = decision.finalists(decision.winners(_judged(spark, d), runner_up=0.05), FINAL)
     last = decision.choice(last.select("query_id", "doc_id", "rank", "score", "source"), F.col("score") * LOGIT, NONE, ("query_id",))
     a, b = last.select("query_id", F.col("doc_id").alias("x"), "source"), last.select("query_id", F.col("doc_id").alias("y"), "source")
     family = a.join(b, ["query_id", "source"]).where("x < y").select("x", "y").distinct()
@@ -423,18 +525,36 @@ SELECT CASE WHEN round(p * 3, 9) >= 0.7 THEN 'confident' WHEN round(p * 3, 9) >=
 
 
 def knockout_rounds(spark: SparkSession, d: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-
-    def cut(df):
-        path = f"{base}/knockout-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    pool = cut(_pool(spark, d))
-    return decision.knockout(pool, F.col("score") * LOGIT, cut, no_match=NONE).select("query_id", "doc_id", "rank")
+    """All distinct texts in a seeded order, in groups of 20, and on until at most 12 a query are left."""
+    docs = table(spark, d, "documents").withColumn("words", F.array_join(lexical.words(F.col("text")), " "))
+    one = dedup.exact_copies(docs, F.col("words"), _kind(F.col("source"))).where("doc_id = class_id").join(docs.where("words <> ''").select("doc_id"), "doc_id", "left_semi")
+    order = F.md5(F.concat(F.lit("450"), F.col("doc_id").cast("string")).cast("binary"))
+    places = written(tables.numbered(one.select("doc_id"), [order, F.col("doc_id")]), "places")
+    judged = written(_scores(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score")).join(places, "doc_id"), "judged")
+    out = decision.knockout(judged, places.count(), F.col("score") * LOGIT, lambda df: written(df, "knockout"), no_match=NONE)
+    return out.select("query_id", "doc_id", "round", F.round("p", 6).alias("p"))
+
+
+def _knockout_sql(rounds: int = 6) -> str:
+    share = "exp(score * {l}) / (sum(exp(score * {l})) OVER g{more} + exp({n})) AS p, exp({n}) / (sum(exp(score * {l})) OVER g{more} + exp({n})) AS p_none"
+    # groups' sums have an order of their own; rounding hides it
+    fill = share.format(l=LOGIT, n=NONE, more=" + least(20, texts - 20 * group_id) - count(*) OVER g")
+    later = share.format(l=LOGIT, n=NONE, more="")
+    sql = f"""WITH {BM25}, dt AS (SELECT doc_id, source = 'src0' AS verse, array_to_string({word_list('text')}, ' ') AS k FROM documents),
+un AS (SELECT min(doc_id) AS doc_id FROM dt WHERE k <> '' GROUP BY verse, k), pc AS (SELECT doc_id, row_number() OVER (ORDER BY md5('450' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place, count(*) OVER () AS texts FROM un),
+j1 AS (SELECT query_id, doc_id, place, texts, round(score, 6) AS score, CAST(floor(place / 20) AS BIGINT) AS group_id FROM bm JOIN pc USING (doc_id)),
+c1 AS (SELECT *, {fill} FROM j1 WINDOW g AS (PARTITION BY query_id, group_id)),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY round(p, 9) DESC, place) AS nth, max(round(p, 9)) OVER (PARTITION BY query_id, group_id) >= round(p_none, 9) AS won FROM c1),
+a1 AS (SELECT query_id, doc_id, place, score, p, CAST(1 AS BIGINT) AS round FROM n1 WHERE won AND (nth = 1 OR (nth = 2 AND p >= 0.25)))"""
+    for k in range(2, rounds + 1):
+        sql += f""",
+b{k} AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS alive, CAST(floor((row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, place) - 1) / 12) AS BIGINT) AS group_id FROM a{k - 1}),
+m{k} AS (SELECT * EXCLUDE (p) FROM b{k} WHERE alive > 12 AND round = {k - 1}),
+c{k} AS (SELECT *, {later} FROM m{k} WINDOW g AS (PARTITION BY query_id, group_id)),
+n{k} AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY round(p, 9) DESC, place) AS nth, max(round(p, 9)) OVER (PARTITION BY query_id, group_id) >= round(p_none, 9) AS won FROM c{k}),
+w{k} AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS stay, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, place) AS k FROM n{k} WHERE won AND (nth = 1 OR (nth = 2 AND p >= 0.25))),
+a{k} AS (SELECT query_id, doc_id, place, score, p, round FROM b{k} WHERE alive <= 12 OR round < {k - 1} UNION ALL SELECT query_id, doc_id, place, score, p, CAST({k} AS BIGINT) FROM w{k} WHERE stay < alive OR k <= 12)"""
+    return sql + f" SELECT query_id, doc_id, round, round(p, 6) AS p FROM a{rounds}"
 
 
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -454,7 +574,8 @@ SELECT query_id, doc_id, CASE WHEN len(qw) = 0 THEN true WHEN len(qw) <= 2 THEN
 
 _PLAIN = (
     tf_df_stats, bm25_topk, bm25_zscore, cosine_topk, cosine_label_precision, vector_norms, fuse_zscore, fuse_minmax, fuse_rrf, hybrid_topk, surface_max, hit_at_k_mrr,
-    exact_dups_copies, containment_pairs, gold_family, kind_quota, best_copy_swap, group_chunks, group_argmax, runner_up, finalists, family_sum, topic_list, verdict_bands, quote_containment,
+    exact_dups_copies, blank_copies, containment_pairs, containment_members, gold_family, kind_quota, best_copy_swap, group_chunks, group_argmax, runner_up, finalists, family_sum, topic_list, verdict_bands,
+    quote_containment, wanted_kinds, greedy_collapse, search_full,
 )
-QUERIES = {f.__name__: f for f in (*_PLAIN, router, greedy_collapse, knockout_rounds)}
-ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN} | {"router": _router_sql()}
+QUERIES = {f.__name__: f for f in (*_PLAIN, router, knockout_rounds)}
+ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN} | {"router": _router_sql(), "knockout_rounds": _knockout_sql()}

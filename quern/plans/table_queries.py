@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators import tables
+from quern.operators import lexical, tables
 from quern.sources.files import table
+from quern.sources.scratch import shared_dir
 from quern.streaming import events as ev
 
 
@@ -71,12 +71,9 @@ SELECT quality AS ours, count(*) FILTER (theirs = 0) AS theirs_0, count(*) FILTE
 
 
 def not_located_anti(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "benchmark")
-    docs = table(spark, d, "documents").select(F.col("text").alias("whole"))
-    from quern.operators.sizes import if_small
-
-    found = docs.join(if_small(asked), F.col("whole").contains(F.col("text"))).select("item_id").distinct()
-    return asked.join(found, "item_id", "left_anti").select("item_id")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = lexical.containing(table(spark, d, "documents").select("doc_id", "text"), asked)
+    return asked.join(found, "query_id", "left_anti").select(F.col("query_id").alias("item_id"))
 
 
 NOT_LOCATED_ANTI = "SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))"
@@ -232,7 +229,7 @@ def cache_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark, d) -> tuple[DataFrame, str]:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
+    base = shared_dir(spark)
     schema = table(spark, d, "events").schema
     return ev.as_stream(spark, d, "events.parquet", schema), f"{base}/stream-{uuid.uuid4().hex}"
 
