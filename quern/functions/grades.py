@@ -105,3 +105,21 @@ def main_grader(graders: Column, preferred: str, grade: Column) -> Column:
     """The preferred one if it gave this grade, else anyone who did, else the first."""
     same = F.filter(graders, lambda g: g["grade"] == grade)
     return F.coalesce(F.get(F.filter(same, lambda g: g["grader"] == preferred), F.lit(0)), F.get(same, F.lit(0)), F.get(graders, F.lit(0)))
+
+
+#: graders' names for Arabic readers.
+GRADERS = {
+    "Al-Albani": "الألباني",
+    "Zubair Ali Zai": "زبير علي زئي",
+    "Shuaib Al Arnaut": "شعيب الأرناؤوط",
+    "Abu Ghuddah": "عبد الفتاح أبو غدة",
+    "Muhammad Muhyi Al-Din Abdul Hamid": "محمد محيي الدين عبد الحميد",
+    "Muhammad Fouad Abd al-Baqi": "محمد فؤاد عبد الباقي",
+    "Ahmad Muhammad Shakir": "أحمد محمد شاكر",
+    "Bashar Awad Maarouf": "بشار عواد معروف",
+}
+
+
+def grader_label(name: Column) -> Column:
+    """The grader's name in Arabic; unknown ones as they are."""
+    return F.coalesce(F.try_element_at(literal_map(GRADERS), name), name)

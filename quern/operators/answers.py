@@ -11,6 +11,7 @@ from quern.functions.text import mostly_arabic, normalize, strip_tags
 from quern.operators import decision, dense, fusion, lexical
 from quern.operators.sizes import if_small
 from quern.sources.scratch import written
+from quern.streaming.events import streamed
 
 ALTERNATIVES, LEAST_ALTERNATIVE = 3, 0.05
 
@@ -78,17 +79,60 @@ def check(answers: DataFrame) -> DataFrame:
 def packed_requests(groups: DataFrame, budget: int, overhead: int = 0) -> DataFrame:
     """query_id, group_id, request: groups (query_id, group_id, tokens) in order, a new request whenever the budget would be crossed."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        request, used, out = 0, 0, []
-        for t in pdf.sort_values("group_id")["tokens"]:
-            cost = int(t) + overhead
-            if used and used + cost > budget:
-                request, used = request + 1, 0
-            used += cost
-            out.append(request)
-        return pdf.sort_values("group_id")[["query_id", "group_id"]].assign(request=out)
-
-    return groups.select("query_id", F.col("group_id").cast("long").alias("group_id"), F.col("tokens").cast("long").alias("tokens")).groupBy("query_id").applyInPandas(run, "query_id long, group_id long, request long")
+    def start():
+        request, used = 0, 0
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal request, used
+            out = []
+            for t in pdf["tokens"]:
+                cost = int(t) + overhead
+                if used and used + cost > budget:
+                    request, used = request + 1, 0
+                used += cost
+                out.append(request)
+            return pdf[["query_id", "group_id"]].assign(request=out)
+
+        return step
+
+    rows = groups.select("query_id", F.col("group_id").cast("long").alias("group_id"), F.col("tokens").cast("long").alias("tokens"))
+    return streamed(rows, "query_id", ["group_id"], start, "query_id long, group_id long, request long")
+
+
+def token_totals(requests: DataFrame) -> DataFrame:
+    """query_id, requests, tokens: what a search has cost, of its requests (query_id, request, tokens)."""
+    return requests.groupBy("query_id").agg(F.countDistinct("request").alias("requests"), F.sum("tokens").alias("tokens"))
+
+
+def case_totals(checked: DataFrame, by: str) -> DataFrame:
+    """`by`, passed, n of checked cases (failures as from check(), `by`), and a row of all with `by` null."""
+    passed = F.count_if(F.size("failures") == 0).alias("passed")
+    return checked.rollup(by).agg(passed, F.count(F.lit(1)).alias("n"))
+
+
+def honest(text: Column, phrase: Column, severity: Column) -> Column:
+    """Whether a first hit for a saying that isn't sound does no harm: the text holds the saying, or is graded weak or fabricated."""
+    holds = F.coalesce((normalize(phrase) != "") & normalize(text).contains(normalize(phrase)), F.lit(False))
+    return holds | F.coalesce(severity.isin("mawdu", "daif"), F.lit(False))
+
+
+def traced(dense: DataFrame, lexical_scores: DataFrame, fused: DataFrame, watched: DataFrame) -> DataFrame:
+    """query_id, doc_id, dense_rank, lexical_rank, rank of the watched texts (query_id, doc_id) in each step of a search; null where
+    one has no place in it. Scores: query_id, doc_id, score."""
+    out = watched
+    for df, name in ((dense, "dense_rank"), (lexical_scores, "lexical_rank"), (fused, "rank")):
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id"))
+        out = out.join(df.select("query_id", "doc_id", place.alias(name)), ["query_id", "doc_id"], "left")
+    return out
+
+
+def decided_once(candidates: DataFrame, logit: Column, no_match: float, band_on: Column | None = None) -> DataFrame:
+    """query_id, verdict, doc_id, p: one choice among all candidates (query_id, doc_id, rank, ...), its band on the confidence
+    column `band_on` (else on p)."""
+    chosen = decision.winners(decision.choice(candidates, logit, no_match, ("query_id",)), ("query_id",))
+    chosen = chosen.select("query_id", "doc_id", "p", decision.band(F.round(F.col("p") if band_on is None else band_on, 9)).alias("verdict"))
+    out = candidates.select("query_id").distinct().join(chosen, "query_id", "left")
+    return out.select("query_id", F.coalesce("verdict", F.lit(decision.NO_MATCH)).alias("verdict"), "doc_id", "p")
 
 
 def hybrid_pool(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 400, w_dense: float = fusion.DENSE, w_lexical: float = fusion.LEXICAL) -> DataFrame:

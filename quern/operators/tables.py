@@ -85,3 +85,47 @@ def retrieval_metrics(ranks: DataFrame, at: tuple[int, ...] = (1, 3, 5, 10, 120)
     """hits at k and the mean reciprocal rank of (query_id, rank); rank null: gold not found."""
     hits = [F.count_if(F.col("rank") <= k).alias(f"hit_{k}") for k in at]
     return ranks.agg(F.count(F.lit(1)).alias("n"), *hits, F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 9).alias("mrr"))
+
+
+def dropped(df: DataFrame, keep: Column, by: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and `by`, kept, left_out: how many of each group stayed and how many did not."""
+    good = F.coalesce(keep, F.lit(False))
+    return df.where(good), df.groupBy(by).agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("left_out"))
+
+
+def match_totals(pairs: DataFrame, ours: str, theirs: str) -> DataFrame:
+    """One row: agree, differ, unmatched (nothing found), silent (found, but without a ruling). `pairs`: found (boolean), both columns."""
+    found, said = F.coalesce("found", F.lit(False)), F.col(theirs).isNotNull()
+    return pairs.agg(
+        F.count_if(found & said & F.col(ours).eqNullSafe(F.col(theirs))).alias("agree"), F.count_if(found & said & ~F.col(ours).eqNullSafe(F.col(theirs))).alias("differ"),
+        F.count_if(~found).alias("unmatched"), F.count_if(found & ~said).alias("silent"),
+    )
+
+
+def differing(left: DataFrame, right: DataFrame, keys: list[str], form=lambda c: c) -> DataFrame:
+    """`keys`, ours, theirs of texts (keys, text) that differ in this form or that only one side has."""
+    both = left.select(*keys, F.col("text").alias("ours")).join(right.select(*keys, F.col("text").alias("theirs")), keys, "full_outer")
+    return both.where(~form(F.col("ours")).eqNullSafe(form(F.col("theirs"))))
+
+
+def described(df: DataFrame, facts: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """`df` with the first of the facts (name, ...) of its name; null where there are none. Facts are metadata of few rows."""
+    from quern.operators.sizes import if_small
+
+    return df.join(if_small(first_seen(facts, name, order)), name, "left")
+
+
+def spread(scores: DataFrame, by: str, value: str) -> DataFrame:
+    """`by`, n, least, median (lower middle) of a value."""
+    n = F.col("n")
+    return discrete_quantiles(scores, by, value, {"least": F.lit(0), "median": F.floor((n - 1) / 2)})
+
+
+def ceil_div(a: Column, b: Column) -> Column:
+    """Whole division, rounded up."""
+    return F.ceil(a / b).cast("long")
+
+
+def fractional(number: Column) -> Column:
+    """Whether an id has a fraction: a note attached to a record, not one of its own."""
+    return F.coalesce(number.cast("string").contains("."), F.lit(False))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import answers, decision, dedup, lexical
+from quern.operators import answers, decision, dedup, lexical, search
 from quern.plans import search_queries as sq
 from quern.plans.text_queries import word_list
 from quern.sources.files import table
+from quern.sources.scratch import written
 
 
 def hydrate_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +97,97 @@ def request_packs(spark: SparkSession, d: str) -> DataFrame:
     return answers.packed_requests(grouped, 45_000, 300)
 
 
-_PLAIN = (hydrate_topk, alternatives, final_verdicts, translation_choice, retriever_overlap, knockout_corpus)
-QUERIES = {f.__name__: f for f in (*_PLAIN, request_packs)}
+REQUEST_PACKS = f"""WITH RECURSIVE {sq._POOL_SQL}, gt AS (SELECT query_id, CAST(floor((rank - 1) / 12) AS BIGINT) AS group_id, sum(CAST(floor(length(text) * CAST(1.06 AS DOUBLE)) + 2 AS BIGINT)) + 300 AS cost FROM pool JOIN documents USING (doc_id) GROUP BY 1, 2),
+rp AS (SELECT DISTINCT query_id, CAST(-1 AS BIGINT) AS group_id, CAST(0 AS BIGINT) AS request, CAST(0 AS BIGINT) AS used FROM gt UNION ALL
+  SELECT gt.query_id, gt.group_id, CASE WHEN used > 0 AND used + cost > 45000 THEN request + 1 ELSE request END, CAST(CASE WHEN used > 0 AND used + cost > 45000 THEN cost ELSE used + cost END AS BIGINT)
+  FROM rp JOIN gt ON gt.query_id = rp.query_id AND gt.group_id = rp.group_id + 1)
+SELECT query_id, group_id, request FROM rp WHERE group_id >= 0"""
+
+
+def _short(spark, d) -> DataFrame:
+    """The shortlist of each query with kind, words and the wanted kind."""
+    return sq._pool(spark, d).join(sq._texts(spark, d).select("doc_id", "tokens"), "doc_id").join(sq._wanted(spark, d), "query_id").withColumn("place", F.col("rank"))
+
+
+#: sh: the shortlist; lo: pairs of looser copies of one report; each walk keeps the first of them, `most` in all.
+_SHORT_SQL = f"""{sq._POOL_SQL}, sh AS (SELECT query_id, doc_id, kind, rank, score, {sq._WANTED_SQL} AS wanted FROM pool),
+lt AS (SELECT doc_id, list_sort(list_distinct(w)) AS t FROM tok JOIN documents USING (doc_id) WHERE source <> 'src0' AND doc_id IN (SELECT doc_id FROM pool)),
+le AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM lt WHERE len(t) >= 5),
+lo AS (SELECT a.doc_id AS x, b.doc_id AS y FROM le a JOIN le b ON a.w = b.w AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) >= CAST(0.6 AS DOUBLE) * least(any_value(a.n), any_value(b.n))
+       UNION SELECT a.doc_id, b.doc_id FROM lt a JOIN lt b ON a.t = b.t AND len(a.t) >= 2 AND a.doc_id <> b.doc_id),
+lp AS (SELECT x AS doc_id, list(y) AS partners FROM lo GROUP BY 1)"""
+
+
+def _loose_walk(source: str, out: str) -> str:
+    """`out`: query_id, doc_id, place of the walk over `source`: query_id, doc_id, nth (from 1), most."""
+    return f"""{out}_w AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS twin FROM {source} UNION ALL
+  SELECT query_id, step + 1, CASE WHEN t IS NULL THEN list_append(kept, d) ELSE kept END, d, t
+  FROM (SELECT w.query_id, w.step, w.kept, s.doc_id AS d, list_filter(w.kept, lambda x: list_contains(coalesce(lp.partners, []), x))[1] AS t
+        FROM {out}_w w JOIN {source} s ON s.query_id = w.query_id AND s.nth = w.step + 1 LEFT JOIN lp ON lp.doc_id = s.doc_id WHERE len(w.kept) < s.most)),
+{out} AS (SELECT query_id, doc_id, CAST(list_position(kept, doc_id) AS BIGINT) AS place FROM {out}_w WHERE step > 0 AND twin IS NULL)"""
+
+
+_TOPIC_SQL = f"""{_SHORT_SQL}, tn AS (SELECT *, count(*) FILTER (kind = wanted) OVER (PARTITION BY query_id) AS same FROM sh),
+tq AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, 24 AS most FROM tn WHERE same < 6 OR kind = wanted), {_loose_walk('tq', 'tp')}"""
+
+
+def topic_pool(spark: SparkSession, d: str) -> DataFrame:
+    return search.topic_pool(_short(spark, d)).select("query_id", "doc_id", "kind", "place")
+
+
+TOPIC_POOL = f"WITH RECURSIVE {_TOPIC_SQL} SELECT tp.query_id, tp.doc_id, kind, place FROM tp JOIN sh ON sh.query_id = tp.query_id AND sh.doc_id = tp.doc_id"
+
+
+def ruling_pool(spark: SparkSession, d: str) -> DataFrame:
+    return search.ruling_pool(_short(spark, d))
+
+
+RULING_POOL = f"""WITH RECURSIVE {_SHORT_SQL}, tn AS (SELECT *, count(*) FILTER (kind = wanted) OVER (PARTITION BY query_id) AS same FROM sh),
+tq AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, CASE WHEN wanted IS NULL THEN 12 ELSE 24 END AS most FROM tn WHERE CASE WHEN wanted IS NULL THEN kind = 'hadith' ELSE same < 6 OR kind = wanted END), {_loose_walk('tq', 'tp')}
+SELECT tp.query_id, tp.doc_id, kind, CASE WHEN wanted IS NULL THEN place + 12 ELSE place END AS place FROM tp JOIN sh ON sh.query_id = tp.query_id AND sh.doc_id = tp.doc_id
+UNION ALL SELECT query_id, doc_id, kind, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM sh WHERE wanted IS NULL AND kind = 'ayah') WHERE place <= 12"""
+
+
+def answers_full(spark: SparkSession, d: str) -> DataFrame:
+    """From shortlist to answer: groups, finalists, final choice with its report's probability, checks of kind and quotation, the list
+    of a broad query (every third), and which of them is the answer."""
+    short = written(_short(spark, d), "short")
+    last = decision.finalists(decision.winners(decision.choice(decision.groups(short), F.col("score") * sq.LOGIT, sq.NONE), runner_up=0.05))
+    last = decision.choice(last.drop("p", "p_none", "nth"), F.col("score") * sq.LOGIT, sq.NONE, ("query_id",))
+    words = sq._queries(spark, d).select("query_id", lexical.words(F.col("text")).alias("qw"))
+    final = last.join(words, "query_id").withColumn("quote_ok", decision.quote_contained(F.col("qw"), F.col("tokens")))
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    severity = F.when(F.col("kind") == "ayah", "quran").when(F.col("toxic") == 1, "mawdu").when(F.col("quality") == 0, "daif").when(F.col("quality") == 1, "sahih").otherwise("unknown")
+    best = short.groupBy("query_id").agg(F.max("score").alias("best"))
+    pool = search.topic_pool(short).join(short.select("query_id", "doc_id", "tokens", "score"), ["query_id", "doc_id"]).join(labels, "doc_id", "left").join(best, "query_id").withColumn("severity", severity)
+    broad = F.col("query_id") % 3 == 0
+    listed = search.relevant(pool.where(broad), F.col("score") / F.col("best"))
+    out = search.answered(short.select("query_id").distinct().withColumn("broad", broad), final, listed)
+    return out.select("query_id", "verdict", "doc_id", F.round("p_report", 6).alias("p_report"), "texts")
+
+
+ANSWERS_FULL = f"""WITH RECURSIVE {_TOPIC_SQL},
+gr AS (SELECT *, CAST(floor((rank - 1) / 12) AS BIGINT) AS group_id FROM sh),
+ju AS (SELECT *, exp(score * {sq.LOGIT}) / (sum(exp(score * {sq.LOGIT})) OVER g + exp({sq.NONE})) AS p, exp({sq.NONE}) / (sum(exp(score * {sq.LOGIT})) OVER g + exp({sq.NONE})) AS p_none FROM gr WINDOW g AS (PARTITION BY query_id, group_id)),
+nt AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY round(p, 9) DESC, rank) AS nth, max(round(p, 9)) OVER (PARTITION BY query_id, group_id) >= round(p_none, 9) AS won FROM ju),
+wi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS k FROM nt WHERE won AND (nth = 1 OR (nth = 2 AND p >= 0.05))),
+fi AS (SELECT query_id, doc_id, kind, rank, wanted, exp(score * {sq.LOGIT}) / (sum(exp(score * {sq.LOGIT})) OVER q + exp({sq.NONE})) AS p, exp({sq.NONE}) / (sum(exp(score * {sq.LOGIT})) OVER q + exp({sq.NONE})) AS p_none FROM wi WHERE k <= 12 WINDOW q AS (PARTITION BY query_id)),
+o1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS k FROM fi) WHERE k = 1 AND round(p, 9) >= round(p_none, 9)),
+o2 AS (SELECT o1.*, o1.p + coalesce((SELECT sum(f.p) FROM fi f JOIN lo ON lo.x = o1.doc_id AND lo.y = f.doc_id WHERE f.query_id = o1.query_id), 0) AS pr FROM o1),
+qw AS (SELECT item_id AS query_id, {word_list('text')} AS qw FROM benchmark),
+o3 AS (SELECT o2.query_id, o2.doc_id, pr, kind, wanted, CASE WHEN round(pr, 9) >= 0.7 THEN 'confident' WHEN round(pr, 9) >= 0.45 THEN 'tentative' ELSE 'unsure' END AS band,
+         CASE WHEN len(qw) = 0 THEN true WHEN len(qw) <= 2 THEN len(list_filter(qw, lambda x: list_contains(tok.w, x))) = len(qw) ELSE len(list_filter(qw, lambda x: list_contains(tok.w, x))) / len(qw) >= 0.5 END AS quote_ok
+       FROM o2 JOIN qw USING (query_id) JOIN tok ON tok.doc_id = o2.doc_id),
+o4 AS (SELECT * FROM o3 WHERE CASE WHEN wanted IS NOT NULL AND kind <> wanted THEN band = 'confident' ELSE quote_ok END),
+mx AS (SELECT query_id, max(score) AS best FROM sh GROUP BY 1),
+rq AS (SELECT tp.query_id, tp.doc_id, row_number() OVER (PARTITION BY tp.query_id ORDER BY place) AS nth, 1000 AS most FROM tp JOIN sh ON sh.query_id = tp.query_id AND sh.doc_id = tp.doc_id JOIN mx ON mx.query_id = tp.query_id WHERE tp.query_id % 3 = 0 AND score / best >= 0.75),
+{_loose_walk('rq', 're')}, nl AS (SELECT query_id, least(count(*), 8) AS texts FROM re GROUP BY 1),
+al AS (SELECT a.query_id, o4.doc_id, pr, band, coalesce(texts, 0) AS n, a.query_id % 3 = 0 AS broad FROM (SELECT DISTINCT query_id FROM sh) a LEFT JOIN o4 ON o4.query_id = a.query_id LEFT JOIN nl ON nl.query_id = a.query_id),
+fl AS (SELECT *, broad AND n > 0 AS lists, doc_id IS NOT NULL AND (NOT broad OR (band = 'confident' AND round(pr, 9) >= 0.9)) AS single FROM al)
+SELECT query_id, CASE WHEN single THEN band WHEN lists THEN 'topic' WHEN doc_id IS NOT NULL THEN band ELSE 'no_match' END AS verdict, CASE WHEN single OR NOT lists THEN doc_id END AS doc_id,
+       CASE WHEN single OR NOT lists THEN round(pr, 6) END AS p_report, CAST(CASE WHEN lists AND NOT single THEN n ELSE 0 END AS BIGINT) AS texts FROM fl"""
+
+
+_PLAIN = (hydrate_topk, alternatives, final_verdicts, translation_choice, retriever_overlap, knockout_corpus, request_packs, topic_pool, ruling_pool, answers_full)
+QUERIES = {f.__name__: f for f in _PLAIN}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators import lexical, tables
+from quern.operators import lexical, service, tables
 from quern.sources.files import table
 from quern.sources.scratch import shared_dir
 from quern.streaming import events as ev
@@ -22,11 +22,9 @@ COUNTER_SHARE = "SELECT source, count(*) AS n, round(100.0 * count(*) / sum(coun
 
 
 def nested_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Line items nested by order, exploded again: how many orders have each (flag, status), how many distinct suppliers."""
-    g = F.struct("l_returnflag", "l_linestatus", "l_suppkey")
-    nested = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(g).alias("g"))
-    each = nested.select("l_orderkey", F.explode("g").alias("g")).select("l_orderkey", "g.*")
-    return each.groupBy("l_returnflag", "l_linestatus").agg(F.countDistinct("l_orderkey").alias("orders"), F.countDistinct("l_suppkey").alias("suppliers"), F.count(F.lit(1)).alias("n"))
+    """Nested counters by (flag, status): how many orders have it, how many distinct suppliers, how many lines."""
+    g = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus")
+    return g.agg(F.countDistinct("l_orderkey").alias("orders"), F.countDistinct("l_suppkey").alias("suppliers"), F.count(F.lit(1)).alias("n"))
 
 
 NESTED_COVERAGE = "SELECT l_returnflag, l_linestatus, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM lineitem GROUP BY 1, 2"
@@ -220,14 +218,76 @@ def rate_limit_exact(spark: SparkSession, d: str) -> DataFrame:
     return ev.sliding_limit(table(spark, d, "events"), 3, 86400.0)
 
 
+#: Each user's events one after the other: e has them by place, r the state behind each.
+_BY_USER = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events)"
+RATE_LIMIT_EXACT = f"""WITH RECURSIVE {_BY_USER},
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS log, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS allowed FROM e UNION ALL
+  SELECT user_id, k, CASE WHEN len(l) < 3 THEN list_append(l, t) ELSE l END, event_id, len(l) < 3
+  FROM (SELECT e.user_id, e.k, e.event_id, e.t, list_filter(r.log, lambda x: e.t - x <= 86400) AS l FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT event_id, user_id, allowed FROM r WHERE k > 0"""
+
+
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return ev.token_bucket(table(spark, d, "events"), "value", 0.01, 100.0).withColumn("wait", F.round("wait", 4))
+    """A bucket of cost and one of requests."""
+    return ev.token_bucket(table(spark, d, "events"), "value", 0.01, 100.0, 2.0).withColumn("wait", F.round("wait", 4))
+
+
+TOKEN_BUCKET = f"""WITH RECURSIVE {_BY_USER},
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(100 AS DOUBLE) AS cost_level, CAST(2 AS DOUBLE) AS request_level, CAST(NULL AS DOUBLE) AS now, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS wait FROM e UNION ALL
+  SELECT user_id, k, least(100, c + w * CAST(0.01 AS DOUBLE)) - need, least(2, q + w * 2) - 1, begin + w, event_id, begin + w - t
+  FROM (SELECT *, greatest(0, (need - c) / CAST(0.01 AS DOUBLE), (1 - q) / 2) AS w
+    FROM (SELECT *, least(100, cost_level + (begin - coalesce(now, begin)) * CAST(0.01 AS DOUBLE)) AS c, least(2, request_level + (begin - coalesce(now, begin)) * 2) AS q
+      FROM (SELECT e.*, r.cost_level, r.request_level, r.now, least(e.value, 100) AS need, CASE WHEN r.now IS NULL THEN e.t ELSE greatest(e.t, r.now) END AS begin FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))))
+SELECT event_id, user_id, round(wait, 4) AS wait FROM r WHERE k > 0"""
 
 
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
     return ev.last_use_hits(table(spark, d, "events"), "event_type", 2)
 
 
+CACHE_HITS = f"""WITH RECURSIVE {_BY_USER},
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS hit FROM e UNION ALL
+  SELECT user_id, k, CASE WHEN len(h) > 2 THEN h[len(h) - 1:] ELSE h END, event_id, hit
+  FROM (SELECT e.user_id, e.k, e.event_id, list_contains(r.held, e.event_type) AS hit, list_append(list_filter(r.held, lambda x: x <> e.event_type), e.event_type) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT event_id, hit FROM r WHERE k > 0"""
+
+
+def match_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Quality labels against those of a text's first copy: agreeing, differing, without a copy, with an unlabelled one."""
+    keyed = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("k"))
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    first = keyed.groupBy("k").agg(F.min("doc_id").alias("first"))
+    theirs = labels.select(F.col("doc_id").alias("first"), F.col("quality").alias("theirs"))
+    rows = keyed.join(labels, "doc_id").join(first, "k").join(theirs, "first", "left").withColumn("found", F.col("first") < F.col("doc_id"))
+    return tables.match_totals(rows, "quality", "theirs")
+
+
+MATCH_TOTALS = """
+WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first FROM documents),
+r AS (SELECT l.quality AS ours, t.quality AS theirs, first < k.doc_id AS found FROM k JOIN labels l ON l.doc_id = k.doc_id LEFT JOIN labels t ON t.doc_id = k.first)
+SELECT count(*) FILTER (found AND theirs IS NOT NULL AND ours IS NOT DISTINCT FROM theirs) AS agree, count(*) FILTER (found AND theirs IS NOT NULL AND ours IS DISTINCT FROM theirs) AS differ,
+       count(*) FILTER (NOT found) AS unmatched, count(*) FILTER (found AND theirs IS NULL) AS silent FROM r"""
+
+
+def served_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests: some too short, a limit a user, a cache that knows some queries, an answer for most others."""
+    kind = F.col("event_type")
+    query = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(kind, F.lit("  "), (F.col("event_id") % 7).cast("string")))
+    requests = table(spark, d, "events").select("event_id", "user_id", "ts", query.alias("query"))
+    known = table(spark, d, "events").select(F.concat(kind, F.lit(" 1")).alias("query")).distinct().withColumn("answer", F.upper("query"))
+    out = service.served(requests, known, lambda asked: asked.where("query not like '% 3'").withColumn("answer", F.md5(F.col("query").cast("binary"))), 3, 86400.0)
+    return out.select("event_id", "status", "cached", "answer")
+
+
+SERVED_REQUESTS = f"""WITH RECURSIVE q AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type || ' ' || CAST(event_id % 7 AS VARCHAR) END AS query FROM events),
+e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM q WHERE length(query) >= 2),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS log, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS allowed FROM e UNION ALL
+  SELECT user_id, k, CASE WHEN len(l) < 3 THEN list_append(l, t) ELSE l END, event_id, len(l) < 3
+  FROM (SELECT e.user_id, e.k, e.event_id, e.t, list_filter(r.log, lambda x: e.t - x <= 86400) AS l FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)),
+s AS (SELECT q.event_id, query, CASE WHEN length(query) < 2 THEN 'too_short' WHEN NOT allowed THEN 'limited' WHEN query LIKE '% 3' THEN 'decision_unavailable' ELSE 'answered' END AS status FROM q LEFT JOIN r ON r.event_id = q.event_id)
+SELECT event_id, status, status = 'answered' AND query LIKE '% 1' AS cached, CASE WHEN status = 'answered' THEN CASE WHEN query LIKE '% 1' THEN upper(query) ELSE md5(query) END END AS answer FROM s"""
+
+
 def _stream(spark, d) -> tuple[DataFrame, str]:
     base = shared_dir(spark)
     schema = table(spark, d, "events").schema
@@ -248,6 +308,7 @@ def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 _PLAIN = (
     counter_share, nested_coverage, discrete_quantiles, integrity_counts, crosscheck_agreement, not_located_anti, has_hit_semi, range_lookup, seeded_sample, first_seen, upsert_overlay,
     map_edit, union_by_name, sections_lookup, rollup_revenue, latency_report, rate_limit_range, tumbling_counts, sliding_counts, session_counts,
+    rate_limit_exact, token_bucket, cache_hits, match_totals, served_requests,
 )
-QUERIES = {f.__name__: f for f in (*_PLAIN, rate_limit_exact, token_bucket, cache_hits, stream_tumbling, stream_rate_limit)}
+QUERIES = {f.__name__: f for f in (*_PLAIN, stream_tumbling, stream_rate_limit)}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN}

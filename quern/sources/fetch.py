@@ -43,3 +43,44 @@ def fetched(url: str, to: str, retries: int = 3, required: bool = True, mirrors:
     if required:
         raise RuntimeError(f"can't fetch {url}") from error
     return None
+
+
+def source_list(templates: dict[str, str], languages: dict[str, dict], folder: str) -> list[tuple[str, str, bool]]:
+    """(url, path, required) of all files of a build: for each language its editions' URLs from the template of their kind.
+
+    `languages`: lang -> {"kind": template's name, "editions": [...], "required": bool}. Templates have {edition} and {lang}.
+    """
+    out = []
+    for lang, of in languages.items():
+        for edition in of["editions"]:
+            url = templates[of["kind"]].format(edition=edition, lang=lang)
+            out.append((url, f"{folder}/{of['kind']}-{lang}-{edition}.json", bool(of.get("required", False))))
+    return out
+
+
+def fetched_all(sources: list[tuple[str, str, bool]], progress: Callable[[str, int, int], None] | None = None, **how) -> list[str]:
+    """Fetches a source list; paths of what is there. An optional source that can't be had is left out, a required one raises."""
+    got = []
+    for k, (url, to, required) in enumerate(sources):
+        path = fetched(url, to, required=required, **how)
+        got += [path] if path else []
+        if progress:
+            progress("fetch", k + 1, len(sources))
+    return got
+
+
+def paged(url_of: Callable[[int], str], pages: range, rows_of: Callable[[bytes], list[dict]], retries: int = 4, pause: float = 0.15, read: Callable[[str], bytes] = _open, wait: Callable[[float], None] = time.sleep) -> list[dict]:
+    """All rows of a REST source in pages, one request after the other with a pause between; a page that fails is tried again, with
+    longer and longer waits, and raises in the end."""
+    out: list[dict] = []
+    for number in pages:
+        for turn in range(retries):
+            try:
+                out += rows_of(read(url_of(number)))
+                break
+            except (OSError, ValueError):
+                if turn == retries - 1:
+                    raise
+                wait(2.0 * (turn + 1))
+        wait(pause)
+    return out

@@ -102,6 +102,39 @@ def keep_answers(answers: DataFrame, path: str, version: str) -> None:
 
 
 def markdown(df: DataFrame, title: str, rows: int = 200) -> str:
-    """A report table as Markdown; reports are aggregates of a few rows."""
+    """A report table as Markdown. Reports are aggregates of a few rows; one of more than `rows` rows says how many it leaves out."""
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.take(rows)]) + "\n"
+    shown = df.take(rows + 1)
+    more = [] if len(shown) <= rows else ["", f"{df.count() - rows} more rows are not shown."]
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in shown[:rows]] + more) + "\n"
+
+
+def split_bytes(spark: SparkSession, path: str, to: str, most: int = 90_000_000) -> DataFrame:
+    """A file cut into parts of at most `most` bytes under `to`; their manifest (file, bytes, sha256). The parts' names sort in order.
+
+    The file is streamed through the driver once, as it is one file on one disk: a step of shipping, not of the engine.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    fs = source.getFileSystem(conf)
+    size = fs.getFileStatus(source).getLen()
+    for number, start in enumerate(range(0, max(size, 1), most)):
+        read, write = fs.open(source), fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"part-{number:05d}"))
+        read.seek(start)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, write, min(most, size - start), True)
+    return split_with_manifest(spark, to).where(F.col("file").startswith("part-"))
+
+
+def rejoined(spark: SparkSession, manifest: DataFrame, folder: str, to: str) -> str:
+    """The parts of a manifest put together again, after a check of their digests; raises if one is gone or different."""
+    bad = changed_parts(manifest, folder).take(5)
+    if bad:
+        raise ValueError(f"parts that are not as they were: {[r[0] for r in bad]}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(to)
+    fs = place.getFileSystem(conf)
+    write = fs.create(place)
+    for r in manifest.select("file", "bytes").orderBy("file").collect():  # one row a part
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(jvm.org.apache.hadoop.fs.Path(folder, r["file"])), write, r["bytes"], False)
+    write.close()
+    return to

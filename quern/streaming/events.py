@@ -23,40 +23,79 @@ def recent_hits(events: DataFrame, seconds: float = 60.0) -> DataFrame:
     return with_time(events).withColumn("hits", F.count(F.lit(1)).over(w))
 
 
+def streamed(rows: DataFrame, key: str, order: list[str], start, schema: str) -> DataFrame:
+    """All rows of one key after the other, in order, through a state of their own: start() gives a function from a data frame of
+    some of a key's next rows to the rows that come out.
+
+    A key's rows are sorted by Spark, which spills, and read in batches, so memory holds one batch and the state. One task reads
+    all rows of a key, as what is asked depends on all of its answers before: a hot key is one long task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, step = None, None
+        for pdf in batches:
+            keys = pdf[key].to_numpy()
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, z in zip(edges, edges[1:]):
+                if a < z:
+                    if step is None or keys[a] != at:
+                        at, step = keys[a], start()
+                    yield step(pdf.iloc[a:z])
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def sliding_limit(events: DataFrame, limit: int = 30, seconds: float = 60.0) -> DataFrame:
-    """event_id, user_id, allowed: a sliding log a user; rejected events are not recorded. One task holds one user."""
+    """event_id, user_id, allowed: a sliding log a user; rejected events are not recorded. State: the allowed times of the last
+    `seconds`, `limit` at most."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start():
         log: deque[float] = deque()
-        allowed = []
-        pdf = pdf.sort_values(["sec", "event_id"])
-        for t in pdf["sec"]:
-            while log and t - log[0] > seconds:
-                log.popleft()
-            allowed.append(len(log) < limit)
-            if allowed[-1]:
-                log.append(t)
-        return pdf[["event_id", "user_id"]].assign(allowed=allowed)
 
-    return with_time(events).select("event_id", "user_id", "sec").groupBy("user_id").applyInPandas(run, "event_id long, user_id long, allowed boolean")
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            allowed = []
+            for t in pdf["sec"]:
+                while log and t - log[0] > seconds:
+                    log.popleft()
+                allowed.append(len(log) < limit)
+                if allowed[-1]:
+                    log.append(t)
+            return pdf[["event_id", "user_id"]].assign(allowed=allowed)
+
+        return step
+
+    return streamed(with_time(events).select("event_id", "user_id", "sec"), "user_id", ["sec", "event_id"], start, "event_id long, user_id long, allowed boolean")
+
 
+def token_bucket(events: DataFrame, cost: str, rate: float, capacity: float, per_second: float | None = None) -> DataFrame:
+    """event_id, user_id, wait: seconds until the user's buckets, refilled by elapsed time, hold what the event takes: its cost (at
+    most `capacity`) of one and, if `per_second` is given, one request of another that holds and refills so many. Events go one
+    after the other. State: two levels and a time."""
+    rates = [(rate, capacity)] + ([(per_second, per_second)] if per_second else [])
 
-def token_bucket(events: DataFrame, cost: str, rate: float, capacity: float) -> DataFrame:
-    """event_id, user_id, wait: seconds until the user's bucket, refilled by elapsed time, holds the event's cost."""
+    def start():
+        level, now = [c for _, c in rates], None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        level, now, waits = capacity, None, []
-        pdf = pdf.sort_values(["sec", "event_id"])
-        for t, c in zip(pdf["sec"], pdf["cost"]):
-            start = t if now is None else max(t, now)
-            level = min(capacity, level + (start - (now if now is not None else start)) * rate)
-            need = min(c, capacity)
-            wait = max(0.0, (need - level) / rate)
-            level, now = level + wait * rate - need, start + wait
-            waits.append(now - t)
-        return pdf[["event_id", "user_id"]].assign(wait=waits)
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal now
+            waits = []
+            for t, c in zip(pdf["sec"], pdf["cost"]):
+                begin = t if now is None else max(t, now)
+                passed = begin - (begin if now is None else now)
+                need = [min(c, capacity), 1.0]
+                for k, (r, most) in enumerate(rates):
+                    level[k] = min(most, level[k] + passed * r)
+                wait = max(0.0, *((need[k] - level[k]) / r for k, (r, _) in enumerate(rates)))
+                for k, (r, most) in enumerate(rates):
+                    level[k] = min(most, level[k] + wait * r) - need[k]
+                now = begin + wait
+                waits.append(now - t)
+            return pdf[["event_id", "user_id"]].assign(wait=waits)
 
-    return with_time(events).select("event_id", "user_id", "sec", F.col(cost).cast("double").alias("cost")).groupBy("user_id").applyInPandas(run, "event_id long, user_id long, wait double")
+        return step
+
+    rows = with_time(events).select("event_id", "user_id", "sec", F.col(cost).cast("double").alias("cost"))
+    return streamed(rows, "user_id", ["sec", "event_id"], start, "event_id long, user_id long, wait double")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -88,7 +127,8 @@ def drained(stream: DataFrame, path: str, mode: str = "append", schema=None) ->
 
 
 def streaming_limit(stream: DataFrame, limit: int = 30, seconds: float = 60.0) -> DataFrame:
-    """The sliding log on a stream: state holds the allowed times of the last `seconds` of each user."""
+    """The sliding log on a stream: state holds the allowed times of the last `seconds` of each user. A user's events of one
+    trigger are one task's; bound triggers (maxFilesPerTrigger) where one user may send very many."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         log = deque(state.get[0]) if state.exists else deque()
@@ -107,18 +147,21 @@ def streaming_limit(stream: DataFrame, limit: int = 30, seconds: float = 60.0) -
 
 
 def last_use_hits(requests: DataFrame, key: str, size: int) -> DataFrame:
-    """event_id, hit of a cache of `size` entries that evicts the entry not used for longest; one group a cache (user_id)."""
+    """event_id, hit of a cache of `size` entries that evicts the entry not used for longest; one cache a user. State: the entries."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start():
         held: dict = {}
-        hits = []
-        pdf = pdf.sort_values(["sec", "event_id"])
-        for k in pdf["key"]:
-            hits.append(k in held)
-            held.pop(k, None)
-            held[k] = True
-            if len(held) > size:
-                del held[next(iter(held))]
-        return pdf[["event_id"]].assign(hit=hits)
-
-    return with_time(requests).select("event_id", "user_id", "sec", F.col(key).alias("key")).groupBy("user_id").applyInPandas(run, "event_id long, hit boolean")
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            hits = []
+            for k in pdf["key"]:
+                hits.append(k in held)
+                held.pop(k, None)
+                held[k] = True
+                if len(held) > size:
+                    del held[next(iter(held))]
+            return pdf[["event_id"]].assign(hit=hits)
+
+        return step
+
+    return streamed(with_time(requests).select("event_id", "user_id", "sec", F.col(key).alias("key")), "user_id", ["sec", "event_id"], start, "event_id long, hit boolean")
