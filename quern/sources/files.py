@@ -120,8 +120,9 @@ def split_bytes(spark: SparkSession, path: str, to: str, most: int = 90_000_000)
     size = fs.getFileStatus(source).getLen()
     for number, start in enumerate(range(0, max(size, 1), most)):
         read, write = fs.open(source), fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"part-{number:05d}"))
-        read.seek(start)
-        jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, write, min(most, size - start), True)
+        jvm.org.apache.commons.io.IOUtils.copyLarge(read, write, start, min(most, size - start))
+        read.close()
+        write.close()
     return split_with_manifest(spark, to).where(F.col("file").startswith("part-"))
 
 
@@ -135,6 +136,8 @@ def rejoined(spark: SparkSession, manifest: DataFrame, folder: str, to: str) ->
     fs = place.getFileSystem(conf)
     write = fs.create(place)
     for r in manifest.select("file", "bytes").orderBy("file").collect():  # one row a part
-        jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(jvm.org.apache.hadoop.fs.Path(folder, r["file"])), write, r["bytes"], False)
+        read = fs.open(jvm.org.apache.hadoop.fs.Path(folder, r["file"]))
+        jvm.org.apache.commons.io.IOUtils.copyLarge(read, write, 0, r["bytes"])
+        read.close()
     write.close()
     return to

@@ -1,13 +1,15 @@
 """Functions and operators on hand-made rows."""
 
 import hashlib
+import math
+import random
 from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import grades, parse, text, vectors
-from quern.operators import answers, corpus, decision, dedup, encode, fusion, lexical, lookup, tables
+from quern.operators import answers, corpus, decision, dedup, encode, fusion, lexical, lookup, search, service, tables
 from quern.sources import fetch, files
 from quern.streaming import events
 
@@ -79,8 +81,6 @@ def test_vectors(spark):
 
 
 def test_bm25_by_hand_and_engine_switch(spark):
-    import math
-
     docs = spark.createDataFrame([(1, "red red fish"), (2, "blue fish"), (3, "sky"), (4, None)], "doc_id long, text string")
     q = spark.createDataFrame([(1, "Red fish!"), (2, "nothing")], "query_id long, text string")
     got = {(r["query_id"], r["doc_id"]): r["score"] for r in lexical.bm25(q, docs).collect()}
@@ -95,7 +95,7 @@ def test_bm25_by_hand_and_engine_switch(spark):
 
 def test_fusion_parts(spark):
     s = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0)], "query_id long, doc_id long, score double")
-    m = fusion.moments(s, F.lit(4)).first()
+    m = fusion.moments(fusion.sums(s), 4).first()
     assert (m["mean"], m["sd"]) == (1.5, pytest.approx(1.6583123951777))
     lists = [spark.createDataFrame(r, "query_id long, doc_id long, rank int") for r in ([(1, 7, 1), (1, 8, 2)], [(1, 8, 1)])]
     got = {r["doc_id"]: r["score"] for r in fusion.reciprocal_ranks(lists).collect()}
@@ -120,8 +120,10 @@ def test_tournament(spark):
     assert none.count() == 0
     out = {r["query_id"]: r["verdict"] for r in answers.answered(df, F.col("score"), 2.0).collect()}
     assert out == {1: "confident"}
-    kept = decision.knockout(df, F.col("score"), lambda d: d.sparkSession.createDataFrame(d.collect(), d.schema), first=2, later=2, final=2, no_match=-9.0)
-    assert {r["doc_id"] for r in kept.collect()} >= {1, 5}
+    close = spark.createDataFrame([(1, 1, 1, 0.9), (1, 2, 2, 0.85), (2, 3, 1, 1.5), (2, 4, 2, 1.45)], "query_id long, doc_id long, rank int, score double")
+    # no_match wins the first query's group: neither its first nor its runner-up goes on
+    won = decision.winners(decision.choice(close.withColumn("group_id", F.lit(0)), F.col("score"), 1.0), runner_up=0.2)
+    assert sorted(r["doc_id"] for r in won.collect()) == [3, 4]
 
 
 ROUTE = dict(p_general=0.0, p_personal=0.0, p_question=0.0, p_judge=0.0, p_islamic=1.0, p_specific=0.9, p_saying=0.0, names_kind=False, starts_as_question=False, is_question_form=False, has_ruling_word=False, n_finalists=3, pick_passes=True, pick_p=0.8, n_relevant=0)
@@ -317,3 +319,169 @@ def test_more_small_functions(spark):
     assert values(spark, text.percent(F.col("x")), [0.456, 1.2, -1.0], "x double") == [46, 100, 0]
     texts = {"no_match": "none", "tentative": "maybe", "else": "found"}
     assert values(spark, text.message(F.col("v"), F.col("s"), texts, "say more"), [("no_match", 0.1), ("no_match", 0.5), ("tentative", 0.1), ("confident", 0.9)], "v string, s double") == ["none say more", "none", "maybe", "found"]
+
+
+def test_knockout_reads_every_text(spark, tmp_path):
+    rng = random.Random(7)
+    texts, none, cuts = 200, 1.0, []
+
+    def cut(df):
+        path = str(tmp_path / f"round{len(cuts)}")
+        df.write.parquet(path)
+        cuts.append(path)
+        return spark.read.parquet(path)
+
+    logits = {(q, p): rng.choice([0.0] * (q + 1) + [round(rng.uniform(0.5, 4), 3)]) for q in range(6) for p in range(texts)}
+    rows = [(q, 1000 + p, p, x) for (q, p), x in logits.items() if x > 0]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, place long, score double")
+    got = {(r["query_id"], r["place"]) for r in decision.knockout(df, texts, F.col("score"), cut, no_match=none).collect()}
+
+    def round_of(q, groups):
+        out = []
+        for g in groups:
+            e = [math.exp(logits[q, p]) for p in g]
+            whole = sum(e) + math.exp(none)
+            order = sorted(range(len(g)), key=lambda k: (-round(e[k] / whole, 9), k))
+            if round(e[order[0]] / whole, 9) >= round(math.exp(none) / whole, 9):
+                out.append((g[order[0]], e[order[0]] / whole))
+                if len(g) > 1 and e[order[1]] / whole >= 0.25:
+                    out.append((g[order[1]], e[order[1]] / whole))
+        return [p for p, _ in sorted(out, key=lambda x: (-round(x[1], 9), x[0]))]
+
+    want = set()
+    for q in range(6):
+        alive = round_of(q, [range(s, min(s + 20, texts)) for s in range(0, texts, 20)])
+        while len(alive) > 12:
+            left = round_of(q, [alive[s : s + 12] for s in range(0, len(alive), 12)])
+            if len(left) >= len(alive):
+                alive = left[:12]
+                break
+            alive = left
+        want |= {(q, p) for p in alive}
+    assert got == want and cuts
+
+
+def test_search_parts(spark):
+    words = lambda x: F.split(F.col(x), " ")
+    asked = ["ايه عن النوم", "hadith on sleep", "verse and hadith", "sleep", "verse", "حديث سنه"]
+    assert values(spark, search.wanted_kind(words("x")), asked) == ["ayah", "hadith", None, None, "ayah", "hadith"]
+    assert values(spark, F.array_join(search.literal_words(words("x")), " "), asked) == ["عن النوم", "on sleep", "and", "sleep", "verse", "سنه"]
+    urls = {"objection": "o://", "creed": "c://"}
+    got = values(spark, search.referred(F.col("k"), F.col("l"), urls, "objection", ("objection",)), [("creed", "en"), ("objection", "fr"), ("x", "de"), ("objection", "ar"), (None, None)], "k string, l string")
+    assert got == ["c://", "o://?lang=fr", "o://?lang=en", "o://", "o://"]
+    got = values(spark, search.linked(F.col("k"), F.split(F.col("w"), " "), F.lit(2), F.lit(255), "s://{q}", "v://{chapter}/{verse}", 2), [("ayah", "a"), ("hadith", "a b c d")], "k string, w string")
+    assert got == ["v://2/255", "s://b%20c"]
+    assert values(spark, search.subject_url(words("x"), ("ما", "حكم"), "s://{q}", "h://"), ["ما حكم البيع", "ما"]) == ["s://" + "%D8%A7%D9%84%D8%A8%D9%8A%D8%B9", "h://"]
+
+
+def test_knockout_answers(spark):
+    asked = spark.createDataFrame([(1, False, 0.9), (2, False, 0.1), (3, True, 0.0), (4, True, None)], "query_id long, broad boolean, p_fatwa double")
+    final = spark.createDataFrame([(q, d, 1, "hadith", t, p, 0.1, None, None) for q, d, t, p in ((1, 10, ["a"], 0.8), (2, 10, list("abcdef"), 0.5), (2, 11, list("abcdez"), 0.3), (3, 12, ["x"], 0.8))], "query_id long, doc_id long, rank int, kind string, tokens array<string>, p double, p_none double, wanted string, quote_ok boolean")
+    listed = spark.createDataFrame([(3, 20, 1), (3, 21, 2)], "query_id long, doc_id long, place int")
+    got = {r["query_id"]: (r["verdict"], r["doc_id"], r["texts"]) for r in search.knockout_answered(asked, final, listed).collect()}
+    assert got == {1: ("fatwa_request", None, 0), 2: ("confident", 10, 0), 3: ("topic", None, 2), 4: ("no_match", None, 0)}
+    won = spark.createDataFrame([(1, k, "hadith", [f"w{k % 3}", "x"], 1.0 - k / 100, k) for k in range(70)], "query_id long, doc_id long, kind string, tokens array<string>, p double, place int")
+    assert [r["doc_id"] for r in search.knockout_topic(won).orderBy("place").collect()] == [0, 1, 2]
+    unsure = final.where("query_id = 2 and doc_id = 10").withColumn("wanted", F.lit("ayah"))
+    assert search.picked(unsure).count() == 0 and search.picked(unsure.withColumn("p", F.lit(0.7))).count() == 1
+    assert search.picked(final.withColumn("quote_ok", F.lit(False))).count() == 0
+
+
+def test_reports_and_totals(spark):
+    checked = spark.createDataFrame([("a", []), ("a", ["kind"]), ("b", [])], "case string, failures array<string>")
+    assert {(r["case"], r["passed"], r["n"]) for r in answers.case_totals(checked, "case").collect()} == {("a", 1, 2), ("b", 1, 1), (None, 2, 3)}
+    requests = spark.createDataFrame([(1, 0, 10), (1, 0, 5), (1, 1, 7)], "query_id long, request long, tokens long")
+    assert tuple(answers.token_totals(requests).first()) == (1, 2, 22)
+    kept, counts = tables.dropped(spark.createDataFrame([("a", "x"), ("a", " "), ("b", None)], "k string, t string"), F.trim("t") != "", "k")
+    assert kept.count() == 1 and {tuple(r) for r in counts.collect()} == {("a", 1, 1), ("b", 0, 1)}
+    left = spark.createDataFrame([(1, "A b"), (2, "c"), (3, "d")], "k long, text string")
+    right = spark.createDataFrame([(1, "a B"), (2, "x"), (4, "e")], "k long, text string")
+    assert {r["k"] for r in tables.differing(left, right, ["k"], F.lower).collect()} == {2, 3, 4}
+    facts = spark.createDataFrame([("e", "second", 2), ("e", "first", 1)], "edition string, author string, n int")
+    assert [r["author"] for r in tables.described(spark.createDataFrame([("e",), ("f",)], "edition string"), facts, "edition", [F.col("n")]).orderBy("edition").collect()] == ["first", None]
+    assert values(spark, tables.ceil_div(F.col("a"), F.lit(3)), [(7,), (6,), (0,)], "a long") == [3, 2, 0]
+    assert values(spark, tables.fractional(F.col("a")), [("815.2",), ("815",), (None,)], "a string") == [True, False, False]
+    assert [tuple(r) for r in tables.spread(spark.createDataFrame([("a", 0.5), ("a", 0.9), ("a", 0.1)], "k string, v double"), "k", "v").select("n", "least", "median").collect()] == [(3, 0.1, 0.5)]
+    one = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5)], "query_id long, doc_id long, score double")
+    seen = answers.traced(one, one.where("doc_id = 2"), one, one.select("query_id", "doc_id")).orderBy("doc_id").collect()
+    assert [(r["dense_rank"], r["lexical_rank"], r["rank"]) for r in seen] == [(1, None, 1), (2, 1, 2)]
+    choice = spark.createDataFrame([(1, 5, 1, 3.0, 0.5), (2, 6, 1, -3.0, 0.9)], "query_id long, doc_id long, rank int, score double, sure double")
+    got = {r["query_id"]: (r["verdict"], r["doc_id"]) for r in answers.decided_once(choice, F.col("score"), 0.0, F.col("sure")).collect()}
+    assert got == {1: ("tentative", 5), 2: ("no_match", None)}
+    assert "more rows" in files.markdown(spark.range(5), "T", 3) and "more rows" not in files.markdown(spark.range(3), "T", 3)
+
+
+def test_parts_by_bytes(spark, tmp_path):
+    (tmp_path / "big.bin").write_bytes(bytes(range(256)) * 40)
+    manifest = files.split_bytes(spark, str(tmp_path / "big.bin"), str(tmp_path / "parts"), 3000)
+    kept = spark.createDataFrame(manifest.collect(), manifest.schema)
+    assert sorted(r["bytes"] for r in kept.collect()) == [1240, 3000, 3000, 3000]
+    assert (tmp_path / "again.bin").exists() is False and files.rejoined(spark, kept, str(tmp_path / "parts"), str(tmp_path / "again.bin"))
+    assert (tmp_path / "again.bin").read_bytes() == (tmp_path / "big.bin").read_bytes()
+    (tmp_path / "parts" / "part-00001").write_bytes(b"x")
+    (tmp_path / "parts" / ".part-00001.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError):
+        files.rejoined(spark, kept, str(tmp_path / "parts"), str(tmp_path / "again2.bin"))
+
+
+def test_pages_and_source_lists(tmp_path):
+    tries = []
+
+    def read(url):
+        tries.append(url)
+        if len(tries) == 2:
+            raise OSError("slow down")
+        return url.encode()
+
+    rows = fetch.paged(lambda k: f"p{k}", range(1, 4), lambda body: [{"page": body.decode()}], read=read, wait=lambda s: None)
+    assert [r["page"] for r in rows] == ["p1", "p2", "p3"] and tries == ["p1", "p2", "p2", "p3"]
+    with pytest.raises(OSError):
+        fetch.paged(lambda k: "x", range(1), lambda body: [], read=lambda url: (_ for _ in ()).throw(OSError()), wait=lambda s: None)
+    listed = fetch.source_list({"verse": "a://{edition}.json"}, {"ar": {"kind": "verse", "editions": ["u"], "required": True}, "en": {"kind": "verse", "editions": ["v", "w"]}}, str(tmp_path))
+    assert [(u, r) for u, _, r in listed] == [("a://u.json", True), ("a://v.json", False), ("a://w.json", False)]
+    seen = []
+    got = fetch.fetched_all(listed, progress=lambda *a: seen.append(a), read=lambda url: b"x" * 2000 if "w" not in url else (_ for _ in ()).throw(OSError()), pause=0)
+    assert len(got) == 2 and seen[-1] == ("fetch", 3, 3)
+
+
+def test_service_does_not_answer_without_a_decision(spark):
+    import datetime as dt
+
+    rows = [(1, 1, dt.datetime(2024, 1, 1), "  red   fish "), (2, 1, dt.datetime(2024, 1, 1, 0, 0, 1), "known"), (3, 2, dt.datetime(2024, 1, 1), "x"), (4, 2, dt.datetime(2024, 1, 1), "y" * 501), (5, 1, dt.datetime(2024, 1, 1, 0, 0, 2), "third")]
+    requests = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, query string")
+    cache = spark.createDataFrame([("known", "kept")], "query string, answer string")
+
+    def broken(asked):
+        raise RuntimeError("no judge")
+
+    steps = []
+    got = {r["event_id"]: (r["status"], r["cached"], r["answer"]) for r in service.served(requests, cache, broken, 2, 60.0, progress=lambda *a: steps.append(a)).collect()}
+    assert got == {1: ("decision_unavailable", False, None), 2: ("answered", True, "kept"), 3: ("too_short", False, None), 4: ("too_long", False, None), 5: ("limited", False, None)}
+    assert [s[0] for s in steps] == ["length", "cache", "answer", "done"]
+    good = {r["event_id"]: r["answer"] for r in service.served(requests, cache, lambda a: a.withColumn("answer", F.upper("query")), 9).collect()}
+    assert good[1] == "RED FISH" and good[5] == "THIRD"
+
+
+def test_two_buckets_and_hot_users(spark):
+    import datetime as dt
+
+    rows = [(k, dt.datetime(2024, 1, 1), 1, "x", 1.0) for k in range(5)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    waits = [r["wait"] for r in events.token_bucket(df, "value", 10.0, 60.0, 2.0).orderBy("event_id").collect()]
+    assert waits == pytest.approx([0.0, 0.0, 0.5, 1.0, 1.5])
+    n = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        many = spark.range(100).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") % 3 == 0).cast("long").alias("user_id"))
+        assert events.sliding_limit(many, 5, 1000.0).where("allowed").count() == 10
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+
+
+def test_passages_are_found_as_they_stand(spark):
+    docs = ["x a b c d e f y", "a b c d ex", "q", "ab c", "", None, "zz a  b cc", "one two"]
+    asked = ["a b c d e", "c d", "q", "a  b c", "b", "two", ""]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    p = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    got = {(r["query_id"], r["doc_id"]) for r in lexical.containing(d, p).collect()}
+    assert got == {(i, k) for i, t in enumerate(asked) for k, x in enumerate(docs) if x is not None and t in x}
