@@ -39,6 +39,28 @@ def test_shared_dir_is_read_from_the_session(spark):
     assert common.shared_dir(spark)
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    import pytest
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+
+
+def test_spread_join_deals_hot_keys_over_salts(spark):
+    rows = spark.createDataFrame([(1 if k < 300 else k, k) for k in range(400)], "g long, i long")
+    table = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("g <> 399")
+    got = common.spread_join(rows, table, "g", "n", 20).collect()
+    assert sorted((r["g"], r["i"], r["n"]) for r in got) == sorted((r["g"], r["i"], 300 if r["g"] == 1 else 1) for r in rows.collect() if r["g"] != 399)
+    assert got[0].asDict().keys() == {"g", "i", "n"}
+
+
 def test_if_small(spark):
     assert common.if_small(spark.range(5), 5) is not None and common.if_small(spark.range(6), 5) is None
 
