@@ -7,11 +7,13 @@ of two sets; two empty sets are alike (1.0), an empty and another one are not (0
 
 Links: sets are partitioned by length, so that only neighbouring partitions can reach the threshold; inside, an
 inverted index over each set's rarest signatures proposes pairs, and the comparison stops as soon as the signatures
-left can't lift it to the threshold (pruned Jaccard).
+left can't lift it to the threshold (pruned Jaccard). compared() needs the likeness itself of two given pairs a row, with no
+threshold, so it prunes nothing; links() does.
 
 Defined results: null text is empty; null doc_ids come first in the order and are kept; rows that repeat a doc_id
-follow each other by text; one row alone is its own next document; an empty table gives an empty result. Other
-columns are ignored, whatever their names.
+follow each other by text; one row alone is its own next document; an empty table gives an empty result. Rows without a
+doc_id, or of one doc_id, are one range and so one task, which streams them. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -72,17 +74,24 @@ def fingerprint(sig: np.ndarray) -> str:
     return sig.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
-    """Jaccard similarity of two sorted sets; 0.0 without a comparison where their lengths rule out `threshold`."""
+def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0, block: int = 64) -> float:
+    """Jaccard similarity of two sorted sets; 0.0 as soon as what has been compared shows that it stays below `threshold`: by the
+    lengths alone, else behind each block of the shorter set, when all of the rest being shared would not lift it there."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if len(a) > len(b):
         a, b = b, a
     if len(a) < threshold * len(b):
         return 0.0
-    at = np.searchsorted(b, a)
-    same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return same / (len(a) + len(b) - same)
+    same, whole = 0, len(a) + len(b)
+    for start in range(0, len(a), block if threshold > 0 else len(a)):
+        part = a[start : start + block] if threshold > 0 else a
+        at = np.searchsorted(b, part)
+        same += int((b[np.minimum(at, len(b) - 1)] == part).sum())
+        most = same + max(0, len(a) - start - len(part))
+        if most < threshold * (whole - most):
+            return 0.0
+    return same / (whole - same)
 
 
 def edited(text: str, following: str) -> str:

@@ -196,6 +196,15 @@ def test_spotsigs(spark, docs_dir):
     assert all(len(v) == 1 for v in prints.values())
 
 
+@given(st.sets(st.integers(0, 300), max_size=200), st.sets(st.integers(0, 300), max_size=200), st.sampled_from([0.0, 0.3, 0.5, 0.8, 1.0]), st.sampled_from([1, 7, 64]))
+@settings(max_examples=200, deadline=None)
+def test_pruned_likeness_stops_only_below_the_threshold(a, b, threshold, block):
+    arrays = [np.array(sorted(x), np.uint32) for x in (a, b)]
+    whole = len(a & b) / len(a | b) if a or b else 1.0
+    got = spotsigs.likeness(*arrays, threshold, block)
+    assert got == pytest.approx(whole) if whole >= threshold else got == 0.0 or got == pytest.approx(whole)
+
+
 def test_spotsigs_single_row(spark, tmp_path):
     d = folder(spark, tmp_path, documents=(with_extras([(4, "the cat sat on the mat", "en", "s", 1)]), DOCS))
     r = queries.op2_spotsigs(spark, d).first()
