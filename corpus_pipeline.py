@@ -5,7 +5,8 @@ columns of `documents`. run() writes each stage's rows into the shared folder an
 
 Defined results: null or empty texts and texts without a letter are rejected by the first stage; rows with a null doc_id
 pass deduplication, as nothing links them; of rows that repeat a doc_id, one stays after deduplication; a document
-that the mix takes several times comes out as several rows; empty tables pass through empty.
+that the mix takes several times comes out as several rows; empty tables pass through empty. The mixing stage
+meets rows of no doc_id, one source and one text under one key, dealt over salts when they are ranked.
 """
 
 from __future__ import annotations
