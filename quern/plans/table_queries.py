@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators import lexical, service, tables
+from quern.operators.sizes import if_small
 from quern.sources.files import table
 from quern.sources.scratch import shared_dir
 from quern.streaming import events as ev
@@ -156,7 +157,7 @@ SECTIONS_LOOKUP = "SELECT n_name, r_name AS section FROM nation LEFT JOIN region
 
 
 def rollup_revenue(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # noqa: E741
+    l = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(if_small(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # noqa: E741
     out = l.rollup("n_regionkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
     return out.select("n_regionkey", "l_returnflag", "n", "revenue")
 
