@@ -91,15 +91,18 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of at most `rows`, which bounds a worker's memory; a smaller setting stays.
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Whole texts go to Python in batches of at most `rows` rows and about `size` bytes (one row at least), which bounds a
+    worker's memory; smaller settings stay.
 
-    It sets spark.sql.execution.arrow.maxRecordsPerBatch of the session and leaves it so: DataFrames made here run later.
+    It sets spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch of the session and leaves them so: DataFrames made
+    here run later.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if not 0 < now <= rows:
-        spark.conf.set(name, str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -47,7 +47,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-class _ChunkIds(Recent):
+class ChunkIds(Recent):
     """Ids of chunks as bytes. New plain words go straight to the tokenizer's model, byte by byte in its alphabet; others through all of it."""
 
     def __init__(self, path: str):
@@ -81,7 +81,7 @@ class _ChunkIds(Recent):
 def encode(text: str, path: str) -> bytes:
     """Token ids of a whole text as little-endian uint32: what the tokenizer gives, word by word through a cache."""
     if ("chunk_ids", path) not in state():
-        state()["chunk_ids", path] = _ChunkIds(path)
+        state()["chunk_ids", path] = ChunkIds(path)
     cache = state()["chunk_ids", path]
     if _WHOLE.search(text):
         return cache.ids(text)

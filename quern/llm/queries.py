@@ -2,6 +2,7 @@
 
 from quern.llm import chat, near_dedup, topk
 from quern.llm.chat import op6_chat
+from quern.llm.cost_packing import op13_cost_packing
 from quern.llm.html_text import op8_html
 from quern.llm.language import op3_language
 from quern.llm.mixing import op9_mixing
@@ -14,6 +15,6 @@ from quern.llm.urls import op1_url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_spotsigs, op3_language, op4_near_dedup, op5_topk, op6_chat, op7_quality, op8_html, op9_mixing, op10_best_fit_packing)
+    for f in (op1_url_filter, op2_spotsigs, op3_language, op4_near_dedup, op5_topk, op6_chat, op7_quality, op8_html, op9_mixing, op10_best_fit_packing, op13_cost_packing)
 }
 ORACLES: dict[str, str] = {"op4_near_dedup": near_dedup.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op6_chat": chat.oracle_sql()}
