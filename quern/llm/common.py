@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
 import types
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quern.sources.scratch import shared_dir
+from quern.sources.scratch import Scratch, discard, release, shared_dir, written
+
+__all__ = ["Scratch", "discard", "release", "shared_dir", "written"]
 
 M64 = (1 << 64) - 1
 
@@ -23,64 +23,6 @@ def state() -> dict:
     return module.__dict__.setdefault("values", {})
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """`df` written as Parquet into the shared folder and read back: lineage is cut, any executor can read it again."""
-    path = f"{shared_dir(df.sparkSession)}/quern-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._quern_path = path
-    state().setdefault("tables", set()).add(path)
-    if "jvm" not in state():
-        atexit.register(_clean)
-    state()["jvm"] = (df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration())
-    return out
-
-
-def _clean() -> None:
-    """Deletes at the driver's end what written() left: no DataFrame that reads it outlives the driver."""
-    for path in list(state().get("tables", ())):
-        try:
-            _delete(path)
-        except Exception:  # the JVM may be gone already; then the folder's owner has to clean it
-            return
-
-
-def _delete(path: str) -> None:
-    jvm, conf = state()["jvm"]
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
-    state()["tables"].discard(path)
-
-
-def release() -> None:
-    """Deletes all tables that written() has left, in a driver that lives on. No DataFrame that reads one may be used afterwards."""
-    if "jvm" in state():
-        _clean()
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what written() wrote. Nothing may read it afterwards."""
-    path = getattr(df, "_quern_path", None)
-    if path:
-        _delete(path)
-
-
-class Scratch:
-    """Tables that only a part of a job needs: written like written(), deleted together when that part is done."""
-
-    def __init__(self) -> None:
-        self.held: list[DataFrame] = []
-
-    def written(self, df: DataFrame, tag: str) -> DataFrame:
-        out = written(df, tag)
-        self.held.append(out)
-        return out
-
-    def discard(self) -> None:
-        while self.held:
-            discard(self.held.pop())
-
-
 def if_small(df: DataFrame, rows: int) -> DataFrame | None:
     """`df` hinted for broadcast if it has at most `rows` rows, else None: take another way."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
