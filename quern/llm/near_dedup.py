@@ -98,6 +98,16 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
+def _parts(pdf: pd.DataFrame, sizes: np.ndarray, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """The rows in parts of about `most` characters, one row at least: each word of them takes some fifty bytes as a row."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(pdf):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield pdf.iloc[start:end]
+        start = end
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """Those of the pairs (x, y) with 100 * intersection >= threshold * union on their whole sets."""
 
@@ -154,8 +164,7 @@ def _rare_prefix_pairs(open_docs: DataFrame, scratch: Scratch, texts: DataFrame,
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), 500):
-                part = pdf.iloc[start : start + 500]
+            for part in _parts(pdf, pdf["text"].str.len().to_numpy()):
                 sets = [shingles(t, words) for t in part["text"]]
                 sizes = np.array([len(s) for s in sets])
                 yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), sizes), "component": np.repeat(part["component"].to_numpy(), sizes), "n": np.repeat(sizes, sizes), "shingle": np.concatenate(sets).view(np.int64)})
