@@ -25,14 +25,13 @@ import hashlib
 import html
 import re
 from collections.abc import Iterable, Iterator, Set
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, encoded, if_small, partitions, small_batches, written
+from quern.llm.common import Recent, Scratch, encoded, if_small, partitions, small_batches, state, written
 from quern.llm.urls import host_of
 
 MIN_PAGES, MIN_SHARE, FEW_PAGES = 3, 0.1, 20
@@ -99,9 +98,10 @@ def _marked(attributes: Iterable[tuple[str, str]]) -> tuple[str, int]:
     return " ".join(found), off
 
 
-@lru_cache(4096)
 def _marks(attributes: str) -> tuple[str, int]:
-    return _marked((name, a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attributes))
+    if "marks" not in state():
+        state()["marks"] = Recent(lambda text: _marked((name, a or b or c) for name, a, b, c in _ATTRIBUTE.findall(text)), 4096)
+    return state()["marks"][attributes]
 
 
 def _odd_tag(text: str, at: int, last: dict[str, int]) -> tuple[list[tuple[str, str]], int]:

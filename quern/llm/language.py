@@ -122,7 +122,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE)
 def judge(spark: SparkSession, model: Model | None) -> Callable[[Column], Column]:
     """A column function: text -> struct<lang_pred, score>."""
     small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(model and vars(model))  # arrays and names: a class is only known to the driver
 
     @F.pandas_udf("lang_pred string, score double")
     def run(column: pd.Series) -> pd.DataFrame:
@@ -131,7 +131,7 @@ def judge(spark: SparkSession, model: Model | None) -> Callable[[Column], Column
         at = [k for k, t in enumerate(texts) if t]
         for start in range(0, len(at), 256) if held.value else ():
             part = at[start : start + 256]
-            lang[part], score[part] = held.value.predict([texts[k] for k in part])
+            lang[part], score[part] = Model(**held.value).predict([texts[k] for k in part])
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return run

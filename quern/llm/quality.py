@@ -124,13 +124,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def judge(spark: SparkSession, model: Model, cut: float = CUT) -> Callable[[Column], Column]:
     """A column function: text -> struct<score, predicted>."""
     small_batches(spark)
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(vars(model))  # arrays: a class is only known to the driver
 
     @F.pandas_udf("score double, predicted int")
     def run(column: pd.Series) -> pd.DataFrame:
         texts, score = [t or "" for t in column], np.zeros(len(column))
         for start in range(0, len(texts), 256):
-            score[start : start + 256] = held.value.score(texts[start : start + 256])
+            score[start : start + 256] = Model(**held.value).score(texts[start : start + 256])
         score = np.clip(score, 0.0, 1.0)
         return pd.DataFrame({"score": score, "predicted": (score >= cut).astype("int32")})
 
