@@ -2,8 +2,8 @@
 
 Every document gets a rate; among all rates that bring each source to its token target, those nearest to 1 in
 relative entropy are exponential tilts exp(lambda * size) of the document's size, held at the copy limit. The
-convex dual has one multiplier per source and falls apart into one problem a source, so Spark deals the sources'
-(size, count) tables over its tasks, and each solves its own by Newton iterations safeguarded by bisection. Rates are
+convex dual has one multiplier per source. Newton iterations solve all of them together, each step being one Spark
+aggregate over the (source, size, count) table, safeguarded by bisection. Rates are
 then rounded into whole copies: size by size from the longest,
 carrying the tokens not yet placed on to the next size, so that a source ends within about one short document of its
 target; which documents of a size get the extra copy is decided by their hash, so reruns agree.
@@ -13,7 +13,8 @@ that the others share; the level rises with each round of two sums until no othe
 
 Defined results: a null or blank text has size 0 and is taken 0 times; a null source is a source, the last; rows that
 repeat count each; an empty table gives an empty result. Other columns are ignored.
-No source is ever held by the driver, however many there are. One task holds the distinct sizes of one source.
+No source is ever held by the driver, however many there are. Rounding holds the distinct sizes of one source in a task, as counts: a few
+100,000 numbers, however many documents there are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import if_small, partitions, ranked, written
+from quern.llm.common import discard, if_small, partitions, ranked, written
 
 WEIGHTS, LIMIT = (5, 2, 1), 3
 BROADCAST_SIZES = 300_000  # (source, size) counts that are broadcast; more are joined by shuffle
@@ -51,34 +52,43 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float
     return held.select("key", F.col("tokens").alias("source_size"), target.alias("target"))
 
 
-def tilt(size: np.ndarray, n: np.ndarray, goal: float, limit: float, tolerance: float = 1e-9, rounds: int = 200) -> float:
-    """The multiplier at which the sum of n * size * min(limit, exp(multiplier * size)) is the goal; infinite where only rates
-    of `limit` (or of 0) reach it."""
-    mass, x = n * size, size
-    whole = float(mass.sum())
-    if whole <= 0 or abs(goal - whole) <= tolerance * whole:
-        return 0.0
-    if goal >= limit * whole * (1 - 1e-12):
-        return np.inf
-    if goal <= 0:
-        return -np.inf
-    scale = max(1.0, whole / max(1.0, float(n.sum())))
-    at, low, high = 0.0, -np.inf, np.inf
+def tilts(hist: DataFrame, facts: DataFrame, limit: float = LIMIT, tolerance: float = 1e-9, rounds: int = 100) -> DataFrame:
+    """key, multiplier: where the sum of n * size * min(limit, exp(multiplier * size)) over a source's sizes (hist: key, size, n) is
+    its target (facts: key, source_size, target); infinite where only rates of `limit`, or of 0, reach it.
+
+    Newton iterations on the dual, one Spark job a step for all sources: the step's gradient and slope are partial sums over
+    the size counts. A step that leaves the interval known to hold the solution is replaced by its middle.
+    """
+    whole, goal = F.col("source_size").cast("double"), F.col("target")
+    scale = F.greatest(F.lit(1.0), whole / F.greatest(F.lit(1.0), F.col("documents").cast("double")))
+    even, over = (whole <= 0) | (F.abs(goal - whole) <= tolerance * whole), goal >= limit * whole * (1 - 1e-12)
+    start = F.when(even, 0.0).when(over, float("inf")).when(goal <= 0, float("-inf")).otherwise(0.0)
+    docs = hist.groupBy("key").agg(F.sum("n").alias("documents"))
+    state = facts.join(docs.hint("merge"), "key").select("key", "target", scale.alias("scale"), start.alias("at"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), (even | over | (goal <= 0)).alias("done"))
+    state = written(state, "tilts")
+    x = F.col("size") / F.col("scale")
+    rate = F.exp(F.least(F.col("at") * x, F.lit(50.0)))
+    mass = F.col("n") * F.col("size")
     for _ in range(rounds):
-        with np.errstate(over="ignore"):
-            rate = np.exp(np.minimum(at * x / scale, 50.0))
-        miss = float((mass * np.minimum(rate, limit)).sum()) - goal
-        if abs(miss) <= tolerance * goal:
+        left = state.where("not done")
+        if not left.limit(1).count():
             break
-        low, high = (at, high) if miss < 0 else (low, at)
-        slope = float((mass * x / scale * rate)[rate < limit].sum())
-        step = at - miss / slope if slope else np.nan
-        if not low < step < high:
-            step = (low + high) / 2 if np.isfinite(low) and np.isfinite(high) else at * 2 + (1.0 if miss < 0 else -1.0)
-        if step == at:
-            break
-        at = step
-    return at / scale
+        sums = hist.join(if_small(left, BROADCAST_SIZES) or left.hint("merge"), "key").groupBy("key").agg(
+            F.sum(mass * F.least(rate, F.lit(float(limit)))).alias("got"), F.sum(F.when(rate < limit, mass * x * rate).otherwise(0.0)).alias("slope")
+        )
+        miss = F.col("got") - F.col("target")
+        low, high = F.when(miss < 0, F.col("at")).otherwise(F.col("low")), F.when(miss < 0, F.col("high")).otherwise(F.col("at"))
+        known = left.join(sums.hint("merge"), "key").select("key", "target", "scale", "at", "slope", miss.alias("miss"), low.alias("low"), high.alias("high"))
+        newton = F.col("at") - F.col("miss") / F.nullif(F.col("slope"), F.lit(0.0))
+        bounded = (F.col("low") > float("-inf")) & (F.col("high") < float("inf"))
+        middle = F.when(bounded, (F.col("low") + F.col("high")) / 2).otherwise(F.col("at") * 2 + F.when(F.col("miss") < 0, 1.0).otherwise(-1.0))
+        step = F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(middle)
+        near = F.abs("miss") <= tolerance * F.col("target")
+        moved = known.select("key", "target", "scale", F.when(near, F.col("at")).otherwise(step).alias("at"), "low", "high", (near | (step == F.col("at"))).alias("done"))
+        new = written(state.where("done").unionByName(moved), "tilts")
+        discard(state)
+        state = new
+    return state.select("key", (F.col("at") / F.col("scale")).alias("multiplier"))
 
 
 def rates(size: np.ndarray, multiplier: float, limit: float) -> np.ndarray:
@@ -103,7 +113,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
         pdf = pdf.sort_values("size", ascending=False)
         goal = float(pdf["target"].iloc[0])
         x, n = pdf["size"].to_numpy(np.float64), pdf["n"].to_numpy(np.int64)
-        rate = rates(x, tilt(x, n, goal, float(limit)), float(limit))
+        rate = rates(x, float(pdf["multiplier"].iloc[0]), float(limit))
         copies, miss = np.zeros(len(x), np.int64), goal - float((n * x * rate).sum())
         for k in range(len(x)):  # each size between its rate rounded down and up, so as to keep the miss small
             if x[k] > 0:
@@ -117,7 +127,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
                 miss -= more * x[k]
         return pdf[["key", "size", "n", "source_size", "target"]].assign(copies=copies)
 
-    joined = hist.join(if_small(facts, BROADCAST_SIZES) or facts.hint("merge"), "key")
+    facts = written(facts, "targets")
+    known = facts.join(tilts(hist, facts, float(limit)).hint("merge"), "key")
+    joined = hist.join(if_small(known, BROADCAST_SIZES) or known.hint("merge"), "key")
     plan = written(joined.groupBy("key").applyInPandas(rounded, "key string, size long, n long, source_size long, target double, copies long"), "copies")
     dealt = slim.join(if_small(plan, BROADCAST_SIZES) or plan.hint("merge"), ["key", "size"])
     whole, extra = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")

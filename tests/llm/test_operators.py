@@ -646,19 +646,29 @@ def test_targets(spark):
         assert got.keys() == want.keys() and all(got[s] == (sizes[s], pytest.approx(want[s], rel=1e-9)) for s in want)
 
 
-def test_tilt_solves_the_dual():
+def test_tilts_solve_the_dual(spark):
     rng = np.random.default_rng(3)
-    for goal_share in (0.05, 0.6, 0.99, 1.0, 1.4, 2.5, 2.99, 3.0, 0.0):
-        x, n = np.unique(rng.lognormal(4, 1.5, 400).astype(int) + 1).astype(float), None
+    hist, facts, want = [], [], {}
+    for k, share in enumerate((0.05, 0.6, 0.99, 1.0, 1.4, 2.5, 2.99, 3.0, 0.0)):
+        x = np.unique(rng.lognormal(4, 1.5, 400).astype(int) + 1).astype(float)
         n = rng.integers(1, 30, len(x))
         whole = float((x * n).sum())
-        mass = lambda lam: float((n * x * mixing.rates(x, lam, 3.0)).sum())
-        lam = mixing.tilt(x, n, goal_share * whole, 3.0)
-        assert mass(lam) == pytest.approx(goal_share * whole, rel=1e-6)
+        hist += [(f"s{k}", int(a), int(b)) for a, b in zip(x, n)]
+        facts.append((f"s{k}", int(whole), share * whole))
+        want[f"s{k}"] = (x, n, share * whole)
+    facts.append(("n", 0, 0.0))
+    hist.append(("n", 0, 4))
+    got = mixing.tilts(spark.createDataFrame(hist, "key string, size long, n long"), spark.createDataFrame(facts, "key string, source_size long, target double"))
+    got = {r["key"]: r["multiplier"] for r in got.collect()}
+    assert got.pop("n") == 0 and got.keys() == want.keys()
+    for key, lam in got.items():
+        x, n, goal = want[key]
+        mass = lambda lam: float((n * x * mixing.rates(x, lam, 3.0)).sum())  # noqa: B023, E731
+        assert mass(lam) == pytest.approx(goal, rel=1e-6)
         if np.isfinite(lam) and lam:  # bisection finds the same multiplier
             low, high = -50.0, 50.0
             for _ in range(200):
-                low, high = (low, (low + high) / 2) if mass((low + high) / 2) > goal_share * whole else ((low + high) / 2, high)
+                low, high = (low, (low + high) / 2) if mass((low + high) / 2) > goal else ((low + high) / 2, high)
             assert mass(low) == pytest.approx(mass(lam), rel=1e-6)
 
 
