@@ -5,13 +5,13 @@ columns of `documents`. run() writes each stage's rows into the shared folder an
 
 Defined results: null or empty texts and texts without a letter are rejected by the first stage; rows with a null doc_id
 pass deduplication, as nothing links them; of rows that repeat a doc_id, one stays after deduplication; a document
-that the mix takes several times comes out as several rows; empty tables pass through empty. The mixing stage
+that the mix takes several times comes out as several rows; empty tables pass through empty; extra columns pass through whatever their names. The mixing stage
 meets rows of no doc_id, one source and one text under one key, dealt over salts when they are ranked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import language, mixing, near_dedup, packing, quality
@@ -23,16 +23,21 @@ LEAST_SURE = 0.5
 NEAR = 80
 
 
+def _held(docs: DataFrame) -> Column:
+    """A whole row as one column, beside which no other name can clash; select("row.*") gives it back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = language.judge(spark, language.fit(docs))(F.col("text"))
-    rows = docs.select(*docs.columns, found.alias("_found"))
-    return rows.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SURE)).select(*docs.columns)
+    rows = docs.select(_held(docs), found.alias("found"))
+    return rows.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_SURE)).select("row.*")
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select(*docs.columns, quality.judge(spark, model)(F.col("text")).alias("_found"))
-    return rows.where(F.col("_found.predicted") == 1).select(*docs.columns)
+    rows = docs.select(_held(docs), quality.judge(spark, model)(F.col("text")).alias("found"))
+    return rows.where(F.col("found.predicted") == 1).select("row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +50,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = mixing.mixed(docs).groupBy("doc_id", "text_hash", "key").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64("text"), "_key": mixing.source_key()}
-    times = times.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"), F.col("key").alias("_key"), "_times", "_rows")
-    joined = docs.select(*docs.columns, *[c.alias(k) for k, c in keys.items()]).join(times.hint("merge"), [*keys])
-    if times.where("_rows > 1").limit(1).count():
-        joined = ranked(joined, [*keys], [*keys], "_rows", "_rank")
-        joined = joined.withColumn("_times", F.floor(F.col("_times") / F.col("_rows")) + (F.col("_rank") < F.col("_times") % F.col("_rows")).cast("long"))
-    return joined.where("_times > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).select(*docs.columns)
+    keys = {"id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "hash": F.xxhash64("text"), "source_key": mixing.source_key()}
+    times = mixing.mixed(docs).groupBy("doc_id", "text_hash", "key").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
+    times = times.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("text_hash").alias("hash"), F.col("key").alias("source_key"), "times", "rows")
+    joined = docs.select(_held(docs), *[c.alias(k) for k, c in keys.items()]).join(times.hint("merge"), [*keys])
+    if times.where("rows > 1").limit(1).count():
+        joined = ranked(joined, [*keys], [*keys], "rows", "rank")
+        joined = joined.withColumn("times", F.floor(F.col("times") / F.col("rows")) + (F.col("rank") < F.col("times") % F.col("rows")).cast("long"))
+    return joined.where("times > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
