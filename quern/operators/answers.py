@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from quern.functions.text import mostly_arabic, normalize, strip_tags
 from quern.operators import decision, dense, fusion, lexical
+from quern.operators import index as inverted
 from quern.operators.sizes import if_small
 from quern.sources.scratch import written
 from quern.streaming.events import streamed
@@ -135,21 +136,35 @@ def decided_once(candidates: DataFrame, logit: Column, no_match: float, band_on:
     return out.select("query_id", F.coalesce("verdict", F.lit(decision.NO_MATCH)).alias("verdict"), "doc_id", "p")
 
 
-def hybrid_pool(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 400, w_dense: float = fusion.DENSE, w_lexical: float = fusion.LEXICAL) -> DataFrame:
-    """query_id, doc_id, dense, lexical, score: the k best of each retriever over all documents, fused. `queries`: query_id, text (its
-    literal words); `query_vectors`: query_id, v; `vectors`: doc_id, v. One pass over the vectors, one over the documents."""
+def hybrid_pool(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 400, w_dense: float = fusion.DENSE, w_lexical: float = fusion.LEXICAL, index: inverted.Index | None = None) -> DataFrame:
+    """query_id, doc_id, dense, lexical, zd, zl, score: the k best of each retriever over all documents, fused. `queries`: query_id,
+    text (its literal words); `query_vectors`: query_id, v; `vectors`: doc_id, v. One pass over the vectors, one over the documents,
+    or none where they have an `index`."""
     found, summed = dense.cosine_pool(query_vectors, vectors, k)
-    scores = written(lexical.bm25(queries, docs), "lexical")
+    scores = written(lexical.bm25(queries, docs) if index is None else inverted.search(index, queries).drop("surface"), "lexical")
     return fusion.weighted_z(found, summed, lambda pairs: dense.pair_scores(pairs, query_vectors, vectors), scores, docs.count(), k, w_dense, w_lexical)
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 12, w_dense: float = fusion.DENSE, w_lexical: float = fusion.LEXICAL) -> DataFrame:
+def surface_pool(queries: DataFrame, index: inverted.Index, query_vectors: DataFrame, vectors: DataFrame, records: DataFrame, first: str, k: int = 400, w_dense: float = fusion.DENSE, w_lexical: float = fusion.LEXICAL) -> DataFrame:
+    """query_id, record, score, surface: a record's best score over the surfaces that a query searches, each fused as a corpus of its
+    own; ties go to the surface `first`, then by name.
+
+    `queries`: query_id, text, surfaces; `query_vectors`: query_id, v, surfaces; `vectors`: doc_id, v, surface; `records`: doc_id,
+    record. All surfaces are searched in one pass, of which each query sees its own.
+    """
+    found, summed = dense.cosine_pool(query_vectors, vectors, k)
+    scores = written(inverted.search(index, queries), "lexical")
+    fused = fusion.weighted_z(found, summed, lambda pairs: dense.pair_scores(pairs, query_vectors, vectors), scores, inverted.sizes(index), k, w_dense, w_lexical)
+    return fusion.best_surface(fused.join(records, "doc_id"), first)
+
+
+def hybrid_search(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 12, w_dense: float = fusion.DENSE, w_lexical: float = fusion.LEXICAL, index: inverted.Index | None = None) -> DataFrame:
     """query_id, doc_id, rank, score. Weights of 0 switch a retriever off without running it."""
     if w_dense == 0:
-        return lexical.top(lexical.bm25(queries, docs), k)
+        return lexical.top(lexical.bm25(queries, docs) if index is None else inverted.search(index, queries).drop("surface"), k)
     if w_lexical == 0:
         return lexical.top(dense.cosine_scores(query_vectors, vectors, k), k)
-    fused = hybrid_pool(queries, docs, query_vectors, vectors, 400, w_dense, w_lexical)
+    fused = hybrid_pool(queries, docs, query_vectors, vectors, 400, w_dense, w_lexical, index)
     return lexical.top(fused, k, digits=5).select("query_id", "doc_id", "rank", "score")
 
 

@@ -9,38 +9,52 @@ from pyspark.sql import Window as W
 DENSE, LEXICAL, BOOST, RRF_K = 0.70, 0.30, 0.10, 60
 
 
-def sums(scores: DataFrame) -> DataFrame:
-    """query_id, s, ss, n: sum, sum of squares and number of scores."""
-    return scores.groupBy("query_id").agg(F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss"), F.count(F.lit(1)).alias("n"))
+def sums(scores: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """`by`, s, ss, n: sum, sum of squares and number of scores."""
+    return scores.groupBy(*by).agg(F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss"), F.count(F.lit(1)).alias("n"))
 
 
-def moments(summed: DataFrame, n: int | None = None) -> DataFrame:
-    """query_id, mean, sd of sums(); over `n` documents if given, those without a score counting as 0."""
+def moments(summed: DataFrame, n: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """`by`, mean, sd of sums(); over `n` documents if given, those without a score counting as 0."""
     count = F.col("n") if n is None else F.lit(n)
     mean = F.col("s") / count
-    return summed.select("query_id", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / count - mean * mean)).alias("sd"))
+    return summed.select(*by, mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / count - mean * mean)).alias("sd"))
 
 
 def z(score: Column, mean: Column, sd: Column) -> Column:
     return F.when(sd > 0, (score - mean) / sd).otherwise(0.0)
 
 
-def weighted_z(dense: DataFrame, dense_sums: DataFrame, cosine_of, lexical: DataFrame, n_lexical: int, k: int = 400, w_dense: float = DENSE, w_lexical: float = LEXICAL) -> DataFrame:
-    """query_id, doc_id, dense, lexical, score: the k best of either retriever, fused by z-scores over the whole surface; a score
-    that a text doesn't have is 0.
+def weighted_z(dense: DataFrame, dense_sums: DataFrame, cosine_of, lexical: DataFrame, n_lexical: int | DataFrame, k: int = 400, w_dense: float = DENSE, w_lexical: float = LEXICAL) -> DataFrame:
+    """query_id, doc_id, dense, lexical, zd, zl, score: the k best of either retriever, fused by z-scores over the whole surface; a
+    score that a text doesn't have is 0. Where the scores have a surface, each is a corpus of its own.
 
     `dense` and `dense_sums`: the best and the sums of all, as from dense.cosine_pool(); `cosine_of`: from pairs (query_id,
-    doc_id) to their scores; `n_lexical`: how many documents the lexical retriever has.
+    doc_id) to their scores; `n_lexical`: how many documents the lexical retriever has, by surface (surface, n) if there are any.
     """
     from quern.operators.lexical import top
 
-    pool = top(dense, k).select("query_id", "doc_id").union(top(lexical.where("score > 0"), k).select("query_id", "doc_id")).distinct()
-    d, l = moments(dense_sums), moments(sums(lexical), n_lexical)  # noqa: E741
-    both = pool.join(cosine_of(pool).withColumnRenamed("score", "dense"), ["query_id", "doc_id"], "left").join(lexical.withColumnRenamed("score", "lexical"), ["query_id", "doc_id"], "left")
-    both = both.join(d.select("query_id", F.col("mean").alias("dm"), F.col("sd").alias("ds")), "query_id", "left").join(l.select("query_id", F.col("mean").alias("lm"), F.col("sd").alias("ls")), "query_id", "left")
+    by = ("query_id", "surface") if "surface" in dense.columns else ("query_id",)
+    best = lambda df: top(df, k, [*by]).select(*by, "doc_id")
+    pool = best(dense).union(best(lexical.where("score > 0"))).distinct()
+    d, summed = moments(dense_sums, None, by), sums(lexical, by)
+    l = moments(summed, n_lexical, by) if isinstance(n_lexical, int) else moments(summed.drop("n").join(F.broadcast(n_lexical), "surface"), None, by)  # noqa: E741  # a row a surface
+    both = pool.join(cosine_of(pool).withColumnRenamed("score", "dense"), [*by, "doc_id"], "left").join(lexical.withColumnRenamed("score", "lexical"), [*by, "doc_id"], "left")
+    both = both.join(d.select(*by, F.col("mean").alias("dm"), F.col("sd").alias("ds")), [*by], "left").join(l.select(*by, F.col("mean").alias("lm"), F.col("sd").alias("ls")), [*by], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    score = w_dense * z(zero("dense"), zero("dm"), zero("ds")) + w_lexical * z(zero("lexical"), zero("lm"), zero("ls"))
-    return both.select("query_id", "doc_id", zero("dense").alias("dense"), zero("lexical").alias("lexical"), score.alias("score"))
+    both = both.select(*by, "doc_id", zero("dense").alias("dense"), zero("lexical").alias("lexical"), z(zero("dense"), zero("dm"), zero("ds")).alias("zd"), z(zero("lexical"), zero("lm"), zero("ls")).alias("zl"))
+    return both.withColumn("score", w_dense * F.col("zd") + w_lexical * F.col("zl"))
+
+
+def weight_grid(pool: DataFrame, gold: DataFrame, weights: list[float], digits: int = 5) -> DataFrame:
+    """w, query_id, rank: for each dense weight w (the lexical one is 1 - w) the place of a query's first gold text (query_id,
+    doc_id) in its pool (query_id, doc_id, zd, zl) fused anew; null where the pool has none. The retrievers run once for the whole grid."""
+    marked = pool.join(gold.select("query_id", "doc_id", F.lit(True).alias("_gold")), ["query_id", "doc_id"], "left")
+    each = marked.withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    order = W.partitionBy("w", "query_id").orderBy(F.round(F.col("w") * F.col("zd") + (1 - F.col("w")) * F.col("zl"), digits).desc(), "doc_id")
+    found = each.withColumn("rank", F.row_number().over(order)).where("_gold").groupBy("w", "query_id").agg(F.min("rank").alias("rank"))
+    asked = gold.select("query_id").distinct().withColumn("w", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    return asked.join(found, ["w", "query_id"], "left")
 
 
 def min_max(score: Column, by: str = "query_id") -> Column:

@@ -82,7 +82,7 @@ def containing(docs: DataFrame, passages: DataFrame, width: int = 3) -> DataFram
     return pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("_passage"))).select("query_id", "doc_id").distinct()
 
 
-def top(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:
+def top(scores: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:
     """Adds rank; the k best by rounded score, ties to the smaller id."""
     order = W.partitionBy(by).orderBy(F.round(score, digits).desc(), tie)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

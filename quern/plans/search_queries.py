@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions import vectors
-from quern.operators import answers, decision, dedup, dense, fusion, lexical, search, tables
+from quern.operators import answers, decision, dedup, dense, fusion, index, lexical, search, tables
 from quern.operators.sizes import if_small
 from quern.plans.text_queries import word_list
 from quern.sources.files import table
@@ -24,8 +24,13 @@ def _queries(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _index(spark, d) -> index.Index:
+    """The kept index of the documents, built by the first query that asks for it."""
+    return index.kept(spark, f"{d}/documents.parquet", table(spark, d, "documents").select("doc_id", "text"))
+
+
 def _scores(spark, d) -> DataFrame:
-    return lexical.bm25(_queries(spark, d), table(spark, d, "documents").select("doc_id", "text"))
+    return index.search(_index(spark, d), _queries(spark, d)).drop("surface")
 
 
 #: tok: words of each document; bm: score of each query and document that share a term.
@@ -70,12 +75,21 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, round(ln(1 + (any_val
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """One scan of the texts, without an index; index_topk asks the kept one."""
+    scores = lexical.bm25(_queries(spark, d), table(spark, d, "documents").select("doc_id", "text"))
+    return lexical.top(scores, 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
     return lexical.top(_scores(spark, d), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 BM25_TOPK = f"WITH {BM25} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ({_rank_sql('bm')}) WHERE rank <= 10"
 
 
+INDEX_TOPK = BM25_TOPK
+
+
 def bm25_zscore(spark: SparkSession, d: str) -> DataFrame:
     scores = _scores(spark, d)
     m = fusion.moments(fusion.sums(scores), table(spark, d, "documents").count())
@@ -131,7 +145,7 @@ FROM (SELECT label, count(*) AS n, avg(norm) AS norm FROM v GROUP BY 1) JOIN (SE
 def _hybrid(spark, d) -> DataFrame:
     """Fusion over all documents; one without a vector has a dense score of 0."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return answers.hybrid_pool(_queries(spark, d), docs, _query_vectors(spark, d), _vectors(spark, d))
+    return answers.hybrid_pool(_queries(spark, d), docs, _query_vectors(spark, d), _vectors(spark, d), index=_index(spark, d))
 
 
 _FUSED = f"""{MOMENTS},
@@ -200,6 +214,42 @@ SURFACE_MAX = f"""WITH {BM25}, s AS (SELECT query_id, source AS record, lang AS
 SELECT query_id, record, score, surface FROM (SELECT *, row_number() OVER (PARTITION BY query_id, record ORDER BY score DESC, surface <> 'en', surface) AS k FROM s) WHERE k = 1"""
 
 
+#: Languages of the documents, in order; each is a surface, and four documents in a row stand for the forms of one record.
+SURFACES = ("de", "en", "es", "fr")
+
+
+def search_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """The best records of each query over English and a language of its own, fused a surface at a time; then the kind boost."""
+    own = F.element_at(F.array(*map(F.lit, SURFACES)), (F.col("query_id") % len(SURFACES) + 1).cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("surface"))
+    kept = index.kept(spark, f"{d}/documents.parquet", docs, "surfaces-")
+    with_surfaces = lambda df: df.withColumn("surfaces", F.array_distinct(F.array(F.lit("en"), own)))
+    spoken = _vectors(spark, d).join(docs.select("doc_id", "surface"), "doc_id")
+    records = docs.select("doc_id", (F.col("doc_id") - F.col("doc_id") % 4).alias("record"))
+    best = answers.surface_pool(with_surfaces(_queries(spark, d)), kept, with_surfaces(_query_vectors(spark, d)), spoken, records, "en")
+    pool = best.withColumns({"kind": F.when(F.col("record") % 12 == 0, "ayah").otherwise("hadith"), "wanted": F.when(F.col("query_id") % 3 == 0, "ayah")})
+    return lexical.top(fusion.kind_boost(pool), 12, tie="record", digits=4).select("query_id", "record", "surface", "rank", F.round("score", 4).alias("score"))
+
+
+SEARCH_SURFACES = f"""WITH tok AS (SELECT doc_id, lang, {word_list('text')} AS w FROM documents), nn AS (SELECT lang, count(*) AS n, avg(len(w)) AS avgdl FROM tok GROUP BY 1),
+tf AS (SELECT doc_id, lang, dl, term, count(*) AS tf FROM (SELECT doc_id, lang, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY 1, 2, 3, 4), df AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY 1, 2),
+qs AS (SELECT DISTINCT item_id AS query_id, unnest(['en', {list(SURFACES)!r}[CAST(item_id % 4 AS BIGINT) + 1]]) AS lang FROM benchmark), qt AS (SELECT DISTINCT item_id AS query_id, unnest({word_list('text')}) AS term FROM benchmark),
+bm AS (SELECT query_id, lang, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+       FROM qt JOIN qs USING (query_id) JOIN tf USING (lang, term) JOIN df USING (lang, term) JOIN nn USING (lang) GROUP BY 1, 2, 3),
+de AS (SELECT q.vec_id AS query_id, lang, c.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+       FROM embeddings q JOIN qs ON qs.query_id = q.vec_id JOIN documents d USING (lang) JOIN embeddings c ON c.vec_id = d.doc_id),
+bmm AS (SELECT query_id, lang, sum(score) / any_value(n) AS lm, sqrt(greatest(0, sum(score * score) / any_value(n) - pow(sum(score) / any_value(n), 2))) AS ls FROM bm JOIN nn USING (lang) GROUP BY 1, 2),
+dmm AS (SELECT query_id, lang, avg(score) AS dm, stddev_pop(score) AS ds FROM de GROUP BY 1, 2),
+pool AS (SELECT query_id, lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY round(score, 6) DESC, doc_id) AS r FROM de) WHERE r <= 400
+         UNION SELECT query_id, lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY round(score, 6) DESC, doc_id) AS r FROM bm) WHERE r <= 400),
+fu AS (SELECT query_id, lang, doc_id, 0.7 * CASE WHEN coalesce(ds, 0) > 0 THEN (coalesce(de.score, 0) - dm) / ds ELSE 0 END + 0.3 * CASE WHEN coalesce(ls, 0) > 0 THEN (coalesce(bm.score, 0) - lm) / ls ELSE 0 END AS score
+       FROM pool LEFT JOIN de USING (query_id, lang, doc_id) LEFT JOIN bm USING (query_id, lang, doc_id) LEFT JOIN dmm USING (query_id, lang) LEFT JOIN bmm USING (query_id, lang)),
+be AS (SELECT query_id, doc_id - doc_id % 4 AS record, round(score, 6) AS s, lang AS surface, row_number() OVER (PARTITION BY query_id, doc_id - doc_id % 4 ORDER BY round(score, 6) DESC, lang <> 'en', lang) AS k FROM fu),
+sp AS (SELECT *, max(s) OVER (PARTITION BY query_id) - min(s) OVER (PARTITION BY query_id) AS spread FROM be WHERE k = 1),
+bo AS (SELECT query_id, record, surface, s + CASE WHEN query_id % 3 <> 0 THEN 0 WHEN record % 12 = 0 THEN 0.1 ELSE -0.1 END * CASE WHEN spread = 0 THEN 1 ELSE spread END AS score FROM sp)
+SELECT query_id, record, surface, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, record) AS rank FROM bo) WHERE rank <= 12"""
+
+
 def _gold(spark, d) -> DataFrame:
     """query_id, doc_id: documents that hold a query's passage."""
     return lexical.containing(table(spark, d, "documents").select("doc_id", "text"), _queries(spark, d))
@@ -217,6 +267,22 @@ SELECT count(*) AS n, count(*) FILTER (rank <= 1) AS hit_1, count(*) FILTER (ran
        count(*) FILTER (rank <= 120) AS hit_120, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr FROM b"""
 
 
+GRID = [k / 10 for k in range(11)]
+
+
+def fusion_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and mean reciprocal rank of the documents that hold a passage, for each weight of the dense retriever."""
+    ranks = fusion.weight_grid(_hybrid(spark, d), _gold(spark, d), GRID)
+    hits = [F.count_if(F.col("rank") <= k).alias(f"hit_{k}") for k in (1, 3, 10)]
+    return ranks.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *hits, F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
+FUSION_GRID = f"""WITH {BM25}, {DENSE}, {_FUSED}, gold AS (SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)), g AS (SELECT k / 10.0::DOUBLE AS w FROM range(11) r(k)),
+rk AS (SELECT w, query_id, doc_id, row_number() OVER (PARTITION BY w, query_id ORDER BY round(w * zd + (1 - w) * zl, 5) DESC, doc_id) AS rank FROM fu CROSS JOIN g),
+be AS (SELECT w, query_id, min(rank) AS rank FROM (SELECT DISTINCT query_id, doc_id FROM gold) gold CROSS JOIN g LEFT JOIN rk USING (w, query_id, doc_id) GROUP BY 1, 2)
+SELECT w, count(*) AS n, count(*) FILTER (rank <= 1) AS hit_1, count(*) FILTER (rank <= 3) AS hit_3, count(*) FILTER (rank <= 10) AS hit_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM be GROUP BY 1"""
+
+
 def exact_dups_copies(spark: SparkSession, d: str) -> DataFrame:
     """Each text that has copies of its kind, with its class and how many there are."""
     docs = table(spark, d, "documents").withColumn("words", F.array_join(lexical.words(F.col("text")), " "))
@@ -573,7 +639,7 @@ y AS (SELECT *, list_filter(range(len(qw)), lambda i: NOT list_contains(tw, qw[i
 SELECT query_id, doc_id, CASE WHEN len(qw) = 0 THEN true WHEN len(qw) <= 2 THEN len(m) = 0 ELSE (len(qw) - len(m)) / len(qw) >= 0.5 END AS contained, array_to_string(m, ',') AS missing FROM y"""
 
 _PLAIN = (
-    tf_df_stats, bm25_topk, bm25_zscore, cosine_topk, cosine_label_precision, vector_norms, fuse_zscore, fuse_minmax, fuse_rrf, hybrid_topk, surface_max, hit_at_k_mrr,
+    tf_df_stats, bm25_topk, index_topk, bm25_zscore, cosine_topk, cosine_label_precision, vector_norms, fuse_zscore, fuse_minmax, fuse_rrf, hybrid_topk, surface_max, search_surfaces, hit_at_k_mrr, fusion_grid,
     exact_dups_copies, blank_copies, containment_pairs, containment_members, gold_family, kind_quota, best_copy_swap, group_chunks, group_argmax, runner_up, finalists, family_sum, topic_list, verdict_bands,
     quote_containment, wanted_kinds, greedy_collapse, search_full,
 )
