@@ -104,14 +104,23 @@ rp AS (SELECT DISTINCT query_id, CAST(-1 AS BIGINT) AS group_id, CAST(0 AS BIGIN
 SELECT query_id, group_id, request FROM rp WHERE group_id >= 0"""
 
 
+LOGIT = 1.0  # the default judge of a shortlist: the fused score itself, against sq.NONE for no match
+
+
 def _short(spark, d) -> DataFrame:
-    """The shortlist of each query with kind, words and the wanted kind."""
-    return sq._pool(spark, d).join(sq._texts(spark, d).select("doc_id", "tokens"), "doc_id").join(sq._wanted(spark, d), "query_id").withColumn("place", F.col("rank"))
+    """The shortlist of a search with words, the wanted kind and the severity of each text."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    severity = F.when(F.col("kind") == "ayah", "quran").when(F.col("toxic") == 1, "mawdu").when(F.col("quality") == 0, "daif").when(F.col("quality") == 1, "sahih").otherwise("unknown")
+    found = sq._found(spark, d).select("query_id", "place", "doc_id", "kind", F.round("score", 6).alias("score"), "reserve")
+    rows = found.join(sq._texts(spark, d).select("doc_id", "tokens"), "doc_id").join(sq._wanted(spark, d), "query_id").join(labels, "doc_id", "left")
+    return written(rows.withColumn("severity", severity).drop("toxic", "quality"), "short")
 
 
 #: sh: the shortlist; lo: pairs of looser copies of one report; each walk keeps the first of them, `most` in all.
-_SHORT_SQL = f"""{sq._POOL_SQL}, sh AS (SELECT query_id, doc_id, kind, rank, score, {sq._WANTED_SQL} AS wanted FROM pool),
-lt AS (SELECT doc_id, list_sort(list_distinct(w)) AS t FROM tok JOIN documents USING (doc_id) WHERE source <> 'src0' AND doc_id IN (SELECT doc_id FROM pool)),
+_SHORT_SQL = f"""{sq._SEARCH_SQL}, lb AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY 1),
+sh AS (SELECT query_id, sf.doc_id, kind, place AS rank, round(score, 6) AS score, reserve, {sq._WANTED_SQL} AS wanted,
+         CASE WHEN kind = 'ayah' THEN 'quran' WHEN toxic = 1 THEN 'mawdu' WHEN quality = 0 THEN 'daif' WHEN quality = 1 THEN 'sahih' ELSE 'unknown' END AS severity FROM sf LEFT JOIN lb ON lb.doc_id = sf.doc_id),
+lt AS (SELECT doc_id, list_sort(list_distinct(w)) AS t FROM tok JOIN documents USING (doc_id) WHERE source <> 'src0' AND doc_id IN (SELECT doc_id FROM sh)),
 le AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM lt WHERE len(t) >= 5),
 lo AS (SELECT a.doc_id AS x, b.doc_id AS y FROM le a JOIN le b ON a.w = b.w AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) >= CAST(0.6 AS DOUBLE) * least(any_value(a.n), any_value(b.n))
        UNION SELECT a.doc_id, b.doc_id FROM lt a JOIN lt b ON a.t = b.t AND len(a.t) >= 2 AND a.doc_id <> b.doc_id),
@@ -127,12 +136,13 @@ def _loose_walk(source: str, out: str) -> str:
 {out} AS (SELECT query_id, doc_id, CAST(list_position(kept, doc_id) AS BIGINT) AS place FROM {out}_w WHERE step > 0 AND twin IS NULL)"""
 
 
-_TOPIC_SQL = f"""{_SHORT_SQL}, tn AS (SELECT *, count(*) FILTER (kind = wanted) OVER (PARTITION BY query_id) AS same FROM sh),
+#: Texts that the shortlist holds in reserve serve ruling lists only.
+_TOPIC_SQL = f"""{_SHORT_SQL}, tn AS (SELECT *, count(*) FILTER (kind = wanted) OVER (PARTITION BY query_id) AS same FROM sh WHERE NOT reserve),
 tq AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, 24 AS most FROM tn WHERE same < 6 OR kind = wanted), {_loose_walk('tq', 'tp')}"""
 
 
 def topic_pool(spark: SparkSession, d: str) -> DataFrame:
-    return search.topic_pool(_short(spark, d)).select("query_id", "doc_id", "kind", "place")
+    return search.topic_pool(_short(spark, d).where("not reserve")).select("query_id", "doc_id", "kind", "place")
 
 
 TOPIC_POOL = f"WITH RECURSIVE {_TOPIC_SQL} SELECT tp.query_id, tp.doc_id, kind, place FROM tp JOIN sh ON sh.query_id = tp.query_id AND sh.doc_id = tp.doc_id"
@@ -142,52 +152,118 @@ def ruling_pool(spark: SparkSession, d: str) -> DataFrame:
     return search.ruling_pool(_short(spark, d))
 
 
-RULING_POOL = f"""WITH RECURSIVE {_SHORT_SQL}, tn AS (SELECT *, count(*) FILTER (kind = wanted) OVER (PARTITION BY query_id) AS same FROM sh),
-tq AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, CASE WHEN wanted IS NULL THEN 12 ELSE 24 END AS most FROM tn WHERE CASE WHEN wanted IS NULL THEN kind = 'hadith' ELSE same < 6 OR kind = wanted END), {_loose_walk('tq', 'tp')}
-SELECT tp.query_id, tp.doc_id, kind, CASE WHEN wanted IS NULL THEN place + 12 ELSE place END AS place FROM tp JOIN sh ON sh.query_id = tp.query_id AND sh.doc_id = tp.doc_id
-UNION ALL SELECT query_id, doc_id, kind, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM sh WHERE wanted IS NULL AND kind = 'ayah') WHERE place <= 12"""
+#: rp: what is judged for a ruling question.
+_RULING_SQL = f"""{_SHORT_SQL}, tn AS (SELECT *, count(*) FILTER (kind = wanted) OVER (PARTITION BY query_id) AS same FROM sh),
+tq AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth, CASE WHEN wanted IS NULL THEN 12 ELSE 24 END AS most FROM tn WHERE CASE WHEN wanted IS NULL THEN kind = 'hadith' ELSE same < 6 OR kind = wanted END), {_loose_walk('tq', 'tp')},
+rp AS (SELECT tp.query_id, tp.doc_id, kind, CASE WHEN wanted IS NULL THEN place + 12 ELSE place END AS place FROM tp JOIN sh ON sh.query_id = tp.query_id AND sh.doc_id = tp.doc_id
+  UNION ALL SELECT query_id, doc_id, kind, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM sh WHERE wanted IS NULL AND kind = 'ayah') WHERE place <= 12)"""
+RULING_POOL = f"WITH RECURSIVE {_RULING_SQL} SELECT query_id, doc_id, kind, place FROM rp"
 
+#: The default judge of relevance: halfway between sure and a score's share of the query's best one.
+_RELEVANCE = "0.5 + 0.5 * score / best"
+_BEST_SQL = "mx AS (SELECT query_id, max(score) AS best FROM sh GROUP BY 1)"
 
-def answers_full(spark: SparkSession, d: str) -> DataFrame:
-    """From shortlist to answer: groups, finalists, final choice with its report's probability, checks of kind and quotation, the list
-    of a broad query (every third), and which of them is the answer."""
-    short = written(_short(spark, d), "short")
-    last = decision.finalists(decision.winners(decision.choice(decision.groups(short), F.col("score") * sq.LOGIT, sq.NONE), runner_up=0.05))
-    last = decision.choice(last.drop("p", "p_none", "nth"), F.col("score") * sq.LOGIT, sq.NONE, ("query_id",))
-    words = sq._queries(spark, d).select("query_id", lexical.words(F.col("text")).alias("qw"))
-    final = last.join(words, "query_id").withColumn("quote_ok", decision.quote_contained(F.col("qw"), F.col("tokens")))
-    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
-    severity = F.when(F.col("kind") == "ayah", "quran").when(F.col("toxic") == 1, "mawdu").when(F.col("quality") == 0, "daif").when(F.col("quality") == 1, "sahih").otherwise("unknown")
+
+def _relevant(pool: DataFrame, short: DataFrame) -> DataFrame:
     best = short.groupBy("query_id").agg(F.max("score").alias("best"))
-    pool = search.topic_pool(short).join(short.select("query_id", "doc_id", "tokens", "score"), ["query_id", "doc_id"]).join(labels, "doc_id", "left").join(best, "query_id").withColumn("severity", severity)
+    rows = pool.join(short.select("query_id", "doc_id", "tokens", "score", "severity"), ["query_id", "doc_id"]).join(best, "query_id")
+    return search.relevant(rows, F.expr(_RELEVANCE))
+
+
+def ruling_list(spark: SparkSession, d: str) -> DataFrame:
+    """What a ruling question gets: the relevant texts of its pool, looser copies merged, sounder ones first, at most eight."""
+    short = _short(spark, d)
+    return _relevant(search.ruling_pool(short), short).select("query_id", "doc_id", "place", "severity", F.round("relevance", 6).alias("relevance"))
+
+
+_LISTED = "row_number() OVER (PARTITION BY query_id ORDER BY CASE severity WHEN 'quran' THEN 0 WHEN 'sahih' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, round(relevance, 9) DESC, doc_id) AS place"
+RULING_LIST = f"""WITH RECURSIVE {_RULING_SQL}, {_BEST_SQL},
+rq AS (SELECT rp.query_id, rp.doc_id, row_number() OVER (PARTITION BY rp.query_id ORDER BY place) AS nth, 1000 AS most FROM rp JOIN sh ON sh.query_id = rp.query_id AND sh.doc_id = rp.doc_id JOIN mx ON mx.query_id = rp.query_id WHERE {_RELEVANCE} >= 0.75),
+{_loose_walk('rq', 're')}, rr AS (SELECT re.query_id, re.doc_id, severity, {_RELEVANCE} AS relevance FROM re JOIN sh ON sh.query_id = re.query_id AND sh.doc_id = re.doc_id JOIN mx ON mx.query_id = re.query_id)
+SELECT query_id, doc_id, place, severity, round(relevance, 6) AS relevance FROM (SELECT *, {_LISTED} FROM rr) WHERE place <= 8"""
+
+
+def _quoted(final: DataFrame, queries: DataFrame) -> DataFrame:
+    """Adds quote_ok: whether a text (tokens) holds enough of its query's words."""
+    words = queries.select("query_id", lexical.words(F.col("text")).alias("qw"))
+    return final.join(words, "query_id").withColumn("quote_ok", decision.quote_contained(F.col("qw"), F.col("tokens")))
+
+
+def answers_full(spark: SparkSession, d: str) -> DataFrame:
+    """From query to answer: the search's shortlist without its reserve in groups, finalists, final choice with its report's
+    probability, checks of kind and quotation, the list of a broad query (every third), and which of them is the answer."""
+    short = _short(spark, d)
+    offered = short.where("not reserve").withColumn("rank", F.col("place"))
+    last = decision.finalists(decision.winners(decision.choice(decision.groups(offered), F.col("score") * LOGIT, sq.NONE), runner_up=0.05))
+    last = decision.choice(last.drop("p", "p_none", "nth"), F.col("score") * LOGIT, sq.NONE, ("query_id",))
     broad = F.col("query_id") % 3 == 0
-    listed = search.relevant(pool.where(broad), F.col("score") / F.col("best"))
-    out = search.answered(short.select("query_id").distinct().withColumn("broad", broad), final, listed)
+    listed = _relevant(search.topic_pool(offered).where(broad), short)
+    asked = short.select("query_id").distinct().withColumn("broad", broad)
+    out = search.answered(asked, _quoted(last, sq._queries(spark, d)), listed)
     return out.select("query_id", "verdict", "doc_id", F.round("p_report", 6).alias("p_report"), "texts")
 
 
+def _share_sql(over: str, logit: float = LOGIT, more: str = "") -> str:
+    whole = f"(sum(exp(score * {logit})) OVER {over}{more} + exp({sq.NONE}))"
+    return f"exp(score * {logit}) / {whole} AS p, exp({sq.NONE}) / {whole} AS p_none"
+
+
+#: From fi (query_id, doc_id, kind, rank, wanted, p, p_none), lo and tok to pk4: the finalist that stands, with its report's probability.
+_PICKED_SQL = f"""pk1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS k FROM fi) WHERE k = 1 AND round(p, 9) >= round(p_none, 9)),
+pk2 AS (SELECT pk1.*, pk1.p + coalesce((SELECT sum(f.p) FROM fi f JOIN lo ON lo.x = pk1.doc_id AND lo.y = f.doc_id WHERE f.query_id = pk1.query_id), 0) AS pr FROM pk1),
+qw AS (SELECT item_id AS query_id, {word_list('text')} AS qw FROM benchmark),
+pk3 AS (SELECT pk2.query_id, pk2.doc_id, pr, kind, wanted, CASE WHEN round(pr, 9) >= 0.7 THEN 'confident' WHEN round(pr, 9) >= 0.45 THEN 'tentative' ELSE 'unsure' END AS band,
+         CASE WHEN len(qw) = 0 THEN true WHEN len(qw) <= 2 THEN len(list_filter(qw, lambda x: list_contains(tok.w, x))) = len(qw) ELSE len(list_filter(qw, lambda x: list_contains(tok.w, x))) / len(qw) >= 0.5 END AS quote_ok
+       FROM pk2 JOIN qw USING (query_id) JOIN tok ON tok.doc_id = pk2.doc_id),
+pk4 AS (SELECT * FROM pk3 WHERE CASE WHEN wanted IS NOT NULL AND kind <> wanted THEN band = 'confident' ELSE quote_ok END)"""
+#: From al (query_id, doc_id, pr, band, n, broad) to the answer.
+_ANSWER_SQL = """SELECT query_id, CASE WHEN single THEN band WHEN lists THEN 'topic' WHEN doc_id IS NOT NULL THEN band ELSE 'no_match' END AS verdict, CASE WHEN single OR NOT lists THEN doc_id END AS doc_id,
+       CASE WHEN single OR NOT lists THEN round(pr, 6) END AS p_report, CAST(CASE WHEN lists AND NOT single THEN n ELSE 0 END AS BIGINT) AS texts FROM fl"""
+_FL_SQL = "fl AS (SELECT *, broad AND n > 0 AS lists, doc_id IS NOT NULL AND (NOT broad OR (band = 'confident' AND round(pr, 9) >= 0.9)) AS single FROM al)"
 ANSWERS_FULL = f"""WITH RECURSIVE {_TOPIC_SQL},
-gr AS (SELECT *, CAST(floor((rank - 1) / 12) AS BIGINT) AS group_id FROM sh),
-ju AS (SELECT *, exp(score * {sq.LOGIT}) / (sum(exp(score * {sq.LOGIT})) OVER g + exp({sq.NONE})) AS p, exp({sq.NONE}) / (sum(exp(score * {sq.LOGIT})) OVER g + exp({sq.NONE})) AS p_none FROM gr WINDOW g AS (PARTITION BY query_id, group_id)),
+gr AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1) / 12) AS BIGINT) AS group_id FROM sh WHERE NOT reserve),
+ju AS (SELECT *, {_share_sql('g')} FROM gr WINDOW g AS (PARTITION BY query_id, group_id)),
 nt AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY round(p, 9) DESC, rank) AS nth, max(round(p, 9)) OVER (PARTITION BY query_id, group_id) >= round(p_none, 9) AS won FROM ju),
 wi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS k FROM nt WHERE won AND (nth = 1 OR (nth = 2 AND p >= 0.05))),
-fi AS (SELECT query_id, doc_id, kind, rank, wanted, exp(score * {sq.LOGIT}) / (sum(exp(score * {sq.LOGIT})) OVER q + exp({sq.NONE})) AS p, exp({sq.NONE}) / (sum(exp(score * {sq.LOGIT})) OVER q + exp({sq.NONE})) AS p_none FROM wi WHERE k <= 12 WINDOW q AS (PARTITION BY query_id)),
-o1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS k FROM fi) WHERE k = 1 AND round(p, 9) >= round(p_none, 9)),
-o2 AS (SELECT o1.*, o1.p + coalesce((SELECT sum(f.p) FROM fi f JOIN lo ON lo.x = o1.doc_id AND lo.y = f.doc_id WHERE f.query_id = o1.query_id), 0) AS pr FROM o1),
-qw AS (SELECT item_id AS query_id, {word_list('text')} AS qw FROM benchmark),
-o3 AS (SELECT o2.query_id, o2.doc_id, pr, kind, wanted, CASE WHEN round(pr, 9) >= 0.7 THEN 'confident' WHEN round(pr, 9) >= 0.45 THEN 'tentative' ELSE 'unsure' END AS band,
-         CASE WHEN len(qw) = 0 THEN true WHEN len(qw) <= 2 THEN len(list_filter(qw, lambda x: list_contains(tok.w, x))) = len(qw) ELSE len(list_filter(qw, lambda x: list_contains(tok.w, x))) / len(qw) >= 0.5 END AS quote_ok
-       FROM o2 JOIN qw USING (query_id) JOIN tok ON tok.doc_id = o2.doc_id),
-o4 AS (SELECT * FROM o3 WHERE CASE WHEN wanted IS NOT NULL AND kind <> wanted THEN band = 'confident' ELSE quote_ok END),
-mx AS (SELECT query_id, max(score) AS best FROM sh GROUP BY 1),
-rq AS (SELECT tp.query_id, tp.doc_id, row_number() OVER (PARTITION BY tp.query_id ORDER BY place) AS nth, 1000 AS most FROM tp JOIN sh ON sh.query_id = tp.query_id AND sh.doc_id = tp.doc_id JOIN mx ON mx.query_id = tp.query_id WHERE tp.query_id % 3 = 0 AND score / best >= 0.75),
+fi AS (SELECT query_id, doc_id, kind, rank, wanted, {_share_sql('q')} FROM wi WHERE k <= 12 WINDOW q AS (PARTITION BY query_id)), {_PICKED_SQL}, {_BEST_SQL},
+rq AS (SELECT tp.query_id, tp.doc_id, row_number() OVER (PARTITION BY tp.query_id ORDER BY place) AS nth, 1000 AS most FROM tp JOIN sh ON sh.query_id = tp.query_id AND sh.doc_id = tp.doc_id JOIN mx ON mx.query_id = tp.query_id WHERE tp.query_id % 3 = 0 AND {_RELEVANCE} >= 0.75),
 {_loose_walk('rq', 're')}, nl AS (SELECT query_id, least(count(*), 8) AS texts FROM re GROUP BY 1),
-al AS (SELECT a.query_id, o4.doc_id, pr, band, coalesce(texts, 0) AS n, a.query_id % 3 = 0 AS broad FROM (SELECT DISTINCT query_id FROM sh) a LEFT JOIN o4 ON o4.query_id = a.query_id LEFT JOIN nl ON nl.query_id = a.query_id),
-fl AS (SELECT *, broad AND n > 0 AS lists, doc_id IS NOT NULL AND (NOT broad OR (band = 'confident' AND round(pr, 9) >= 0.9)) AS single FROM al)
-SELECT query_id, CASE WHEN single THEN band WHEN lists THEN 'topic' WHEN doc_id IS NOT NULL THEN band ELSE 'no_match' END AS verdict, CASE WHEN single OR NOT lists THEN doc_id END AS doc_id,
-       CASE WHEN single OR NOT lists THEN round(pr, 6) END AS p_report, CAST(CASE WHEN lists AND NOT single THEN n ELSE 0 END AS BIGINT) AS texts FROM fl"""
+al AS (SELECT a.query_id, pk4.doc_id, pr, band, coalesce(texts, 0) AS n, a.query_id % 3 = 0 AS broad FROM (SELECT DISTINCT query_id FROM sh) a LEFT JOIN pk4 ON pk4.query_id = a.query_id LEFT JOIN nl ON nl.query_id = a.query_id), {_FL_SQL}
+{_ANSWER_SQL}"""
+
+
+def knockout_run(spark: SparkSession, d: str) -> DataFrame:
+    """A knockout over the whole corpus from query to answer: a request for a ruling (every seventh) is referred before any text is
+    read; who is left is chosen from; a broad query (every third) gets a list from the likeliest winners of the first round."""
+    left, first = sq._knocked_out(spark, d)
+    texts = sq._texts(spark, d).select("doc_id", "kind", "tokens")
+    scores = sq._scores(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    last = left.select("query_id", "doc_id", "place").join(scores, ["query_id", "doc_id"]).withColumn("rank", F.col("place"))
+    final = decision.choice(last, F.col("score") * sq.LOGIT, sq.NONE, ("query_id",)).join(texts, "doc_id").join(sq._wanted(spark, d), "query_id")
+    won = first.select("query_id", "doc_id", "place", "p", "score").join(texts, "doc_id")
+    asked = sq._queries(spark, d).select("query_id", (F.col("query_id") % 3 == 0).alias("broad"), F.when(F.col("query_id") % 7 == 0, 0.9).otherwise(0.1).alias("p_fatwa"))
+    best = won.groupBy("query_id").agg(F.max("score").alias("best"))
+    pool = search.knockout_topic(won).join(won.select("query_id", "doc_id", "tokens", "score"), ["query_id", "doc_id"]).join(best, "query_id").withColumn("severity", F.when(F.col("kind") == "ayah", "quran").otherwise("unknown"))
+    listed = search.relevant(pool.where(F.col("query_id") % 3 == 0), F.expr(_RELEVANCE))
+    out = search.knockout_answered(asked, _quoted(final, sq._queries(spark, d)), listed)
+    return out.select("query_id", "verdict", "doc_id", F.round("p_report", 6).alias("p_report"), "texts")
+
+
+KNOCKOUT_RUN = f"""{sq._knockout_sql().replace("WITH ", "WITH RECURSIVE ", 1)},
+kd AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'ayah' ELSE 'hadith' END AS kind FROM documents),
+lt AS (SELECT doc_id, list_sort(list_distinct(w)) AS t FROM tok JOIN kd USING (doc_id) WHERE kind = 'hadith' AND doc_id IN (SELECT doc_id FROM a1)), le AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM lt WHERE len(t) >= 5),
+lo AS (SELECT a.doc_id AS x, b.doc_id AS y FROM le a JOIN le b ON a.w = b.w AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) >= CAST(0.6 AS DOUBLE) * least(any_value(a.n), any_value(b.n))
+       UNION SELECT a.doc_id, b.doc_id FROM lt a JOIN lt b ON a.t = b.t AND len(a.t) >= 2 AND a.doc_id <> b.doc_id),
+lp AS (SELECT x AS doc_id, list(y) AS partners FROM lo GROUP BY 1),
+fi AS (SELECT query_id, a6.doc_id, kind, place AS rank, {sq._WANTED_SQL} AS wanted, {_share_sql('q', sq.LOGIT)} FROM a6 JOIN kd USING (doc_id) WINDOW q AS (PARTITION BY query_id)), {_PICKED_SQL},
+t1 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, place) AS nth, 60 AS most FROM a1), tq AS (SELECT * FROM t1 WHERE nth <= 60), {_loose_walk('tq', 'tp')},
+mx AS (SELECT query_id, max(score) AS best FROM a1 GROUP BY 1),
+rq AS (SELECT tp.query_id, tp.doc_id, row_number() OVER (PARTITION BY tp.query_id ORDER BY tp.place) AS nth, 1000 AS most FROM tp JOIN a1 ON a1.query_id = tp.query_id AND a1.doc_id = tp.doc_id JOIN mx ON mx.query_id = tp.query_id WHERE tp.query_id % 3 = 0 AND {_RELEVANCE} >= 0.75),
+{_loose_walk('rq', 're')}, nl AS (SELECT query_id, least(count(*), 8) AS texts FROM re GROUP BY 1),
+al AS (SELECT a.query_id, pk4.doc_id, pr, band, coalesce(texts, 0) AS n, a.query_id % 3 = 0 AS broad FROM (SELECT item_id AS query_id FROM benchmark WHERE item_id % 7 <> 0) a LEFT JOIN pk4 ON pk4.query_id = a.query_id LEFT JOIN nl ON nl.query_id = a.query_id), {_FL_SQL}
+{_ANSWER_SQL} UNION ALL SELECT item_id, 'fatwa_request', NULL, NULL, 0 FROM benchmark WHERE item_id % 7 = 0"""
 
 
-_PLAIN = (hydrate_topk, alternatives, final_verdicts, translation_choice, retriever_overlap, knockout_corpus, request_packs, topic_pool, ruling_pool, answers_full)
+_PLAIN = (hydrate_topk, alternatives, final_verdicts, translation_choice, retriever_overlap, knockout_corpus, request_packs, topic_pool, ruling_pool, ruling_list, answers_full, knockout_run)
 QUERIES = {f.__name__: f for f in _PLAIN}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN}

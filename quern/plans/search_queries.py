@@ -418,10 +418,13 @@ def greedy_collapse(spark: SparkSession, d: str) -> DataFrame:
 GREEDY_COLLAPSE = f"WITH RECURSIVE {_WALK_SQL} SELECT query_id, doc_id, kept_rank, variant_of FROM gc"
 
 
+def _found(spark, d) -> DataFrame:
+    return search.shortlist(_hybrid(spark, d).select("query_id", "doc_id", "score"), _texts(spark, d), _wanted(spark, d))
+
+
 def search_full(spark: SparkSession, d: str) -> DataFrame:
     """A search from query to shortlist: fusion, boost of the wanted kind, collapse, both kinds, best copies."""
-    out = search.shortlist(_hybrid(spark, d).select("query_id", "doc_id", "score"), _texts(spark, d), _wanted(spark, d))
-    return out.select("query_id", "place", "doc_id", "kind", F.round("score", 4).alias("score"), "reserve", F.array_join(F.transform("variants", lambda x: x.cast("string")), ",").alias("variants"))
+    return _found(spark, d).select("query_id", "place", "doc_id", "kind", F.round("score", 4).alias("score"), "reserve", F.array_join(F.transform("variants", lambda x: x.cast("string")), ",").alias("variants"))
 
 
 def kind_quota(spark: SparkSession, d: str) -> DataFrame:
@@ -446,16 +449,18 @@ s2 AS (SELECT query_id, s1.doc_id, kind, CASE WHEN e2.doc_id IS NOT NULL THEN 20
 _PLACED = "SELECT query_id, doc_id, kind, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place, reserve FROM s2"
 KIND_QUOTA = f"""WITH {_RANKED_SQL}, s0 AS (SELECT query_id, doc_id, kind, rank, rank <= 24 AS ins, false AS bar, rank AS place FROM fr), {_QUOTA_SQL}
 SELECT * FROM ({_PLACED}) WHERE place <= 24"""
-SEARCH_FULL = f"""WITH RECURSIVE {_WALK_SQL}, sw AS (SELECT fr.query_id, fr.doc_id, kind, rank, wanted, gc.doc_id IS NOT NULL AND variant_of IS NULL AS ins, variant_of IS NOT NULL AS bar, coalesce(kept_rank, rank) AS place
+#: sf: the shortlist of a search.
+_SEARCH_SQL = f"""{_WALK_SQL}, sw AS (SELECT fr.query_id, fr.doc_id, kind, rank, wanted, gc.doc_id IS NOT NULL AND variant_of IS NULL AS ins, variant_of IS NOT NULL AS bar, coalesce(kept_rank, rank) AS place
   FROM fr LEFT JOIN gc ON gc.query_id = fr.query_id AND gc.doc_id = fr.doc_id), s0 AS (SELECT * FROM sw WHERE wanted IS NULL), {_QUOTA_SQL},
 li AS (SELECT query_id, doc_id, kind, place, false AS reserve FROM sw WHERE wanted IS NOT NULL AND ins UNION ALL SELECT * FROM ({_PLACED}) WHERE place <= 24),
 cp AS (SELECT li.query_id, place, li.doc_id AS doc_id, false AS variant FROM li UNION ALL SELECT li.query_id, place, gc.doc_id, true FROM gc JOIN li ON li.query_id = gc.query_id AND li.doc_id = gc.variant_of),
 bk AS (SELECT cp.*, CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 1 ELSE 2 END AS book FROM cp JOIN documents USING (doc_id)),
 bb AS (SELECT query_id, place, arg_min(doc_id, (book, doc_id)) AS best, min(book) AS best_book, max(CASE WHEN NOT variant THEN doc_id END) AS own, max(CASE WHEN NOT variant THEN book END) AS own_book,
-         list_sort(coalesce(list(doc_id) FILTER (variant), [])) AS others FROM bk GROUP BY 1, 2)
-SELECT li.query_id, li.place, CASE WHEN best_book < own_book THEN best ELSE own END AS doc_id, li.kind, round(fr.score, 4) AS score, reserve,
+         list_sort(coalesce(list(doc_id) FILTER (variant), [])) AS others FROM bk GROUP BY 1, 2),
+sf AS (SELECT li.query_id, li.place, CASE WHEN best_book < own_book THEN best ELSE own END AS doc_id, li.kind, fr.score, reserve,
        array_to_string(CASE WHEN best_book < own_book THEN list_concat([own], list_filter(others, lambda x: x <> best)) ELSE others END, ',') AS variants
-FROM li JOIN bb ON bb.query_id = li.query_id AND bb.place = li.place JOIN fr ON fr.query_id = li.query_id AND fr.doc_id = li.doc_id"""
+FROM li JOIN bb ON bb.query_id = li.query_id AND bb.place = li.place JOIN fr ON fr.query_id = li.query_id AND fr.doc_id = li.doc_id)"""
+SEARCH_FULL = f"WITH RECURSIVE {_SEARCH_SQL} SELECT query_id, place, doc_id, kind, round(score, 4) AS score, reserve, variants FROM sf"
 
 
 def best_copy_swap(spark: SparkSession, d: str) -> DataFrame:
@@ -590,18 +595,30 @@ VERDICT_BANDS = f"""WITH {_JUDGED_SQL}, b AS (SELECT query_id, max(p) AS p FROM
 SELECT CASE WHEN round(p * 3, 9) >= 0.7 THEN 'confident' WHEN round(p * 3, 9) >= 0.45 THEN 'tentative' ELSE 'unsure' END AS verdict, count(*) AS n FROM b GROUP BY 1"""
 
 
-def knockout_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """All distinct texts in a seeded order, in groups of 20, and on until at most 12 a query are left."""
+def _knocked_out(spark, d) -> tuple[DataFrame, DataFrame]:
+    """What is left of all distinct texts in a seeded order, after groups of 20 and on until at most 12 a query are left; and who won
+    a group of the first round."""
     docs = table(spark, d, "documents").withColumn("words", F.array_join(lexical.words(F.col("text")), " "))
     one = dedup.exact_copies(docs, F.col("words"), _kind(F.col("source"))).where("doc_id = class_id").join(docs.where("words <> ''").select("doc_id"), "doc_id", "left_semi")
     order = F.md5(F.concat(F.lit("450"), F.col("doc_id").cast("string")).cast("binary"))
     places = written(tables.numbered(one.select("doc_id"), [order, F.col("doc_id")]), "places")
     judged = written(_scores(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score")).join(places, "doc_id"), "judged")
-    out = decision.knockout(judged, places.count(), F.col("score") * LOGIT, lambda df: written(df, "knockout"), no_match=NONE)
-    return out.select("query_id", "doc_id", "round", F.round("p", 6).alias("p"))
+    rounds: list[DataFrame] = []
+
+    def cut(df: DataFrame) -> DataFrame:
+        rounds.append(written(df, "knockout"))
+        return rounds[-1]
+
+    out = decision.knockout(judged, places.count(), F.col("score") * LOGIT, cut, no_match=NONE)
+    return out, rounds[0]
+
+
+def knockout_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return _knocked_out(spark, d)[0].select("query_id", "doc_id", "round", F.round("p", 6).alias("p"))
 
 
 def _knockout_sql(rounds: int = 6) -> str:
+    """CTEs: a1 has the winners of the first round, a6 who is left."""
     share = "exp(score * {l}) / (sum(exp(score * {l})) OVER g{more} + exp({n})) AS p, exp({n}) / (sum(exp(score * {l})) OVER g{more} + exp({n})) AS p_none"
     # groups' sums have an order of their own; rounding hides it
     fill = share.format(l=LOGIT, n=NONE, more=" + least(20, texts - 20 * group_id) - count(*) OVER g")
@@ -620,7 +637,7 @@ c{k} AS (SELECT *, {later} FROM m{k} WINDOW g AS (PARTITION BY query_id, group_i
 n{k} AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY round(p, 9) DESC, place) AS nth, max(round(p, 9)) OVER (PARTITION BY query_id, group_id) >= round(p_none, 9) AS won FROM c{k}),
 w{k} AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS stay, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, place) AS k FROM n{k} WHERE won AND (nth = 1 OR (nth = 2 AND p >= 0.25))),
 a{k} AS (SELECT query_id, doc_id, place, score, p, round FROM b{k} WHERE alive <= 12 OR round < {k - 1} UNION ALL SELECT query_id, doc_id, place, score, p, CAST({k} AS BIGINT) FROM w{k} WHERE stay < alive OR k <= 12)"""
-    return sql + f" SELECT query_id, doc_id, round, round(p, 6) AS p FROM a{rounds}"
+    return sql
 
 
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -644,4 +661,4 @@ _PLAIN = (
     quote_containment, wanted_kinds, greedy_collapse, search_full,
 )
 QUERIES = {f.__name__: f for f in (*_PLAIN, router, knockout_rounds)}
-ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN} | {"router": _router_sql(), "knockout_rounds": _knockout_sql()}
+ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN} | {"router": _router_sql(), "knockout_rounds": _knockout_sql() + " SELECT query_id, doc_id, round, round(p, 6) AS p FROM a6"}
