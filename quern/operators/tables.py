@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -40,11 +40,19 @@ def shares(df: DataFrame, key: str) -> DataFrame:
 def discrete_quantiles(df: DataFrame, by: str, value: str, places: dict[str, Column]) -> DataFrame:
     """For each group the values at 0-based places of the sorted list; places are Columns of n.
 
-    Equal values are counted first and places found in the running counts, so a group's rows are never in one task.
+    Equal values are counted first. The counts are dealt by ranges of group and value; the rows of a range start where
+    those of the ranges before it end, so a group of any number of different values is never in one task.
     """
+    from quern.sources.scratch import written
+
     counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy(by).orderBy(value)
-    run = counted.withColumns({"_to": F.sum("_c").over(w), "n": F.sum("_c").over(W.partitionBy(by))})
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(counted.repartitionByRange(parts, by, value).withColumn("_part", F.spark_partition_id()), "quantiles")
+    sizes = dealt.groupBy(by, "_part").agg(F.sum("_c").alias("_size"))  # a row a group and range
+    before = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(F.col(by).alias("_by"), F.col("_part").alias("_of"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"), F.sum("_size").over(W.partitionBy(by)).alias("n"))
+    own = dealt.join(F.broadcast(starts), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_of"))).drop("_by", "_of")
+    run = own.withColumn("_to", F.col("_start") + F.sum("_c").over(W.partitionBy(by, "_part").orderBy(value)))
     at = lambda p: F.min(F.when((F.col("_to") > p) & (F.col("_to") - F.col("_c") <= p), F.col(value)))
     return run.groupBy(by, "n").agg(*[at(p).alias(name) for name, p in places.items()])
 
@@ -93,6 +101,14 @@ def dropped(df: DataFrame, keep: Column, by: str) -> tuple[DataFrame, DataFrame]
     return df.where(good), df.groupBy(by).agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("left_out"))
 
 
+def observed(df: DataFrame, keep: Column, reasons: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows that stay, and an observation of how many stayed and how many had each reason to go. It counts in the pass that
+    reads the rows: ask it (`.get`) after an action on all of them."""
+    seen = Observation()
+    good = F.coalesce(keep, F.lit(False))
+    return df.observe(seen, F.count_if(good).alias("kept"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in reasons.items()]).where(good), seen
+
+
 def match_totals(pairs: DataFrame, ours: str, theirs: str) -> DataFrame:
     """One row: agree, differ, unmatched (nothing found), silent (found, but without a ruling). `pairs`: found (boolean), both columns."""
     found, said = F.coalesce("found", F.lit(False)), F.col(theirs).isNotNull()

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions import vectors
-from quern.operators import answers, decision, dedup, dense, fusion, index, lexical, search, tables
+from quern.operators import answers, blocks, decision, dedup, dense, fusion, index, lexical, search, tables
 from quern.operators.sizes import if_small
 from quern.plans.text_queries import word_list
 from quern.sources.files import table
-from quern.sources.scratch import written
+from quern.sources.scratch import shared_dir, written
 
 POOL, FINAL = 120, 12  # shortlist of a query and finalists for the decision queries
 
@@ -117,6 +117,17 @@ _COS = """cs AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, c.label AS lab
 COSINE_TOPK = f"WITH {_COS} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ({_rank_sql('cs')}) WHERE rank <= 10"
 
 
+def half_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As cosine_topk, from blocks of half precision; what may be among the best is scored again by the vectors themselves."""
+    path = f"{shared_dir(spark)}/quern-blocks-{index.fingerprint(spark, f'{d}/embeddings.parquet')}"
+    blocks.build(_vectors(spark, d), path)
+    scores = blocks.topk(_asked(spark, d), blocks.opened(spark, path), _vectors(spark, d), 11).where("query_id <> doc_id")
+    return lexical.top(scores, 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+HALF_TOPK = COSINE_TOPK
+
+
 def cosine_label_precision(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
     top = cosine_topk(spark, d).join(labels, "doc_id").join(labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("own")), "query_id")
@@ -656,7 +667,7 @@ y AS (SELECT *, list_filter(range(len(qw)), lambda i: NOT list_contains(tw, qw[i
 SELECT query_id, doc_id, CASE WHEN len(qw) = 0 THEN true WHEN len(qw) <= 2 THEN len(m) = 0 ELSE (len(qw) - len(m)) / len(qw) >= 0.5 END AS contained, array_to_string(m, ',') AS missing FROM y"""
 
 _PLAIN = (
-    tf_df_stats, bm25_topk, index_topk, bm25_zscore, cosine_topk, cosine_label_precision, vector_norms, fuse_zscore, fuse_minmax, fuse_rrf, hybrid_topk, surface_max, search_surfaces, hit_at_k_mrr, fusion_grid,
+    tf_df_stats, bm25_topk, index_topk, bm25_zscore, cosine_topk, half_topk, cosine_label_precision, vector_norms, fuse_zscore, fuse_minmax, fuse_rrf, hybrid_topk, surface_max, search_surfaces, hit_at_k_mrr, fusion_grid,
     exact_dups_copies, blank_copies, containment_pairs, containment_members, gold_family, kind_quota, best_copy_swap, group_chunks, group_argmax, runner_up, finalists, family_sum, topic_list, verdict_bands,
     quote_containment, wanted_kinds, greedy_collapse, search_full,
 )

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from quern.operators import lexical, service, tables
 from quern.operators.sizes import if_small
+from quern.sources import versions
 from quern.sources.files import table
-from quern.sources.scratch import shared_dir
+from quern.sources.scratch import shared_dir, written
 from quern.streaming import events as ev
 
 
@@ -296,20 +297,58 @@ def _stream(spark, d) -> tuple[DataFrame, str]:
 
 
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of a stream that its watermark has closed; the last windows stay open."""
+    """Windows of a stream, each batch's updates put over what is there; the last windows are open, and there."""
     stream, path = _stream(spark, d)
-    return ev.drained(ev.tumbling(stream.withWatermark("time", "10 minutes")), path)
+    out = ev.upserted(ev.tumbling(stream.withWatermark("time", "10 minutes")), path, ["start", "event_type"])
+    return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+STREAM_TUMBLING = TUMBLING_COUNTS
 
 
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The limiter on a stream of all events, each once; a user's state ends a day after the last one."""
     stream, path = _stream(spark, d)
-    return ev.drained(ev.streaming_limit(stream, 3, 86400.0), path)
+    with ev.keyed_state(spark):
+        return ev.drained(ev.streaming_limit(stream, 3, 86400.0), path).select("event_id", "user_id", "allowed")
+
+
+STREAM_RATE_LIMIT = RATE_LIMIT_EXACT
+
+
+def versioned_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in hash buckets; one in 97 gets a new balance, a new one comes in: the last version of the table."""
+    path = f"{shared_dir(spark)}/quern-customers-{uuid.uuid4().hex}"
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    versions.create(c, path, ["c_custkey"])
+    changed = c.where("c_custkey % 97 = 5").withColumn("c_acctbal", F.col("c_acctbal") + 100)
+    new = spark.range(1).select(F.lit(-1).cast("long").alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
+    versions.upsert(changed.unionByName(new), path)
+    versions.patch(c.where("c_custkey % 97 = 6").select("c_custkey", F.upper("c_name").alias("c_name")), path)
+    return versions.read(spark, path).withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
+VERSIONED_UPSERT = """
+SELECT c_custkey, CASE WHEN c_custkey % 97 = 6 THEN upper(c_name) ELSE c_name END AS c_name, round(CASE WHEN c_custkey % 97 = 5 THEN c_acctbal + 100 ELSE c_acctbal END, 4) AS c_acctbal FROM customer UNION ALL SELECT -1, 'new', 0.0"""
+
+
+def observed_drops(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents a length filter keeps and leaves out, counted in the pass that writes the kept ones."""
+    n = F.length(F.trim("text"))
+    kept, seen = tables.observed(table(spark, d, "documents"), n >= 400, {"empty": F.coalesce(n, F.lit(0)) == 0, "short": (n > 0) & (n < 400)})
+    written(kept.select("doc_id", "text"), "kept")
+    return spark.createDataFrame([tuple(seen.get[k] for k in ("kept", "empty", "short"))], "kept long, empty long, short long")
+
+
+OBSERVED_DROPS = """
+SELECT count(*) FILTER (length(trim(text)) >= 400) AS kept, count(*) FILTER (length(trim(coalesce(text, ''))) = 0) AS empty, count(*) FILTER (length(trim(text)) BETWEEN 1 AND 399) AS short FROM documents"""
 
 
 _PLAIN = (
     counter_share, nested_coverage, discrete_quantiles, integrity_counts, crosscheck_agreement, not_located_anti, has_hit_semi, range_lookup, seeded_sample, first_seen, upsert_overlay,
     map_edit, union_by_name, sections_lookup, rollup_revenue, latency_report, rate_limit_range, tumbling_counts, sliding_counts, session_counts,
     rate_limit_exact, token_bucket, cache_hits, match_totals, served_requests,
+    stream_tumbling, stream_rate_limit, versioned_upsert, observed_drops,
 )
-QUERIES = {f.__name__: f for f in (*_PLAIN, stream_tumbling, stream_rate_limit)}
+QUERIES = {f.__name__: f for f in _PLAIN}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN}

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
+
+from quern.sources import versions
 
 
 def with_time(events: DataFrame) -> DataFrame:
@@ -126,24 +130,105 @@ def drained(stream: DataFrame, path: str, mode: str = "append", schema=None) ->
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def streaming_limit(stream: DataFrame, limit: int = 30, seconds: float = 60.0) -> DataFrame:
-    """The sliding log on a stream: state holds the allowed times of the last `seconds` of each user. A user's events of one
-    trigger are one task's; bound triggers (maxFilesPerTrigger) where one user may send very many."""
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which timers and typed state variables need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class _Limiter(StatefulProcessor):
+    """The sliding log of a user. Its state ends by a timer when the last allowed time has left the window."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        log = deque(state.get[0]) if state.exists else deque()
-        pdf = pd.concat(list(batches)).sort_values(["sec", "event_id"])
-        allowed = []
+    def __init__(self, limit: int, seconds: float) -> None:
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("log", "log array<double>, last double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values(["sec", "event_id"])
+        held, last = self.state.get() if self.state.exists() else ([], float("-inf"))
+        log, allowed = deque(held), []
         for t in pdf["sec"]:
-            while log and t - log[0] > seconds:
+            if t < last:  # an answer can't change those that have been given
+                allowed.append(None)
+                continue
+            while log and t - log[0] > self.seconds:
                 log.popleft()
-            allowed.append(len(log) < limit)
+            allowed.append(len(log) < self.limit)
             if allowed[-1]:
                 log.append(t)
-        state.update((list(log),))
-        yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": key[0], "allowed": allowed})
+            last = t
+        self.state.update((list(log), last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((last + self.seconds) * 1000) + 1)
+        late = [a is None for a in allowed]
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": key[0], "allowed": pd.array(allowed, "boolean"), "late": late})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_limit(stream: DataFrame, limit: int = 30, seconds: float = 60.0, delay: str = "10 minutes") -> DataFrame:
+    """event_id, user_id, allowed, late: the sliding log on a stream, each event once within the watermark's delay. An event that
+    is earlier than one of its user's that has been answered is late: allowed is null. A user's state is gone `seconds` after the
+    last event, by an event-time timer. Start it inside keyed_state(). A user's events of one trigger are one task's; bound
+    triggers (maxFilesPerTrigger) where one user may send very many."""
+    once = stream.withWatermark("time", delay).dropDuplicatesWithinWatermark(["event_id"])
+    schema = "event_id long, user_id long, allowed boolean, late boolean"
+    return once.select("event_id", "user_id", "sec", "time").groupBy("user_id").transformWithStateInPandas(_Limiter(limit, seconds), schema, "append", "eventTime")
+
+
+def upsert_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: str, mode: str = "update", **trigger) -> StreamingQuery:
+    """Starts a query that keeps the versioned table at `path` up to date: each batch's rows replace those of their keys. A batch
+    that is sent again, after a failure, is in the table already and changes nothing."""
+    spark, schema = stream.sparkSession, stream.schema
+    if not versions.numbers(spark, path):
+        versions.create(spark.createDataFrame([], schema), path, keys, 8)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        versions.upsert(rows, path, batch)
+
+    return stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def upserted(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """All that is available of a stream of updates: the last row of each key, open windows included."""
+    upsert_sink(stream, f"{path}/table", keys, f"{path}/checkpoint").awaitTermination()
+    return versions.read(stream.sparkSession, f"{path}/table")
+
+
+class Progress(StreamingQueryListener):
+    """Tells `note` of each trigger of the streams that run while it is attached: rows read, rows too late, rows held as state, and
+    what DataFrame.observe() has counted."""
+
+    def __init__(self, note: Callable[[dict], None]) -> None:
+        self.note = note
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        held = {"state": sum(s.numRowsTotal for s in p.stateOperators), "late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators)}
+        self.note({"batch": p.batchId, "rows": p.numInputRows} | held | {k: v.asDict() for k, v in p.observedMetrics.items()})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
 
-    return stream.select("event_id", "user_id", "sec").groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean", "log array<double>", "append", "NoTimeout")
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
 
 
 def last_use_hits(requests: DataFrame, key: str, size: int) -> DataFrame:
