@@ -104,3 +104,23 @@ def same_record(source: Column, page: Column, token: Column, number: Column) ->
     """Whether a harvested ruling is about our record: the collection's name in its source, our number as its page or within it."""
     quoted = F.concat(F.lit(r"(^|\D)\Q"), number, F.lit(r"\E($|\D)"))
     return normalize(source).contains(normalize(token)) & ((F.trim(page) == number) | F.regexp(page, quoted))
+
+
+def crosschecked(records: DataFrame, hits: DataFrame) -> DataFrame:
+    """The columns of records (id, token, number, ...) and hits (hit_id, source, page, ...) of which a hit is about the record.
+
+    The predicate is same_record(). A number that it finds on a page is one of the page's runs of digits, whole, or the page itself; so
+    records and hits meet by equality of those, and the predicate decides: no record meets every hit.
+    """
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"\d+"), 0)
+    number = F.coalesce("number", F.lit(""))
+    ours = records.withColumn("_key", F.coalesce(F.get(runs(number), F.lit(0)), number))
+    page = F.coalesce("page", F.lit(""))
+    theirs = hits.withColumn("_key", F.explode(F.array_distinct(F.concat(runs(page), F.array(F.trim(page))))))
+    same = same_record(F.coalesce("source", F.lit("")), page, F.col("token"), number)
+    return ours.join(theirs, "_key").where(same & (number != "")).drop("_key").dropDuplicates(["id", "hit_id"])
+
+
+def agreement(matched: DataFrame, ours: str, theirs: str) -> DataFrame:
+    """`ours`, `theirs`, n: how often each pair of rulings meets; the matrix in long form."""
+    return matched.groupBy(ours, theirs).agg(F.count(F.lit(1)).alias("n"))

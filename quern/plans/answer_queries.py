@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import text
-from quern.operators import answers, decision, dedup, lexical, search
+from quern.functions import grades, parse, text
+from quern.operators import answers, corpus, decision, dedup, index, judge, lexical, search
 from quern.plans import search_queries as sq
-from quern.plans.text_queries import word_list
-from quern.sources.files import table
-from quern.sources.scratch import written
+from quern.plans.text_queries import latin, md5, word_list
+from quern.sources import display
+from quern.sources.files import exists, table
+from quern.sources.scratch import shared_dir, written
 
 
 def hydrate_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -264,6 +265,97 @@ al AS (SELECT a.query_id, pk4.doc_id, pr, band, coalesce(texts, 0) AS n, a.query
 {_ANSWER_SQL} UNION ALL SELECT item_id, 'fatwa_request', NULL, NULL, 0 FROM benchmark WHERE item_id % 7 = 0"""
 
 
-_PLAIN = (hydrate_topk, alternatives, final_verdicts, translation_choice, retriever_overlap, knockout_corpus, request_packs, topic_pool, ruling_pool, ruling_list, answers_full, knockout_run)
+def _length_judge():
+    """A deterministic judge: an option's logit is half its length modulo 7, that of no match 1; the second request of every seventh
+    query fails."""
+    import math
+
+    def judge(requests):
+        replies = []
+        for r in requests:
+            if r["query_id"] % 7 == 3 and r["request"] == 1:
+                replies.append(TimeoutError("no reply in time"))
+                continue
+            tokens, found = 0, {}
+            for q in r["questions"]:
+                tokens += len(q["prompt"]) + sum(len(o["text"]) for o in q["options"])
+                if q["kind"] == "noul":
+                    found[q["key"]] = {"yes": len(q["prompt"]) % 10 / 10}
+                else:
+                    e = {o["option"]: math.exp(len(o["text"]) % 7 / 2) for o in q["options"]} | {"no_match": math.e}
+                    whole = math.fsum(e.values())
+                    found[q["key"]] = {k: v / whole for k, v in e.items()}
+            replies.append({"tokens": tokens, "answers": found})
+        return replies
+
+    return judge
+
+
+def judged_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """A judge asked of each query's groups of candidates, six questions a request: what that costs, who can't be decided, and the
+    likeliest text of the others."""
+    pool = decision.groups(sq._pool(spark, d)).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    specific = judge.nouls(sq._queries(spark, d), F.lit("specific"), F.col("text"))
+    questions = judge.choices(pool, "Which text?").unionByName(specific)
+    replies = written(judge.called(questions, _length_judge, 6), "replies")
+    said = judge.answers(replies)
+    chosen = said.join(pool.select("query_id", F.concat(F.lit("g"), F.col("group_id").cast("string")).alias("key"), "option", "doc_id", "rank"), ["query_id", "key", "option"])
+    best = chosen.groupBy("query_id").agg(F.min(F.struct(-F.round("p", 9), "rank", "doc_id"))["doc_id"].alias("doc_id"))
+    yes = said.where("key = 'specific'").select("query_id", F.round("p", 6).alias("specific"))
+    return judge.totals(replies).join(best, "query_id", "left").join(yes, "query_id", "left")
+
+
+JUDGED_TOKENS = f"""WITH {sq._JUDGED_SQL}, tx AS (SELECT gr.query_id, group_id, rank, gr.doc_id, length(replace(left(text, 420), '"', '''')) AS n FROM gr JOIN documents USING (doc_id)),
+ks AS (SELECT query_id, 'g' || group_id AS key, sum(n) + 11 AS tokens FROM tx GROUP BY 1, group_id UNION ALL SELECT item_id, 'specific', length(text) FROM benchmark),
+rq AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY query_id ORDER BY key) - 1) / 6) AS BIGINT) AS request FROM ks), rr AS (SELECT query_id, request, sum(tokens) AS tokens, query_id % 7 = 3 AND request = 1 AS bad FROM rq GROUP BY 1, 2),
+tt AS (SELECT query_id, count(*) AS requests, CAST(sum(CASE WHEN bad THEN 0 ELSE tokens END) AS BIGINT) AS tokens, count(*) FILTER (bad) AS failed FROM rr GROUP BY 1),
+pp AS (SELECT *, exp(n % 7 / 2.0) / (sum(exp(n % 7 / 2.0)) OVER (PARTITION BY query_id, group_id) + exp(1)) AS p FROM tx),
+bb AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS k FROM pp) WHERE k = 1)
+SELECT query_id, requests, tokens, failed, CASE WHEN failed > 0 THEN 'decision_unavailable' ELSE 'decided' END AS status, CASE WHEN failed = 0 THEN doc_id END AS doc_id,
+       CASE WHEN failed = 0 THEN length(b.text) % 10 / 10.0 END AS specific FROM tt LEFT JOIN bb USING (query_id) JOIN benchmark b ON b.item_id = query_id"""
+
+
+def crosscheck_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as records of two books, harvested results about them with other rulings: how often each pair meets."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    n = F.col("doc_id")
+    book = F.when(n % 2 == 0, "مسلم").otherwise("الترمذي")
+    records = labels.select(n.alias("id"), book.alias("token"), n.cast("string").alias("number"), F.when(F.col("quality") == 1, "sahih").otherwise("daif").alias("ours"))
+    page = F.when(n % 3 == 0, n.cast("string")).when(n % 3 == 1, F.concat(F.lit("ص "), n.cast("string"), F.lit(" / "), (n + 2).cast("string"))).otherwise(F.concat(n.cast("string"), F.lit("0")))
+    source = F.when(n % 5 == 0, "صحيح مسلم").when(n % 5 == 1, "سنن الترمذي").otherwise("جامع مسلم والترمذي")
+    ruling = F.when(n % 4 == 0, "موضوع").when(n % 4 == 1, "صحيح").otherwise("إسناده ضعيف")
+    hits = table(spark, d, "documents").select(n.alias("hit_id"), source.alias("source"), page.alias("page"), grades.severity_of_ruling(ruling).alias("theirs"))
+    return corpus.agreement(corpus.crosschecked(records, hits), "ours", "theirs")
+
+
+CROSSCHECK_HITS = """WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'مسلم' ELSE 'الترمذي' END AS token, CASE WHEN max(quality) = 1 THEN 'sahih' ELSE 'daif' END AS ours FROM labels GROUP BY doc_id),
+h AS (SELECT doc_id AS n, CASE doc_id % 5 WHEN 0 THEN 'صحيح مسلم' WHEN 1 THEN 'سنن الترمذي' ELSE 'جامع مسلم والترمذي' END AS source, CASE doc_id % 4 WHEN 0 THEN 'mawdu' WHEN 1 THEN 'sahih' ELSE 'daif' END AS theirs,
+        CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN 'ص ' || doc_id || ' / ' || (doc_id + 2) ELSE doc_id || '0' END AS page FROM documents)
+SELECT ours, theirs, count(*) AS n FROM r JOIN h ON contains(replace(source, 'والترمذي', 'والترمذي الترمذي'), token) AND list_contains(regexp_extract_all(page, '[0-9]+'), CAST(id AS VARCHAR)) GROUP BY 1, 2"""
+
+REMARK = "قال أبو عيسى هذا حديث حسن"
+
+
+def hydrate_full(spark: SparkSession, d: str) -> DataFrame:
+    """The best texts of each query with all that a reader gets: from the display store the text and its book, the compiler's remark
+    off the text, a link where it can be checked, and the words that were searched."""
+    path = f"{shared_dir(spark)}/quern-display-{index.fingerprint(spark, f'{d}/documents.parquet')}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        body = F.when(sq._kind(F.col("source")) == "hadith", F.concat(F.col("text"), F.lit(". " + REMARK))).otherwise(F.col("text"))
+        display.store(table(spark, d, "documents").select("doc_id", "lang", "source", body.alias("matn")), path, "doc_id")
+    top = lexical.top(sq._scores(spark, d), 5).select("query_id", "rank", "doc_id")
+    rows = display.lookup(spark, path, top, "doc_id").withColumns({"kind": sq._kind(F.col("source")), "parts": parse.split_remark(F.col("matn"))})
+    rows = rows.withColumn("core", F.when(F.col("kind") == "hadith", F.col("parts.core")).otherwise(F.col("matn")))
+    link = search.linked(F.col("kind"), lexical.words(F.col("core")), F.floor(F.col("doc_id") / 10), F.col("doc_id") % 10, "https://example.org/search?q={q}", "https://example.org/{chapter}/{verse}")
+    return rows.select("query_id", "rank", "doc_id", "source", md5(F.col("core")).alias("core_md5"), F.when(F.col("kind") == "hadith", F.col("parts.remark")).alias("remark"), link.alias("link"), md5(text.surface_text(F.col("lang"), F.col("core"))).alias("surface_md5"))
+
+
+HYDRATE_FULL = f"""WITH {sq.BM25}, t AS (SELECT query_id, rank, doc_id, source, text, CASE WHEN source = 'src0' THEN text ELSE trim(rtrim(text, ' .,،؛"''‏‎')) END AS core FROM ({sq._rank_sql('bm')}) JOIN documents USING (doc_id) WHERE rank <= 5),
+w AS (SELECT *, {word_list('core')} AS w FROM t), p AS (SELECT *, array_to_string(list_slice(w, CAST(greatest(0, floor((len(w) - 8) / 2)) AS BIGINT) + 1, CAST(greatest(0, floor((len(w) - 8) / 2)) AS BIGINT) + 8), ' ') AS phrase FROM w)
+SELECT query_id, rank, doc_id, source, md5(core) AS core_md5, CASE WHEN source <> 'src0' THEN '{REMARK}' END AS remark,
+       CASE WHEN source = 'src0' THEN 'https://example.org/' || (doc_id // 10) || '/' || (doc_id % 10) ELSE 'https://example.org/search?q=' || replace(url_encode(phrase), '%2F', '/') END AS link, md5({latin('core')}) AS surface_md5 FROM p"""
+
+
+_PLAIN = (hydrate_topk, alternatives, final_verdicts, translation_choice, retriever_overlap, knockout_corpus, request_packs, topic_pool, ruling_pool, ruling_list, answers_full, knockout_run, judged_tokens, crosscheck_hits, hydrate_full)
 QUERIES = {f.__name__: f for f in _PLAIN}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN}

@@ -282,12 +282,12 @@ def served_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 SERVED_REQUESTS = f"""WITH RECURSIVE q AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type || ' ' || CAST(event_id % 7 AS VARCHAR) END AS query FROM events),
-e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM q WHERE length(query) >= 2),
+e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM q WHERE length(query) >= 3),
 r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS log, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS allowed FROM e UNION ALL
   SELECT user_id, k, CASE WHEN len(l) < 3 THEN list_append(l, t) ELSE l END, event_id, len(l) < 3
   FROM (SELECT e.user_id, e.k, e.event_id, e.t, list_filter(r.log, lambda x: e.t - x <= 86400) AS l FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)),
-s AS (SELECT q.event_id, query, CASE WHEN length(query) < 2 THEN 'too_short' WHEN NOT allowed THEN 'limited' WHEN query LIKE '% 3' THEN 'decision_unavailable' ELSE 'answered' END AS status FROM q LEFT JOIN r ON r.event_id = q.event_id)
-SELECT event_id, status, status = 'answered' AND query LIKE '% 1' AS cached, CASE WHEN status = 'answered' THEN CASE WHEN query LIKE '% 1' THEN upper(query) ELSE md5(query) END END AS answer FROM s"""
+s AS (SELECT q.event_id, query, ts, CASE WHEN length(query) < 3 THEN 'too_short' WHEN NOT allowed THEN 'limited' WHEN query LIKE '% 3' THEN 'decision_unavailable' ELSE 'answered' END AS status FROM q LEFT JOIN r ON r.event_id = q.event_id)
+SELECT event_id, status, status = 'answered' AND (query LIKE '% 1' OR row_number() OVER (PARTITION BY query, status ORDER BY ts, event_id) > 1) AS cached, CASE WHEN status = 'answered' THEN CASE WHEN query LIKE '% 1' THEN upper(query) ELSE md5(query) END END AS answer FROM s"""
 
 
 def _stream(spark, d) -> tuple[DataFrame, str]:
