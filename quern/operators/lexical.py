@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions.text import normalize_latin, tokens
-from quern.operators.sizes import BROADCAST_ROWS
+from quern.operators.sizes import BROADCAST_ROWS, grid_join
 
 K1, B = 1.5, 0.75
 Tokenize = Callable[[Column], Column]
@@ -39,18 +39,20 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(queries: DataFrame, docs: DataFrame, tokenize: Tokenize = words, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score of every document that shares a term with a query (query_id, text)."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    by_term = asked.groupBy("term").agg(F.collect_list("query_id").alias("asks"))
     # one check for all: document frequencies are needed of no more terms than are asked for
-    small = F.broadcast if by_term.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda df: df)
     cut = docs.select("doc_id", tokenize(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
     totals = cut.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     # outer, as for a plain explode the optimiser adds a filter that makes all tokens once more; the join drops the nulls
-    hits = cut.select("doc_id", "dl", F.explode_outer("t").alias("term")).join(small(by_term.select("term")), "term")
+    hits = cut.select("doc_id", "dl", F.explode_outer("t").alias("term")).join(small(asked.select("term").distinct()), "term")
     tf = hits.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.nullif(F.col("avgdl"), F.lit(0.0))))
     weighed = tf.join(small(df), "term").crossJoin(F.broadcast(totals)).select("doc_id", "term", part.alias("s"))
-    return weighed.join(small(by_term), "term").select(F.explode("asks").alias("query_id"), "doc_id", "s").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+    # a word that many queries and many documents have is dealt over a grid of tasks
+    met = weighed.join(F.broadcast(asked), "term") if few else grid_join(weighed, asked, "term")
+    return met.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
 
 
 def containing(docs: DataFrame, passages: DataFrame, width: int = 3) -> DataFrame:
@@ -58,7 +60,7 @@ def containing(docs: DataFrame, passages: DataFrame, width: int = 3) -> DataFram
 
     Passages meet documents by equality: all runs of `width` blank-separated words of a document, hashed, against one run of a
     passage that is sure to be whole words in any text around it; passages of fewer whole words by one whole word, the
-    others, of no whole word, by a nested loop of their own. Then the texts themselves decide.
+    others, of no whole word, by their first three characters (or all of fewer). Then the texts themselves decide.
     """
     parts = F.split(F.col("text"), " ")
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))  # the first and last word may go on in the text around
@@ -76,9 +78,14 @@ def containing(docs: DataFrame, passages: DataFrame, width: int = 3) -> DataFram
     keys = [runs(n) for n in sizes]
     empty = docs.select(F.lit(None).cast("long").alias("query_id"), "doc_id", F.lit(None).cast("string").alias("_passage")).where("false")
     pairs = words.select("doc_id", F.explode_outer(F.array_distinct(F.concat(*keys))).alias("key")).join(small(keyed), "key").select("query_id", "doc_id", "_passage").distinct() if keys else empty
-    loose = rows.where("n = 0").select("query_id", F.col("text").alias("_passage"))
-    if loose.limit(1).count():
-        pairs = pairs.unionByName(docs.join(F.broadcast(loose) if loose.limit(1001).count() <= 1000 else loose, F.col("text").contains(F.col("_passage"))).select("query_id", "doc_id", "_passage"))
+    loose = rows.where("n = 0").select("query_id", F.col("text").alias("_passage"), F.least(F.length("text"), F.lit(3)).alias("size"))
+    lengths = sorted(r["size"] for r in loose.select("size").distinct().collect())  # 0 to 3
+    grams = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    for n in lengths:
+        own = loose.where(F.col("size") == n).select("query_id", "_passage", F.substring("_passage", 1, n).alias("key"))
+        held = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(grams(n)) if n else F.array(F.lit(""))).alias("key"))
+        few = own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        pairs = pairs.unionByName((held.join(F.broadcast(own), "key") if few else grid_join(held, own, "key")).select("query_id", "doc_id", "_passage"))
     return pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("_passage"))).select("query_id", "doc_id").distinct()
 
 

@@ -452,7 +452,7 @@ def test_service_does_not_answer_without_a_decision(spark):
     cache = spark.createDataFrame([("known", "kept")], "query string, answer string")
 
     def broken(asked):
-        raise RuntimeError("no judge")
+        raise service.Unavailable("no judge")
 
     steps = []
     got = {r["event_id"]: (r["status"], r["cached"], r["answer"]) for r in service.served(requests, cache, broken, 2, 60.0, progress=lambda *a: steps.append(a)).collect()}
@@ -485,3 +485,15 @@ def test_passages_are_found_as_they_stand(spark):
     p = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
     got = {(r["query_id"], r["doc_id"]) for r in lexical.containing(d, p).collect()}
     assert got == {(i, k) for i, t in enumerate(asked) for k, x in enumerate(docs) if x is not None and t in x}
+
+
+def test_service_answers_a_query_once(spark):
+    import datetime as dt
+
+    rows = [(k, k, dt.datetime(2024, 1, 1, 0, 0, k), q) for k, q in enumerate(["fish", "ab", "abc", "fish", "fish ", "y" * 300, "y" * 301])]
+    requests = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, query string")
+    none = spark.createDataFrame([], "query string, answer string")
+    got = {r["event_id"]: (r["status"], r["cached"]) for r in service.served(requests, none, lambda asked: asked.withColumn("answer", F.upper("query"))).collect()}
+    assert got == {0: ("answered", False), 1: ("too_short", False), 2: ("answered", False), 3: ("answered", True), 4: ("answered", True), 5: ("answered", False), 6: ("too_long", False)}
+    with pytest.raises(ZeroDivisionError):  # a mistake is no missing judge
+        service.served(requests, none, lambda asked: asked.limit(1 // 0))

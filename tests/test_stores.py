@@ -402,3 +402,45 @@ for name in {{names}}:
     run = subprocess.run([sys.executable, "-c", code.replace("{names}", repr(names))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert run.returncode == 0, run.stderr[-2000:]
     assert run.stdout.count("ran") >= 6
+
+
+# hot keys
+
+
+def test_grid_join_deals_hot_keys(spark):
+    from quern.operators.sizes import grid_join
+
+    left = spark.createDataFrame([(1 if k < 500 else k, k) for k in range(600)] + [(None, -1)], "k long, a long")
+    right = spark.createDataFrame([(1 if k < 300 else k, -k) for k in range(700)] + [(None, 1)], "k long, b long")
+    key = lambda df: sorted((r["k"], r["a"], r["b"]) for r in df.collect())
+    got = grid_join(left, right, "k", 50)
+    assert sorted(got.columns) == ["a", "b", "k"] and key(got) == key(left.join(right, "k"))
+
+
+def test_bm25_beyond_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(d[0], d[1]) for d in DOCS], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, "the cat sat") for q in range(30)], "query_id long, text string")
+    want = scores(lexical.bm25(asked, docs), "query_id", "doc_id")
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 5)
+    assert scores(lexical.bm25(asked, docs), "query_id", "doc_id") == want
+
+
+def test_passages_of_no_whole_word_need_no_nested_loop(spark):
+    texts = ["abcdef ghi", "xabc", "ab", "", None, "a", "ghij abc", "c d e f"]
+    passages = ["abc", "ab", "a", "f g", "zz", "", "def ghi", "d e", None, "c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "query_id long, text string")
+    found = lexical.containing(docs, asked)
+    assert {(r["query_id"], r["doc_id"]) for r in found.collect()} == {(q, d) for q, p in enumerate(passages) for d, t in enumerate(texts) if p is not None and t is not None and p in t}
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+
+
+def test_crosscheck_meets_by_equality(spark):
+    from quern.operators import corpus
+
+    records = [(1, "مسلم", "35"), (2, "مسلم", "5"), (3, "البخاري", "35"), (4, "مسلم", ""), (5, "مسلم", "12a"), (6, "مسلم", None)]
+    hits = [(1, "صحيح مسلم", "35"), (2, "صحيح مسلم", "ص 35 / 5"), (3, "صحيح البخاري", "135"), (4, None, "35"), (5, "مسلم", "12a"), (6, "مسلم", None), (7, "مسلم", "5 5")]
+    ours, theirs = spark.createDataFrame(records, "id long, token string, number string"), spark.createDataFrame(hits, "hit_id long, source string, page string")
+    got = corpus.crosschecked(ours, theirs)
+    assert {(r["id"], r["hit_id"]) for r in got.collect()} == {(1, 1), (1, 2), (2, 2), (2, 7), (5, 5)} and got.count() == 5
+    assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
