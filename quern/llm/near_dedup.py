@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Recent, Scratch, discard, encoded, mix, small_batches, spread_join, state, written
+from quern.llm.common import Recent, Scratch, discard, encoded, mix, partitions, small_batches, spread_join, state, written
 
 WORDS, THRESHOLD = 5, 85  # per cent
 BANDS, ROWS = 26, 5  # a pair at 0.85 misses all bands with probability (1 - 0.85 ** 5) ** 26 < 4e-7
@@ -141,15 +141,20 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD, wor
     return joined.select("x", "y", "text_x", "text_y").mapInPandas(run, "x long, y long")
 
 
+def _slim(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row in an eighth of the partitions that texts need: tasks of a like size, and fewer files."""
+    return df.coalesce(max(1, partitions(df.sparkSession) // 8))
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (least id reachable) for every id in the links (x, y): least labels of neighbours, then jumps along labels."""
-    edges = written(links.select(F.col("x").alias("u"), F.col("y").alias("v")).union(links.select("y", "x")).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("component")), "labels")
+    edges = written(_slim(links.select(F.col("x").alias("u"), F.col("y").alias("v")).union(links.select("y", "x")).distinct()), "edges")
+    labels = written(_slim(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("component"))), "labels")
     while True:
         near = edges.join(labels.hint("merge").withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("to"))
         jump = labels.select(F.col("id").alias("to"), F.col("component").alias("far"))
-        new = written(step.join(jump.hint("merge"), "to", "left").select("id", "was", F.least("to", F.coalesce("far", "to")).alias("component")), "labels")
+        new = written(_slim(step.join(jump.hint("merge"), "to", "left").select("id", "was", F.least("to", F.coalesce("far", "to")).alias("component"))), "labels")
         changed = new.where("was <> component").limit(1).count()
         discard(labels)
         labels = new
@@ -173,7 +178,7 @@ def _rare_prefix_pairs(open_docs: DataFrame, scratch: Scratch, texts: DataFrame,
     whole = open_docs.join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id")
     rows = scratch.written(whole.select("id", "component", "text").mapInPandas(explode, "id long, component long, n long, shingle long"), "shingles")
     # a shingle that occurs once joins nothing but takes its place in the prefix: only its count is needed
-    df = scratch.written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    df = scratch.written(_slim(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")), "frequencies")
     common = spread_join(rows, df, "shingle", "df")
     shared = common.groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("by_df"))
     unique = F.col("n") - F.size("by_df")
@@ -184,7 +189,7 @@ def _rare_prefix_pairs(open_docs: DataFrame, scratch: Scratch, texts: DataFrame,
     prefix = scratch.written(prefix, "prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("shingle", "rows")
     # each row meets the rows of its shingle; those of a hot one in as many tasks as it has hundreds of rows
-    prefix = spread_join(prefix, scratch.written(mixed, "shared"), "shingle", "rows", 500)
+    prefix = spread_join(prefix, scratch.written(_slim(mixed), "shared"), "shingle", "rows", 500)
     salts = F.ceil(F.col("rows") / 200).cast("int")
     a = prefix.select("shingle", F.pmod(F.xxhash64("id"), salts.cast("long")).cast("int").alias("salt"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("behind").alias("bx"))
     b = prefix.select("shingle", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("behind").alias("by"))
@@ -203,24 +208,24 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
         whole = whole.groupBy("doc_id").agg(F.min("text").alias("text"))
     one = written(sketches(whole, bands, rows, words), "sketches") if repeats else base
     sets = one.where("h1 is not null and doc_id is not null")
-    classes = written(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(_slim(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))), "classes")
     reps = sets.join(classes.hint("merge"), ["h1", "h2"]).where("doc_id = rep").select("rep", F.explode("bands").alias("band")).distinct()
     reps = scratch.written(reps, "bands")
     full = reps.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = scratch.written(reps.join(full.hint("merge"), "band"), "buckets")
+    shared = scratch.written(_slim(reps.join(full.hint("merge"), "band")), "buckets")
     central = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
     leaders = shared.join(central.hint("merge"), "rep").groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("leader"))
     pairs = shared.join(leaders.hint("merge"), "band").where("rep <> leader").select(F.least("rep", "leader").alias("x"), F.greatest("rep", "leader").alias("y")).distinct()
-    pairs = scratch.written(pairs, "pairs")
+    pairs = scratch.written(_slim(pairs), "pairs")
     ids = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = scratch.written(whole.join(ids.hint("merge"), "doc_id", "left_semi").where("text is not null"), "texts")
     links = scratch.written(verified(pairs, texts, threshold, words), "links")
     labels = components(links)
     labelled = shared.select("rep", "band").join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = scratch.written(labelled, "labelled")
+    labelled = scratch.written(_slim(labelled), "labelled")
     split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     open_docs = labelled.join(split.hint("merge"), "band", "left_semi").select(F.col("rep").alias("id"), "component").distinct()
-    more = scratch.written(verified(_rare_prefix_pairs(scratch.written(open_docs, "open"), scratch, texts, threshold, words), texts, threshold, words), "more")
+    more = scratch.written(verified(_rare_prefix_pairs(scratch.written(_slim(open_docs), "open"), scratch, texts, threshold, words), texts, threshold, words), "more")
     labels = components(links.union(more))
     scratch.discard()
     found = classes.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
