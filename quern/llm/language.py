@@ -3,8 +3,8 @@
 Features are hashed counts of byte 1-, 2- and 3-grams of the lower-cased whole text, square-rooted and of unit
 length. One-versus-rest linear support vector machines choose the language family; inside it, one-versus-one
 machines vote on the language. The machines are fitted on the driver, on a sample of at most `SAMPLE` rows
-(`PER_LANGUAGE` of each language at most), those with the least hash of doc_id and text; languages are counted over
-all documents, and the `LANGUAGES` most frequent are learned (ties by name).
+(`PER_LANGUAGE` of each language at most, one of each at least), those with the least hash of doc_id and text. Every
+language that occurs in them is learned, however rare it is; the driver holds a row or more of each.
 
 Defined results: null texts and texts without a letter (Unicode category L) are `und`, score 0; an empty text as well; a
 null doc_id is in neither fold (held_out false) and teaches nothing; rows that repeat teach as often as they are drawn;
@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from quern.llm.common import encoded, fold, gram_counts, small_batches
 from quern.llm.svm import train
 
-COLUMNS, SAMPLE, PER_LANGUAGE, LANGUAGES = 2048, 4000, 800, 200
+COLUMNS, SAMPLE, PER_LANGUAGE = 2048, 4000, 800
 #: Families of ISO 639-1 codes. A language that is not here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi".split(),
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE)
     """Fits on rows of fold 0, 1 and 3 with a non-null lang; None if there are none."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(lot).alias("different")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    often = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(lot).alias("different"))
     counts = {r["lang"]: r["different"] for r in often.collect()}
     if not counts:
         return None
