@@ -209,7 +209,8 @@ class Fitted:
 
 def fit(pages: DataFrame, most: int = BROADCAST_GRAMS, rejected: Iterable[str] = REJECTED) -> Fitted | None:
     """None if a kind of URLs is missing. The threshold is the least, in steps of BIN, that blocks at most FALSE_BLOCKS of the
-    weight of the accepted URLs, and no less than the middle between the means of the two kinds."""
+    weight of the accepted URLs, and no less than the middle between the means of the two kinds. Where that would lie above the mean
+    of the rejected URLs, the kinds overlap and the middle is taken instead; `false_blocks` then tells what it costs."""
     scratch = Scratch()
     train = scratch.written(labelled(pages, rejected), "urls")
     if train.select("rejected").distinct().count() < 2:
