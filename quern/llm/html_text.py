@@ -4,14 +4,17 @@ Every page is parsed into a light tree. Each element's subtree is hashed by its
 page sends the hashes that it holds, once each, and Spark counts on how many pages of a host with different articles a
 subtree occurs (pages of the same article count once, so an article's own text never recurs). Subtrees on at least
 `MIN_PAGES` of them are the host's template and are deleted from its pages where they stand outside the main content
-(article or main). Inside it, and on pages that mark no main content, only those on `MIN_SHARE` of the host's pages
-are deleted, and inside it only containers (div, aside, section, lists, tables ...): paragraphs and headings stay even
-if they recur.
+(article or main). Inside it only plain boxes (div, section, aside ...) on `MIN_SHARE` of the host's pages, and `MIN_INSIDE` of
+them, are deleted: paragraphs, headings, tables, lists and figures stay even if articles share them. So it is on pages
+that mark no main content, but for tables and lists, which may be menus there.
 
-What counts can't see is left out by what HTML itself defines: main content if it is marked; nav, header, footer,
-aside, form, script, style and the like; hidden elements and the roles of navigation, banners, forms and so on.
-Reader comments differ from page to page, so they are known by class or id. Only on hosts of fewer than `FEW_PAGES`
-pages, too few to count, other words in class and id (`_WORDS`) mark menus, adverts and notices as well.
+What counts can't see is left out by what HTML itself defines: nav, header, footer (but a quotation's own), aside, form, script,
+style and the like; hidden elements and the roles of navigation, banners, forms and so on. Reader comments differ from page to page, so
+their boxes are known by class or id.
+
+The column `rule` tells what gave the text: `template` where the template and HTML's elements have left the article and nothing else;
+`article` where more was left, as on hosts of too few pages to count, and the element that the page marks as its main content was
+taken; `page` where no such element is marked.
 
 Defined results: null or empty html and pages with nothing left give an empty text; pages without a host are counted
 as one host; unclosed and misnested tags are closed as browsers close them; a tag, comment or script that never ends
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import Recent, Scratch, encoded, if_small, partitions, small_batches, state, written
 from quern.llm.urls import host_of
 
-MIN_PAGES, MIN_SHARE, FEW_PAGES = 3, 0.1, 20
+MIN_PAGES, MIN_SHARE, MIN_INSIDE = 3, 0.1, 5
 BROADCAST_DIGESTS, BROADCAST_HOSTS, PER_SALT = 400_000, 100_000, 20_000
 #: A tag with attributes in order, without a way back; whatever it doesn't match goes to _odd_tag.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+)*+)\s*+(/?+)>""")
@@ -50,15 +53,11 @@ _BLOCK = frozenset(
     "figure figcaption xmp hr nav header footer aside form fieldset details summary center hgroup search menu dialog".split()
 )
 _CONTAINER = frozenset("div section aside ul ol dl table details figure center nav header footer form menu".split())
-_WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer foot sidebar aside widget rail "
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "toolbar pagination pager skip copyright disclaimer paywall".split()
-)
+#: Boxes that may be template inside an article; inside main, what may stand beside its articles.
+_BOX = _CONTAINER - frozenset("ul ol dl table details figure".split())
+_BESIDE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure dl address hgroup".split())
 _COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
-_KEEP_WORDS = frozenset("article post content entry main story body text".split())
-_SURE_WORDS = frozenset("nav ad ads sidebar footer related".split())
+_COMMENT_BOX = frozenset("div section article aside ol ul dl table details form".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 #: Tags that end an open p, and for each tag the open ones it ends itself.
 _ENDS_P = _BLOCK - {"html", "body", "li", "td", "th", "tr", "dt", "dd", "thead", "tbody", "tfoot", "caption"}
@@ -69,36 +68,31 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    """An element. off: 0 main content for all its attributes say; 1 by words of its class or id it isn't; 2 for sure it isn't."""
+    """An element. off: by its attributes it is no main content."""
 
     __slots__ = ("tag", "marks", "off", "kids", "digest")
 
-    def __init__(self, tag: str, marks: str = "", off: int = 0):
+    def __init__(self, tag: str, marks: str = "", off: bool = False):
         self.tag, self.marks, self.off, self.kids, self.digest = tag, marks, off, [], None
 
 
-def _marked(attributes: Iterable[tuple[str, str]]) -> tuple[str, int]:
-    """Class names, id and role as one string; what they say of the element (Node.off)."""
-    found, off = [], 0
+def _marked(attributes: Iterable[tuple[str, str]]) -> tuple[str, bool, bool]:
+    """Class names, id and role as one string; whether they say that it is no main content; whether, if it is a box, of comments."""
+    found, off, comments = [], False, False
     for name, value in attributes:
         name, value = name.lower(), html.unescape(value).lower()
         if name in ("class", "id"):
             found.append(value)
-            for word in value.split():
-                pieces = set(re.split(r"[-_]+", word))
-                if pieces & _COMMENTS:
-                    off = 2
-                elif pieces & _WORDS and not (pieces & _KEEP_WORDS and not pieces & _SURE_WORDS):
-                    off = max(off, 1)
+            comments = comments or any(piece in _COMMENTS for word in value.split() for piece in re.split(r"[-_]+", word))
         elif name == "role":
             found.append(value)
-            off = 2 if value in _ROLES else off
+            off = off or value in _ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            off = 2
-    return " ".join(found), off
+            off = True
+    return " ".join(found), off, comments
 
 
-def _marks(attributes: str) -> tuple[str, int]:
+def _marks(attributes: str) -> tuple[str, bool, bool]:
     if "marks" not in state():
         state()["marks"] = Recent(lambda text: _marked((name, a or b or c) for name, a, b, c in _ATTRIBUTE.findall(text)), 4096)
     return state()["marks"][attributes]
@@ -202,10 +196,10 @@ def parse(text: str) -> Node:
         if tag in _ENDS:
             held.end(_ENDS[tag])
         if m is None:
-            words, off = _marked(attributes)
+            words, off, comments = _marked(attributes)
         else:
-            words, off = _marks(m[3]) if m[3] and _TELLING.search(m[3]) else ("", 0)
-        node = Node(tag, words, 0 if tag == "body" or off == 1 and tag in ("article", "main") else off)
+            words, off, comments = _marks(m[3]) if m[3] and _TELLING.search(m[3]) else ("", False, False)
+        node = Node(tag, words, tag != "body" and (off or comments and tag in _COMMENT_BOX))
         stack[-1].kids.append(node)
         if tag in _RAW:
             end = _RAW_END[tag].search(text, at)
@@ -232,7 +226,7 @@ def _other(text: str, at: int, last: dict[str, int], node: Node) -> int:
 
 
 def _may_be_template(node: Node, inside: bool) -> bool:
-    return node.tag not in ("html", "body", "article", "main") and (node.tag in _CONTAINER or not inside and node.tag in _BLOCK)
+    return node.tag not in ("html", "body", "article", "main") and node.tag in (_BOX if inside else _BLOCK)
 
 
 def hashed(root: Node, out: list[int]) -> int:
@@ -247,7 +241,7 @@ def hashed(root: Node, out: list[int]) -> int:
         order.append((node, inside))
         todo += [(kid, inside) for kid in node.kids if not isinstance(kid, str)]
     for node, inside in reversed(order):  # kids before their parents
-        h = hashlib.blake2b(encoded(f"{node.tag}\0{node.off}\0{node.marks}\0"), digest_size=8)
+        h = hashlib.blake2b(encoded(f"{node.tag}\0{int(node.off)}\0{node.marks}\0"), digest_size=8)
         for kid in node.kids:
             if isinstance(kid, str):
                 said = _WHITE.sub(" ", kid).strip()
@@ -265,7 +259,8 @@ def hashed(root: Node, out: list[int]) -> int:
 
 
 def delete(root: Node, template: Set[int], broad: Set[int]) -> int:
-    """Deletes template subtrees from a hashed tree and returns how many. `broad`: those on MIN_SHARE of the host's pages."""
+    """Deletes template subtrees from a hashed tree and returns how many. `broad`: those that recur enough for the inside of an article and
+    for pages that mark none."""
     if not template:
         return 0
     todo, marked = [root], False
@@ -281,34 +276,48 @@ def delete(root: Node, template: Set[int], broad: Set[int]) -> int:
         for k, kid in enumerate(node.kids):
             if isinstance(kid, str):
                 continue
-            if kid.digest in known and _may_be_template(kid, inside):
-                node.kids[k] = Node(kid.tag, off=2)  # a block still parts what stands around it
+            if kid.digest in known and _may_be_template(kid, inside) and (marked or kid.tag in _CONTAINER):
+                node.kids[k] = Node(kid.tag, off=True)  # a block still parts what stands around it
                 deleted += 1
             else:
                 walk.append((kid, inside))
     return deleted
 
 
-def blocks(root: Node, words: bool = True) -> list[str]:
-    """Texts of the blocks of the main content, in page order; of all articles (else main, else body). `words`: also leave out
-    what words of class or id mark."""
-    off = 1 if words else 2
-    found: list[Node] = []
+def main_content(root: Node) -> list[Node]:
+    """What the page marks as its main content: all articles, with the paragraphs and headings beside them in a main; else main."""
 
-    def seek(tag: str) -> None:
-        todo = [root]
+    def seek(top: Node, tags: tuple[str, ...]) -> list[Node]:
+        found, todo = [], [top]
         while todo:
             node = todo.pop()
-            if node is not root and (node.off >= off or node.tag in _DROP):
+            if node is not top and (node.off or node.tag in _DROP):
                 continue
-            if node.tag == tag:
+            if node is not top and node.tag in tags:
                 found.append(node)
             else:
                 todo += [kid for kid in reversed(node.kids) if not isinstance(kid, str)]
+        return found
+
+    articles = seek(root, ("article",))
+    if not articles:
+        return seek(root, ("main",))
+    out: list[Node] = []
+    for node in seek(root, ("main", "article")):
+        if node.tag == "article":
+            out.append(node)
+        elif not seek(node, ("article",)):
+            continue  # a main beside the articles
+        else:
+            for kid in node.kids:
+                if not isinstance(kid, str) and not kid.off and kid.tag not in _DROP:
+                    out += [kid] if kid.tag == "article" or kid.tag in _BESIDE else seek(kid, ("article",))
+    return out
 
-    seek("article")
-    if not found:
-        seek("main")
+
+def blocks(root: Node, found: list[Node] | None = None) -> list[str]:
+    """Texts of the blocks of `found`, or of what the page marks as its main content, or of all of it; in page order."""
+    found = main_content(root) if found is None else found
     out: list[str] = []
     part: list[str] = []
 
@@ -333,7 +342,7 @@ def blocks(root: Node, words: bool = True) -> list[str]:
                 part.append(kid)
             elif kid.tag == "br":
                 part.append(" ")
-            elif kid.off < off and (kid.tag not in _DROP or kid.tag == "header" and node.tag == "article"):
+            elif not kid.off and (kid.tag not in _DROP or (kid.tag, node.tag) in (("header", "article"), ("footer", "blockquote"))):
                 if kid.tag in _BLOCK:
                     flush()
                 todo.append((kid, iter(kid.kids)))
@@ -346,17 +355,21 @@ def blocks(root: Node, words: bool = True) -> list[str]:
     return out
 
 
-def main_text(text: str | None, template: Set[int] = frozenset(), broad: Set[int] = frozenset(), words: bool = True) -> tuple[str, int]:
-    """The main text of a page, and how many template subtrees were deleted from it."""
+def main_text(text: str | None, template: Set[int] = frozenset(), broad: Set[int] = frozenset()) -> tuple[str, int, str]:
+    """The main text of a page, how many template subtrees were deleted from it, and what gave the text."""
     root = parse(text or "")
     if template:
         hashed(root, [])
     deleted = delete(root, template, broad)
-    return "\n\n".join(blocks(root, words)), deleted
+    found, left = main_content(root), blocks(root, [])
+    if not found:
+        return "\n\n".join(left), deleted, "page"
+    own = blocks(root, found)
+    return "\n\n".join(own), deleted, "template" if own == left else "article"
 
 
-def template_counts(rows: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(host, digest, broad) of all templates; (host, pages): how many pages with different articles a host has. `rows`: host, html."""
+def template_counts(rows: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """host, digest, broad of all templates. `rows`: host, html."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -381,14 +394,12 @@ def template_counts(rows: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGE
         joined = often.withColumn("salt", salt).join(of.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).hint("merge"), ["host", "salt"])
     else:
         joined = often.join(small, "host")
-    template = scratch.written(joined.select("host", "digest", (F.col("pages") >= min_share * F.col("of")).alias("broad")), "templates")
-    return template, of.select("host", F.col("of").alias("pages"))
+    return scratch.written(joined.select("host", "digest", ((F.col("pages") >= min_share * F.col("of")) & (F.col("pages") >= MIN_INSIDE)).alias("broad")), "templates")
 
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most: int = BROADCAST_DIGESTS, words: bool | None = None, few: int = FEW_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars, n_deleted (template subtrees) of every row of `pages` (page_id, url, html).
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, most: int = BROADCAST_DIGESTS) -> DataFrame:
+    """page_id, url, text, n_chars, n_deleted (template subtrees), rule of every row of `pages` (page_id, url, html).
 
-    `words`: whether words of class and id count on all hosts (True), on none (False) or on those of fewer than `few` pages (None).
     Templates of at most `most` digests in all are broadcast, so that no page is shuffled. Beyond, pages meet their host's
     templates in a sorted stream; hosts of more than PER_SALT pages are dealt over salts, so that no task gets all of them.
     """
@@ -396,31 +407,32 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     scratch = Scratch()
-    template, of = template_counts(rows, scratch, min_pages, min_share)
+    template = template_counts(rows, scratch, min_pages, min_share)
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, text string, n_chars long, n_deleted int"
+    schema = f"page_id {kind}, url string, text string, n_chars long, n_deleted int, rule string"
 
-    def frame(pdf: pd.DataFrame, out: list[tuple[str, int]]) -> pd.DataFrame:
-        return pdf[["page_id", "url"]].assign(text=[t for t, _ in out], n_chars=np.array([len(t) for t, _ in out], np.int64), n_deleted=np.array([d for _, d in out], np.int32))
+    def frame(pdf: pd.DataFrame, out: list[tuple[str, int, str]]) -> pd.DataFrame:
+        own = pdf[["page_id", "url"]].assign(text=[t for t, _, _ in out], n_chars=np.array([len(t) for t, _, _ in out], np.int64))
+        return own.assign(n_deleted=np.array([d for _, d, _ in out], np.int32), rule=[r for _, _, r in out])
 
-    if template.limit(most + 1).count() <= most and of.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        sets: dict[str, tuple[set, set, bool]] = {r["host"]: (set(), set(), r["pages"] >= few) for r in of.toArrow().to_pylist()}
+    if template.limit(most + 1).count() <= most:
+        sets: dict[str, tuple[set, set]] = {}
         for r in template.toArrow().to_pylist():
-            sets[r["host"]][0].add(r["digest"])
+            every, broad = sets.setdefault(r["host"], (set(), set()))
+            every.add(r["digest"])
             if r["broad"]:
-                sets[r["host"]][1].add(r["digest"])
+                broad.add(r["digest"])
         held = spark.sparkContext.broadcast(sets)
         scratch.discard()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            none: tuple[set, set, bool] = (set(), set(), False)
+            none: tuple[set, set] = (set(), set())
             for pdf in batches:
-                known = [held.value.get(host, none) for host in pdf["host"]]
-                yield frame(pdf, [main_text(text, t, b, not many if words is None else words) for text, (t, b, many) in zip(pdf["html"], known)])
+                yield frame(pdf, [main_text(text, *held.value.get(host, none)) for text, host in zip(pdf["html"], pdf["host"])])
 
         return rows.mapInPandas(run, schema)
 
-    template, of = written(template, "templates"), written(of, "hosts")
+    template = written(template, "templates")
     scratch.discard()
     big = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_SALT).select("host", F.ceil(F.col("n") / PER_SALT).cast("int").alias("salts"))
     big = written(big, "big-hosts")
@@ -429,27 +441,24 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     spread = lambda df: df.join(big.hint("merge") if small is None else small, "host", "left").withColumn("salts", salts)
     lost = [F.lit(None).cast(t).alias(c) for c, t in (("page_id", kind), ("url", "string"), ("html", "string"))]
     every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    heads = spread(of).select("host", every, F.lit(0).alias("order"), (F.col("pages") >= few).alias("flag"), F.lit(None).cast("long").alias("digest"), *lost)
-    known = spread(template).select("host", every, F.lit(1).alias("order"), F.col("broad").alias("flag"), "digest", *lost)
-    own = spread(rows).select("host", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int").alias("salt"), F.lit(2).alias("order"), F.lit(False).alias("flag"), F.lit(None).cast("long").alias("digest"), "page_id", "url", "html")
-    ordered = heads.unionByName(known).unionByName(own).repartition(partitions(spark), "host", "salt").sortWithinPartitions("host", "salt", "order")
+    known = spread(template).select("host", every, F.lit(0).alias("order"), "broad", "digest", *lost)
+    own = spread(rows).select("host", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("order"), F.lit(False).alias("broad"), F.lit(None).cast("long").alias("digest"), "page_id", "url", "html")
+    ordered = known.unionByName(own).repartition(partitions(spark), "host", "salt").sortWithinPartitions("host", "salt", "order")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, t, b, many = None, set(), set(), False
+        key, t, b = None, set(), set()
         for pdf in batches:
             at, out = [], []
-            for k, (host, salt, order, flag, digest, text) in enumerate(zip(pdf["host"], pdf["salt"], pdf["order"], pdf["flag"], pdf["digest"], pdf["html"])):
+            for k, (host, salt, order, broad, digest, text) in enumerate(zip(pdf["host"], pdf["salt"], pdf["order"], pdf["broad"], pdf["digest"], pdf["html"])):
                 if (host, salt) != key:
-                    key, t, b, many = (host, salt), set(), set(), False
+                    key, t, b = (host, salt), set(), set()
                 if order == 0:
-                    many = flag
-                elif order == 1:
                     t.add(int(digest))
-                    if flag:
+                    if broad:
                         b.add(int(digest))
                 else:
                     at.append(k)
-                    out.append(main_text(text, t, b, not many if words is None else words))
+                    out.append(main_text(text, t, b))
             yield frame(pdf.iloc[at].astype({"page_id": "Int64"} if kind in ("int", "bigint", "smallint", "tinyint") else {}), out)
 
     return ordered.withColumn("digest", F.coalesce("digest", F.lit(0))).mapInPandas(stream, schema)
