@@ -138,8 +138,8 @@ def spread(scores: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def ceil_div(a: Column, b: Column) -> Column:
-    """Whole division, rounded up."""
-    return F.ceil(a / b).cast("long")
+    """Whole division of numbers above 0, rounded up; in whole numbers throughout."""
+    return F.call_function("div", a + b - 1, b)
 
 
 def fractional(number: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.plans import answer_queries, script_queries, search_queries, table_queries, text_queries
+from quern.plans import answer_queries, script_queries, search_queries, store_queries, table_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,9 @@ def widened(query: Query) -> Query:
     return run
 
 
-_ALL = text_queries.QUERIES | search_queries.QUERIES | table_queries.QUERIES | answer_queries.QUERIES | script_queries.QUERIES
+_ALL = text_queries.QUERIES | search_queries.QUERIES | table_queries.QUERIES | answer_queries.QUERIES | script_queries.QUERIES | store_queries.QUERIES
 QUERIES: dict[str, Query] = {name: widened(query) for name, query in _ALL.items()}
-ORACLES: dict[str, str] = text_queries.ORACLES | search_queries.ORACLES | table_queries.ORACLES | answer_queries.ORACLES | script_queries.ORACLES
+ORACLES: dict[str, str] = text_queries.ORACLES | search_queries.ORACLES | table_queries.ORACLES | answer_queries.ORACLES | script_queries.ORACLES | store_queries.ORACLES
 #: Table columns of type int that these queries return; widened as above.
 _INTS = {"cosine_label_precision": "own", "vector_norms": "label", "crosscheck_agreement": "ours", "first_seen": "l_linenumber", "map_edit": "n_nationkey", "union_by_name": "nation", "rollup_revenue": "n_regionkey"}
 for _name, _column in _INTS.items():
