@@ -356,6 +356,36 @@ SELECT query_id, rank, doc_id, source, md5(core) AS core_md5, CASE WHEN source <
        CASE WHEN source = 'src0' THEN 'https://example.org/' || (doc_id // 10) || '/' || (doc_id % 10) ELSE 'https://example.org/search?q=' || replace(url_encode(phrase), '%2F', '/') END AS link, md5({latin('core')}) AS surface_md5 FROM p"""
 
 
-_PLAIN = (hydrate_topk, alternatives, final_verdicts, translation_choice, retriever_overlap, knockout_corpus, request_packs, topic_pool, ruling_pool, ruling_list, answers_full, knockout_run, judged_tokens, crosscheck_hits, hydrate_full)
+def decided_once(spark: SparkSession, d: str) -> DataFrame:
+    """One choice among all 120 candidates of a query, its band on twice its probability."""
+    out = answers.decided_once(sq._pool(spark, d), F.col("score") * sq.LOGIT, sq.NONE, F.col("p") * 2)
+    return out.select("query_id", "verdict", "doc_id", F.round("p", 6).alias("p"))
+
+
+DECIDED_ONCE = f"""WITH {sq._POOL_SQL}, ju AS (SELECT *, {_share_sql('q', sq.LOGIT)} FROM pool WINDOW q AS (PARTITION BY query_id)),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS k FROM ju) WHERE k = 1 AND round(p, 9) >= round(p_none, 9)), q AS (SELECT DISTINCT query_id FROM pool)
+SELECT q.query_id, CASE WHEN doc_id IS NULL THEN 'no_match' WHEN round(p * 2, 9) >= 0.7 THEN 'confident' WHEN round(p * 2, 9) >= 0.45 THEN 'tentative' ELSE 'unsure' END AS verdict, doc_id, round(p, 6) AS p FROM q LEFT JOIN w ON w.query_id = q.query_id"""
+
+_URLS = {"fiqh": "https://example.org/fiqh", "belief": "https://example.org/belief", "objection": "https://example.org/objections"}
+
+
+def referral_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Where a question of a kind is sent, for readers of the documents' languages; a search for the subject words of its text."""
+    n = F.col("doc_id")
+    kind = F.when(n % 4 == 0, "fiqh").when(n % 4 == 1, "belief").when(n % 4 == 2, "other")
+    lang = F.when(n % 5 == 0, F.lit(None).cast("string")).when(n % 5 == 1, "ar").otherwise(F.col("lang"))
+    words = lexical.words(F.col("text"))
+    rows = table(spark, d, "documents").select("doc_id", kind.alias("kind"), lang.alias("lang"), F.when(n % 3 == 0, F.array(F.lit("the"), F.lit("la"))).otherwise(words).alias("words"))
+    home = "https://example.org/"
+    return rows.select("doc_id", search.referred(F.col("kind"), F.col("lang"), _URLS, "objection", ("belief", "objection")).alias("refer"), search.subject_url(F.col("words"), ("the", "la", "de", "der"), home + "s?q={q}", home, 6).alias("subject"))
+
+
+REFERRAL_URLS = f"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'fiqh' WHEN 1 THEN 'belief' ELSE 'objection' END AS k, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'ar' ELSE lang END AS lang,
+  CASE WHEN doc_id % 3 = 0 THEN [] ELSE list_filter({word_list('text')}, lambda x: x NOT IN ('the', 'la', 'de', 'der'))[1:6] END AS w FROM documents)
+SELECT doc_id, CASE k WHEN 'fiqh' THEN 'https://example.org/fiqh' WHEN 'belief' THEN 'https://example.org/belief' ELSE 'https://example.org/objections' END || CASE WHEN k <> 'fiqh' AND lang <> 'ar' THEN CASE WHEN lang = 'fr' THEN '?lang=fr' ELSE '?lang=en' END ELSE '' END AS refer,
+  CASE WHEN len(w) > 0 THEN 'https://example.org/s?q=' || replace(url_encode(array_to_string(w, ' ')), '%2F', '/') ELSE 'https://example.org/' END AS subject FROM r"""
+
+
+_PLAIN = (hydrate_topk, alternatives, final_verdicts, translation_choice, retriever_overlap, knockout_corpus, request_packs, topic_pool, ruling_pool, ruling_list, answers_full, knockout_run, judged_tokens, crosscheck_hits, hydrate_full, decided_once, referral_urls)
 QUERIES = {f.__name__: f for f in _PLAIN}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _PLAIN}

@@ -527,19 +527,18 @@ FINALISTS = f"WITH {_FINAL_SQL} SELECT query_id, doc_id, final_rank FROM fi"
 
 
 def family_sum(spark: SparkSession, d: str) -> DataFrame:
-    """Final choice among the finalists, with its copies' probability (same source stands for the same report), and its band."""
+    """Final choice among the finalists with its report's probability, its copies' words being mostly the same, and its band."""
     last = decision.finalists(decision.winners(_judged(spark, d), runner_up=0.05), FINAL)
-    last = decision.choice(last.select("query_id", "doc_id", "rank", "score", "source"), F.col("score") * LOGIT, NONE, ("query_id",))
-    a, b = last.select("query_id", F.col("doc_id").alias("x"), "source"), last.select("query_id", F.col("doc_id").alias("y"), "source")
-    family = a.join(b, ["query_id", "source"]).where("x < y").select("x", "y").distinct()
-    out = decision.family_probability(last, family)
-    return out.select("query_id", "doc_id", F.round("p_family", 6).alias("p_family"), decision.band(F.round("p_family", 9)).alias("verdict"))
+    last = decision.choice(last.select("query_id", "doc_id", "rank", "score", "kind"), F.col("score") * LOGIT, NONE, ("query_id",))
+    final = last.join(_texts(spark, d).select("doc_id", "tokens"), "doc_id").withColumns({"wanted": F.lit(None).cast("string"), "quote_ok": F.lit(None).cast("boolean")})
+    return search.picked(final).select("query_id", "doc_id", F.round("p_report", 6).alias("p_family"), "verdict")
 
 
-FAMILY_SUM = f"""WITH {_FINAL_SQL}, ch AS (SELECT query_id, doc_id, rank, source, exp(score * {LOGIT}) / (sum(exp(score * {LOGIT})) OVER (PARTITION BY query_id) + exp({NONE})) AS p FROM fi),
-on1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS k FROM ch) WHERE k = 1),
-fam AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM ch a JOIN ch b ON a.query_id = b.query_id AND a.source = b.source AND a.doc_id <> b.doc_id),
-su AS (SELECT on1.query_id, on1.doc_id, on1.p + coalesce((SELECT sum(ch.p) FROM ch JOIN fam ON fam.y = ch.doc_id AND fam.x = on1.doc_id WHERE ch.query_id = on1.query_id), 0) AS pf FROM on1)
+FAMILY_SUM = f"""WITH {_FINAL_SQL}, ch AS (SELECT query_id, doc_id, rank, kind, exp(score * {LOGIT}) / (sum(exp(score * {LOGIT})) OVER q + exp({NONE})) AS p, exp({NONE}) / (sum(exp(score * {LOGIT})) OVER q + exp({NONE})) AS pn FROM fi WINDOW q AS (PARTITION BY query_id)),
+on1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 9) DESC, rank) AS k FROM ch) WHERE k = 1 AND round(p, 9) >= round(pn, 9)),
+tk AS (SELECT doc_id, list_sort(list_distinct(w)) AS t FROM tok WHERE doc_id IN (SELECT doc_id FROM ch)),
+fam AS (SELECT a.doc_id AS x, b.doc_id AS y FROM tk a JOIN tk b ON a.doc_id <> b.doc_id WHERE (least(len(a.t), len(b.t)) >= 5 AND len(list_intersect(a.t, b.t)) >= CAST(0.6 AS DOUBLE) * least(len(a.t), len(b.t))) OR (len(a.t) >= 2 AND a.t = b.t)),
+su AS (SELECT on1.query_id, on1.doc_id, on1.p + coalesce((SELECT sum(ch.p) FROM ch JOIN fam ON fam.y = ch.doc_id AND fam.x = on1.doc_id WHERE ch.query_id = on1.query_id AND ch.kind = 'hadith' AND on1.kind = 'hadith'), 0) AS pf FROM on1)
 SELECT query_id, doc_id, round(pf, 6) AS p_family, CASE WHEN round(pf, 9) >= 0.7 THEN 'confident' WHEN round(pf, 9) >= 0.45 THEN 'tentative' ELSE 'unsure' END AS verdict FROM su"""
 
 
