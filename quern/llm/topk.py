@@ -18,7 +18,8 @@ most k rows a query and task.
 Defined results: vectors that are null, or hold a null or a component that isn't finite, take no part, neither as
 queries nor as candidates, as do rows with a null vec_id; a shorter vector counts as if filled up with zeros; rows with the
 query's own vec_id are the query's own; rows that repeat a query's vec_id ask once, with the least of their vectors; repeated
-candidates are candidates each; ties go to the smaller vec_id. Other columns are ignored.
+candidates are candidates each; ties go to the smaller vec_id. Other columns are ignored. Numbers are 64-bit integers, as scores
+are: a component of 2^57 or more becomes 2^63 - 1, and a score among the k best that doesn't fit in 64 bits is an OverflowError.
 """
 
 from __future__ import annotations
