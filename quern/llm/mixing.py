@@ -65,27 +65,30 @@ def tilts(hist: DataFrame, facts: DataFrame, limit: float = LIMIT, tolerance: fl
     start = F.when(even, 0.0).when(over, float("inf")).when(goal <= 0, float("-inf")).otherwise(0.0)
     docs = hist.groupBy("key").agg(F.sum("n").alias("documents"))
     state = facts.join(docs.hint("merge"), "key").select("key", "target", scale.alias("scale"), start.alias("at"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), (even | over | (goal <= 0)).alias("done"))
-    state = written(state, "tilts")
+    slices = max(1, partitions(hist.sparkSession) // 8)  # a source is a few numbers
+    state = written(state.coalesce(slices), "tilts")
     x = F.col("size") / F.col("scale")
     rate = F.exp(F.least(F.col("at") * x, F.lit(50.0)))
     mass = F.col("n") * F.col("size")
+    kept = ("target", "scale", "at", "low", "high")  # the same in all rows of a source, so they come along with its sums
     for _ in range(rounds):
-        left = state.where("not done")
+        left = state.where("not done").drop("done")
         if not left.limit(1).count():
             break
-        sums = hist.join(if_small(left, BROADCAST_SIZES) or left.hint("merge"), "key").groupBy("key").agg(
-            F.sum(mass * F.least(rate, F.lit(float(limit)))).alias("got"), F.sum(F.when(rate < limit, mass * x * rate).otherwise(0.0)).alias("slope")
+        met = hist.join(if_small(left, BROADCAST_SIZES) or left.hint("merge"), "key")
+        sums = met.groupBy("key").agg(
+            F.sum(mass * F.least(rate, F.lit(float(limit)))).alias("got"), F.sum(F.when(rate < limit, mass * x * rate).otherwise(0.0)).alias("slope"), *[F.max(c).alias(c) for c in kept]
         )
         miss = F.col("got") - F.col("target")
         low, high = F.when(miss < 0, F.col("at")).otherwise(F.col("low")), F.when(miss < 0, F.col("high")).otherwise(F.col("at"))
-        known = left.join(sums.hint("merge"), "key").select("key", "target", "scale", "at", "slope", miss.alias("miss"), low.alias("low"), high.alias("high"))
+        known = sums.select("key", "target", "scale", "at", "slope", miss.alias("miss"), low.alias("low"), high.alias("high"))
         newton = F.col("at") - F.col("miss") / F.nullif(F.col("slope"), F.lit(0.0))
         bounded = (F.col("low") > float("-inf")) & (F.col("high") < float("inf"))
         middle = F.when(bounded, (F.col("low") + F.col("high")) / 2).otherwise(F.col("at") * 2 + F.when(F.col("miss") < 0, 1.0).otherwise(-1.0))
         step = F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(middle)
         near = F.abs("miss") <= tolerance * F.col("target")
         moved = known.select("key", "target", "scale", F.when(near, F.col("at")).otherwise(step).alias("at"), "low", "high", (near | (step == F.col("at"))).alias("done"))
-        new = written(state.where("done").unionByName(moved), "tilts")
+        new = written(state.where("done").unionByName(moved).coalesce(slices), "tilts")
         discard(state)
         state = new
     return state.select("key", (F.col("at") / F.col("scale")).alias("multiplier"))
@@ -106,7 +109,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMI
     """For every row of `docs` (doc_id, text, source): doc_id, text_hash, key of the source, size, source_size, target, times (copies)."""
     size = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
     slim = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key().alias("key"), size.alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
-    hist = written(slim.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
+    counted = slim.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"))
+    hist = written(counted.coalesce(max(1, partitions(docs.sparkSession) // 8)), "size-counts")  # counts, much fewer than documents
     facts = targets(hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("tokens")), weights, limit)
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
