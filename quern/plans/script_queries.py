@@ -184,7 +184,7 @@ def harvest(spark: SparkSession, d: str) -> DataFrame:
 
 
 HARVEST = f"""WITH {_SPOKEN_SQL}, on2 AS (SELECT *, {_turns_sql([f"'{x}'" for x in SOURCES])} AS src FROM sp WHERE doc_id % 5 <> 0)
-SELECT doc_id, 0 AS k, md5(body) AS text_md5, a AS rawi, src AS source, CAST(doc_id AS VARCHAR) AS page, CASE WHEN src = '{SOURCES[0]}' THEN 1 ELSE 0 END AS same FROM on2
+SELECT doc_id, CAST(0 AS BIGINT) AS k, md5(body) AS text_md5, a AS rawi, src AS source, CAST(doc_id AS VARCHAR) AS page, CAST(CASE WHEN src = '{SOURCES[0]}' THEN 1 ELSE 0 END AS BIGINT) AS same FROM on2
 UNION ALL SELECT doc_id, 1, md5(b), NULL, NULL, NULL, 0 FROM on2"""
 
 
@@ -201,7 +201,7 @@ def honest_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 HONEST_ANSWERS = f"""WITH {_SPOKEN_SQL}, l AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY 1)
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS honest, {list((*grades.GRADERS.values(), "Nobody"))!r}[CAST(doc_id % {len(grades.GRADERS) + 1} AS BIGINT) + 1] AS grader FROM sp JOIN l USING (doc_id)"""
+SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 OR toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS BIGINT) AS honest, {list((*grades.GRADERS.values(), "Nobody"))!r}[CAST(doc_id % {len(grades.GRADERS) + 1} AS BIGINT) + 1] AS grader FROM sp JOIN l USING (doc_id)"""
 
 _PLAIN = (arabic_forms, chain_split, remark_split, display_forms, citation_lookup, chapter_named, harvest, honest_answers)
 QUERIES = {f.__name__: f for f in _PLAIN}
