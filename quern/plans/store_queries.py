@@ -143,7 +143,7 @@ SELECT query_id, doc_id, dense_rank, lexical_rank, rank FROM g LEFT JOIN a USING
 
 def edition_differences(spark: SparkSession, d: str) -> DataFrame:
     """Two editions of the documents: one with other marks, which is no difference, some letters more, some texts missing."""
-    docs = table(spark, d, "documents").select("doc_id", sc._arabic(F.col("text")).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", sc._arabic(F.coalesce("text", F.lit(""))).alias("text"))
     n = F.col("doc_id")
     other = docs.where(n % 10 != 9).withColumn("text", F.when(n % 3 == 0, F.concat("text", F.lit("ّ"))).when(n % 5 == 0, F.concat("text", F.lit("ق"))).otherwise(F.col("text")))
     out = tables.differing(docs, other, ["doc_id"], text.skeleton)

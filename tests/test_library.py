@@ -497,3 +497,8 @@ def test_service_answers_a_query_once(spark):
     assert got == {0: ("answered", False), 1: ("too_short", False), 2: ("answered", False), 3: ("answered", True), 4: ("answered", True), 5: ("answered", False), 6: ("too_long", False)}
     with pytest.raises(ZeroDivisionError):  # a mistake is no missing judge
         service.served(requests, none, lambda asked: asked.limit(1 // 0))
+
+
+def test_honest_holds_a_saying_in_another_script(spark):
+    rows = [("قال: èê، èê و", "èê èê", "sahih"), ("شيء آخر", "èê èê", "sahih"), ("èê", " . ", "sahih"), (None, "èê", "sahih"), ("", "èê", "daif")]
+    assert values(spark, answers.honest(F.col("t"), F.col("p"), F.col("s")), rows, "t string, p string, s string") == [True, False, False, False, True]
