@@ -502,3 +502,11 @@ def test_service_answers_a_query_once(spark):
 def test_honest_holds_a_saying_in_another_script(spark):
     rows = [("قال: èê، èê و", "èê èê", "sahih"), ("شيء آخر", "èê èê", "sahih"), ("èê", " . ", "sahih"), (None, "èê", "sahih"), ("", "èê", "daif")]
     assert values(spark, answers.honest(F.col("t"), F.col("p"), F.col("s")), rows, "t string, p string, s string") == [True, False, False, False, True]
+
+
+def test_knockout_breaks_equal_probabilities_by_place(spark):
+    """Three texts of one score, of which the first had a rival in round one and so the least probability there."""
+    scores = {0: 5.0, 1: 3.5, 20: 5.0, 40: 5.0} | {20 * k: 3.0 for k in range(3, 13)}
+    df = spark.createDataFrame([(1, p, p, s) for p, s in scores.items()], "query_id long, doc_id long, place long, score double")
+    left = decision.knockout(df, 260, F.col("score"), lambda x: x.localCheckpoint(), no_match=1.0).collect()
+    assert {r["place"] for r in left if r["place"] in (0, 20, 40)} == {0}
