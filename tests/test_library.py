@@ -499,6 +499,12 @@ def test_service_answers_a_query_once(spark):
         service.served(requests, none, lambda asked: asked.limit(1 // 0))
 
 
+def test_editions_differ_where_one_has_a_text_without_letters(spark):
+    left = spark.createDataFrame([(1, "12."), (2, "12."), (3, None)], "k long, text string")
+    right = spark.createDataFrame([(1, "7"), (4, "")], "k long, text string")
+    assert {r["k"] for r in tables.differing(left, right, ["k"], text.skeleton).collect()} == {2, 3, 4}
+
+
 def test_honest_holds_a_saying_in_another_script(spark):
     rows = [("قال: èê، èê و", "èê èê", "sahih"), ("شيء آخر", "èê èê", "sahih"), ("èê", " . ", "sahih"), (None, "èê", "sahih"), ("", "èê", "daif")]
     assert values(spark, answers.honest(F.col("t"), F.col("p"), F.col("s")), rows, "t string, p string, s string") == [True, False, False, False, True]
