@@ -443,3 +443,10 @@ def test_crosscheck_meets_by_equality(spark):
     got = corpus.crosschecked(ours, theirs)
     assert {(r["id"], r["hit_id"]) for r in got.collect()} == {(1, 1), (1, 2), (2, 2), (2, 7), (5, 5)} and got.count() == 5
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+
+
+def test_index_sums_scores_without_sending_them(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"cat w{k % 5} cat") for k in range(50)], "doc_id long, text string")
+    made = index.build(docs, f"{tmp_path}/index")
+    asked = spark.createDataFrame([(1, "cat w1"), (2, "cat")], "query_id long, text string")
+    assert "hashpartitioning(query_id" not in plan(index.search(made, asked))
