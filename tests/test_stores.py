@@ -450,3 +450,11 @@ def test_index_sums_scores_without_sending_them(spark, tmp_path):
     made = index.build(docs, f"{tmp_path}/index")
     asked = spark.createDataFrame([(1, "cat w1"), (2, "cat")], "query_id long, text string")
     assert "hashpartitioning(query_id" not in plan(index.search(made, asked))
+
+
+def test_pools_and_shortlists_are_found_once(spark):
+    from quern.plans import search_queries as sq
+
+    folder = "/root/testdata/sf0.001"
+    for df in (sq._pool(spark, folder), sq._found(spark, folder)):
+        assert not [f for f in df.inputFiles() if "documents" in f or "quern-index" in f or "quern-lexical" in f]
