@@ -516,3 +516,14 @@ def test_knockout_breaks_equal_probabilities_by_place(spark):
     df = spark.createDataFrame([(1, p, p, s) for p, s in scores.items()], "query_id long, doc_id long, place long, score double")
     left = decision.knockout(df, 260, F.col("score"), lambda x: x.localCheckpoint(), no_match=1.0).collect()
     assert {r["place"] for r in left if r["place"] in (0, 20, 40)} == {0}
+
+
+def test_containment_counts_meetings_in_blocks(spark, monkeypatch):
+    """Over several blocks of prefixes all pairs are found."""
+    monkeypatch.setattr(dedup, "BLOCK_TOKENS", 100)
+    rng = random.Random(3)
+    sets = {k: {f"w{rng.randrange(14)}" for _ in range(rng.randrange(6, 20))} for k in range(60)}
+    df = dedup.containment_pairs(spark.createDataFrame([(k, list(t)) for k, t in sets.items()], "doc_id long, tokens array<string>"))
+    one = {frozenset(t): k for k, t in reversed(sets.items())}
+    want = {(min(a, b), max(a, b)) for s, a in one.items() for t, b in one.items() if a != b and min(len(s), len(t)) >= 6 and len(s & t) >= 0.8 * min(len(s), len(t)) - 1e-9}
+    assert {(r["x"], r["y"]) for r in df.collect()} == want and want
