@@ -1,6 +1,6 @@
 """Steps of searches that must not grow with what they don't need."""
 
-from quern.operators import dedup
+from quern.operators import dedup, lexical
 from quern.plans import search_queries as sq
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,3 +21,17 @@ def test_collapse_of_hashes_is_that_of_words(spark):
     sent = pool.select("query_id", "rank", "doc_id", "kind").join(dedup.compared(pool.select("doc_id", "tokens", "shown")), "doc_id")
     told = lambda df: sorted((r["doc_id"], r["kept_rank"], r["variant_of"]) for r in dedup.greedy_collapse(df, 10).collect())
     assert told(sent) == told(pool) == [(10, 1, None), (11, 1, 10), (12, 2, None), (13, 3, None), (14, 3, 13), (15, 4, None)]
+
+
+def test_passages_are_sought_where_their_runs_begin(spark, monkeypatch):
+    texts = ["x aa bbbb cc dd ee y", "bbbb cc", "aa bbbb cc dd", "q aa bbbb cc ddd", "", None, "aa  bbbb cc dd ee", "zz bbbb cc dd ee bbbb cc dd", "a\nb c d e"]
+    passages = ["aa bbbb cc dd", "cc", "x aa", "bbbb cc dd ee", "aa  bbbb cc", "", "e", "b c d", None, "q aa bbbb cc dd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "query_id long, text string")
+    told = lambda df: sorted((r["query_id"], r["doc_id"]) for r in df.collect())
+    want = sorted((q, d) for q, p in enumerate(passages) for d, t in enumerate(texts) if p is not None and t is not None and p in t)
+    found = lexical.containing(docs, asked)
+    assert told(found) == want
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # reading it again doesn't search again
+    monkeypatch.setattr(lexical, "FEW_FIRST", 0)
+    assert told(lexical.containing(docs, asked)) == want
