@@ -9,8 +9,9 @@ An item is scored on the first tier alone. Its k-th best partial score is a floo
 least of their weighed residual bounds first, stay out of question as long as the sum of those bounds is below
 the floor: a document that holds only such postings can't reach it. If that covers all of an item's terms, all its winners have
 been seen, and that is the proof. Items without it fall through: their other terms are read one tier deeper, and in a third
-step to the end, after which the proof always holds. Seen documents whose partial score and missing bounds reach the
-floor are then scored in full, through their postings in all tiers. So the result is exact, ties included.
+step to the end, after which the proof always holds. Of the seen documents whose partial score and missing bounds reach the
+floor, the k with the best partial scores are scored in full first; the least of those k is a higher floor, and only what still
+reaches it is scored in full, through its postings in all tiers. So the result is exact, ties included.
 
 Defined results: null texts, and texts without a term, are no documents and match nothing; an item without a known term
 gives no row; rows that repeat a doc_id are each a document; a null doc_id comes last among ties; rows that repeat an item_id
@@ -123,6 +124,30 @@ def _best(scores: DataFrame, score: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _numbered(every: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(term, w, t; item_id, i; i, t): the pairs of `every` (item_id, term, w), of which there are few, by numbers. Two ints are
+    looked up as one long, which the many pairs of postings and documents need."""
+    number = lambda df, n: scratch.written(df.distinct().coalesce(1).withColumn(n, F.monotonically_increasing_id().cast("int")), n)
+    terms, items = number(every.select("term", "w"), "t"), number(every.select("item_id"), "i")
+    pairs = scratch.written(every.join(F.broadcast(terms.select("term", "t")), "term").join(F.broadcast(items), "item_id").select("i", "t"), "pairs")
+    return F.broadcast(terms), F.broadcast(items), F.broadcast(pairs)
+
+
+def _scored(index: DataFrame, every: DataFrame, seen: DataFrame, numbers: tuple[DataFrame, DataFrame, DataFrame] | None) -> DataFrame:
+    """item_id, row, doc_id, score: the documents of `seen` (item_id, row) in full, without those of score 0. numbers: of _numbered()."""
+    met = lambda left, right: left.join(right.hint("merge") if (small := if_small(right, BROADCAST)) is None else small, "row")
+    score = [F.min("doc_id").alias("doc_id"), F.sum("value").alias("score")]
+    if numbers:
+        terms, items, pairs = numbers
+        values = index.join(terms, "term").select("row", "doc_id", "t", (F.col("w") * F.col("impact")).alias("value"))
+        rows = met(values, seen.join(items, "item_id").select("row", "i")).join(pairs, ["i", "t"])
+        scores = rows.groupBy("i", "row").agg(*score).where("score > 0").join(items, "i")
+    else:
+        rows = met(index, seen).join(if_small(every, BROADCAST) or every, ["item_id", "term"]).withColumn("value", F.col("w") * F.col("impact"))
+        scores = rows.groupBy("item_id", "row").agg(*score).where("score > 0")
+    return scores.select("item_id", "row", "doc_id", "score")
+
+
 def search(index: DataFrame, terms: DataFrame, asked: DataFrame, scratch: Scratch, k: int = K) -> tuple[DataFrame, list[int]]:
     """(item_id, rank, doc_id, score of the k best documents of each item; how many items went on at each step)."""
     need = scratch.written(asked.join(terms, "term").withColumn("depth", F.lit(1)), "need")
@@ -137,7 +162,8 @@ def search(index: DataFrame, terms: DataFrame, asked: DataFrame, scratch: Scratc
         judged = scratch.written(rest, "judged")
         open_items = judged.where("open").select("item_id").distinct()
         items = judged.groupBy("item_id").agg(F.max("floor").alias("floor"), F.max("all").alias("all"), F.max("open").alias("open")).where("not open")
-        near = part.join(if_small(items, BROADCAST) or items, "item_id").where(F.col("partial") + F.col("all") - F.col("covered") >= F.col("floor")).select("item_id", "row")
+        near = part.join(if_small(items, BROADCAST) or items, "item_id").withColumn("most", F.col("partial") + F.col("all") - F.col("covered"))
+        near = near.where(F.col("most") >= F.col("floor")).select("item_id", "row", "doc_id", "partial", "most")
         seen = near if seen is None else seen.unionByName(near)
         went_on.append(open_items.count())
         if not went_on[-1]:
@@ -146,10 +172,12 @@ def search(index: DataFrame, terms: DataFrame, asked: DataFrame, scratch: Scratc
         need = scratch.written(judged.join(open_items, "item_id", "left_semi").select("item_id", "term", "w", "r1", "r2", deeper), "need")
     seen = scratch.written(seen, "seen")
     every = every.select("item_id", "term", "w")
-    small = if_small(seen, BROADCAST)
-    rows = index.join(seen.hint("merge") if small is None else small, "row").join(if_small(every, BROADCAST) or every, ["item_id", "term"])
-    scores = rows.groupBy("item_id", "row").agg(F.min("doc_id").alias("doc_id"), F.sum(F.col("w") * F.col("impact")).alias("score")).where("score > 0")
-    return _best(scores, "score", k).select("item_id", "rank", "doc_id", "score"), went_on
+    leaders = scratch.written(_best(seen, "partial", k).select("item_id", "row"), "leaders")
+    numbers = _numbered(every, scratch) if if_small(every, BROADCAST) else None
+    floor = _scored(index, every, leaders, numbers).groupBy("item_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(1).alias("floor"))
+    floor = scratch.written(floor, "floor")
+    left = seen.join(if_small(floor, BROADCAST) or floor, "item_id").where(F.col("most") >= F.col("floor")).select("item_id", "row")
+    return _best(_scored(index, every, scratch.written(left, "left"), numbers), "score", k).select("item_id", "rank", "doc_id", "score"), went_on
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:

@@ -140,6 +140,23 @@ def test_items_without_proof_fall_through(spark, whole, monkeypatch, tiers, k):
         assert rows.where("(tier > 1 and impact > r1) or (tier > 2 and impact > r2)").count() == 0
 
 
+def test_tiered_search_scores_few_of_the_seen_documents_in_full(spark, monkeypatch):
+    monkeypatch.setattr(tiered, "TIERS", ((8, 2), (2, 4)))
+    sizes, scored = [], tiered._scored
+
+    def counted(index, every, seen, numbers):
+        sizes.append(seen.count())
+        return scored(index, every, seen, numbers)
+
+    monkeypatch.setattr(tiered, "_scored", counted)
+    rows = [(i, "rare " * (i % 7) + "a b c " * (1 + i % 3) + "x " * (i % 11)) for i in range(400)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "rare a b c"), (2, "b x")], "item_id long, text string")
+    got = [tuple(r) for r in tiered.ranked_search(docs, items, 5).orderBy("item_id", "rank").collect()]
+    assert sizes[0] == 10 and sizes[1] < 400  # the leaders of both items; of 800 pairs, those that reach their floor
+    monkeypatch.setattr(tiered, "BROADCAST", 0)  # without numbers
+    assert got == [tuple(r) for r in tiered.ranked_search(docs, items, 5).orderBy("item_id", "rank").collect()]
+
+
 def test_tiered_search_without_a_dictionary_of_terms(spark, whole, monkeypatch):
     monkeypatch.setattr(tiered, "ASKED_TERMS", 3)
     monkeypatch.setattr(tiered, "BROADCAST", 5)
