@@ -106,7 +106,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "x": [r.astype(np.float16).tobytes() for r in features(list(pdf["text"]))]})
 
     rows = sorted(drawn.select("doc_id", "text", "lang").mapInPandas(run, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["lang"], r["doc_id"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float64)
+    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows])  # train() makes doubles of what it takes
     lang = np.array([r["lang"] for r in rows])
     family = np.array([FAMILY_OF.get(v, v) for v in lang])
     families = sorted(set(family))

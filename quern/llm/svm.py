@@ -7,8 +7,9 @@ import numpy as np
 
 def train(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (with a bias as the last one) of a squared-hinge machine; y holds 1 and -1. Rows of x have unit length."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    square = (x * x).sum(1) + 0.5 / cost
+    given, x = x, np.ones((len(x), x.shape[1] + 1))  # the one copy in doubles
+    x[:, :-1] = given
+    square = np.concatenate([(x[k : k + 256] * x[k : k + 256]).sum(1) for k in range(0, len(x), 256)]) + 0.5 / cost
     alpha, w, rng = np.zeros(len(x)), np.zeros(x.shape[1]), np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0

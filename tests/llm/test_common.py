@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quern.llm import common
@@ -78,3 +79,17 @@ def test_recent_keeps_what_is_asked_for_often():
     for k in (1, 2, 3, 1, 4, 1, 5, 1, 6, 1):
         assert cache[k] == k * 2
     assert made.count(1) == 1 and len(cache) + len(cache.old) <= 6
+
+
+def test_a_machine_is_fitted_on_one_copy_of_its_sample():
+    import tracemalloc
+
+    from quern.llm import svm
+
+    x = np.random.default_rng(1).random((1000, 512)).astype(np.float16) / 16
+    y = np.where(x[:, 0] > x[:, 1], 1, -1)
+    tracemalloc.start()
+    svm.train(x, y, epochs=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * 8 * x.size  # three copies in doubles before
