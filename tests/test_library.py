@@ -510,6 +510,12 @@ def test_honest_holds_a_saying_in_another_script(spark):
     assert values(spark, answers.honest(F.col("t"), F.col("p"), F.col("s")), rows, "t string, p string, s string") == [True, False, False, False, True]
 
 
+def test_honest_holds_no_saying_by_the_letters_of_one_script(spark):
+    """Of a saying in two scripts, a hit must hold all letters, not those alone that the Arabic form keeps."""
+    rows = [("شيء آخر", "ñ خ", "sahih"), ("قال: ñ، خ و", "ñ خ", "sahih"), ("قَالَ: Ñ، إخ", "ñ اخ", "sahih"), ("قَالَ: إخ", "أَخ", "sahih"), ("الف", None, "sahih")]
+    assert values(spark, answers.honest(F.col("t"), F.col("p"), F.col("s")), rows, "t string, p string, s string") == [False, True, True, True, False]
+
+
 def test_knockout_breaks_equal_probabilities_by_place(spark):
     """Three texts of one score, of which the first had a rival in round one and so the least probability there."""
     scores = {0: 5.0, 1: 3.5, 20: 5.0, 40: 5.0} | {20 * k: 3.0 for k in range(3, 13)}
