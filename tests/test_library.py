@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import grades, parse, text, vectors
 from quern.operators import answers, corpus, decision, dedup, encode, fusion, lexical, lookup, search, service, tables
+from quern.plans import answer_queries
 from quern.sources import fetch, files
 from quern.streaming import events
 
@@ -524,6 +525,16 @@ def test_knockout_breaks_equal_probabilities_by_place(spark):
     assert {r["place"] for r in left if r["place"] in (0, 20, 40)} == {0}
 
 
+def test_knockout_widens_no_more_than_the_likeliest(spark, monkeypatch):
+    """Of the first round's winners, which are some of every group, only those that a list may take are met with their texts."""
+    asked, texts = [], answer_queries.sq._texts
+    monkeypatch.setattr(answer_queries.sq, "_texts", lambda s, d, found=None: asked.append(found) or texts(s, d, found))
+    rows = answer_queries.knockout_run(spark, "/root/testdata/sf0.001").collect()
+    assert rows and len(asked) == 1 and asked[0].groupBy("query_id").count().agg(F.max("count")).first()[0] <= search.KNOCKOUT_TOPIC + decision.FINALISTS
+    many = spark.createDataFrame([(1, k, k, 0.5) for k in range(200)], "query_id long, doc_id long, place long, p double")
+    assert sorted(r["place"] for r in search.knockout_likeliest(many).collect()) == list(range(search.KNOCKOUT_TOPIC))
+
+
 def test_containment_counts_meetings_in_blocks(spark, monkeypatch):
     """Over several blocks of prefixes all pairs are found."""
     monkeypatch.setattr(dedup, "BLOCK_TOKENS", 100)
