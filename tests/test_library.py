@@ -544,3 +544,14 @@ def test_containment_counts_meetings_in_blocks(spark, monkeypatch):
     one = {frozenset(t): k for k, t in reversed(sets.items())}
     want = {(min(a, b), max(a, b)) for s, a in one.items() for t, b in one.items() if a != b and min(len(s), len(t)) >= 6 and len(s & t) >= 0.8 * min(len(s), len(t)) - 1e-9}
     assert {(r["x"], r["y"]) for r in df.collect()} == want and want
+
+
+def test_containment_widens_no_pair_by_its_tokens(spark, monkeypatch):
+    """Pairs are many more than sets: they come with their counts from where they meet, by hashes that no two words share."""
+    tags, hashed = [], dedup._hashed
+    monkeypatch.setattr(dedup, "written", lambda df, tag: tags.append((tag, df.columns)) or df.localCheckpoint())
+    monkeypatch.setattr(dedup, "_hashed", lambda w, seed: hashed(w, seed) if seed else F.pmod(hashed(w, seed), F.lit(3)))
+    rows = [(1, [f"w{k}" for k in range(10)]), (2, [f"w{k}" for k in range(2, 40)]), (3, [f"w{k}" for k in range(3, 13)]), (4, [f"w{k}" for k in range(2, 40)])]
+    found = dedup.containment_pairs(spark.createDataFrame(rows, "doc_id long, tokens array<string>"))
+    assert sorted(map(tuple, found.select("x", "y", "shared", "smaller").collect())) == [(1, 2, 8, 10), (2, 3, 10, 10)]
+    assert ("meeting", ["small", "large", "shared", "smaller"]) in tags
