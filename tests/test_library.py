@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import grades, parse, text, vectors
-from quern.operators import answers, corpus, decision, dedup, encode, fusion, lexical, lookup, search, service, tables
+from quern.operators import answers, corpus, decision, dedup, encode, fusion, index, lexical, lookup, search, service, tables
 from quern.plans import answer_queries
 from quern.sources import fetch, files
 from quern.streaming import events
@@ -555,3 +555,18 @@ def test_containment_widens_no_pair_by_its_tokens(spark, monkeypatch):
     found = dedup.containment_pairs(spark.createDataFrame(rows, "doc_id long, tokens array<string>"))
     assert sorted(map(tuple, found.select("x", "y", "shared", "smaller").collect())) == [(1, 2, 8, 10), (2, 3, 10, 10)]
     assert ("meeting", ["small", "large", "shared", "smaller"]) in tags
+
+
+def test_knockout_judges_groups_where_they_meet(spark, tmp_path):
+    """Round one by index.likeliest() takes who it takes by all scores, and has far fewer rows than queries times texts."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 9)))) for k in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "c d e"), (3, "h"), (4, "x")], "query_id long, text string")
+    places = spark.createDataFrame([(k, (k * 7) % 293) for k in range(293)], "doc_id long, place long")
+    made = index.build(docs, f"file://{tmp_path}/index")
+    scores = index.search(made, asked).select("query_id", "doc_id", F.round("score", 6).alias("score")).join(places, "doc_id")
+    few = index.likeliest(made, asked, index.Groups(places, 293, 20, 2.0, 3.0, decision.RUNNER_UP)).withColumn("score", F.round("score", 6))
+    of = lambda df: sorted((r["query_id"], r["place"], r["round"], round(r["p"], 8)) for r in decision.knockout(df, 293, F.col("score") * 2.0, lambda x: x.localCheckpoint(), no_match=3.0).collect())
+    assert of(few) == of(scores) and of(few)
+    assert few.count() < scores.count() / 3
+    assert index.likeliest(made, asked.where("false"), index.Groups(places, 293, 20, 2.0, 3.0, decision.RUNNER_UP)).count() == 0
